@@ -137,9 +137,12 @@ def median_impute(train: DataFrame, cols: list[str], apply_to: DataFrame | None
     Fitting is one distributed aggregate; its single row (one value per column) is the
     plan, applied to `apply_to` as literals -- the same fit/transform split as spark.ml Imputer.
     """
-    plan = train.agg(*[F.percentile(F.col(c), 0.5).alias(c) for c in cols]).first().asDict()
+    from aquifer.operators.stats import exact_quantiles, to_long
+
+    med = exact_quantiles(to_long(train, cols), ["col"], "x", [0.5])
+    plan = {r["col"]: r["q"] for r in med.collect()}  # one value per column: the fitted plan
     target = train if apply_to is None else apply_to
-    out = [F.coalesce(F.col(c), F.lit(plan[c]).cast("double")).alias(c) if c in cols else F.col(c)
+    out = [F.coalesce(F.col(c), F.lit(plan.get(c)).cast("double")).alias(c) if c in cols else F.col(c)
            for c in target.columns]
     return target.select(*out)
 
