@@ -19,38 +19,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from aquifer.session import cut_lineage
+
 
 def _frozen_bounds(df: DataFrame, groups: list[str], order: str, slices: int) -> DataFrame:
-    """Approximate per-group cut points, collected once (bounded: groups x slices) and re-broadcast."""
-    spark = df.sparkSession
+    """Approximate per-group cut points, materialised once in the shared checkpoint folder so that
+    every recomputation (and every branch of the plan) sees the same slice boundaries."""
     probs = [i / slices for i in range(1, slices)]
     b = df.groupBy(*groups).agg(F.percentile_approx(order, probs, 10000).alias("_bounds"))
-    rows = b.collect()
-    schema = b.schema
-    return spark.createDataFrame(rows, schema)
+    return cut_lineage(b)
 
 
-def global_prefix(df: DataFrame, groups: list[str], order: str, weight: str | None = None,
-                  out: str = "_rank", slices: int | None = None) -> DataFrame:
+def global_prefix(df: DataFrame, groups: list[str], order: str, weight: str | list[str] | None = None,
+                  out: str | list[str] = "_rank", slices: int | None = None) -> DataFrame:
     """Add `out` = sum of `weight` (1 per row when None) over rows strictly before this one in
-    (`groups`, `order`) order -- a 0-based rank for unit weights. NULL/NaN `order` rows are dropped."""
+    (`groups`, `order`) order -- a 0-based rank for unit weights. Several weights may be summed at
+    once (lists of equal length). NULL/NaN `order` rows are dropped."""
     if not groups:  # a constant key keeps one code path (and avoids HOF-over-literal folding)
         out_df = global_prefix(df.withColumn("_g0", F.lit(0)), ["_g0"], order, weight, out, slices)
         return out_df.drop("_g0")
     spark = df.sparkSession
     k = slices or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    wcol = F.lit(1).cast("long") if weight is None else F.col(weight)
-    base = df.where(F.col(order).isNotNull() & ~F.isnan(F.col(order))).withColumn("_w", wcol)
+    weights = [weight] if weight is None or isinstance(weight, str) else list(weight)
+    outs = [out] if isinstance(out, str) else list(out)
+    wnames = [f"_w{i}" for i in range(len(weights))]
+    base = df.where(F.col(order).isNotNull() & ~F.isnan(F.col(order)))
+    for wn, wc in zip(wnames, weights):
+        base = base.withColumn(wn, F.lit(1).cast("long") if wc is None else F.col(wc))
     bounds = _frozen_bounds(base, groups, order, k)
-    sliced = base.join(F.broadcast(bounds), groups)
+    sliced = base.join(bounds, groups)  # AQE broadcasts it when small (size-checked at runtime)
     sliced = sliced.withColumn("_slice", F.size(F.filter("_bounds", lambda b: b < F.col(order)))).drop("_bounds")
     slice_w = Window.partitionBy(*groups, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    local = sliced.withColumn("_lr", F.coalesce(F.sum("_w").over(slice_w), F.lit(0)))
-    totals = sliced.groupBy(*groups, "_slice").agg(F.sum("_w").alias("_tot"))
+    local = sliced
+    for wn in wnames:
+        local = local.withColumn(f"{wn}_lr", F.coalesce(F.sum(wn).over(slice_w), F.lit(0)))
+    totals = sliced.groupBy(*groups, "_slice").agg(*[F.sum(wn).alias(f"{wn}_tot") for wn in wnames])
     w = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_off", F.coalesce(F.sum("_tot").over(w), F.lit(0))).drop("_tot")
-    j = local.join(F.broadcast(offsets), [*groups, "_slice"])
-    return j.withColumn(out, F.col("_off") + F.col("_lr")).drop("_slice", "_lr", "_off", "_w")
+    offsets = totals
+    for wn in wnames:
+        offsets = offsets.withColumn(f"{wn}_off", F.coalesce(F.sum(f"{wn}_tot").over(w), F.lit(0)))
+    offsets = offsets.drop(*[f"{wn}_tot" for wn in wnames])
+    j = local.join(offsets, [*groups, "_slice"])
+    for wn, o in zip(wnames, outs):
+        j = j.withColumn(o, F.col(f"{wn}_off") + F.col(f"{wn}_lr"))
+    drop = ["_slice"] + [f"{wn}{sfx}" for wn in wnames for sfx in ("", "_lr", "_off")]
+    return j.drop(*drop)
 
 
 def global_rank(df: DataFrame, groups: list[str], value: str, slices: int | None = None) -> DataFrame:

@@ -182,3 +182,20 @@ def round_log(spark: SparkSession, d: str) -> DataFrame:
 def categories(spark: SparkSession, d: str) -> DataFrame:
     """FX8: categorical attributes (p_brand, p_type) and slug input p_name."""
     return read_table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+
+
+# ---------------------------------------------------------------- FIXED VALUES
+# Class map of the FX6 prediction analytes.
+FX6_CLASSES = {"A": ["A0", "A1"], "B": ["A2"], "C": ["A3"]}
+# ------------------------------------------------------------ END FIXED VALUES
+
+
+def fx6_analytes(spark: SparkSession) -> DataFrame:
+    rows = [(a, c, i) for i, (c, a) in enumerate((c, a) for c, lst in FX6_CLASSES.items() for a in lst)]
+    return spark.createDataFrame(rows, "analyte string, class string, ord int")
+
+
+def eval_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Node dimension for evaluation: supplier-derived ids 0..10 (node 10 has no prediction rows)."""
+    s = read_table(spark, d, "supplier")
+    return s.select((F.col("s_suppkey") % 11).alias("node_id")).distinct()
