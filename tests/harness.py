@@ -20,7 +20,7 @@ def duck(sf_dir: str):
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is __import__("pandas").NA or v is __import__("pandas").NaT:
         return None
     if hasattr(v, "item") and not isinstance(v, (list, tuple, dict)):
         try:
