@@ -16,14 +16,18 @@ from aquifer.operators.stats import global_prefix
 
 
 def score_table(pred: DataFrame, keys: list[str], y: str = "y", score: str = "score") -> DataFrame:
-    """Distinct scores per group with positive/negative counts and strictly-above / strictly-below sums."""
+    """Distinct scores per group with positive/negative counts, strictly-below and strictly-above sums.
+
+    One distributed prefix pass (ascending) gives the below-sums; above-sums follow from group totals."""
     lab = pred.where(F.col(y).isNotNull() & F.col(score).isNotNull())
     st = lab.groupBy(*keys, score).agg(
         F.count_if(F.col(y) == 1.0).alias("pos"), F.count_if(F.col(y) == 0.0).alias("neg"))
-    st = global_prefix(st, keys, score, ["neg"], ["neg_below"])
-    st = st.withColumn("_desc", -F.col(score))
-    st = global_prefix(st, keys, "_desc", ["pos", "neg"], ["tp_above", "fp_above"]).drop("_desc")
-    return st
+    st = global_prefix(st, keys, score, ["pos", "neg"], ["pos_below", "neg_below"])
+    tot = st.groupBy(*keys).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
+    st = st.join(tot, keys)
+    st = st.withColumn("tp_above", F.col("_P") - F.col("pos_below") - F.col("pos")) \
+        .withColumn("fp_above", F.col("_N") - F.col("neg_below") - F.col("neg"))
+    return st.drop("_P", "_N", "pos_below")
 
 
 def ranking_metrics(pred: DataFrame, keys: list[str], y: str = "y", score: str = "score") -> DataFrame:

@@ -22,11 +22,19 @@ from pyspark.sql import functions as F
 from aquifer.session import cut_lineage
 
 
+DRIVER_BOUNDS_LIMIT = 200_000  # cut-point values small enough to freeze through the driver
+
+
 def _frozen_bounds(df: DataFrame, groups: list[str], order: str, slices: int) -> DataFrame:
-    """Approximate per-group cut points, materialised once in the shared checkpoint folder so that
-    every recomputation (and every branch of the plan) sees the same slice boundaries."""
+    """Approximate per-group cut points, frozen once so that every recomputation (and every branch of
+    the plan) sees the same slice boundaries. Few groups: collected and re-broadcast as a local
+    relation (bounded by DRIVER_BOUNDS_LIMIT values); many groups: checkpointed to the shared folder."""
     probs = [i / slices for i in range(1, slices)]
     b = df.groupBy(*groups).agg(F.percentile_approx(order, probs, 10000).alias("_bounds"))
+    limit_groups = max(1, DRIVER_BOUNDS_LIMIT // max(1, len(probs)))
+    rows = b.limit(limit_groups + 1).collect()
+    if len(rows) <= limit_groups:
+        return F.broadcast(df.sparkSession.createDataFrame(rows, b.schema))
     return cut_lineage(b)
 
 
@@ -49,15 +57,18 @@ def global_prefix(df: DataFrame, groups: list[str], order: str, weight: str | li
     bounds = _frozen_bounds(base, groups, order, k)
     sliced = base.join(bounds, groups)  # AQE broadcasts it when small (size-checked at runtime)
     sliced = sliced.withColumn("_slice", F.size(F.filter("_bounds", lambda b: b < F.col(order)))).drop("_bounds")
-    slice_w = Window.partitionBy(*groups, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    # running sum including the current row minus the row itself: a streaming O(n) frame
+    slice_w = Window.partitionBy(*groups, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding,
+                                                                               Window.currentRow)
     local = sliced
     for wn in wnames:
-        local = local.withColumn(f"{wn}_lr", F.coalesce(F.sum(wn).over(slice_w), F.lit(0)))
-    totals = sliced.groupBy(*groups, "_slice").agg(*[F.sum(wn).alias(f"{wn}_tot") for wn in wnames])
-    w = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        local = local.withColumn(f"{wn}_lr", F.sum(wn).over(slice_w) - F.col(wn))
+    # totals read the windowed frame: its exchange is reused, so the input is shuffled once
+    totals = local.groupBy(*groups, "_slice").agg(*[F.sum(wn).alias(f"{wn}_tot") for wn in wnames])
+    w = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     offsets = totals
     for wn in wnames:
-        offsets = offsets.withColumn(f"{wn}_off", F.coalesce(F.sum(f"{wn}_tot").over(w), F.lit(0)))
+        offsets = offsets.withColumn(f"{wn}_off", F.sum(f"{wn}_tot").over(w) - F.col(f"{wn}_tot"))
     offsets = offsets.drop(*[f"{wn}_tot" for wn in wnames])
     j = local.join(offsets, [*groups, "_slice"])
     for wn, o in zip(wnames, outs):
