@@ -199,3 +199,25 @@ def eval_nodes(spark: SparkSession, d: str) -> DataFrame:
     """Node dimension for evaluation: supplier-derived ids 0..10 (node 10 has no prediction rows)."""
     s = read_table(spark, d, "supplier")
     return s.select((F.col("s_suppkey") % 11).alias("node_id")).distinct()
+
+
+MODEL_TARGETS = ["click", "error", "purchase", "signup"]
+MODEL_FEATURES = ["f_well", "f_dow", "f_events", "f_hour"]
+
+
+def model_frame(spark: SparkSession, d: str) -> DataFrame:
+    """Model rows: one per (well, day) sample with non-label features, node id and exceedance labels
+    (NULL where the analyte was not measured that day)."""
+    obs = obs_long(spark, d).withColumn("day", F.to_date("ts"))
+    lim = F.create_map(*[x for a, v in FX_THRESHOLDS.items() for x in (F.lit(a), F.lit(v))])
+    y = F.when(F.col("conc") >= lim[F.col("analyte")], 1.0).when(F.col("conc") < lim[F.col("analyte")], 0.0)
+    lab = obs.withColumn("y", y)
+    g = lab.groupBy("well_id", "day").agg(
+        F.count(F.lit(1)).alias("n_ev"), F.min(F.hour("ts")).alias("h"),
+        *[F.max(F.when(F.col("analyte") == a, F.col("y"))).alias(f"y_{a}") for a in MODEL_TARGETS])
+    return g.select(
+        (F.col("well_id") * 100000 + F.datediff("day", F.lit(FX_EPOCH).cast("date"))).alias("sample_id"),
+        "well_id", "day", (F.col("well_id") % 10).alias("node_id"),
+        ((F.col("well_id") % 7) / 6.0).alias("f_well"), (F.dayofweek("day") / 7.0).alias("f_dow"),
+        F.log1p("n_ev").alias("f_events"), (F.col("h") / 23.0).alias("f_hour"),
+        *[f"y_{a}" for a in MODEL_TARGETS])
