@@ -1,0 +1,7 @@
+"""Streaming.
+
+The analysis this library reproduces has no incremental input, event-time windows, watermarks or
+state: "temporal" means sort + chronological split (see `operators.prepare.chronological_split`).
+No streaming operator is provided, by design; every operator here is a batch DataFrame function
+and can be applied per micro-batch by a caller's `foreachBatch` if ever needed.
+"""
