@@ -84,16 +84,18 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 50) -> DataFrame:
 
 # ----------------------------------------------------------------------- G26
 def boxplot_stats(df: DataFrame, cols: list[str], whisker: float = 1.5) -> DataFrame:
-    """q1/median/q3 (exact, interpolated), whisker ends within 1.5 IQR, outlier count."""
+    """q1/median/q3 (exact, interpolated), whisker ends within 1.5 IQR, outlier count.
+    Everything is derived from the distinct-value histogram, so the input is scanned once."""
     long = to_long(df, cols).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    q = quantiles_wide(long, ["col"], "x", {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    j = long.join(F.broadcast(q), "col")
+    vc = value_counts_prefix(long, ["col"], "x")
+    q = quantiles_wide(long, ["col"], "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}, vc=vc)
+    j = vc.join(F.broadcast(q), "col")  # one row per column
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - whisker * iqr, F.col("q3") + whisker * iqr
     return j.groupBy("col", "q1", "median", "q3").agg(
         F.min(F.when(F.col("x") >= lo_f, F.col("x"))).alias("whisker_lo"),
         F.max(F.when(F.col("x") <= hi_f, F.col("x"))).alias("whisker_hi"),
-        F.count_if((F.col("x") < lo_f) | (F.col("x") > hi_f)).alias("n_outliers"),
+        F.coalesce(F.sum(F.when((F.col("x") < lo_f) | (F.col("x") > hi_f), F.col("_c"))), F.lit(0)).alias("n_outliers"),
     )
 
 
@@ -153,3 +155,37 @@ def mid_rank(long: DataFrame, keys: list[str], value: str, out: str = "rank") ->
 
 def _mid_rank(long: DataFrame, keys: list[str], value: str, out: str, id_col: str) -> DataFrame:
     return long.join(mid_rank(long, keys, value, out), [*keys, value]).select(*keys, id_col, out)
+
+
+# ----------------------------------------------------------------------- T13
+def vif(df: DataFrame, cols: list[str], max_cols: int = 20, min_var: float = 0.01) -> list[tuple]:
+    """Variance inflation factors with intercept on zero-filled columns: keep columns with
+    variance > min_var, take the `max_cols` most variable, one distributed pass for all means and
+    cross-products, then invert the (<= max_cols)^2 correlation matrix on the driver.
+    Returns rows (col, variance, vif, high) with vif = inf for a singular matrix."""
+    import numpy as np
+
+    z = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
+    var = z.agg(*[F.var_samp(c).alias(c) for c in cols]).first().asDict()
+    keep = sorted([c for c in cols if var[c] is not None and var[c] > min_var], key=lambda c: (-var[c], c))[:max_cols]
+    if len(keep) < 2:
+        return [(c, var[c], 1.0, False) for c in keep]
+    exprs = [F.count(F.lit(1)).alias("n")] + [F.sum(c).alias(f"s_{i}") for i, c in enumerate(keep)]
+    exprs += [F.sum(F.col(a) * F.col(b)).alias(f"p_{i}_{j}") for i, a in enumerate(keep) for j, b in enumerate(keep)
+              if j >= i]
+    r = z.agg(*exprs).first()
+    n, k = r["n"], len(keep)
+    mean = np.array([r[f"s_{i}"] / n for i in range(k)])
+    cov = np.zeros((k, k))
+    for i in range(k):
+        for j in range(i, k):
+            cov[i, j] = cov[j, i] = r[f"p_{i}_{j}"] / n - mean[i] * mean[j]
+    sd = np.sqrt(np.diag(cov))
+    corr = cov / np.outer(sd, sd)
+    try:
+        if np.linalg.cond(corr) > 1e12:
+            raise np.linalg.LinAlgError
+        v = np.diag(np.linalg.inv(corr))
+    except np.linalg.LinAlgError:
+        v = np.full(k, np.inf)
+    return [(c, float(var[c]), float(v[i]), bool(v[i] > 10)) for i, c in enumerate(keep)]

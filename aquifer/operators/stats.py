@@ -85,15 +85,19 @@ def global_rank(df: DataFrame, groups: list[str], value: str, slices: int | None
 def value_counts_prefix(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """Distinct (groups, value, _c) with `_below` = number of rows with a smaller value in the group."""
     base = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
-    cnt = base.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c"))
+    # the distinct-value histogram is materialised once (shared checkpoint folder): the cut-point
+    # pass and the prefix pass then read it instead of re-scanning and re-aggregating the input
+    cnt = cut_lineage(base.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c")))
     return global_prefix(cnt, groups, value, "_c", "_below")
 
 
-def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[float]) -> DataFrame:
-    """Rows (groups..., p, q): linear-interpolated quantile (numpy default / quantile_cont / percentile)."""
+def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[float],
+                    vc: DataFrame | None = None) -> DataFrame:
+    """Rows (groups..., p, q): linear-interpolated quantile (numpy default / quantile_cont / percentile).
+    `vc` may pass a precomputed `value_counts_prefix` table."""
     if not groups:
         return exact_quantiles(df.withColumn("_g0", F.lit(0)), ["_g0"], value, probs).drop("_g0")
-    vc = value_counts_prefix(df.select(*groups, value), groups, value)
+    vc = vc if vc is not None else value_counts_prefix(df.select(*groups, value), groups, value)
     sizes = vc.groupBy(*groups).agg(F.sum("_c").alias("_n"))
     h = (F.col("_n") - 1) * F.col("p")
     plan = (
@@ -116,10 +120,11 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[fl
     return out.select(*groups, "p", q.alias("q"))
 
 
-def quantiles_wide(df: DataFrame, groups: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+def quantiles_wide(df: DataFrame, groups: list[str], value: str, probs: dict[str, float],
+                   vc: DataFrame | None = None) -> DataFrame:
     """exact_quantiles pivoted to one column per named probability."""
     names = list(probs)
-    q = exact_quantiles(df, groups, value, [probs[n] for n in names])
+    q = exact_quantiles(df, groups, value, [probs[n] for n in names], vc)
     exprs = [F.max(F.when(F.col("p") == float(probs[n]), F.col("q"))).alias(n) for n in names]
     return q.groupBy(*groups).agg(*exprs) if groups else q.agg(*exprs)
 

@@ -152,3 +152,86 @@ def u_predictive(spark, d):
     pm = federate.predictive_moments(m, FEATS, [0.5, -0.2, 0.1, 0.3, -1.0], [0.1, 0.1, 0.1, 0.1, 0.2], 50)
     b = evaluate.uncertainty_band(pm, "pred_mean", "pred_std")
     return b.select("sample_id", *[r6(c).alias(c) for c in ["pred_mean", "pred_std", "lower", "upper"]])
+
+
+@query("m_personalize")
+def m_personalize(spark, d):
+    """M6: personalised tail per node. Global chain (click, error) trained first; its context (known
+    label, else prediction) feeds a local chain (purchase, signup) restricted per node to the G7
+    analytes. Tier 1 fine-tunes, tier 2 takes <= 5 small steps then interpolates (N7), tier 3 keeps
+    its initial tail. Output: local parameter table with tiers (rows-only)."""
+    tr, _ = _split(spark, d)
+    gspec = federate.ChainSpec(features=FEATS, targets=["y_click", "y_error"])
+    gm = federate.train_steps(tr, federate.init_model(tr, gspec), steps=3)
+    ctx = federate.score_chain(tr, gm, ["sample_id"], use_known=True)
+    ctx = ctx.groupBy("sample_id").pivot("analyte", ["y_click", "y_error"]).agg(
+        F.first(F.coalesce(F.col("y"), F.col("score"))))
+    ctx = ctx.select("sample_id", F.col("y_click").alias("g_click"), F.col("y_error").alias("g_error"))
+    local = tr.join(ctx, "sample_id")
+    targets = ["y_purchase", "y_signup"]
+    # An analyte enters a node's tail when tested share >= 0.003 and >= 3 detections
+    agg = []
+    for t in targets:
+        agg += [(F.count(t) / F.count(F.lit(1))).alias(f"r_{t}"), F.count_if(F.col(t) == 1.0).alias(f"d_{t}")]
+    sel = {int(r["node_id"]): {t for t in targets if r[f"r_{t}"] >= 0.003 and r[f"d_{t}"] >= 3}
+           for r in local.groupBy("node_id").agg(*agg).collect()}
+    allowed = F.create_map(*[x for n, ts in sel.items() for t in targets
+                             for x in (F.lit(f"{n}:{t}"), F.lit(t in ts))])
+    for t in targets:
+        key = F.concat(F.col("node_id").cast("string"), F.lit(f":{t}"))
+        local = local.withColumn(t, F.when(F.coalesce(allowed[key], F.lit(False)), F.col(t)))
+    lspec = federate.ChainSpec(features=FEATS + ["g_click", "g_error"], targets=targets)
+    lm = federate.init_model(local, lspec)
+    vols = [(int(r["node_id"]), float(r["n"])) for r in local.groupBy("node_id").agg(F.count(F.lit(1)).alias("n")).collect()]
+    tier_of = {int(r["node_id"]): int(r["tier"])
+               for r in network.size_tiers(spark.createDataFrame(vols, "node_id long, volume double")).collect()}
+    t1 = [n for n, t in tier_of.items() if t == 1]
+    t2 = [n for n, t in tier_of.items() if t == 2]
+    lm = federate.train_steps(local, lm, steps=3, nodes=t1)
+    before = {n: [w.copy() for w in lm.weights[n]] for n in t2}
+    lm = federate.train_steps(local, lm, steps=5, lr=0.01, nodes=t2)
+    for n in t2:
+        lm.weights[n] = [b + 0.1 * (a - b) for a, b in zip(lm.weights[n], before[n])]
+    tiers = spark.createDataFrame(list(tier_of.items()), "node_id long, tier int")
+    return lm.to_frame(spark).join(tiers, "node_id")
+
+
+@query("m_tree_grid")
+def m_tree_grid(spark, d):
+    """Configuration grid -- the boosted-tree baseline repeated per tree count (rows-only)."""
+    from pyspark.ml.tuning import ParamGridBuilder
+
+    tr, te = _split(spark, d)
+    base = models.gbt()
+    grid = ParamGridBuilder().addGrid(base.maxIter, [3, 6]).build()
+    out = []
+    for cfg in grid:
+        iters = cfg[base.maxIter]
+        m, _ = models.independent_gbt(tr, te, FEATS, TARGETS[:1], max_iter=iters)
+        out.append(m.withColumn("n_trees", F.lit(iters)))
+    res = out[0]
+    for o in out[1:]:
+        res = res.unionByName(o)
+    return res
+
+
+@query("t_partition")
+def t_partition(spark, d):
+    """Role catalog -> global/local numeric + categorical blocks, scalers and encoders fitted on the
+    train split, applied to the test split; returns the test X_glob block (rows-only)."""
+    from aquifer.operators import prepare
+
+    e = fx.env_covariates(spark, d)
+    part = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.col("p_type").alias("Texture_USDA"))
+    li = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey")
+    e = e.join(li, ["l_orderkey", "l_linenumber"]).join(part, F.col("l_partkey") == F.col("p_partkey"), "left") \
+        .drop("l_partkey", "p_partkey")
+    roles = prepare.column_roles(e.columns, dict(e.dtypes))
+    glob_num = [c for c, (r, k) in roles.items() if r == "global" and k == "num"]
+    glob_cat = [c for c, (r, k) in roles.items() if r == "global" and k == "cat"]
+    train, test = e.where(F.col("l_orderkey") % 5 != 0), e.where(F.col("l_orderkey") % 5 == 0)
+    plan = prepare.fit_scalers(train, glob_num)
+    cats = prepare.fit_categories(train, glob_cat).collect()
+    x = prepare.apply_scalers(test.select("l_orderkey", "l_linenumber", *glob_num, *glob_cat), plan,
+                              keep=["l_orderkey", "l_linenumber", *glob_cat])
+    return prepare.one_hot_wide(x, cats, glob_cat).drop(*glob_cat)

@@ -159,3 +159,26 @@ def g_missing_sites(spark, d):
     """Sites whose county is a missing-value sentinel (the union of two filters is one isin)."""
     s = fx.sites(spark, d)
     return s.where(F.col("county").isin(*catalog.MISSING_COUNTY_VALUES)).select("site_id", "county")
+
+
+@query("t_vif")
+def t_vif(spark, d):
+    """VIF of the environmental covariates (rows-only; checked against normal equations in tests)."""
+    e = fx.env_covariates(spark, d).withColumn("FE2", F.col("FE") * 2 + F.col("SO4"))
+    rows = profile.vif(e, ENVC + ["FE2"])
+    return spark.createDataFrame(rows, "col string, variance double, vif double, high boolean")
+
+
+@query("j_attach", S.with_(S.OBS, S.WIDE, S.THR, S.LABELLED) + """
+, lab AS (SELECT well_id * 100000 + date_diff('day', DATE '2024-01-01', ts::DATE) AS sample_id,
+          max(CASE WHEN analyte = 'click' THEN y END) AS y_click FROM labelled GROUP BY 1)
+SELECT w.sample_id, w.well_id, w.error, l.y_click FROM wide w JOIN lab l USING (sample_id)""")
+def j_attach(spark, d):
+    """Labels re-attached to features by key (never by row order)."""
+    from aquifer.operators import derive
+
+    w = fx.wide_samples(spark, d).select("sample_id", "well_id", "error")
+    lab = derive.label_exceedance(fx.obs_long(spark, d), fx.fx_thresholds(spark))
+    lab = lab.groupBy((F.col("well_id") * 100000 + F.datediff(F.to_date("ts"), F.lit(fx.FX_EPOCH).cast("date")))
+                      .alias("sample_id")).agg(F.max(F.when(F.col("analyte") == "click", F.col("y"))).alias("y_click"))
+    return w.join(lab, "sample_id")

@@ -74,3 +74,21 @@ def test_num_coercion(spark):
     vals = [r[0] for r in df.select(num("s")).collect()]
     assert vals[0] is None and vals[1] is None and vals[2] == 1.5 and vals[3] is None
     assert not math.isnan(vals[2])
+
+
+def test_vif_matches_regression(spark):
+    from aquifer.operators import profile
+
+    rng = np.random.default_rng(7)
+    a = rng.normal(size=400)
+    b = 0.8 * a + 0.6 * rng.normal(size=400)
+    c = rng.normal(size=400)
+    pdf = pd.DataFrame({"a": a, "b": b, "c": c})
+    got = {r[0]: r[2] for r in profile.vif(spark.createDataFrame(pdf), ["a", "b", "c"])}
+    for col in "abc":
+        others = [x for x in "abc" if x != col]
+        X = np.column_stack([np.ones(400)] + [pdf[o] for o in others])
+        beta, *_ = np.linalg.lstsq(X, pdf[col], rcond=None)
+        resid = pdf[col] - X @ beta
+        r2 = 1 - (resid ** 2).sum() / ((pdf[col] - pdf[col].mean()) ** 2).sum()
+        assert got[col] == pytest.approx(1 / (1 - r2), rel=1e-6)
