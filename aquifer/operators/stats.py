@@ -34,8 +34,9 @@ def _frozen_bounds(df: DataFrame, groups: list[str], order: str, slices: int) ->
     limit_groups = max(1, DRIVER_BOUNDS_LIMIT // max(1, len(probs)))
     rows = b.limit(limit_groups + 1).collect()
     if len(rows) <= limit_groups:
-        return F.broadcast(df.sparkSession.createDataFrame(rows, b.schema))
-    return cut_lineage(b)
+        return F.broadcast(df.sparkSession.createDataFrame(rows, b.schema).withColumn(
+            "_bounds", F.col("_bounds").cast("array<double>")))
+    return cut_lineage(b.withColumn("_bounds", F.col("_bounds").cast("array<double>")))
 
 
 def global_prefix(df: DataFrame, groups: list[str], order: str, weight: str | list[str] | None = None,
@@ -55,8 +56,16 @@ def global_prefix(df: DataFrame, groups: list[str], order: str, weight: str | li
     for wn, wc in zip(wnames, weights):
         base = base.withColumn(wn, F.lit(1).cast("long") if wc is None else F.col(wc))
     bounds = _frozen_bounds(base, groups, order, k)
-    sliced = base.join(bounds, groups)  # AQE broadcasts it when small (size-checked at runtime)
-    sliced = sliced.withColumn("_slice", F.size(F.filter("_bounds", lambda b: b < F.col(order)))).drop("_bounds")
+    # slice s holds bounds[s-1] < x <= bounds[s]: an interval table joined on the group key with a
+    # range condition (codegen'd comparisons; AQE broadcasts it when small)
+    inf = F.lit(float("inf"))
+    edges = F.arrays_zip(F.concat(F.array(-inf), F.col("_bounds")).alias("lo"),
+                         F.concat(F.col("_bounds"), F.array(inf)).alias("hi"))
+    iv = bounds.select(*groups, F.posexplode(edges).alias("_slice", "_iv")) \
+        .select(*[F.col(g).alias(f"_b_{g}") for g in groups], "_slice", F.col("_iv.lo").alias("_lo"),
+                F.col("_iv.hi").alias("_hi"))
+    cond = [F.col(g) == F.col(f"_b_{g}") for g in groups] + [F.col(order) > F.col("_lo"), F.col(order) <= F.col("_hi")]
+    sliced = base.join(iv, cond).drop("_lo", "_hi", *[f"_b_{g}" for g in groups])
     # running sum including the current row minus the row itself: a streaming O(n) frame
     slice_w = Window.partitionBy(*groups, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding,
                                                                                Window.currentRow)
