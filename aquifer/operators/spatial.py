@@ -55,7 +55,8 @@ def polygon_cells(polys: DataFrame, ring: str = "ring", cell: float = 100.0) ->
 
 
 def point_in_polygon_join(points: DataFrame, polys: DataFrame, x: str, y: str, poly_id: str,
-                          ring: str = "ring", cell: float = 100.0, keep: list[str] | None = None) -> DataFrame:
+                          ring: str = "ring", cell: float = 100.0, keep: list[str] | None = None,
+                          point_id: str | None = None) -> DataFrame:
     """Left join each point to the polygon that strictly contains it; several hits -> lowest id.
 
     Returns every input point once, with `poly_id` (+ `keep` polygon columns) NULL when unmatched.
@@ -64,8 +65,9 @@ def point_in_polygon_join(points: DataFrame, polys: DataFrame, x: str, y: str, p
     """
     keep = keep or []
     cells = polygon_cells(polys.select(poly_id, ring, *keep), ring, cell)
+    pid = F.col(point_id) if point_id else F.monotonically_increasing_id()  # prefer the natural key
     pts = points.withColumn("_cx", F.floor(F.col(x) / cell)).withColumn("_cy", F.floor(F.col(y) / cell)) \
-        .withColumn("_pt", F.monotonically_increasing_id())
+        .withColumn("_pt", pid)
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
     cand = pts.select("_pt", "_cx", "_cy", px.alias("_x"), py.alias("_y")).join(cells, ["_cx", "_cy"])
     inside = cand.where(
@@ -78,13 +80,13 @@ def point_in_polygon_join(points: DataFrame, polys: DataFrame, x: str, y: str, p
 
 def fill_basins(sites: DataFrame, polys: DataFrame, x: str, y: str, basin: str = "basin",
                 unknown: str = catalog.UNKNOWN_BASIN, outside: str = catalog.OUTSIDE_REGION,
-                cell: float = 100.0) -> DataFrame:
+                cell: float = 100.0, point_id: str | None = None) -> DataFrame:
     """Only rows whose basin is the unknown sentinel are looked up; matched -> basin and region,
     unmatched -> the outside sentinel for both; other rows keep their values (region NULL)."""
     todo = sites.where(F.col(basin) == unknown)
     done = sites.where(F.col(basin) != unknown).withColumn("region", F.lit(None).cast("string"))
     m = point_in_polygon_join(todo, polys.withColumnRenamed("basin", "_pbasin"), x, y, "basin_id", cell=cell,
-                              keep=["_pbasin", "region"])
+                              keep=["_pbasin", "region"], point_id=point_id)
     m = m.withColumn(basin, F.coalesce(F.col("_pbasin"), F.lit(outside))) \
         .withColumn("region", F.coalesce(F.col("region"), F.lit(outside))).drop("_pbasin", "basin_id")
     return done.unionByName(m)

@@ -17,7 +17,7 @@ def j_basin(spark, d):
     """Every site with the basin polygon that strictly contains it (boundary points unmatched)."""
     s = fx.sites(spark, d).select("site_id", "lon_c", "lat_c")
     b = fx.basins(spark, d)
-    m = spatial.point_in_polygon_join(s, b, "lon_c", "lat_c", "basin_id", keep=["basin"])
+    m = spatial.point_in_polygon_join(s, b, "lon_c", "lat_c", "basin_id", keep=["basin"], point_id="site_id")
     return m.select("site_id", "basin", F.col("basin_id").isNotNull().alias("matched"))
 
 
@@ -30,7 +30,7 @@ FROM sites s LEFT JOIN m USING (site_id)""")
 def j_basin_fill(spark, d):
     """Fill unknown basins (and regions) from the polygon join; unmatched -> outside sentinel."""
     s = fx.sites(spark, d).select("site_id", "lon_c", "lat_c", "basin")
-    out = spatial.fill_basins(s, fx.basins(spark, d), "lon_c", "lat_c")
+    out = spatial.fill_basins(s, fx.basins(spark, d), "lon_c", "lat_c", point_id="site_id")
     return out.select("site_id", "basin", "region")
 
 
@@ -50,5 +50,6 @@ def j_county_fill(spark, d):
 def g_hull(spark, d):
     """Convex hull per basin of the matched sites (rows-only; geometry property-tested)."""
     s = fx.sites(spark, d).select("site_id", "lon_c", "lat_c")
-    m = spatial.point_in_polygon_join(s, fx.basins(spark, d), "lon_c", "lat_c", "basin_id", keep=["basin"])
+    m = spatial.point_in_polygon_join(s, fx.basins(spark, d), "lon_c", "lat_c", "basin_id", keep=["basin"],
+                                      point_id="site_id")
     return spatial.convex_hulls(m.where(F.col("basin").isNotNull()), "basin", "lon_c", "lat_c")
