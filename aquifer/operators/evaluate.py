@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aquifer.functions import clamp, softplus
-from aquifer.operators.stats import global_prefix
-from aquifer.session import cut_lineage
+from aquifer.operators.stats import prefix_checked
 
 
 def score_table(pred: DataFrame, keys: list[str], y: str = "y", score: str = "score") -> DataFrame:
@@ -23,8 +22,8 @@ def score_table(pred: DataFrame, keys: list[str], y: str = "y", score: str = "sc
     lab = pred.where(F.col(y).isNotNull() & F.col(score).isNotNull())
     st = lab.groupBy(*keys, score).agg(
         F.count_if(F.col(y) == 1.0).alias("pos"), F.count_if(F.col(y) == 0.0).alias("neg"))
-    st = cut_lineage(st)  # distinct-score table materialised once for the cut-point and prefix passes
-    st = global_prefix(st, keys, score, ["pos", "neg"], ["pos_below", "neg_below"])
+    # distinct-score table materialised once; its checked size picks the prefix strategy
+    st = prefix_checked(st, keys, score, ["pos", "neg"], ["pos_below", "neg_below"])
     tot = st.groupBy(*keys).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
     st = st.join(tot, keys)
     st = st.withColumn("tp_above", F.col("_P") - F.col("pos_below") - F.col("pos")) \

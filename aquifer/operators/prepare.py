@@ -66,12 +66,18 @@ def _k2_pvalue(n: Column, g: Column, k: Column) -> Column:
 
 
 def distribution_profile(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Per column n, mean, population std, biased skewness/kurtosis and the normality p-value."""
-    long = to_long(df, cols).where(F.col("x").isNotNull())
-    prof = long.groupBy("col").agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"),
-        F.skewness("x").alias("skew"), F.kurtosis("x").alias("kurt"),
-    )
+    """Per column n, mean, population std, biased skewness/kurtosis and the normality p-value.
+    One wide aggregate for all columns (no unpivot/shuffle), then stacked to one row per column."""
+    aggs = []
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}"),
+                 F.skewness(x).alias(f"g{i}"), F.kurtosis(x).alias(f"k{i}")]
+    row = df.agg(*aggs)
+    stack = F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"n{i}").alias("n"), F.col(f"m{i}").alias("mean"),
+                               F.col(f"s{i}").alias("std"), F.col(f"g{i}").alias("skew"), F.col(f"k{i}").alias("kurt"))
+                      for i, c in enumerate(cols)])
+    prof = row.select(F.inline(stack))
     p = F.when(F.col("std") == 0, F.lit(0.0)).when(F.col("n") >= 20, _k2_pvalue(F.col("n"), F.col("skew"),
                                                                                F.col("kurt"))).otherwise(F.lit(0.0))
     return prof.withColumn("p_normal", F.coalesce(F.nanvl(p, F.lit(0.0)), F.lit(0.0)))

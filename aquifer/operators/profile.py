@@ -101,9 +101,13 @@ def boxplot_stats(df: DataFrame, cols: list[str], whisker: float = 1.5) -> DataF
 
 # ----------------------------------------------------------- W9 / G27 variance
 def column_variance(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Sample variance per column in one aggregate (long form)."""
-    long = to_long(df, cols)
-    return long.groupBy("col").agg(F.var_samp("x").alias("variance"), F.count("x").alias("n"))
+    """Sample variance and non-missing count per column: one wide aggregate, stacked to long rows."""
+    aggs = []
+    for i, c in enumerate(cols):
+        aggs += [F.var_samp(F.col(c).cast("double")).alias(f"v{i}"), F.count(c).alias(f"n{i}")]
+    stack = F.array(*[F.struct(F.lit(c).alias("col"), F.col(f"v{i}").alias("variance"), F.col(f"n{i}").alias("n"))
+                      for i, c in enumerate(cols)])
+    return df.agg(*aggs).select(F.inline(stack))
 
 
 def top_variance(df: DataFrame, cols: list[str], n: int = 20) -> DataFrame:

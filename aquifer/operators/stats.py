@@ -86,6 +86,32 @@ def global_prefix(df: DataFrame, groups: list[str], order: str, weight: str | li
     return j.drop(*drop)
 
 
+SMALL_PREFIX_ROWS = 2_000_000  # a materialised table this small may be prefix-summed per group directly
+
+
+def small_prefix(df: DataFrame, groups: list[str], order: str, weight: str | list[str],
+                 out: str | list[str]) -> DataFrame:
+    """Prefix sums with one window per group -- only for tables whose size was checked against
+    SMALL_PREFIX_ROWS (each group then sorts at most that many rows)."""
+    weights = [weight] if isinstance(weight, str) else list(weight)
+    outs = [out] if isinstance(out, str) else list(out)
+    w = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    base = df.where(F.col(order).isNotNull() & ~F.isnan(F.col(order)))
+    for wc, o in zip(weights, outs):
+        base = base.withColumn(o, F.sum(wc).over(w) - F.col(wc))
+    return base
+
+
+def prefix_checked(df: DataFrame, groups: list[str], order: str, weight: str | list[str],
+                   out: str | list[str]) -> DataFrame:
+    """Materialise `df` once (shared checkpoint folder), then choose the per-group window when its
+    row count is within SMALL_PREFIX_ROWS, else the sliced skew-safe `global_prefix`."""
+    mat = cut_lineage(df)
+    if mat.count() <= SMALL_PREFIX_ROWS:
+        return small_prefix(mat, groups, order, weight, out)
+    return global_prefix(mat, groups, order, weight, out)
+
+
 def global_rank(df: DataFrame, groups: list[str], value: str, slices: int | None = None) -> DataFrame:
     """Add `_rank` (0-based, ascending `value`) within each group."""
     return global_prefix(df, groups, value, None, "_rank", slices)
@@ -94,10 +120,10 @@ def global_rank(df: DataFrame, groups: list[str], value: str, slices: int | None
 def value_counts_prefix(df: DataFrame, groups: list[str], value: str) -> DataFrame:
     """Distinct (groups, value, _c) with `_below` = number of rows with a smaller value in the group."""
     base = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
-    # the distinct-value histogram is materialised once (shared checkpoint folder): the cut-point
-    # pass and the prefix pass then read it instead of re-scanning and re-aggregating the input
-    cnt = cut_lineage(base.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c")))
-    return global_prefix(cnt, groups, value, "_c", "_below")
+    # the distinct-value histogram is materialised once (shared checkpoint folder); later passes
+    # read it instead of re-scanning the input, and its checked size picks the prefix strategy
+    cnt = base.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c"))
+    return prefix_checked(cnt, groups, value, "_c", "_below")
 
 
 def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[float],
