@@ -16,6 +16,8 @@ runs of tied values cost one row each. Everything is sort/shuffle based and spil
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,9 +46,6 @@ def global_prefix(df: DataFrame, groups: list[str], order: str, weight: str | li
     """Add `out` = sum of `weight` (1 per row when None) over rows strictly before this one in
     (`groups`, `order`) order -- a 0-based rank for unit weights. Several weights may be summed at
     once (lists of equal length). NULL/NaN `order` rows are dropped."""
-    if not groups:  # a constant key keeps one code path (and avoids HOF-over-literal folding)
-        out_df = global_prefix(df.withColumn("_g0", F.lit(0)), ["_g0"], order, weight, out, slices)
-        return out_df.drop("_g0")
     spark = df.sparkSession
     k = slices or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     weights = [weight] if weight is None or isinstance(weight, str) else list(weight)
@@ -55,17 +54,25 @@ def global_prefix(df: DataFrame, groups: list[str], order: str, weight: str | li
     base = df.where(F.col(order).isNotNull() & ~F.isnan(F.col(order)))
     for wn, wc in zip(wnames, weights):
         base = base.withColumn(wn, F.lit(1).cast("long") if wc is None else F.col(wc))
-    bounds = _frozen_bounds(base, groups, order, k)
-    # slice s holds bounds[s-1] < x <= bounds[s]: an interval table joined on the group key with a
-    # range condition (codegen'd comparisons; AQE broadcasts it when small)
-    inf = F.lit(float("inf"))
-    edges = F.arrays_zip(F.concat(F.array(-inf), F.col("_bounds")).alias("lo"),
-                         F.concat(F.col("_bounds"), F.array(inf)).alias("hi"))
-    iv = bounds.select(*groups, F.posexplode(edges).alias("_slice", "_iv")) \
-        .select(*[F.col(g).alias(f"_b_{g}") for g in groups], "_slice", F.col("_iv.lo").alias("_lo"),
-                F.col("_iv.hi").alias("_hi"))
-    cond = [F.col(g) == F.col(f"_b_{g}") for g in groups] + [F.col(order) > F.col("_lo"), F.col(order) <= F.col("_hi")]
-    sliced = base.join(iv, cond).drop("_lo", "_hi", *[f"_b_{g}" for g in groups])
+    if not groups:
+        # one group: its k-1 cut points are a bounded plan, inlined as literals (no join at all)
+        probs = [i / k for i in range(1, k)]
+        cuts = base.agg(F.percentile_approx(order, probs, 10000)).first()[0] or []
+        sl = sum((F.col(order) > F.lit(float(c))).cast("int") for c in cuts) if cuts else F.lit(0)
+        sliced = base.withColumn("_slice", sl)
+    else:
+        bounds = _frozen_bounds(base, groups, order, k)
+        # slice s holds bounds[s-1] < x <= bounds[s]: an interval table joined on the group key with a
+        # range condition (codegen'd comparisons; AQE broadcasts it when small)
+        inf = F.lit(float("inf"))
+        edges = F.arrays_zip(F.concat(F.array(-inf), F.col("_bounds")).alias("lo"),
+                             F.concat(F.col("_bounds"), F.array(inf)).alias("hi"))
+        iv = bounds.select(*groups, F.posexplode(edges).alias("_slice", "_iv")) \
+            .select(*[F.col(g).alias(f"_b_{g}") for g in groups], "_slice", F.col("_iv.lo").alias("_lo"),
+                    F.col("_iv.hi").alias("_hi"))
+        cond = [F.col(g) == F.col(f"_b_{g}") for g in groups] + [F.col(order) > F.col("_lo"),
+                                                                  F.col(order) <= F.col("_hi")]
+        sliced = base.join(iv, cond).drop("_lo", "_hi", *[f"_b_{g}" for g in groups])
     # running sum including the current row minus the row itself: a streaming O(n) frame
     slice_w = Window.partitionBy(*groups, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding,
                                                                                Window.currentRow)
@@ -131,7 +138,7 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[fl
     """Rows (groups..., p, q): linear-interpolated quantile (numpy default / quantile_cont / percentile).
     `vc` may pass a precomputed `value_counts_prefix` table."""
     if not groups:
-        return exact_quantiles(df.withColumn("_g0", F.lit(0)), ["_g0"], value, probs).drop("_g0")
+        return _exact_quantiles_single(df, value, probs, vc)
     vc = vc if vc is not None else value_counts_prefix(df.select(*groups, value), groups, value)
     sizes = vc.groupBy(*groups).agg(F.sum("_c").alias("_n"))
     h = (F.col("_n") - 1) * F.col("p")
@@ -155,6 +162,35 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[fl
     return out.select(*groups, "p", q.alias("q"))
 
 
+def _exact_quantiles_single(df: DataFrame, value: str, probs: list[float], vc: DataFrame | None) -> DataFrame:
+    """Ungrouped quantiles: the handful of needed order positions are literals; only the histogram
+    rows covering them (<= 2 per probability) reach the driver."""
+    spark = df.sparkSession
+    vc = vc if vc is not None else value_counts_prefix(df.select(value), [], value)
+    n = vc.agg(F.sum("_c")).first()[0] or 0
+    if n == 0:
+        return spark.createDataFrame([(float(p), None) for p in probs], "p double, q double")
+    pos = sorted({int(v) for p in probs for v in (math.floor((n - 1) * p), math.ceil((n - 1) * p))})
+    hit = None
+    for q in pos:
+        c = (F.col("_below") <= q) & (F.col("_below") + F.col("_c") > q)
+        hit = c if hit is None else hit | c
+    rows = vc.where(hit).select("_below", "_c", value).collect()
+
+    def at(q):
+        for r in rows:
+            if r["_below"] <= q < r["_below"] + r["_c"]:
+                return float(r[value])
+        raise AssertionError("position not covered")
+
+    out = []
+    for p in probs:
+        h = (n - 1) * p
+        lo, hi = math.floor(h), math.ceil(h)
+        out.append((float(p), at(lo) + (h - lo) * (at(hi) - at(lo))))
+    return spark.createDataFrame(out, "p double, q double")
+
+
 def quantiles_wide(df: DataFrame, groups: list[str], value: str, probs: dict[str, float],
                    vc: DataFrame | None = None) -> DataFrame:
     """exact_quantiles pivoted to one column per named probability."""
