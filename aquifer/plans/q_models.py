@@ -117,8 +117,9 @@ def m_central(spark, d):
 
 @query("f_rounds")
 def f_rounds(spark, d):
-    """Three rounds of local steps with volume-weighted averaging among tier 1-2 nodes after round 2;
-    the round log (round, node, loss) is the output (rows-only)."""
+    """Three rounds of local steps with volume-weighted averaging among tier 1-2 nodes after
+    round 2; each round logs the mean loss and the network divergence of the node parameter
+    vectors (C7 on the long parameter table). Output: the round log (rows-only)."""
     tr, _ = _split(spark, d)
     spec = _spec()
     model = federate.init_model(tr, spec)
@@ -131,8 +132,22 @@ def f_rounds(spark, d):
         if rnd > 0 and rnd % 2 == 0:
             hubs = [n for n in model.weights if tier_of.get(n, 3) != 3]
             model = federate.average_models(model, {0: hubs}, vols)
-        log.append((rnd, float(model.history[-1])))
-    return spark.createDataFrame(log, "round int, loss double")
+        params = model.to_frame(spark).select("node_id", F.concat_ws(":", "analyte", "param").alias("param"), "v")
+        div = network.network_divergence(network.similarity_pairs(params), tiers).first()
+        log.append((rnd, float(model.history[-1]), div["divergence"], bool(div["diverged"])))
+    return spark.createDataFrame(log, "round int, loss double, divergence double, diverged boolean")
+
+
+@query("p_context_forcing")
+def p_context_forcing(spark, d):
+    """P22 with a forcing rate: a seeded, recomputation-stable half of the known labels is used as
+    chain context, the rest take the model score (rows-only; edge rates property-tested)."""
+    from aquifer.operators import derive
+
+    p = fx.predictions(spark, d).where(F.col("mode") == "global")
+    ctx = derive.known_label_context(p, "y", "score", ratio=0.5, seed=42,
+                                     keys=["l_orderkey", "l_linenumber", "analyte"])
+    return p.select("l_orderkey", "l_linenumber", "analyte", "y", "score", ctx.alias("context"))
 
 
 @query("u_predictive", S.with_(S.OBS) + """

@@ -78,3 +78,30 @@ def test_chain_gradient_matches_numpy(spark):
     want = {(n, k): np.asarray(g) for n, k, _, _, g in local}
     for r in rows:
         assert np.allclose(np.asarray(r["g"][: spec.width(r["link"])]), want[(r["node"], r["link"])], atol=1e-9)
+
+
+def test_results_sink(spark):
+    root = tempfile.mkdtemp(prefix="aq-res-")
+    pred = spark.createDataFrame([("A", 1.0, 0.9), ("A", 0.0, 0.2), ("B", 1.0, 0.4)], "analyte string, y double, score double")
+    ingest.write_results(pred, root)
+    pairs = spark.read.json(f"{root}/pairs_json")
+    assert sorted(r["analyte"] for r in pairs.collect()) == ["A", "B"]
+    assert spark.read.parquet(f"{root}/predictions").count() == 3
+
+
+def test_forcing_rate_edges(spark):
+    from pyspark.sql import functions as F
+
+    from aquifer.operators import derive
+
+    df = spark.createDataFrame([(i, float(i % 2) if i % 3 else None, 0.25) for i in range(300)],
+                               "k int, y double, score double")
+    none = df.select(derive.known_label_context(df, "y", "score", ratio=0.0, keys=["k"]).alias("c")).collect()
+    assert all(r["c"] == 0.25 for r in none)
+    allk = df.select("y", derive.known_label_context(df, "y", "score", ratio=1.0, keys=["k"]).alias("c")).collect()
+    assert all(r["c"] == (r["y"] if r["y"] is not None else 0.25) for r in allk)
+    half = df.select("y", derive.known_label_context(df, "y", "score", ratio=0.5, keys=["k"]).alias("c"))
+    share = half.where(F.col("y").isNotNull()).select(F.avg((F.col("c") == F.col("y")).cast("double"))).first()[0]
+    assert 0.3 < share < 0.8
+    again = df.select(derive.known_label_context(df, "y", "score", ratio=0.5, keys=["k"]).alias("c")).collect()
+    assert [r["c"] for r in again] == [r["c"] for r in half.select("c").collect()]
