@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aquifer import catalog
-from aquifer.operators.stats import exact_quantiles, global_rank, to_long
+from aquifer.operators.stats import exact_quantiles, global_rank, sorted_ordinal, to_long
 
 FAR_FUTURE = "9999-12-31"
 
@@ -192,11 +192,10 @@ def apply_scalers(df: DataFrame, plan: ScalerPlan, keep: list[str] | None = None
 
 # ------------------------------------------------------------------- T7 / T8
 def fit_categories(train: DataFrame, cols: list[str]) -> DataFrame:
-    """Category table (col, value, idx) from train; NULL is its own category; idx by sorted value."""
+    """Category table (col, value, idx) from train; NULL is its own category (last); idx by sorted value.
+    The distinct table is ranked with the size-checked distributed ordinal (no unbounded single sort)."""
     long = train.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot([], cols, "col", "value")
-    cats = long.distinct()
-    w = Window.partitionBy("col").orderBy(F.col("value").asc_nulls_last())
-    return cats.withColumn("idx", F.row_number().over(w) - 1)
+    return sorted_ordinal(long.distinct(), ["col"], "value", "idx")
 
 
 def one_hot_long(df: DataFrame, cats: DataFrame, id_col: str, cols: list[str]) -> DataFrame:
@@ -220,11 +219,12 @@ def one_hot_wide(df: DataFrame, cats_rows: list, cols: list[str]) -> DataFrame:
 
 
 def label_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
-    """Sorted distinct values -> 0..k-1 (dense rank on the distinct table, joined back)."""
+    """Sorted distinct values -> 0..k-1 (distributed ordinal of the distinct table, joined back;
+    AQE broadcasts the code table when it is small)."""
     out = out or f"{col}_code"
     d = df.select(col).distinct().where(F.col(col).isNotNull())
-    codes = d.withColumn(out, F.dense_rank().over(Window.orderBy(col)) - 1)
-    return df.join(F.broadcast(codes), col, "left")
+    codes = sorted_ordinal(d, [], col, out)
+    return df.join(codes, col, "left")
 
 
 # ------------------------------------------------------------------- P11/P12

@@ -119,6 +119,25 @@ def prefix_checked(df: DataFrame, groups: list[str], order: str, weight: str | l
     return global_prefix(mat, groups, order, weight, out)
 
 
+def sorted_ordinal(df: DataFrame, groups: list[str], order: str, out: str = "_ord") -> DataFrame:
+    """0-based position of each row in (`groups`, `order`) order for any orderable type (strings too).
+
+    Size-checked: a materialised table within SMALL_PREFIX_ROWS uses one window per group; larger
+    ones are range-sorted by Spark (sampled, balanced), the sorted copy is checkpointed so partition
+    ids are stable, and per-(partition, group) counts become offsets."""
+    mat = cut_lineage(df)
+    if mat.count() <= SMALL_PREFIX_ROWS:
+        w = Window.partitionBy(*groups).orderBy(F.col(order).asc_nulls_last())
+        return mat.withColumn(out, F.row_number().over(w) - 1)
+    srt = cut_lineage(mat.orderBy(*groups, F.col(order).asc_nulls_last()).withColumn("_pid", F.spark_partition_id()))
+    local = srt.withColumn(out, F.row_number().over(
+        Window.partitionBy("_pid", *groups).orderBy(F.col(order).asc_nulls_last())) - 1)
+    cnt = srt.groupBy("_pid", *groups).agg(F.count(F.lit(1)).alias("_n"))
+    wo = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offs = cnt.withColumn("_off", F.sum("_n").over(wo) - F.col("_n")).drop("_n")
+    return local.join(offs, ["_pid", *groups]).withColumn(out, F.col(out) + F.col("_off")).drop("_pid", "_off")
+
+
 def global_rank(df: DataFrame, groups: list[str], value: str, slices: int | None = None) -> DataFrame:
     """Add `_rank` (0-based, ascending `value`) within each group."""
     return global_prefix(df, groups, value, None, "_rank", slices)

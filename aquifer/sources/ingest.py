@@ -70,7 +70,7 @@ def checkpoint_params(params: DataFrame, root: str, run_id: str, rnd: int, every
 
 
 def write_results(pred: DataFrame, path: str, key: str = "analyte") -> None:
-    """Per-key raw (y, score) lists as JSON, next to the long Parquet table."""
+    """The long predictions table as Parquet plus the raw (y, score) pairs as JSON lines, one
+    directory per key value -- never a per-key list gathered into one task."""
     pred.write.mode("overwrite").parquet(f"{path}/predictions")
-    pred.groupBy(key).agg(F.collect_list(F.struct("y", "score")).alias("pairs")) \
-        .write.mode("overwrite").json(f"{path}/pairs_json")
+    pred.select(key, "y", "score").write.mode("overwrite").partitionBy(key).json(f"{path}/pairs_json")

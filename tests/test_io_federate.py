@@ -85,7 +85,7 @@ def test_results_sink(spark):
     pred = spark.createDataFrame([("A", 1.0, 0.9), ("A", 0.0, 0.2), ("B", 1.0, 0.4)], "analyte string, y double, score double")
     ingest.write_results(pred, root)
     pairs = spark.read.json(f"{root}/pairs_json")
-    assert sorted(r["analyte"] for r in pairs.collect()) == ["A", "B"]
+    assert sorted({r["analyte"] for r in pairs.collect()}) == ["A", "B"] and pairs.count() == 3
     assert spark.read.parquet(f"{root}/predictions").count() == 3
 
 

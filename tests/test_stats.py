@@ -92,3 +92,15 @@ def test_vif_matches_regression(spark):
         resid = pdf[col] - X @ beta
         r2 = 1 - (resid ** 2).sum() / ((pdf[col] - pdf[col].mean()) ** 2).sum()
         assert got[col] == pytest.approx(1 / (1 - r2), rel=1e-6)
+
+
+@pytest.mark.parametrize("limit", [10 ** 9, 0])
+def test_sorted_ordinal_both_paths(spark, limit, monkeypatch):
+    from aquifer.operators import stats
+
+    monkeypatch.setattr(stats, "SMALL_PREFIX_ROWS", limit)
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"g": rng.choice(list("abc"), 2000), "v": [f"k{i:05d}" for i in rng.permutation(2000)]})
+    r = stats.sorted_ordinal(spark.createDataFrame(pdf), ["g"], "v", "o").toPandas()
+    for _, grp in r.groupby("g"):
+        assert (grp.sort_values("v").o.to_numpy() == np.arange(len(grp))).all()
