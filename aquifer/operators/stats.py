@@ -174,10 +174,11 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[fl
         F.col("_pos") >= F.col("_below"), F.col("_pos") < F.col("_below") + F.col("_c")]
     joined = v.join(F.broadcast(n), cond) if cond else v
     picked = joined.select(*groups, "_pos", F.col(value).alias("_x"))
-    lo = picked.select(*groups, F.col("_pos").alias("_lo"), F.col("_x").alias("_xlo"))
-    hi = picked.select(*groups, F.col("_pos").alias("_hi"), F.col("_x").alias("_xhi"))
-    out = plan.join(lo, [*groups, "_lo"]).join(hi, [*groups, "_hi"])
-    q = F.col("_xlo") + (F.col("_h") - F.col("_lo")) * (F.col("_xhi") - F.col("_xlo"))
+    # one row per group with its <= 2*len(probs) picked order statistics, read once for lo and hi
+    pm = picked.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_x"))).alias("_m"))
+    out = plan.join(pm, groups)
+    xlo, xhi = F.element_at("_m", F.col("_lo")), F.element_at("_m", F.col("_hi"))
+    q = xlo + (F.col("_h") - F.col("_lo")) * (xhi - xlo)
     return out.select(*groups, "p", q.alias("q"))
 
 
