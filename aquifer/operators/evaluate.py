@@ -158,3 +158,15 @@ def uncertainty_band(df: DataFrame, mean: str = "mean", std: str = "std", k: flo
     """Mean +/- k*std clipped to [0, 1]."""
     return df.withColumn("lower", clamp(F.col(mean) - k * F.col(std), 0.0, 1.0)).withColumn(
         "upper", clamp(F.col(mean) + k * F.col(std), 0.0, 1.0))
+
+
+def format_report(summary: DataFrame) -> DataFrame:
+    """Report strings of the class summary -- 4-decimal metrics, signed lifts, '—' when absent."""
+    def fmt(c, signed=False):
+        f = "%+.4f" if signed else "%.4f"
+        return F.coalesce(F.format_string(f, F.col(c)), F.lit("—"))
+
+    return summary.select(
+        "class", "analyte", fmt("g_auroc").alias("G_AUROC"), fmt("p_auroc").alias("P_AUROC"),
+        fmt("auroc_lift", True).alias("AUROC_Lift"), fmt("g_auprc").alias("G_AUPRC"), fmt("p_auprc").alias("P_AUPRC"),
+        fmt("auprc_lift", True).alias("AUPRC_Lift"), F.col("n_nodes").alias("N_Nodes"))

@@ -288,3 +288,9 @@ def g_local_chain(spark, d):
     j = g.join(tot, "node_id").withColumn("tested_ratio", F.col("t") / F.col("n"))
     j = j.where((F.col("tested_ratio") >= 0.003) & (F.col("detections") >= 3))
     return j.select("node_id", "analyte", r6("tested_ratio").alias("tested_ratio"), "detections")
+
+
+@query("e_report")
+def e_report(spark, d):
+    """The per-class summary formatted as report strings (rows-only: display formatting)."""
+    return evaluate.format_report(evaluate.summary_by_class(_e_all(spark, d), fx.fx6_analytes(spark)))
