@@ -156,7 +156,13 @@ def t_label_encode(spark, d):
 
 @query("t_roles")
 def t_roles(spark, d):
-    """Column-role catalog of the wide sample table (schema pass, no data read)."""
+    """Column-role catalog of the wide sample table joined with each column's presence
+    profile (one wide aggregate over the data), i.e. which features/targets are usable."""
     w = fx.wide_samples(spark, d)
     w = w.withColumnRenamed("click", "PFOA").withColumnRenamed("error", "TDS").withColumnRenamed("well_id", "gm_well_id")
-    return prepare.roles_frame(spark, w)
+    roles = prepare.roles_frame(spark, w)
+    cols = w.columns
+    stack = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n_present"))
+                      for i, c in enumerate(cols)])
+    present = w.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(cols)]).select(F.inline(stack))
+    return roles.join(present, "column")
