@@ -108,7 +108,8 @@ def kl_to_standard_normal(params: DataFrame, keys: list[str], mu: str = "mu", lo
 def recall_alpha(pred: DataFrame, keys: list[str], prob: Column, y: str = "y", base: float = 1.0) -> DataFrame:
     """Recall at 0.5 and the adaptive loss factor (global and local rules)."""
     hit = F.col(y) * (prob > 0.5).cast("double")
-    g = pred.groupBy(*keys).agg((F.sum(hit) / F.sum(F.col(y))).alias("recall"))
+    # recall is undefined without positives (NULL): the factor then stays unchanged
+    g = pred.groupBy(*keys).agg(F.try_divide(F.sum(hit), F.sum(F.col(y))).alias("recall"))
     r = F.col("recall")
     glob = F.when(r < 0.5, base + 0.1).when(r > 0.8, F.greatest(F.lit(1.0), F.lit(base - 0.05))).otherwise(base)
     loc = F.when(r < 0.4, base + 0.1).otherwise(base)

@@ -86,3 +86,11 @@ def test_volume_average_equal_across_hubs_and_links(spark):
     want = (1 * 10 + 4 * 30 + 9 * 20) / 60
     assert avg[1] == pytest.approx(want) and avg[2] == pytest.approx(want) and avg[3] == pytest.approx(want)
     assert avg[4] == 16.0
+
+
+def test_recall_alpha_without_positives(spark):
+    df = spark.createDataFrame([("a", 0.0, 0.9), ("a", 0.0, 0.1), ("b", 1.0, 0.9), ("b", 1.0, 0.1)],
+                               "analyte string, y double, p double")
+    r = {x["analyte"]: x for x in evaluate.recall_alpha(df, ["analyte"], F.col("p")).collect()}
+    assert r["a"]["recall"] is None and r["a"]["alpha_global"] == 1.0 and r["a"]["alpha_local"] == 1.0
+    assert r["b"]["recall"] == 0.5 and r["b"]["alpha_global"] == 1.0 and r["b"]["alpha_local"] == 1.0
