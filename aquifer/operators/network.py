@@ -169,15 +169,19 @@ def momentum(log: DataFrame, node: str = "node_id", base: float = 0.7) -> DataFr
 
 
 def membership_stability(log: DataFrame, node: str = "node_id", label: str = "cluster_label") -> DataFrame:
-    """Per consecutive pair of logged rounds, the share of common nodes keeping their label."""
+    """For every logged round, the share of nodes shared with the previous logged round that kept
+    their label; NULL stability for the first round (prev_round = -1) or when no node is shared."""
     rounds = log.select("round").distinct()
     prev = rounds.withColumn("prev_round", F.lag("round").over(Window.orderBy("round")))  # distinct rounds: small
-    cur = log.join(prev, "round").where(F.col("prev_round").isNotNull())
+    cur = log.join(prev, "round")
     old = log.select(F.col("round").alias("prev_round"), node, F.col(label).alias("_prev_label"))
     j = cur.join(old, ["prev_round", node])
-    return j.groupBy("round", "prev_round").agg(
+    st = j.groupBy("round").agg(
         F.avg((F.col(label) == F.col("_prev_label")).cast("double")).alias("stability"),
         F.count(F.lit(1)).alias("n_common"))
+    out = prev.join(st, "round", "left")
+    return out.select("round", F.coalesce(F.col("prev_round"), F.lit(-1)).alias("prev_round"), "stability",
+                      F.coalesce(F.col("n_common"), F.lit(0)).alias("n_common"))
 
 
 def round_trend(log: DataFrame, node: str = "node_id", label: str = "cluster_label") -> DataFrame:

@@ -257,9 +257,11 @@ def f_momentum(spark, d):
 
 @query("f_stability", S.with_(S.ROUNDLOG) + """
 , rr AS (SELECT round, lag(round) OVER (ORDER BY round) AS prev_round FROM (SELECT DISTINCT round FROM roundlog))
-SELECT c.round, rr.prev_round, round(avg((c.cluster_label = o.cluster_label)::INT::DOUBLE), 6) AS stability,
-  count(*) AS n_common FROM roundlog c JOIN rr USING (round) JOIN roundlog o ON o.round = rr.prev_round
-  AND o.node_id = c.node_id GROUP BY c.round, rr.prev_round""")
+, st AS (SELECT c.round, avg((c.cluster_label = o.cluster_label)::INT::DOUBLE) AS stability, count(*) AS n_common
+         FROM roundlog c JOIN rr USING (round) JOIN roundlog o ON o.round = rr.prev_round AND o.node_id = c.node_id
+         GROUP BY c.round)
+SELECT rr.round, coalesce(rr.prev_round, -1) AS prev_round, round(st.stability, 6) AS stability, coalesce(st.n_common, 0) AS n_common
+FROM rr LEFT JOIN st USING (round)""")
 def f_stability(spark, d):
     """Membership stability between consecutive rounds."""
     return network.membership_stability(fx.round_log(spark, d)).withColumn("stability", r6("stability"))
