@@ -290,7 +290,16 @@ def g_local_chain(spark, d):
     return j.select("node_id", "analyte", r6("tested_ratio").alias("tested_ratio"), "detections")
 
 
-@query("e_report")
+@query("e_report", S.with_(S.PRED) + ST_SQL + LOCAL_CHAIN_SQL + """
+, dim AS (SELECT * FROM (VALUES ('A0', 'A'), ('A1', 'A'), ('A2', 'B'), ('A3', 'C')) t(analyte, class))
+, g AS (SELECT analyte, avg(auroc) AS ga, avg(auprc) AS gp, count(*) AS gn FROM eall WHERE mode = 'global' GROUP BY analyte)
+, p AS (SELECT analyte, avg(auroc) AS pa, avg(auprc) AS pp, count(*) AS pn FROM eall WHERE mode = 'personalized'
+        GROUP BY analyte)
+SELECT class, analyte, coalesce(printf('%.4f', ga), '—') AS G_AUROC, coalesce(printf('%.4f', pa), '—') AS P_AUROC,
+  coalesce(printf('%+.4f', pa - ga), '—') AS AUROC_Lift, coalesce(printf('%.4f', gp), '—') AS G_AUPRC,
+  coalesce(printf('%.4f', pp), '—') AS P_AUPRC, coalesce(printf('%+.4f', pp - gp), '—') AS AUPRC_Lift,
+  greatest(coalesce(gn, 0), coalesce(pn, 0)) AS N_Nodes
+FROM g FULL JOIN p USING (analyte) LEFT JOIN dim USING (analyte)""")
 def e_report(spark, d):
     """The per-class summary formatted as report strings (rows-only: display formatting)."""
     return evaluate.format_report(evaluate.summary_by_class(_e_all(spark, d), fx.fx6_analytes(spark)))

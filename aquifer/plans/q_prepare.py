@@ -154,7 +154,24 @@ def t_label_encode(spark, d):
     return prepare.label_encode(p, "p_type").withColumn("p_type_code", F.col("p_type_code").cast("int"))
 
 
-@query("t_roles")
+_ROLES_SQL = S.with_(S.OBS, S.WIDE) + """
+, w AS (SELECT sample_id, well_id AS gm_well_id, day, click AS PFOA, error AS TDS, purchase, signup, view FROM wide)
+, cols AS (SELECT * FROM (VALUES ('sample_id', 'bigint'), ('gm_well_id', 'bigint'), ('day', 'date'), ('PFOA', 'double'),
+           ('TDS', 'double'), ('purchase', 'double'), ('signup', 'double'), ('view', 'double')) t("column", dtype))
+, roles AS (SELECT "column", CASE
+    WHEN regexp_matches(upper("column"), 'PF|FTS|MCL|HFPO|ADONA|PFAS|11CL|9CL|NETFO|NMEFO|FOSA|ETFO|MEFO') THEN 'target'
+    WHEN "column" IN ('cluster_id', 'gm_well_id', 'node_tier', 'basin_cluster_id', 'latitude', 'longitude',
+                      'gm_gis_dwr_basin', 'gm_gis_county') THEN 'admin'
+    WHEN "column" IN ('TDS', 'SO4', 'FE', 'MN', 'NO3N') THEN 'global' ELSE 'local' END AS role,
+    CASE WHEN dtype IN ('double', 'bigint') THEN 'num' ELSE 'cat' END AS kind FROM cols)
+, present AS (SELECT col AS "column", count(x) AS n_present FROM (SELECT sample_id::VARCHAR AS sample_id,
+    gm_well_id::VARCHAR AS gm_well_id, day::VARCHAR AS day, PFOA::VARCHAR AS PFOA, TDS::VARCHAR AS TDS,
+    purchase::VARCHAR AS purchase, signup::VARCHAR AS signup, view::VARCHAR AS view FROM w)
+    UNPIVOT INCLUDE NULLS (x FOR col IN (sample_id, gm_well_id, day, PFOA, TDS, purchase, signup, view)) GROUP BY col)
+SELECT "column", role, kind, n_present FROM roles JOIN present USING ("column")"""
+
+
+@query("t_roles", _ROLES_SQL)
 def t_roles(spark, d):
     """Column-role catalog of the wide sample table joined with each column's presence
     profile (one wide aggregate over the data), i.e. which features/targets are usable."""
