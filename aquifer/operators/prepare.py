@@ -112,9 +112,12 @@ class ScalerPlan:
     quantiles: dict[str, list[float]] = field(default_factory=dict)
 
 
-def fit_scalers(train: DataFrame, cols: list[str]) -> ScalerPlan:
+def fit_scalers(train: DataFrame, cols: list[str], kinds: tuple[str, ...] = ("standard", "robust", "quantile")
+                ) -> ScalerPlan:
     """T2-T5 fit: profile, choose, then one pass for moments and one for exact quantiles.
-    All-missing columns are dropped from the plan. The plan is small (O(columns x 1000))."""
+    All-missing columns are dropped from the plan. The plan is small (O(columns x 1000)).
+    Columns whose chosen kind is not in `kinds` are recorded but not fitted (saves the 1000-point
+    quantile grid when only standard/robust scaling is applied)."""
     prof = choose_scaler(distribution_profile(train, cols)).collect()
     plan = ScalerPlan()
     need_q = {}
@@ -122,6 +125,8 @@ def fit_scalers(train: DataFrame, cols: list[str]) -> ScalerPlan:
         if r["n"] == 0:
             continue
         plan.kind[r["col"]] = r["scaler"]
+        if r["scaler"] not in kinds:
+            continue
         if r["scaler"] == "standard":
             plan.center[r["col"]] = r["mean"]
             plan.scale[r["col"]] = r["std"] if r["std"] and r["std"] > 0 else 1.0
@@ -183,10 +188,11 @@ def apply_scalers(df: DataFrame, plan: ScalerPlan, keep: list[str] | None = None
             exprs.append(F.col(c))
         elif c in plan.kind:
             x = F.col(c).cast("double")
-            if plan.kind[c] == "quantile":
+            if plan.kind[c] == "quantile" and c in plan.quantiles:
                 exprs.append(_quantile_normal_udf(plan.quantiles[c])(x).alias(c))
-            else:
+            elif c in plan.center:
                 exprs.append(((x - F.lit(plan.center[c])) / F.lit(plan.scale[c])).alias(c))
+            # a column whose kind was not fitted (see fit_scalers(kinds=...)) is dropped
     return df.select(*exprs)
 
 

@@ -139,16 +139,20 @@ def pearson_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def spearman_pairs(df: DataFrame, cols: list[str], id_col: str) -> DataFrame:
     """Pairwise-complete Spearman: per pair keep rows where both are present, mid-rank each
-    side inside the pair, then Pearson of ranks. Ranks come from windows partitioned by
-    (pair, value) counts, so no group is sorted in a single task."""
+    side inside the pair, then Pearson of ranks. Both sides of every pair are ranked in ONE
+    distributed, skew-safe pass keyed by (pair, side); no group is sorted in a single task."""
     pairs = _pairs(cols)
     stack = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("xa"),
                                F.col(b).cast("double").alias("xb")) for a, b in pairs])
     long = df.select(id_col, F.inline(stack)).where(F.col("xa").isNotNull() & F.col("xb").isNotNull())
-    ra = _mid_rank(long, ["a", "b"], "xa", "ra", id_col)
-    rb = _mid_rank(long, ["a", "b"], "xb", "rb", id_col)
-    j = ra.join(rb, ["a", "b", id_col])
-    return j.groupBy("a", "b").agg(F.corr("ra", "rb").alias("r"))
+    sides = long.select(id_col, "a", "b", F.inline(F.array(
+        F.struct(F.lit("a").alias("side"), F.col("xa").alias("x")),
+        F.struct(F.lit("b").alias("side"), F.col("xb").alias("x")))))
+    ranks = mid_rank(sides, ["a", "b", "side"], "x", "rk")
+    ranked = sides.join(ranks, ["a", "b", "side", "x"])
+    wide = ranked.groupBy("a", "b", id_col).agg(F.max(F.when(F.col("side") == "a", F.col("rk"))).alias("ra"),
+                                                F.max(F.when(F.col("side") == "b", F.col("rk"))).alias("rb"))
+    return wide.groupBy("a", "b").agg(F.corr("ra", "rb").alias("r"))
 
 
 def mid_rank(long: DataFrame, keys: list[str], value: str, out: str = "rank") -> DataFrame:
