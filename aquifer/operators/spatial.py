@@ -65,7 +65,10 @@ def point_in_polygon_join(points: DataFrame, polys: DataFrame, x: str, y: str, p
     """
     keep = keep or []
     cells = polygon_cells(polys.select(poly_id, ring, *keep), ring, cell)
-    pid = F.col(point_id) if point_id else F.monotonically_increasing_id()  # prefer the natural key
+    if not point_id:
+        raise ValueError("point_id (a unique key of the points) is required: candidate matches are joined back "
+                         "on it, and it must be stable when a lost task is recomputed")
+    pid = F.col(point_id)
     pts = points.withColumn("_cx", F.floor(F.col(x) / cell)).withColumn("_cy", F.floor(F.col(y) / cell)) \
         .withColumn("_pt", pid)
     px, py = F.col(x).cast("double"), F.col(y).cast("double")

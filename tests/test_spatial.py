@@ -17,7 +17,8 @@ def test_point_in_polygon_boundary_and_ties(spark):
     pts = spark.createDataFrame([(1, 5.0, 5.0), (2, 0.0, 3.0), (3, 10.0, 10.0), (4, 7.0, 7.0), (5, 20.0, 1.0),
                                  (6, 3.0, 3.0)], "pid int, x double, y double")
     out = {r["pid"]: r["basin"] for r in
-           spatial.point_in_polygon_join(pts, _square(spark), "x", "y", "basin_id", cell=4.0, keep=["basin"]).collect()}
+           spatial.point_in_polygon_join(pts, _square(spark), "x", "y", "basin_id", cell=4.0, keep=["basin"],
+                                         point_id="pid").collect()}
     assert out[1] == "B"  # (5,5) is a vertex of A -> outside A, inside B
     assert out[2] is None  # on an edge of B
     assert out[3] == "A"  # vertex of B -> outside B, inside A
