@@ -13,30 +13,30 @@ from pyspark.sql import functions as F
 
 from aquifer.functions import clamp, softplus
 from aquifer.operators.stats import prefix_checked
+from aquifer.session import cut_lineage
 
 
 def score_table(pred: DataFrame, keys: list[str], y: str = "y", score: str = "score") -> DataFrame:
-    """Distinct scores per group with positive/negative counts, strictly-below and strictly-above sums.
+    """Distinct scores per group with positive/negative counts, strictly-below and strictly-above sums
+    and the group totals P, N.
 
-    One distributed prefix pass (ascending) gives the below-sums; above-sums follow from group totals."""
+    The distinct-score table is materialised once; totals come from it (a small aggregate) and one
+    size-checked prefix pass gives the below-sums, so the prefix is computed exactly once."""
     lab = pred.where(F.col(y).isNotNull() & F.col(score).isNotNull())
-    st = lab.groupBy(*keys, score).agg(
-        F.count_if(F.col(y) == 1.0).alias("pos"), F.count_if(F.col(y) == 0.0).alias("neg"))
-    # distinct-score table materialised once; its checked size picks the prefix strategy
-    st = prefix_checked(st, keys, score, ["pos", "neg"], ["pos_below", "neg_below"])
-    tot = st.groupBy(*keys).agg(F.sum("pos").alias("_P"), F.sum("neg").alias("_N"))
-    st = st.join(tot, keys)
-    st = st.withColumn("tp_above", F.col("_P") - F.col("pos_below") - F.col("pos")) \
-        .withColumn("fp_above", F.col("_N") - F.col("neg_below") - F.col("neg"))
-    return st.drop("_P", "_N", "pos_below")
+    st = cut_lineage(lab.groupBy(*keys, score).agg(
+        F.count_if(F.col(y) == 1.0).alias("pos"), F.count_if(F.col(y) == 0.0).alias("neg")))
+    tot = st.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    pre = prefix_checked(st, keys, score, ["pos", "neg"], ["pos_below", "neg_below"], materialized=True)
+    j = pre.join(tot, keys)  # one row per group: AQE broadcasts it
+    j = j.withColumn("tp_above", F.col("P") - F.col("pos_below") - F.col("pos")) \
+        .withColumn("fp_above", F.col("N") - F.col("neg_below") - F.col("neg"))
+    return j.drop("pos_below")
 
 
 def ranking_metrics(pred: DataFrame, keys: list[str], y: str = "y", score: str = "score") -> DataFrame:
     """AUROC (mid-rank ties), average precision (no interpolation) and trapezoid ROC area
     per group; NULL unless both classes are present."""
-    st = score_table(pred, keys, y, score)
-    totals = st.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.count(F.lit(1)).alias("n_scores"))
-    j = st.join(totals, keys)
+    j = score_table(pred, keys, y, score)
     tp = F.col("tp_above") + F.col("pos")
     fp = F.col("fp_above") + F.col("neg")
     auc_term = F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)
@@ -54,15 +54,13 @@ def ranking_metrics(pred: DataFrame, keys: list[str], y: str = "y", score: str =
 
 
 def roc_points(pred: DataFrame, keys: list[str], y: str = "y", score: str = "score") -> DataFrame:
-    """ROC curve points (fpr, tpr) per distinct threshold, plus the (0, 0) origin."""
-    st = score_table(pred, keys, y, score)
-    totals = st.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    j = st.join(totals, keys).where((F.col("P") > 0) & (F.col("N") > 0))
+    """ROC curve points (fpr, tpr) per distinct threshold, plus the (0, 0) origin per group."""
+    j = score_table(pred, keys, y, score).where((F.col("P") > 0) & (F.col("N") > 0))
     pts = j.select(*keys, F.col(score).alias("threshold"),
                    ((F.col("fp_above") + F.col("neg")) / F.col("N")).alias("fpr"),
                    ((F.col("tp_above") + F.col("pos")) / F.col("P")).alias("tpr"))
-    origin = totals.where((F.col("P") > 0) & (F.col("N") > 0)).select(
-        *keys, F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
+    origin = pts.groupBy(*keys).agg(F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"),
+                                    F.lit(0.0).alias("tpr"))
     return pts.unionByName(origin)
 
 

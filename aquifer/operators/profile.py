@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aquifer.operators.stats import quantiles_wide, to_long, value_counts_prefix
+from aquifer.operators.stats import quantiles_wide, to_long, value_counts_prefix, value_histogram
 
 
 # ------------------------------------------------------------------- G1 / G5
@@ -87,9 +87,9 @@ def boxplot_stats(df: DataFrame, cols: list[str], whisker: float = 1.5) -> DataF
     """q1/median/q3 (exact, interpolated), whisker ends within 1.5 IQR, outlier count.
     Everything is derived from the distinct-value histogram, so the input is scanned once."""
     long = to_long(df, cols).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    vc = value_counts_prefix(long, ["col"], "x")
-    q = quantiles_wide(long, ["col"], "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}, vc=vc)
-    j = vc.join(F.broadcast(q), "col")  # one row per column
+    hist = value_histogram(long, ["col"], "x")
+    q = quantiles_wide(long, ["col"], "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}, hist=hist)
+    j = hist.join(F.broadcast(q), "col")  # one row per column
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - whisker * iqr, F.col("q3") + whisker * iqr
     return j.groupBy("col", "q1", "median", "q3").agg(

@@ -110,10 +110,10 @@ def small_prefix(df: DataFrame, groups: list[str], order: str, weight: str | lis
 
 
 def prefix_checked(df: DataFrame, groups: list[str], order: str, weight: str | list[str],
-                   out: str | list[str]) -> DataFrame:
-    """Materialise `df` once (shared checkpoint folder), then choose the per-group window when its
-    row count is within SMALL_PREFIX_ROWS, else the sliced skew-safe `global_prefix`."""
-    mat = cut_lineage(df)
+                   out: str | list[str], materialized: bool = False) -> DataFrame:
+    """Materialise `df` once (shared checkpoint folder; skipped when `materialized`), then choose the
+    per-group window when its row count is within SMALL_PREFIX_ROWS, else the sliced `global_prefix`."""
+    mat = df if materialized else cut_lineage(df)
     if mat.count() <= SMALL_PREFIX_ROWS:
         return small_prefix(mat, groups, order, weight, out)
     return global_prefix(mat, groups, order, weight, out)
@@ -143,23 +143,29 @@ def global_rank(df: DataFrame, groups: list[str], value: str, slices: int | None
     return global_prefix(df, groups, value, None, "_rank", slices)
 
 
-def value_counts_prefix(df: DataFrame, groups: list[str], value: str) -> DataFrame:
-    """Distinct (groups, value, _c) with `_below` = number of rows with a smaller value in the group."""
+def value_histogram(df: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """Distinct (groups, value, _c) counts (map-side combined), materialised once in the shared
+    checkpoint folder so every later pass reads it instead of re-scanning the input."""
     base = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
-    # the distinct-value histogram is materialised once (shared checkpoint folder); later passes
-    # read it instead of re-scanning the input, and its checked size picks the prefix strategy
-    cnt = base.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c"))
-    return prefix_checked(cnt, groups, value, "_c", "_below")
+    return cut_lineage(base.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_c")))
+
+
+def value_counts_prefix(df: DataFrame, groups: list[str], value: str, hist: DataFrame | None = None) -> DataFrame:
+    """Distinct (groups, value, _c) with `_below` = number of rows with a smaller value in the group."""
+    h = hist if hist is not None else value_histogram(df, groups, value)
+    return prefix_checked(h, groups, value, "_c", "_below", materialized=True)
 
 
 def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[float],
-                    vc: DataFrame | None = None) -> DataFrame:
+                    hist: DataFrame | None = None) -> DataFrame:
     """Rows (groups..., p, q): linear-interpolated quantile (numpy default / quantile_cont / percentile).
-    `vc` may pass a precomputed `value_counts_prefix` table."""
+    `hist` may pass a precomputed `value_histogram`. The prefix table is consumed once; group sizes
+    come from the materialised histogram."""
     if not groups:
-        return _exact_quantiles_single(df, value, probs, vc)
-    vc = vc if vc is not None else value_counts_prefix(df.select(*groups, value), groups, value)
-    sizes = vc.groupBy(*groups).agg(F.sum("_c").alias("_n"))
+        return _exact_quantiles_single(df, value, probs, hist)
+    hist = hist if hist is not None else value_histogram(df.select(*groups, value), groups, value)
+    vc = value_counts_prefix(None, groups, value, hist=hist)
+    sizes = hist.groupBy(*groups).agg(F.sum("_c").alias("_n"))
     h = (F.col("_n") - 1) * F.col("p")
     plan = (
         sizes.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
@@ -182,12 +188,13 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[fl
     return out.select(*groups, "p", q.alias("q"))
 
 
-def _exact_quantiles_single(df: DataFrame, value: str, probs: list[float], vc: DataFrame | None) -> DataFrame:
+def _exact_quantiles_single(df: DataFrame, value: str, probs: list[float], hist: DataFrame | None) -> DataFrame:
     """Ungrouped quantiles: the handful of needed order positions are literals; only the histogram
     rows covering them (<= 2 per probability) reach the driver."""
     spark = df.sparkSession
-    vc = vc if vc is not None else value_counts_prefix(df.select(value), [], value)
-    n = vc.agg(F.sum("_c")).first()[0] or 0
+    hist = hist if hist is not None else value_histogram(df.select(value), [], value)
+    n = hist.agg(F.sum("_c")).first()[0] or 0
+    vc = value_counts_prefix(None, [], value, hist=hist)
     if n == 0:
         return spark.createDataFrame([(float(p), None) for p in probs], "p double, q double")
     pos = sorted({int(v) for p in probs for v in (math.floor((n - 1) * p), math.ceil((n - 1) * p))})
@@ -212,10 +219,10 @@ def _exact_quantiles_single(df: DataFrame, value: str, probs: list[float], vc: D
 
 
 def quantiles_wide(df: DataFrame, groups: list[str], value: str, probs: dict[str, float],
-                   vc: DataFrame | None = None) -> DataFrame:
+                   hist: DataFrame | None = None) -> DataFrame:
     """exact_quantiles pivoted to one column per named probability."""
     names = list(probs)
-    q = exact_quantiles(df, groups, value, [probs[n] for n in names], vc)
+    q = exact_quantiles(df, groups, value, [probs[n] for n in names], hist)
     exprs = [F.max(F.when(F.col("p") == float(probs[n]), F.col("q"))).alias(n) for n in names]
     return q.groupBy(*groups).agg(*exprs) if groups else q.agg(*exprs)
 
