@@ -15,7 +15,7 @@ SELECT s.site_id, arg_min(b.basin, b.basin_id) AS basin, count(b.basin_id) > 0 A
 FROM sites s LEFT JOIN basins b ON {S.INSIDE} GROUP BY s.site_id""")
 def j_basin(spark, d):
     """Every site with the basin polygon that strictly contains it (boundary points unmatched)."""
-    s = fx.sites(spark, d).select("site_id", "lon_c", "lat_c")
+    s = fx.site_points(spark, d)
     b = fx.basins(spark, d)
     m = spatial.point_in_polygon_join(s, b, "lon_c", "lat_c", "basin_id", keep=["basin"], point_id="site_id")
     return m.select("site_id", "basin", F.col("basin_id").isNotNull().alias("matched"))
@@ -49,7 +49,7 @@ def j_county_fill(spark, d):
 @query("g_hull")
 def g_hull(spark, d):
     """Convex hull per basin of the matched sites (rows-only; geometry property-tested)."""
-    s = fx.sites(spark, d).select("site_id", "lon_c", "lat_c")
+    s = fx.site_points(spark, d)
     m = spatial.point_in_polygon_join(s, fx.basins(spark, d), "lon_c", "lat_c", "basin_id", keep=["basin"],
                                       point_id="site_id")
     return spatial.convex_hulls(m.where(F.col("basin").isNotNull()), "basin", "lon_c", "lat_c")

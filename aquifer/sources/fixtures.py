@@ -95,6 +95,14 @@ def sites(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def site_points(spark: SparkSession, d: str) -> DataFrame:
+    """FX4 coordinates only (no name lookup): what the spatial join needs."""
+    k = F.col("c_custkey")
+    return read_table(spark, d, "customer").select(
+        k.alias("site_id"), (F.lit(-12400) + 2 * ((37 * k) % 500)).alias("lon_c"),
+        (F.lit(3200) + 2 * ((91 * k) % 500)).alias("lat_c"))
+
+
 def basins(spark: SparkSession, d: str) -> DataFrame:
     """FX4b: basin polygons as closed-free rings ARRAY<STRUCT<x,y>> (even nation: square, odd: diamond)."""
     n = read_table(spark, d, "nation")
