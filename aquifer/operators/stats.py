@@ -174,11 +174,19 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[fl
         .withColumn("_hi", F.ceil("_h").cast("long"))
     )
     need = plan.select(*groups, F.explode(F.array_distinct(F.array("_lo", "_hi"))).alias("_pos")).distinct()
-    # positions table is bounded by groups x probs x 2; each distinct value row tests its group's positions
-    v, n = vc.alias("_v"), need.select(*[F.col(g).alias(f"_n_{g}") for g in groups], "_pos")
-    cond = [F.col(g) == F.col(f"_n_{g}") for g in groups] + [
-        F.col("_pos") >= F.col("_below"), F.col("_pos") < F.col("_below") + F.col("_c")]
-    joined = v.join(F.broadcast(n), cond) if cond else v
+    # interval stabbing as an equi-join: positions and histogram rows share position buckets of width
+    # B = ceil(n / #positions), so each row spans few buckets (a long tie spans at most ~#positions)
+    # and each bucket holds ~1 position -- linear in rows + positions, never rows x positions
+    n_pos = 2 * len(probs)
+    width = sizes.select(*groups, F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(n_pos))).cast("long").alias("_B"))
+    v = vc.join(width, groups).withColumn("_bk", F.explode(F.sequence(
+        F.floor(F.col("_below") / F.col("_B")).cast("long"),
+        F.floor((F.col("_below") + F.col("_c") - 1) / F.col("_B")).cast("long"))))
+    n = need.join(width, groups).select(*[F.col(g).alias(f"_n_{g}") for g in groups], "_pos",
+                                        F.floor(F.col("_pos") / F.col("_B")).cast("long").alias("_nbk"))
+    cond = [F.col(g) == F.col(f"_n_{g}") for g in groups] + [F.col("_bk") == F.col("_nbk"),
+            F.col("_pos") >= F.col("_below"), F.col("_pos") < F.col("_below") + F.col("_c")]
+    joined = v.join(n, cond)
     picked = joined.select(*groups, "_pos", F.col(value).alias("_x"))
     # one row per group with its <= 2*len(probs) picked order statistics, read once for lo and hi
     pm = picked.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_x"))).alias("_m"))
