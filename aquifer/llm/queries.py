@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aquifer.llm import host_rules
+from aquifer.llm import host_rules, mixing
 from aquifer.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,8 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 @query
 def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(read_table(spark, sf_dir, "documents"))
