@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aquifer.llm import host_rules, mixing
+from aquifer.llm import host_rules, huffman, mixing
 from aquifer.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+#: Folder of the public tokenizers' files, a parameter of the deployment.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
@@ -26,3 +30,8 @@ def op3_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return huffman.round_trip(read_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", end_id=0)
