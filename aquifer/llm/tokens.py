@@ -11,50 +11,48 @@ from __future__ import annotations
 import array
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 
 #: A chunk: ASCII white space and what follows it, or white space at the end.
 CHUNK = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
-#: White space that a tokenizer may know besides ASCII's, and separators that libraries disagree about.
-RARE_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -​    　﻿]")
-RARE_FIRST = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80|\xe2\x81\x9f|\xe3\x80\x80|\xef\xbb\xbf")
+#: UTF-8 of white space outside the six, and of separators that libraries disagree about (general
+#: punctuation e2 80 as a whole: such texts are looked at closely).
+RARE = [*(bytes([c]) for c in range(0x1C, 0x20)), b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f",
+        b"\xe3\x80\x80", b"\xef\xbb\xbf", *(b"\xe2\x80" + bytes([c]) for c in (*range(0x80, 0x8C), 0xA8, 0xA9, 0xAF))]
 
 
-class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit integers, with what it has seen remembered.
+class Encoder(dict):
+    """Chunk -> its ids as little-endian unsigned 32-bit integers, looked up in the library when it is new.
 
     drops_space: the tokenizer gives no ids for white space, so words alone are looked up.
     limit: chunks in each of the two generations that are remembered.
     """
 
     def __init__(self, path: str, drops_space: bool, limit: int = 500_000):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.drops_space, self.limit = drops_space, limit
-        self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.asked: dict[bytes, bytearray] = {}
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [array.array("I", e.ids).tobytes()
-                for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: Iterable[bytes]) -> None:
-        """Remember chunks that `young` does not hold yet."""
-        new = []
-        for c in set(chunks):
-            got = self.old.get(c)
-            if got is None:
-                new.append(c)
-            else:
-                self.young[c] = got
-        self.young.update(zip(new, self._library([c.decode("utf-8", "replace") for c in new])))
-
-    def encode(self, texts: list[bytes], most: int = 2_000_000) -> Iterator[bytes]:
+    def __missing__(self, chunk: bytes) -> bytes | bytearray:
+        got = self.old.get(chunk)
+        if got is None:  # an empty answer, filled when the library has been asked
+            got = self.asked[chunk] = bytearray()
+        self[chunk] = got
+        return got
+
+    def library(self, texts: list[bytes]) -> list[bytes]:
+        got = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [array.array("I", e.ids).tobytes() for e in got]
+
+    def encode(self, texts: list[bytes], most: int = 1_000_000) -> Iterator[bytes]:
         """The ids of each text, in order; texts are taken up to about `most` bytes at a time."""
         at = 0
         while at < len(texts):
@@ -65,19 +63,20 @@ class Encoder:
             yield from self._some(texts[at:end])
             at = end
 
-    def _some(self, texts: list[bytes]) -> Iterator[bytes]:
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
-        split = [None if RARE_FIRST.search(t) and RARE_SPACE.search(t.decode("utf-8", "replace"))
-                 else t.split() if self.drops_space else CHUNK.findall(t) for t in texts]
-        known = self.young.get
-        found = [s and list(map(known, s)) for s in split]
-        self._learn(c for s, got in zip(split, found) if got and None in got for c, x in zip(s, got) if x is None)
-        for text, s, got in zip(texts, split, found):
-            if s is None:
-                yield self._library([text.decode("utf-8", "replace")])[0]
-            else:
-                yield b"".join(map(known, s) if None in got else got)
+    def _some(self, texts: list[bytes]) -> list[bytes]:
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        rare = [any(map(t.__contains__, RARE)) for t in texts]
+        parts = [self.library([t]) if r else
+                 list(map(self.__getitem__, t.split() if self.drops_space else CHUNK.findall(t)))
+                 for t, r in zip(texts, rare)]
+        new = list(self.asked)
+        for chunk, ids in zip(new, self.library(new)):
+            self.asked[chunk] += ids
+            self[chunk] = ids
+        self.asked.clear()
+        return [b"".join(p) for p in parts]
 
 
 _encoders: dict[tuple, Encoder] = {}
