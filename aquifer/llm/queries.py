@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aquifer.llm import host_rules, huffman, jaccard_join, kneser_ney, licenses, mixing, neighbours, packing, toxicity
+from aquifer.llm import host_rules, huffman, jaccard_join, kneser_ney, licenses, mixing, neighbours, packing, page_text, toxicity
 from aquifer.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.held_out_scores(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(read_table(spark, sf_dir, "pages"))
