@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,10 +61,11 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     m = len(words) - n + 1
     if m <= 0:
         return np.empty(0, np.uint64)
-    h = np.full(m, 0x9E3779B97F4A7C15 * n % 2**64, np.uint64)
-    for k in range(n):
-        h = mix64(h + words[k:k + m])
-    return h
+    factors = mix64(np.arange(n * 100, n * 101, dtype=np.uint64)) | np.uint64(1)
+    h = words[:m] * factors[0]
+    for k in range(1, n):
+        h += words[k:k + m] * factors[k]
+    return mix64(h)
 
 
 class WordHashes(dict):
@@ -86,5 +88,25 @@ def as_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [b"" if x is None else x for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint64).view(np.int64)
+def slices(batch: pa.RecordBatch, column: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch's rows in order, in slices of up to about `most` bytes of a text column (one row at least)."""
+    sizes = batch.column(column).cast(pa.binary())
+    ends = np.cumsum([0 if x is None else x for x in pc.binary_length(sizes).to_pylist()])
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def keyed(docs: DataFrame, doc_id: str = "doc_id") -> tuple[DataFrame, str]:
+    """The rows and the name of a column that tells them apart: the id where it is unique, else a new number.
+
+    The number is written down with the rows, so that it stays the same when a task is repeated.
+    """
+    counts = docs.groupBy(doc_id).count().agg(F.max("count").alias("most"), F.max(F.col(doc_id).isNull()).alias("null"))
+    got = counts.first()
+    if got["most"] in (None, 1) and not got["null"]:
+        return docs, doc_id
+    return freeze(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered"), "__row"

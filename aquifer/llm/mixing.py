@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aquifer.llm.common import WORD, freeze
+from aquifer.llm.common import WORD, freeze, keyed
 
 #: Weights of the sources in code point order, repeating: fixed by the contract.
 CYCLE = (5, 2, 1)
@@ -149,27 +149,29 @@ def plan(docs: DataFrame, keep: list[str] = ["doc_id"], **options) -> DataFrame:
         *[F.col(f"keep_{c}").alias(c) for c in keep], "size", "source_size", "target", "taken")
 
 
-def mixed(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", max_copies: int = 2,
-          **options) -> DataFrame:
+def mixed(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars", doc_id: str = "doc_id",
+          max_copies: int = 2, **options) -> DataFrame:
     """The mix itself, with the columns of `docs`: a row for each copy, with the words that the copy takes.
 
     A copy that takes all words keeps the text as it is; else the taken words are joined by one space. Rows
     that nothing is taken of go.
     """
-    row = "__mix_row"
-    frozen = freeze(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
-    laid = layout(frozen, [row], text=text, max_copies=max_copies, **options).where("taken > 0").select(
-        F.col(f"keep_{row}").alias(row), "size", "start", "end", "shard_size", "blocks", "quota", "turn", "taken")
-    both = frozen.join(laid, row).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(max_copies))))
+    frozen, row = keyed(docs, doc_id)
+    laid = layout(frozen, [row], text=text, doc_id=doc_id, max_copies=max_copies, **options).where("taken > 0").select(
+        F.col(f"keep_{row}").alias("__row"), F.col("size").alias("__size"), "start", "end", "shard_size", "blocks",
+        "quota", "turn")
+    whole = frozen.select(F.col(row).alias("__row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
+    both = whole.join(laid, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(max_copies))))
     spans = F.filter(block_range(), lambda i: copies(i) >= F.col("__copy"))
     words = F.flatten(F.transform(F.col("__spans"), lambda i: F.slice(
         F.col("__words"), (block_start(i) - F.col("start") + 1).cast("int"),
         (block_end(i) - block_start(i)).cast("int"))))
+    old = F.col("__doc").getField(text)
     got = (both.withColumn("__spans", spans).where(F.size("__spans") > 0)
-           .withColumn("__words", F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)))
+           .withColumn("__words", F.regexp_extract_all(old, F.lit(WORD), F.lit(0)))
            .withColumn("__got", words).where(F.size("__got") > 0))
-    out = F.when(F.size("__got") == F.col("size"), F.col(text)).otherwise(F.array_join("__got", " "))
-    fields = {c: F.col(c) for c in docs.columns} | {text: out}
+    out = F.when(F.size("__got") == F.col("__size"), old).otherwise(F.array_join("__got", " "))
+    fields = {c: F.col("__doc").getField(c) for c in docs.columns} | {text: out}
     if n_chars:
         fields[n_chars] = F.length(out).cast(docs.schema[n_chars].dataType)
     return got.select(*[x.alias(c) for c, x in fields.items()])

@@ -70,3 +70,10 @@ def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract(read_table(spark, sf_dir, "pages"))
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
