@@ -204,7 +204,7 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, tables: int = 6, pro
     counts = found.distinct().groupBy("rep").count().where(F.col("count") > k)
     short = freeze(heads.join(counts, "rep", "left_anti"), "ann-short")
     if total > 1 and not short.isEmpty():
-        all_parts = short.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long")).withColumn(
+        all_parts = short.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).withColumn(
             "buckets", F.lit(None).cast("array<long>"))
         one_table = indexed.where("t = 0")
         found = found.unionByName(one_table.groupBy("part").cogroup(all_parts.groupBy("part")).applyInArrow(

@@ -120,8 +120,10 @@ class Network:
     def features(self, texts: list[np.ndarray], places: bool = False):
         """Pooled features of each text; with `places` also the word where each filter is largest."""
         words, starts, sizes = self.embed(texts)
+        if not places:  # in double precision, a text's score does not depend on the texts beside it
+            words = words.astype(np.float64)
         f = self.out.size // len(WIDTHS)
-        out = np.zeros((len(texts), self.out.size), np.float32)
+        out = np.zeros((len(texts), self.out.size), words.dtype)
         at = np.zeros((len(texts), self.out.size), np.int64)
         full = np.flatnonzero(sizes)
         if len(full):
@@ -296,7 +298,7 @@ def score_texts(net: Network | float, texts: list[bytes], words: Words, most: in
             held += len(packed)
     flush()
     margin = (np.concatenate(out) if out else np.empty(0)) - net.thresholds[langs]
-    return 1 / (1 + np.exp(-np.clip(margin.astype(np.float64), -50, 50)))
+    return 1 / (1 + np.exp(-np.clip(np.round(margin, 9), -50, 50)))
 
 
 def score(docs: DataFrame, net: Network | float, keep: list[str], text: str = "text") -> DataFrame:
