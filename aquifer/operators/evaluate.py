@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aquifer.functions import clamp, softplus
-from aquifer.operators.stats import prefix_checked
+from aquifer.operators.stats import global_prefix, null_safe_join
 from aquifer.session import cut_lineage
 
 
@@ -21,13 +21,13 @@ def score_table(pred: DataFrame, keys: list[str], y: str = "y", score: str = "sc
     and the group totals P, N.
 
     The distinct-score table is materialised once; totals come from it (a small aggregate) and one
-    size-checked prefix pass gives the below-sums, so the prefix is computed exactly once."""
+    prefix pass gives the below-sums, so the prefix is computed exactly once."""
     lab = pred.where(F.col(y).isNotNull() & F.col(score).isNotNull())
     st = cut_lineage(lab.groupBy(*keys, score).agg(
         F.count_if(F.col(y) == 1.0).alias("pos"), F.count_if(F.col(y) == 0.0).alias("neg")))
     tot = st.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    pre = prefix_checked(st, keys, score, ["pos", "neg"], ["pos_below", "neg_below"], materialized=True)
-    j = pre.join(tot, keys)  # one row per group: AQE broadcasts it
+    pre = global_prefix(st, keys, score, ["pos", "neg"], ["pos_below", "neg_below"])
+    j = null_safe_join(pre, tot, keys)  # one row per group: AQE broadcasts it
     j = j.withColumn("tp_above", F.col("P") - F.col("pos_below") - F.col("pos")) \
         .withColumn("fp_above", F.col("N") - F.col("neg_below") - F.col("neg"))
     return j.drop("pos_below")

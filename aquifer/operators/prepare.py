@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aquifer import catalog
-from aquifer.operators.stats import exact_quantiles, global_rank, sorted_ordinal, to_long
+from aquifer.operators.stats import exact_quantiles, sorted_ordinal, to_long
 
 FAR_FUTURE = "9999-12-31"
 
@@ -35,12 +35,12 @@ def chronological_split(df: DataFrame, date_col: str, id_col: str, train_frac: f
         return df.withColumn("split", F.lit("train"))
     cut_day, take = cut["_day"], cut["_k"] - (cut["_cum"] - cut["_c"])
     cut_lit = F.lit(cut_day).cast("date")
-    inside = global_rank(base.where(F.col("_day") == cut_lit).select(id_col), [], id_col)
-    inside = inside.select(id_col, F.when(F.col("_rank") < F.lit(take), "train").otherwise("test").alias("_s"))
+    # the rows of the cut day are ranked themselves, so repeated and NULL ids (last) stay what they are
+    inside = sorted_ordinal(base.where(F.col("_day") == cut_lit).drop("_day"), [], id_col, "_rank")
+    inside = inside.withColumn("split", F.when(F.col("_rank") < F.lit(take), "train").otherwise("test")).drop("_rank")
     other = base.where(F.col("_day") != cut_lit).withColumn(
         "split", F.when(F.col("_day") < cut_lit, F.lit("train")).otherwise(F.lit("test"))).drop("_day")
-    in_rows = base.where(F.col("_day") == cut_lit).drop("_day").join(inside, id_col).withColumnRenamed("_s", "split")
-    return other.unionByName(in_rows)
+    return other.unionByName(inside)
 
 
 # ------------------------------------------------------------------------- T1

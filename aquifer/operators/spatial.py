@@ -86,8 +86,9 @@ def fill_basins(sites: DataFrame, polys: DataFrame, x: str, y: str, basin: str =
                 cell: float = 100.0, point_id: str | None = None) -> DataFrame:
     """Only rows whose basin is the unknown sentinel are looked up; matched -> basin and region,
     unmatched -> the outside sentinel for both; other rows keep their values (region NULL)."""
-    todo = sites.where(F.col(basin) == unknown)
-    done = sites.where(F.col(basin) != unknown).withColumn("region", F.lit(None).cast("string"))
+    known = ~F.col(basin).eqNullSafe(F.lit(unknown))  # a NULL basin is not the sentinel
+    todo = sites.where(~known)
+    done = sites.where(known).withColumn("region", F.lit(None).cast("string"))
     m = point_in_polygon_join(todo, polys.withColumnRenamed("basin", "_pbasin"), x, y, "basin_id", cell=cell,
                               keep=["_pbasin", "region"], point_id=point_id)
     m = m.withColumn(basin, F.coalesce(F.col("_pbasin"), F.lit(outside))) \
@@ -100,6 +101,7 @@ def fill_counties(sites: DataFrame, address: DataFrame, key: str, county: str =
     state_district from the lookup, upper-cased with ' COUNTY' removed; left as-is when nothing found."""
     a = address.select(key, F.coalesce(*[F.nullif(F.trim(F.col(c)), F.lit("")) for c in
                                          ["county", "city", "town", "municipality", "state_district"]]).alias("_name"))
+    a = a.groupBy(key).agg(F.min("_name").alias("_name"))  # several addresses of a key: the first by name
     j = sites.join(a, key, "left")  # lookup is keyed and small: AQE broadcasts it
     fixed = F.trim(F.replace(F.upper(F.col("_name")), F.lit(" COUNTY"), F.lit("")))
     need = F.col(county).isin(*catalog.MISSING_COUNTY_VALUES) & F.col("_name").isNotNull()

@@ -1,141 +1,73 @@
 """Distributed exact order statistics.
 
 Rank-type results (prefix sums, mid-ranks, exact quantiles) are computed without gathering a
-group's values into one task:
+group's values into one task, by one path at every size:
 
-1. approximate cut points per group are computed once and frozen as a small table
-   (#groups x #slices); a row's slice is then a deterministic function of (group, value), so
-   recomputation after an executor loss assigns the same slice;
-2. each (group, slice) is prefix-summed by a window -- slices are balanced even when one group
+1. rows are range-partitioned by (group, value), with a row number last so that a long run of ties
+   spreads as well, and written to the checkpoint folder with their partition's number; a recomputation
+   after an executor loss reads the same partitions;
+2. each (partition, group) is prefix-summed by a window -- the ranges are balanced even when one group
    holds a third of all rows;
-3. per-slice totals become offsets through a window over the small (group, slice) totals table.
+3. the totals of the (partition, group) pairs become offsets through a window over that small table.
 
 Quantiles first collapse to a distinct (group, value, count) table (map-side combine), so long
-runs of tied values cost one row each. Everything is sort/shuffle based and spills to disk.
+runs of tied values cost one row each. NULL is a group like any other. Everything is sort/shuffle
+based and spills to disk.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aquifer.session import cut_lineage
 
 
-DRIVER_BOUNDS_LIMIT = 200_000  # cut-point values small enough to freeze through the driver
-
-
-def _frozen_bounds(df: DataFrame, groups: list[str], order: str, slices: int) -> DataFrame:
-    """Approximate per-group cut points, frozen once so that every recomputation (and every branch of
-    the plan) sees the same slice boundaries. Few groups: collected and re-broadcast as a local
-    relation (bounded by DRIVER_BOUNDS_LIMIT values); many groups: checkpointed to the shared folder."""
-    probs = [i / slices for i in range(1, slices)]
-    b = df.groupBy(*groups).agg(F.percentile_approx(order, probs, 10000).alias("_bounds"))
-    limit_groups = max(1, DRIVER_BOUNDS_LIMIT // max(1, len(probs)))
-    rows = b.limit(limit_groups + 1).collect()
-    if len(rows) <= limit_groups:
-        return F.broadcast(df.sparkSession.createDataFrame(rows, b.schema).withColumn(
-            "_bounds", F.col("_bounds").cast("array<double>")))
-    return cut_lineage(b.withColumn("_bounds", F.col("_bounds").cast("array<double>")))
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL; the keys come from the left side."""
+    named = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    return left.join(named, cond, how).drop(*[f"_k_{k}" for k in keys])
+
+
+def _prefix(df: DataFrame, groups: list[str], order: Column, weights: list[Column], outs: list[str],
+            slices: int | None) -> DataFrame:
+    """Add `outs`: sums of `weights` over the rows before this one in (`groups`, `order`)."""
+    n = slices or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    named = [f"_w{i}" for i in range(len(weights))]
+    base = df.select("*", *[w.alias(c) for w, c in zip(weights, named)],
+                     F.monotonically_increasing_id().alias("_tie"))
+    ranged = cut_lineage(base.repartitionByRange(n, *groups, order, "_tie").withColumn("_pid", F.spark_partition_id()))
+    local = Window.partitionBy("_pid", *groups).orderBy(order, "_tie").rowsBetween(Window.unboundedPreceding,
+                                                                                  Window.currentRow)
+    before = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = ranged.groupBy("_pid", *groups).agg(*[F.sum(c).alias(f"{c}_tot") for c in named])
+    offsets = totals.select("_pid", *groups, *[(F.sum(f"{c}_tot").over(before) - F.col(f"{c}_tot")).alias(f"{c}_off")
+                                               for c in named])
+    # running sum including the current row minus the row itself: a streaming O(n) frame
+    summed = ranged.select("*", *[(F.sum(c).over(local) - F.col(c)).alias(f"{c}_lr") for c in named])
+    joined = null_safe_join(summed, offsets, ["_pid", *groups])
+    return joined.select(*df.columns, *[(F.col(f"{c}_off") + F.col(f"{c}_lr")).alias(o) for c, o in zip(named, outs)])
 
 
 def global_prefix(df: DataFrame, groups: list[str], order: str, weight: str | list[str] | None = None,
                   out: str | list[str] = "_rank", slices: int | None = None) -> DataFrame:
-    """Add `out` = sum of `weight` (1 per row when None) over rows strictly before this one in
+    """Add `out` = sum of `weight` (1 per row when None) over rows before this one in
     (`groups`, `order`) order -- a 0-based rank for unit weights. Several weights may be summed at
     once (lists of equal length). NULL/NaN `order` rows are dropped."""
-    spark = df.sparkSession
-    k = slices or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     weights = [weight] if weight is None or isinstance(weight, str) else list(weight)
     outs = [out] if isinstance(out, str) else list(out)
-    wnames = [f"_w{i}" for i in range(len(weights))]
-    base = df.where(F.col(order).isNotNull() & ~F.isnan(F.col(order)))
-    for wn, wc in zip(wnames, weights):
-        base = base.withColumn(wn, F.lit(1).cast("long") if wc is None else F.col(wc))
-    if not groups:
-        # one group: its k-1 cut points are a bounded plan, inlined as literals (no join at all)
-        probs = [i / k for i in range(1, k)]
-        cuts = base.agg(F.percentile_approx(order, probs, 10000)).first()[0] or []
-        sl = sum((F.col(order) > F.lit(float(c))).cast("int") for c in cuts) if cuts else F.lit(0)
-        sliced = base.withColumn("_slice", sl)
-    else:
-        bounds = _frozen_bounds(base, groups, order, k)
-        # slice s holds bounds[s-1] < x <= bounds[s]: an interval table joined on the group key with a
-        # range condition (codegen'd comparisons; AQE broadcasts it when small)
-        inf = F.lit(float("inf"))
-        edges = F.arrays_zip(F.concat(F.array(-inf), F.col("_bounds")).alias("lo"),
-                             F.concat(F.col("_bounds"), F.array(inf)).alias("hi"))
-        iv = bounds.select(*groups, F.posexplode(edges).alias("_slice", "_iv")) \
-            .select(*[F.col(g).alias(f"_b_{g}") for g in groups], "_slice", F.col("_iv.lo").alias("_lo"),
-                    F.col("_iv.hi").alias("_hi"))
-        cond = [F.col(g) == F.col(f"_b_{g}") for g in groups] + [F.col(order) > F.col("_lo"),
-                                                                  F.col(order) <= F.col("_hi")]
-        sliced = base.join(iv, cond).drop("_lo", "_hi", *[f"_b_{g}" for g in groups])
-    # running sum including the current row minus the row itself: a streaming O(n) frame
-    slice_w = Window.partitionBy(*groups, "_slice").orderBy(order).rowsBetween(Window.unboundedPreceding,
-                                                                               Window.currentRow)
-    local = sliced
-    for wn in wnames:
-        local = local.withColumn(f"{wn}_lr", F.sum(wn).over(slice_w) - F.col(wn))
-    # totals read the windowed frame: its exchange is reused, so the input is shuffled once
-    totals = local.groupBy(*groups, "_slice").agg(*[F.sum(wn).alias(f"{wn}_tot") for wn in wnames])
-    w = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offsets = totals
-    for wn in wnames:
-        offsets = offsets.withColumn(f"{wn}_off", F.sum(f"{wn}_tot").over(w) - F.col(f"{wn}_tot"))
-    offsets = offsets.drop(*[f"{wn}_tot" for wn in wnames])
-    j = local.join(offsets, [*groups, "_slice"])
-    for wn, o in zip(wnames, outs):
-        j = j.withColumn(o, F.col(f"{wn}_off") + F.col(f"{wn}_lr"))
-    drop = ["_slice"] + [f"{wn}{sfx}" for wn in wnames for sfx in ("", "_lr", "_off")]
-    return j.drop(*drop)
-
-
-SMALL_PREFIX_ROWS = 2_000_000  # a materialised table this small may be prefix-summed per group directly
-
-
-def small_prefix(df: DataFrame, groups: list[str], order: str, weight: str | list[str],
-                 out: str | list[str]) -> DataFrame:
-    """Prefix sums with one window per group -- only for tables whose size was checked against
-    SMALL_PREFIX_ROWS (each group then sorts at most that many rows)."""
-    weights = [weight] if isinstance(weight, str) else list(weight)
-    outs = [out] if isinstance(out, str) else list(out)
-    w = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     base = df.where(F.col(order).isNotNull() & ~F.isnan(F.col(order)))
-    for wc, o in zip(weights, outs):
-        base = base.withColumn(o, F.sum(wc).over(w) - F.col(wc))
-    return base
-
-
-def prefix_checked(df: DataFrame, groups: list[str], order: str, weight: str | list[str],
-                   out: str | list[str], materialized: bool = False) -> DataFrame:
-    """Materialise `df` once (shared checkpoint folder; skipped when `materialized`), then choose the
-    per-group window when its row count is within SMALL_PREFIX_ROWS, else the sliced `global_prefix`."""
-    mat = df if materialized else cut_lineage(df)
-    if mat.count() <= SMALL_PREFIX_ROWS:
-        return small_prefix(mat, groups, order, weight, out)
-    return global_prefix(mat, groups, order, weight, out)
-
-
-def sorted_ordinal(df: DataFrame, groups: list[str], order: str, out: str = "_ord") -> DataFrame:
-    """0-based position of each row in (`groups`, `order`) order for any orderable type (strings too).
-
-    Size-checked: a materialised table within SMALL_PREFIX_ROWS uses one window per group; larger
-    ones are range-sorted by Spark (sampled, balanced), the sorted copy is checkpointed so partition
-    ids are stable, and per-(partition, group) counts become offsets."""
-    mat = cut_lineage(df)
-    if mat.count() <= SMALL_PREFIX_ROWS:
-        w = Window.partitionBy(*groups).orderBy(F.col(order).asc_nulls_last())
-        return mat.withColumn(out, F.row_number().over(w) - 1)
-    srt = cut_lineage(mat.orderBy(*groups, F.col(order).asc_nulls_last()).withColumn("_pid", F.spark_partition_id()))
-    local = srt.withColumn(out, F.row_number().over(
-        Window.partitionBy("_pid", *groups).orderBy(F.col(order).asc_nulls_last())) - 1)
-    cnt = srt.groupBy("_pid", *groups).agg(F.count(F.lit(1)).alias("_n"))
-    wo = Window.partitionBy(*groups).orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    offs = cnt.withColumn("_off", F.sum("_n").over(wo) - F.col("_n")).drop("_n")
-    return local.join(offs, ["_pid", *groups]).withColumn(out, F.col(out) + F.col("_off")).drop("_pid", "_off")
+    columns = [F.lit(1).cast("long") if w is None else F.col(w) for w in weights]
+    return _prefix(base, groups, F.col(order), columns, outs, slices)
+
+
+def sorted_ordinal(df: DataFrame, groups: list[str], order: str, out: str = "_ord", slices: int | None = None) -> DataFrame:
+    """0-based position of each row in (`groups`, `order`) order for any orderable type (strings too);
+    NULLs come last."""
+    return _prefix(df, groups, F.col(order).asc_nulls_last(), [F.lit(1).cast("long")], [out], slices)
 
 
 def global_rank(df: DataFrame, groups: list[str], value: str, slices: int | None = None) -> DataFrame:
@@ -153,7 +85,7 @@ def value_histogram(df: DataFrame, groups: list[str], value: str) -> DataFrame:
 def value_counts_prefix(df: DataFrame, groups: list[str], value: str, hist: DataFrame | None = None) -> DataFrame:
     """Distinct (groups, value, _c) with `_below` = number of rows with a smaller value in the group."""
     h = hist if hist is not None else value_histogram(df, groups, value)
-    return prefix_checked(h, groups, value, "_c", "_below", materialized=True)
+    return global_prefix(h, groups, value, "_c", "_below")
 
 
 def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[float],
@@ -179,20 +111,21 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[fl
     # and each bucket holds ~1 position -- linear in rows + positions, never rows x positions
     n_pos = 2 * len(probs)
     width = sizes.select(*groups, F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(n_pos))).cast("long").alias("_B"))
-    v = vc.join(width, groups).withColumn("_bk", F.explode(F.sequence(
+    v = null_safe_join(vc, width, groups).withColumn("_bk", F.explode(F.sequence(
         F.floor(F.col("_below") / F.col("_B")).cast("long"),
         F.floor((F.col("_below") + F.col("_c") - 1) / F.col("_B")).cast("long"))))
-    n = need.join(width, groups).select(*[F.col(g).alias(f"_n_{g}") for g in groups], "_pos",
+    n = null_safe_join(need, width, groups).select(*[F.col(g).alias(f"_n_{g}") for g in groups], "_pos",
                                         F.floor(F.col("_pos") / F.col("_B")).cast("long").alias("_nbk"))
-    cond = [F.col(g) == F.col(f"_n_{g}") for g in groups] + [F.col("_bk") == F.col("_nbk"),
+    cond = [F.col(g).eqNullSafe(F.col(f"_n_{g}")) for g in groups] + [F.col("_bk") == F.col("_nbk"),
             F.col("_pos") >= F.col("_below"), F.col("_pos") < F.col("_below") + F.col("_c")]
     joined = v.join(n, cond)
     picked = joined.select(*groups, "_pos", F.col(value).alias("_x"))
     # one row per group with its <= 2*len(probs) picked order statistics, read once for lo and hi
     pm = picked.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_x"))).alias("_m"))
-    out = plan.join(pm, groups)
+    out = null_safe_join(plan, pm, groups)
     xlo, xhi = F.element_at("_m", F.col("_lo")), F.element_at("_m", F.col("_hi"))
-    q = xlo + (F.col("_h") - F.col("_lo")) * (xhi - xlo)
+    between = xlo + (F.col("_h") - F.col("_lo")) * (xhi - xlo)
+    q = F.when(xlo == xhi, xlo).otherwise(between)  # also where both are infinite
     return out.select(*groups, "p", q.alias("q"))
 
 
@@ -222,7 +155,8 @@ def _exact_quantiles_single(df: DataFrame, value: str, probs: list[float], hist:
     for p in probs:
         h = (n - 1) * p
         lo, hi = math.floor(h), math.ceil(h)
-        out.append((float(p), at(lo) + (h - lo) * (at(hi) - at(lo))))
+        x, y = at(lo), at(hi)
+        out.append((float(p), x if x == y else x + (h - lo) * (y - x)))
     return spark.createDataFrame(out, "p double, q double")
 
 

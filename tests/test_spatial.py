@@ -38,3 +38,18 @@ def test_hull_contains_points(spark):
         for a, b in zip(ring[:-1], ring[1:]):  # counter-clockwise: every point left of (or on) each edge
             cross = (b[0] - a[0]) * (pts[:, 1] - a[1]) - (b[1] - a[1]) * (pts[:, 0] - a[0])
             assert (cross >= -1e-9).all()
+
+
+def test_fill_keeps_null_basins_and_single_sites(spark):
+    from aquifer import catalog
+
+    sites = spark.createDataFrame([(1, "k1", "A", 2.0, 2.0), (2, "k1", None, 2.0, 2.0), (3, "k2", catalog.UNKNOWN_BASIN, 2.0, 2.0)],
+                                  "site long, key string, basin string, x double, y double")
+    got = {r.site: r.basin for r in spatial.fill_basins(sites, _square(spark), "x", "y", point_id="site").collect()}
+    assert got == {1: "A", 2: None, 3: "B"}
+    address = spark.createDataFrame(
+        [("k1", "Beta County", None, None, None, None), ("k1", "Alpha County", None, None, None, None)],
+        "key string, county string, city string, town string, municipality string, state_district string")
+    named = sites.selectExpr("*", f"'{catalog.MISSING_COUNTY_VALUES[0]}' as county")
+    filled = {r.site: r.county for r in spatial.fill_counties(named, address, "key").collect()}
+    assert len(filled) == 3 and filled[1] == filled[2] == "ALPHA"

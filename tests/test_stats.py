@@ -94,13 +94,48 @@ def test_vif_matches_regression(spark):
         assert got[col] == pytest.approx(1 / (1 - r2), rel=1e-6)
 
 
-@pytest.mark.parametrize("limit", [10 ** 9, 0])
-def test_sorted_ordinal_both_paths(spark, limit, monkeypatch):
+@pytest.mark.parametrize("slices", [2, 7, 64])
+def test_sorted_ordinal_at_any_number_of_slices(spark, slices):
     from aquifer.operators import stats
 
-    monkeypatch.setattr(stats, "SMALL_PREFIX_ROWS", limit)
     rng = np.random.default_rng(3)
     pdf = pd.DataFrame({"g": rng.choice(list("abc"), 2000), "v": [f"k{i:05d}" for i in rng.permutation(2000)]})
-    r = stats.sorted_ordinal(spark.createDataFrame(pdf), ["g"], "v", "o").toPandas()
+    r = stats.sorted_ordinal(spark.createDataFrame(pdf), ["g"], "v", "o", slices).toPandas()
     for _, grp in r.groupby("g"):
         assert (grp.sort_values("v").o.to_numpy() == np.arange(len(grp))).all()
+
+
+@pytest.mark.parametrize("slices", [2, 7, 64])
+def test_prefix_with_infinities_null_groups_and_a_giant_tie(spark, slices):
+    from aquifer.operators import stats
+
+    inf = float("inf")
+    rows = [(g, v, 1) for g in ("a", None) for v in [-inf, -inf, -1.0, 0.0, inf, 2.0] + [5.0] * 300]
+    rows += [("a", None, 1), ("a", float("nan"), 1)]
+    df = spark.createDataFrame(rows, "g string, v double, w long")
+    got = stats.global_prefix(df, ["g"], "v", "w", "below", slices).toPandas()
+    assert len(got) == 612
+    for _, own in got.groupby("g", dropna=False):
+        own = own.sort_values(["below"])
+        assert own.below.tolist() == list(range(306)) and own.v.is_monotonic_increasing
+    q = stats.exact_quantiles(df, ["g"], "v", [0.0, 0.5, 1.0]).collect()
+    assert sorted((str(r.g), r.p, r.q) for r in q) == [
+        (g, p, x) for g in ("None", "a") for p, x in ((0.0, -inf), (0.5, 5.0), (1.0, inf))]
+
+
+def test_ranking_metrics_with_infinite_scores_and_null_keys(spark):
+    from aquifer.operators.evaluate import ranking_metrics
+
+    rows = [(k, y, s) for k in ("a", None) for y, s in [(0.0, -float("inf")), (1.0, 0.2), (0.0, 0.3), (1.0, 0.9)]]
+    got = ranking_metrics(spark.createDataFrame(rows, "k string, y double, score double"), ["k"]).collect()
+    assert len(got) == 2
+    for r in got:
+        assert r.auroc == pytest.approx(0.75) and r.roc_area == pytest.approx(0.75)
+        assert r.auprc == pytest.approx(0.5 * 1 + 0.5 * 2 / 3)
+
+
+def test_split_keeps_repeated_and_null_ids(spark):
+    rows = [("2020-01-01", 1), ("2020-01-02", 2), ("2020-01-02", 2), ("2020-01-02", None), (None, 5)]
+    s = prepare.chronological_split(spark.createDataFrame(rows, "d string, id long"), "d", "id", 0.4).collect()
+    assert sorted((str(r.id), r.split) for r in s) == [
+        ("1", "train"), ("2", "test"), ("2", "train"), ("5", "test"), ("None", "test")]
