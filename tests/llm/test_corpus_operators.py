@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from aquifer.llm import huffman, jaccard_join, mixing, neighbours, packing, tokens
 from aquifer.llm.graph import components
-from conftest import DOCS, TOKENIZERS, words
+from llm_tables import DOCS, TOKENIZERS, words
 
 BYTES, WORDS = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/word_bpe_49k.json"
 

@@ -3,7 +3,7 @@
 import collections
 
 import corpus_pipeline
-from conftest import DOCS, prose
+from llm_tables import DOCS, prose
 from test_corpus_operators import brute_components
 
 SF = "/root/testdata/sf0.001"

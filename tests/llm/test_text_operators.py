@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from aquifer.llm import host_rules, kneser_ney, licenses, page_text, toxicity
-from conftest import prose, words
+from llm_tables import prose, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
