@@ -103,7 +103,8 @@ def batch_som(df: DataFrame, vec: str, grid: int | None = None, epochs: int = 10
     first = df.select(vec).where(F.col(vec).isNotNull()).first()
     d = len(first[0])
     _check_broadcast(g * g * d, "SOM codebook")
-    init = df.select(vec).sample(False, min(1.0, (g * g * 4) / max(n, 1)), seed).limit(g * g).collect()
+    # the start does not depend on the order of rows or partitions
+    init = df.select(vec).where(F.col(vec).isNotNull()).orderBy(F.xxhash64(F.lit(seed), F.col(vec)), vec).limit(g * g).collect()
     rng = np.random.default_rng(seed)
     code = np.array([r[0] for r in init], dtype=float)
     if len(code) < g * g:
@@ -166,7 +167,7 @@ def som_assign(df: DataFrame, vec: str, code: np.ndarray, keep: list[str]) -> Da
 
 
 # ------------------------------------------------------------------------ C4
-def agglomerate(pairs: DataFrame, threshold: float, linkage: str = "average", max_rounds: int = 200,
+def agglomerate(pairs: DataFrame, threshold: float, linkage: str = "average",
                 n_clusters: int | None = None) -> DataFrame:
     """C4: agglomerative clustering on a pair-distance table (i < j, d) by reciprocal-nearest-neighbour
     merging (exact for reducible linkages: average, complete). Each round merges every reciprocal
@@ -179,7 +180,7 @@ def agglomerate(pairs: DataFrame, threshold: float, linkage: str = "average", ma
     items = state.select(F.col("i").alias("item")).union(state.select(F.col("j").alias("item"))).distinct()
     labels = items.withColumn("cluster", F.col("item"))
     labels, state = cut_lineage(labels), cut_lineage(state)
-    for _ in range(max_rounds):
+    while True:  # every round merges a pair or ends
         dist = (F.col("sd") / F.col("cnt")) if linkage == "average" else F.col("sd")
         cur = state.withColumn("dist", dist)
         both = cur.select(F.col("i").alias("a"), F.col("j").alias("b"), "dist").unionByName(
@@ -201,10 +202,10 @@ def agglomerate(pairs: DataFrame, threshold: float, linkage: str = "average", ma
         if merges.count() == 0:
             break
         remap = merges.select(F.col("b").alias("old"), F.col("a").alias("new"))
-        labels = cut_lineage(labels.join(F.broadcast(remap), labels.cluster == remap.old, "left")
+        labels = cut_lineage(labels.join(remap, labels.cluster == remap.old, "left")
                              .select("item", F.coalesce("new", "cluster").alias("cluster")))
-        s = state.join(F.broadcast(remap.withColumnRenamed("old", "i").withColumnRenamed("new", "ni")), "i", "left") \
-            .join(F.broadcast(remap.withColumnRenamed("old", "j").withColumnRenamed("new", "nj")), "j", "left")
+        s = state.join(remap.withColumnRenamed("old", "i").withColumnRenamed("new", "ni"), "i", "left") \
+            .join(remap.withColumnRenamed("old", "j").withColumnRenamed("new", "nj"), "j", "left")
         s = s.select(F.coalesce("ni", "i").alias("i0"), F.coalesce("nj", "j").alias("j0"), "sd", "cnt")
         s = s.where(F.col("i0") != F.col("j0")).select(F.least("i0", "j0").alias("i"), F.greatest("i0", "j0").alias("j"),
                                                        "sd", "cnt")

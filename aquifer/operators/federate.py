@@ -10,6 +10,8 @@ Averaging between nodes reuses the relational operators of `network` on the long
 
 from __future__ import annotations
 
+import hashlib
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aquifer.functions import sigmoid
+from aquifer.functions import hash_uniform, sigmoid
 
 
 @dataclass
@@ -56,7 +58,7 @@ def _softplus(z):
 def _chain_pass(pdf: pd.DataFrame, spec: ChainSpec, weights: dict, pos_w: dict, rng_u: np.ndarray | None):
     """Gradient/loss sums of one partition for every (node, link)."""
     out = []
-    x_all = pdf[spec.features].to_numpy(dtype=float)
+    x_all = np.nan_to_num(pdf[spec.features].to_numpy(dtype=float), nan=0.0)  # missing: masked out (P16)
     y_all = pdf[spec.targets].to_numpy(dtype=float)
     nodes = pdf[spec.node].to_numpy()
     for n in np.unique(nodes):
@@ -83,22 +85,26 @@ def _chain_pass(pdf: pd.DataFrame, spec: ChainSpec, weights: dict, pos_w: dict,
     return out
 
 
-def _gradient_sums(df: DataFrame, spec: ChainSpec, weights: dict, pos_w: dict, width: int) -> list:
+def _gradient_sums(df: DataFrame, spec: ChainSpec, weights: dict, pos_w: dict, width: int, step: int = 0) -> list:
+    """Gradient sums of every (node, link); with forcing below 1, each row's draws for the step come from a hash of
+    the row, so a repeated task draws the same."""
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast((weights, pos_w))
     cols = [spec.node, *spec.features, *spec.targets]
+    draws = [f"_u{k}" for k in range(len(spec.targets))] if spec.forcing < 1 else []
 
     def run(it, bc=bc):
         w, pw = bc.value
         for pdf in it:
-            rows = _chain_pass(pdf, spec, w, pw, None)
+            rows = _chain_pass(pdf, spec, w, pw, pdf[draws].to_numpy(dtype=float) if draws else None)
             if rows:
                 yield pd.DataFrame({
                     "node": [r[0] for r in rows], "link": [r[1] for r in rows], "loss": [r[2] for r in rows],
                     "cells": [r[3] for r in rows],
                     "g": [r[4] + [0.0] * (width - len(r[4])) for r in rows]})
 
-    parts = df.select(*cols).mapInPandas(run, "node long, link int, loss double, cells long, g array<double>")
+    drawn = [hash_uniform(step * 1000 + k, *df.columns).alias(c) for k, c in enumerate(draws)]
+    parts = df.select(*cols, *drawn).mapInPandas(run, "node long, link int, loss double, cells long, g array<double>")
     agg = parts.groupBy("node", "link").agg(
         F.sum("loss").alias("loss"), F.sum("cells").alias("cells"),
         F.array(*[F.sum(F.col("g")[i]) for i in range(width)]).alias("g"))
@@ -134,9 +140,9 @@ def train_steps(df: DataFrame, model: ChainModel, steps: int = 10, lr: float = 0
     width = max(spec.width(k) for k in range(len(spec.targets)))
     pos_w = class_weights(df, spec)
     active = set(model.weights) if nodes is None else set(nodes) & set(model.weights)
-    for _ in range(steps):
+    for step in range(steps):
         w_active = {n: w for n, w in model.weights.items() if n in active}
-        rows = _gradient_sums(df, spec, w_active, pos_w, width)
+        rows = _gradient_sums(df, spec, w_active, pos_w, width, len(model.history))
         per_node: dict[int, dict] = {}
         for r in rows:
             per_node.setdefault(r["node"], {})[r["link"]] = r
@@ -189,9 +195,12 @@ def score_chain(df: DataFrame, model: ChainModel, keep: list[str], use_known: bo
 
 
 # ---------------------------------------------------------------- M7 / G19
-def lattice_draw(draw: Column, j: int) -> Column:
-    """Deterministic standard-ish perturbation for draw d and weight j (reproducible without RNG state)."""
-    return ((draw * 7 + j * 13) % 11 - 5) / 5.0
+def gaussian_draw(draw: int, j: int) -> float:
+    """Standard normal number of draw and weight j: Box-Muller over two uniform numbers from an md5 of the pair,
+    so that it needs no generator state and SQL can make the same."""
+    h = hashlib.md5(f"{draw}|{j}".encode()).hexdigest()
+    u1, u2 = (int(h[:12], 16) + 1) / (2 ** 48 + 1), int(h[12:24], 16) / 2 ** 48
+    return math.sqrt(-2 * math.log(u1)) * math.cos(2 * math.pi * u2)
 
 
 def predictive_moments(df: DataFrame, features: list[str], mu: list[float], sigma: list[float],
@@ -200,11 +209,13 @@ def predictive_moments(df: DataFrame, features: list[str], mu: list[float], sigm
     w_d = mu + sigma * z(d); computed per row with array functions (no shuffle, no Python)."""
     x = [F.col(c).cast("double") for c in features] + [F.lit(1.0)]
 
-    def p_of(d):
-        z = sum(((F.lit(mu[j]) + F.lit(sigma[j]) * lattice_draw(d, j)) * x[j] for j in range(len(x))), F.lit(0.0))
-        return sigmoid(z)
+    weights = F.array(*[F.array(*[F.lit(mu[j] + sigma[j] * gaussian_draw(d, j)) for j in range(len(x))])
+                        for d in range(n_draws)])  # n_draws x weights numbers
 
-    ps = F.transform(F.sequence(F.lit(0), F.lit(n_draws - 1)), p_of)
+    def p_of(w):
+        return sigmoid(sum((w[j] * x[j] for j in range(len(x))), F.lit(0.0)))
+
+    ps = F.transform(weights, p_of)
     mean = F.aggregate(ps, F.lit(0.0), lambda s, v: s + v) / n_draws
     out = df.withColumn("_ps", ps).withColumn("pred_mean", mean)
     var = F.aggregate(F.col("_ps"), F.lit(0.0), lambda s, v: s + (v - F.col("pred_mean")) * (v - F.col("pred_mean")))

@@ -27,11 +27,23 @@ def gbt(max_iter: int = 10, seed: int = 42) -> GBTClassifier:
                          subsamplingRate=0.8, featureSubsetStrategy="0.8", maxIter=max_iter, seed=seed)
 
 
+def fill_medians(train: DataFrame, test: DataFrame, features: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Missing features take the train median (0 for a column without values) on both sides."""
+    medians = train.agg(*[F.percentile_approx(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), 0.5, 100000).alias(c) for c in features]).first()
+    filled = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(float(medians[c] or 0.0))).alias(c) for c in features]
+
+    def fill(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(c) for c in df.columns if c not in features], *filled)
+
+    return fill(train), fill(test)
+
+
 def independent_gbt(train: DataFrame, test: DataFrame, features: list[str], targets: list[str],
                     max_iter: int = 10, min_labelled: int = 10):
     """M1/M3: one boosted-tree model per target; skipped with < min_labelled rows or one class.
     Returns (metrics DataFrame rows, feature-importance rows)."""
     spark = train.sparkSession
+    train, test = fill_medians(train, test, features)
     va = VectorAssembler(inputCols=features, outputCol="_x")
     metrics, imps = [], []
     for t in targets:
@@ -43,9 +55,9 @@ def independent_gbt(train: DataFrame, test: DataFrame, features: list[str], targ
         model = gbt(max_iter).fit(va.transform(_with_weights(tr, "_y")))
         pred = model.transform(va.transform(te)).select(F.lit(t).alias("analyte"), F.col("_y").alias("y"),
                                                         vector_to_array("probability")[1].alias("score"))
-        m = evaluate.ranking_metrics(pred, ["analyte"]).first()
+        m = evaluate.ranking_metrics(pred, ["analyte"]).first()  # None: no labelled test row
         pos_rate = te.agg(F.avg("_y")).first()[0]
-        metrics.append((t, m["auroc"], m["auprc"], int(g["n"]), int(te.count()), pos_rate))
+        metrics.append((t, m and m["auroc"], m and m["auprc"], int(g["n"]), int(te.count()), pos_rate))
         imps += [(t, f, float(v)) for f, v in zip(features, model.featureImportances.toArray())]
     mdf = spark.createDataFrame(metrics, "analyte string, auroc double, auprc double, n_train long, n_test long, "
                                          "pos_rate double")
@@ -58,6 +70,7 @@ def chain_gbt(train: DataFrame, test: DataFrame, features: list[str], chain: lis
     """M4: classifier chain -- each link's predicted probability is appended as a feature of the next
     link (a skipped link contributes a constant 0 column). Returns per-link test metrics."""
     spark = train.sparkSession
+    train, test = fill_medians(train, test, features)
     feats = list(features)
     out = []
     for t in chain:

@@ -208,7 +208,7 @@ def one_hot_long(df: DataFrame, cats: DataFrame, id_col: str, cols: list[str]) -
     """T7 in long form: (id, feature '<col>_<value>', 1.0) for each hot cell; unseen -> no row (all zeros)."""
     long = df.select(id_col, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot([id_col], cols, "col",
                                                                                           "value")
-    j = long.join(F.broadcast(cats), (long["col"] == cats["col"]) & long["value"].eqNullSafe(cats["value"]))
+    j = long.join(cats, (long["col"] == cats["col"]) & long["value"].eqNullSafe(cats["value"]))
     name = F.concat(long["col"], F.lit("_"), F.coalesce(long["value"], F.lit("nan")))
     return j.select(long[id_col], name.alias("feature"), F.lit(1.0).alias("value"))
 

@@ -154,10 +154,13 @@ def p_context_forcing(spark, d):
 , mf AS (SELECT well_id * 100000 + date_diff('day', DATE '2024-01-01', ts::DATE) AS sample_id, (well_id % 7) / 6.0 AS x0,
          (dayofweek(ts::DATE) + 1) / 7.0 AS x1, ln(1 + count(*)) AS x2, min(hour(ts)) / 23.0 AS x3
          FROM obs GROUP BY well_id, ts::DATE)
-, dr AS (SELECT sample_id, d, 1 / (1 + exp(-(
-    (0.5 + 0.1 * (((d * 7 + 0 * 13) % 11) - 5) / 5.0) * x0 + (-0.2 + 0.1 * (((d * 7 + 1 * 13) % 11) - 5) / 5.0) * x1 +
-    (0.1 + 0.1 * (((d * 7 + 2 * 13) % 11) - 5) / 5.0) * x2 + (0.3 + 0.1 * (((d * 7 + 3 * 13) % 11) - 5) / 5.0) * x3 +
-    (-1.0 + 0.2 * (((d * 7 + 4 * 13) % 11) - 5) / 5.0)))) AS p FROM mf, range(50) t(d))
+, z AS (SELECT d, j, sqrt(-2 * ln((('0x' || h[1:12])::BIGINT + 1) / (2::DOUBLE ** 48 + 1)))
+         * cos(2 * pi() * ('0x' || h[13:24])::BIGINT / 2::DOUBLE ** 48) AS g
+         FROM (SELECT d, j, md5(d::VARCHAR || '|' || j::VARCHAR) AS h FROM range(50) t(d), range(5) u(j)))
+, w AS (SELECT d, max(CASE WHEN j = 0 THEN 0.5 + 0.1 * g END) AS w0, max(CASE WHEN j = 1 THEN -0.2 + 0.1 * g END) AS w1,
+        max(CASE WHEN j = 2 THEN 0.1 + 0.1 * g END) AS w2, max(CASE WHEN j = 3 THEN 0.3 + 0.1 * g END) AS w3,
+        max(CASE WHEN j = 4 THEN -1.0 + 0.2 * g END) AS w4 FROM z GROUP BY d)
+, dr AS (SELECT sample_id, d, 1 / (1 + exp(-(w0 * x0 + w1 * x1 + w2 * x2 + w3 * x3 + w4))) AS p FROM mf, w)
 SELECT sample_id, round(avg(p), 6) AS pred_mean, round(stddev_samp(p), 6) AS pred_std,
   round(greatest(0.0, least(1.0, avg(p) - 2 * stddev_samp(p))), 6) AS lower,
   round(greatest(0.0, least(1.0, avg(p) + 2 * stddev_samp(p))), 6) AS upper FROM dr GROUP BY sample_id""")
@@ -236,11 +239,7 @@ def t_partition(spark, d):
     train split, applied to the test split; returns the test X_glob block (rows-only)."""
     from aquifer.operators import prepare
 
-    e = fx.env_covariates(spark, d)
-    part = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.col("p_type").alias("Texture_USDA"))
-    li = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey")
-    e = e.join(li, ["l_orderkey", "l_linenumber"]).join(part, F.col("l_partkey") == F.col("p_partkey"), "left") \
-        .drop("l_partkey", "p_partkey")
+    e = fx.env_covariates(spark, d, with_texture=True)
     roles = prepare.column_roles(e.columns, dict(e.dtypes))
     glob_num = [c for c, (r, k) in roles.items() if r == "global" and k == "num"]
     glob_cat = [c for c, (r, k) in roles.items() if r == "global" and k == "cat"]

@@ -114,9 +114,9 @@ def g_top_variance(spark, d):
 
 @query("c_variance_filter", S.with_(S.ENV, S.ENV_LONG) + """
 SELECT col, round(var_samp(x), 4) AS variance, count(x) AS n, coalesce(var_samp(x) > 1e-8, false) AS keep
-FROM env_long GROUP BY col""")
+FROM (SELECT col, x FROM env_long UNION ALL SELECT 'zero', 0.0 FROM env) GROUP BY col""")
 def c_variance_filter(spark, d):
-    v = profile.variance_filter(fx.env_covariates(spark, d).withColumn("zero", F.lit(0.0)), ENVC)
+    v = profile.variance_filter(fx.env_covariates(spark, d).withColumn("zero", F.lit(0.0)), [*ENVC, "zero"])
     return v.select("col", F.round("variance", 4).alias("variance"), "n", "keep")
 
 

@@ -56,12 +56,14 @@ def wide_samples(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def env_covariates(spark: SparkSession, d: str) -> DataFrame:
-    """FX3: environmental covariates per lineitem row (no unique key)."""
+def env_covariates(spark: SparkSession, d: str, with_texture: bool = False) -> DataFrame:
+    """FX3: environmental covariates per lineitem row (no unique key); with_texture adds the soil class."""
     li = read_table(spark, d, "lineitem")
-    part = read_table(spark, d, "part").select("p_partkey", "p_size")
+    texture = [F.col("p_type").alias("Texture_USDA")] if with_texture else []
+    part = read_table(spark, d, "part").select("p_partkey", "p_size", *texture)
     j = li.join(part, li.l_partkey == part.p_partkey, "left")
     return j.select(
+        *(["Texture_USDA"] if with_texture else []),
         "l_orderkey",
         "l_linenumber",
         F.col("l_extendedprice").alias("TDS"),

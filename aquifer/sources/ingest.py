@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +36,9 @@ def stage(spark: SparkSession, path: str, build, complete_col: str | None = None
         cached = spark.read.parquet(path)
         if complete_col is None or cached.where(F.col(complete_col).isin(*incomplete_values)).limit(1).count() == 0:
             return cached
-    except Exception:  # noqa: BLE001 - absent or unreadable stage: rebuild
-        pass
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise  # only an absent or empty stage is rebuilt
     build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

@@ -105,3 +105,37 @@ def test_forcing_rate_edges(spark):
     assert 0.3 < share < 0.8
     again = df.select(derive.known_label_context(df, "y", "score", ratio=0.5, keys=["k"]).alias("c")).collect()
     assert [r["c"] for r in again] == [r["c"] for r in half.select("c").collect()]
+
+
+def test_gradients_with_missing_features_and_forcing_do_not_depend_on_partitions(spark):
+    from aquifer.operators import federate
+
+    rng = np.random.default_rng(5)
+    rows = [(int(i % 2), None if i % 7 == 0 else float(rng.normal()), float(rng.normal()),
+             None if i % 5 == 0 else float(i % 3 == 0), float(i % 2)) for i in range(200)]
+    df = spark.createDataFrame(rows, "node_id int, a double, b double, t0 double, t1 double")
+    for forcing in (1.0, 0.5):
+        spec = federate.ChainSpec(["a", "b"], ["t0", "t1"], forcing=forcing)
+        got = []
+        for parts in (1, 7):
+            m = federate.train_steps(df.repartition(parts), federate.init_model(df, spec), steps=2)
+            got.append(np.concatenate([w for n in sorted(m.weights) for w in m.weights[n]]))
+            assert np.isfinite(got[-1]).all() and len(m.history) == 2
+        assert np.allclose(*got, atol=1e-9)
+
+
+def test_gaussian_draws_are_standard_normal():
+    from aquifer.operators.federate import gaussian_draw
+
+    x = np.array([gaussian_draw(d, j) for d in range(2000) for j in range(5)])
+    assert abs(x.mean()) < 0.02 and abs(x.std() - 1) < 0.03
+
+
+def test_tree_baseline_without_labelled_test_rows_and_with_missing_features(spark):
+    from aquifer.operators import models
+
+    rows = [(float(i % 9) if i % 4 else None, float(i % 5), float(i % 9 > 4)) for i in range(120)]
+    train = spark.createDataFrame(rows, "a double, b double, y double")
+    test = spark.createDataFrame([(1.0, 2.0, None)], "a double, b double, y double")
+    m, imp = models.independent_gbt(train, test, ["a", "b"], ["y"], max_iter=2)
+    assert [(r.auroc, r.n_test) for r in m.collect()] == [(None, 0)] and imp.count() == 2
