@@ -8,10 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from aquifer.llm import host_rules, huffman, jaccard_join, kneser_ney, licenses, mixing, neighbours, packing, page_text, toxicity
+from aquifer.llm.oracles import HOST_RULES, JACCARD_JOIN, MIXING
 from aquifer.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_host_rules": HOST_RULES, "op6_jaccard_join": JACCARD_JOIN, "op10_sainte_lague_mix": MIXING,
+}
 
 #: Folder of the public tokenizers' files, a parameter of the deployment.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
