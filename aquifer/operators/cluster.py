@@ -12,7 +12,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aquifer.functions import cosine
@@ -254,3 +254,29 @@ def pair_distances(matrix: DataFrame, key: str, feature: str = "feature", value:
     b = matrix.select(F.col(key).alias("j"), feature, F.col(value).alias("vb"))
     j = a.join(b, feature).where(F.col("i") < F.col("j"))
     return j.groupBy("i", "j").agg(F.sqrt(F.sum((F.col("va") - F.col("vb")) ** 2)).alias("d"))
+
+
+def codebook_groups(spark, code: np.ndarray, n_groups: int, linkage: str = "average") -> DataFrame:
+    """(neuron, grp) -- the neurons merged by agglomeration of the codebook into `n_groups` groups,
+    numbered from 0 by their smallest neuron. The codebook is bounded by its broadcast check, so its pairs are too."""
+    _check_broadcast(len(code) * len(code), "codebook pairs")
+    i, j = np.triu_indices(len(code), 1)
+    d = np.sqrt(((code[i] - code[j]) ** 2).sum(axis=1))
+    if len(code) == 1:
+        return spark.createDataFrame([(0, 0)], "neuron long, grp int")
+    pairs = spark.createDataFrame(pd.DataFrame({"i": i, "j": j, "d": d}))
+    labels = agglomerate(pairs, math.inf, linkage, n_clusters=n_groups)
+    first = Window.orderBy("cluster")  # one row per neuron
+    return labels.select(F.col("item").alias("neuron"), (F.dense_rank().over(first) - 1).cast("int").alias("grp"))
+
+
+def label_rows(df: DataFrame, vec: str, keep: list[str], n_groups: int, grid: int | None = None, epochs: int = 10,
+               seed: int = 42) -> DataFrame:
+    """C1 + C4 + C2 end to end: fit a map on the rows' vectors, merge its neurons into groups, and give every row its
+    neuron and its group. Rows without a vector get NULL for both."""
+    there = df.where(F.col(vec).isNotNull())
+    code, _ = batch_som(there.select(vec), vec, grid, epochs, seed=seed)
+    groups = codebook_groups(df.sparkSession, code, min(n_groups, len(code)))
+    labelled = som_assign(there, vec, code, keep).join(F.broadcast(groups), "neuron")  # one row per neuron
+    rest = df.where(F.col(vec).isNull()).select(*keep, F.lit(None).cast("long").alias("neuron"), F.lit(None).cast("int").alias("grp"))
+    return labelled.select(*keep, "neuron", "grp").unionByName(rest)

@@ -164,3 +164,19 @@ def c_prior_groups(spark, d):
     """C11: average-linkage order of the prior matrix cut to 3 groups (rows-only)."""
     return cluster.agglomerate(cluster.pair_distances(_prior(spark, d), "node_id"), float("inf"), "average",
                                n_clusters=3)
+
+
+@query("c_site_labels")
+def c_site_labels(spark, d):
+    """C2 end to end on the environment features: scaled, weighted, projected, mapped to neurons, and the neurons merged
+    into nine groups; every row gets its neuron and group (rows-only, property-tested)."""
+    from aquifer.operators import prepare
+
+    e = fx.env_covariates(spark, d)
+    plan = prepare.fit_scalers(e, fx.ENV_COLUMNS)
+    scaled = prepare.apply_scalers(e, plan, keep=["l_orderkey", "l_linenumber"])
+    weighted = cluster.weight_features(scaled, fx.ENV_COLUMNS, {"TDS": 2.0, "heavy": 0.5})
+    comps, mean, _ = cluster.fit_pca(weighted, fx.ENV_COLUMNS)
+    pcs = cluster.apply_pca(weighted, fx.ENV_COLUMNS, comps, mean, ["l_orderkey", "l_linenumber"])
+    vec = pcs.select("l_orderkey", "l_linenumber", F.array(*[F.col(f"pc{j}") for j in range(comps.shape[1])]).alias("vec"))
+    return cluster.label_rows(vec, "vec", ["l_orderkey", "l_linenumber"], n_groups=9, grid=6, epochs=10)

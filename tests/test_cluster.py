@@ -48,3 +48,20 @@ def test_assign_ties_and_empty(spark):
     assert out[1]["sim"] == 0.0 and out[1]["low_confidence"] is True
     none = cluster.assign_nearest(df, "v", []).collect()
     assert all(r["assigned"] == -1 for r in none)
+
+
+def test_rows_get_the_group_of_their_neuron(spark):
+    from aquifer.operators import cluster
+
+    rng = np.random.default_rng(3)
+    centres = np.array([[0.0, 0.0], [8.0, 0.0], [0.0, 8.0]])
+    rows = [(i, (centres[i % 3] + rng.normal(0, 0.3, 2)).tolist()) for i in range(600)] + [(600, None)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    got = cluster.label_rows(df, "vec", ["id"], n_groups=3, grid=4, epochs=8).toPandas().set_index("id")
+    assert len(got) == 601 and np.isnan(got.loc[600].grp)
+    assert got.dropna().groupby("neuron").grp.nunique().max() == 1 and set(got.grp.dropna()) <= {0, 1, 2}
+    for k in range(3):  # well separated clouds are never mixed with each other in a group
+        own = set(got.loc[[i for i in range(600) if i % 3 == k]].grp)
+        assert len(own) == 1
+    again = cluster.label_rows(df.repartition(7), "vec", ["id"], n_groups=3, grid=4, epochs=8).toPandas().set_index("id")
+    assert (again.grp.sort_index().dropna() == got.grp.sort_index().dropna()).all()
