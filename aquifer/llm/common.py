@@ -35,6 +35,12 @@ def freeze(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sent(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A frozen table of two or three numbers a row, marked to be sent to all tasks if it has up to `most` rows
+    (tens of MB); a larger one is joined by shuffling."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                 schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)

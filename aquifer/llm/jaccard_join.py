@@ -7,12 +7,14 @@ shingle and meet there. The other orders are random: a pair that met must also s
 each of them, and have sizes that allow t, before the sets are compared.
 
 Texts with equal sets form one class and are handled once. Within a shingle's list not all pairs are made:
-1. each class is compared with one list-mate, the smallest that heads a list it is in; what is linked
-   is joined into components;
-2. only lists that still hold several components are taken up again: all pairs of different components, each
+1. each class is compared with one list-mate: of the classes that are in most lists (an original is in more
+   than its altered copies), the one it shares most lists with; what is linked is joined into components;
+2. the same once more for the classes outside the largest component of a list, with a centre inside it;
+3. only lists that still hold several components are taken up again: all pairs of different components, each
    formed by a member outside the list's largest component. Pairs inside a component need no comparison,
    since only the components are asked for.
-No link between different components can be missed: every pair that reaches t shares a list.
+No link between different components can be missed: a pair that reaches t shares a list, at places early
+enough in both prefixes (the positional filter).
 
 Lists are never gathered: they arrive sorted and are read as a stream. Sets are 64-bit shingle hashes, and
 classes 64-bit set fingerprints.
@@ -29,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aquifer.llm.common import WordHashes, as_bytes, freeze, map_batches, mix64, ngram_hashes
+from aquifer.llm.common import WordHashes, as_bytes, freeze, map_batches, mix64, ngram_hashes, sent
 from aquifer.llm.graph import components
 
 SHINGLE = 5
@@ -40,21 +42,27 @@ CELLS = 1 << 22  # of the count sketch
 SLICES = 64
 
 
-def shingle_set(text: bytes, hashes: WordHashes) -> np.ndarray:
-    """Distinct shingle hashes, sorted; A-Z are lower-cased."""
-    words = hashes.of(text.lower().split())
-    if not len(words):
-        return np.empty(0, np.uint64)
-    return np.unique(ngram_hashes(words, min(SHINGLE, len(words))))
+def shingle_sets(texts: list[bytes], hashes: WordHashes) -> Iterator[np.ndarray]:
+    """Each text's distinct shingle hashes, sorted; A-Z are lower-cased."""
+    for lo in range(0, len(texts), 256):
+        words = [hashes.of(t.lower().split()) for t in texts[lo:lo + 256]]
+        grams = ngram_hashes(np.concatenate(words), SHINGLE)
+        at = 0
+        for w in words:
+            if len(w) >= SHINGLE:
+                s = np.sort(grams[at:at + len(w) - SHINGLE + 1])
+                yield s[np.append(True, s[1:] != s[:-1])]
+            else:
+                yield ngram_hashes(w, len(w)) if len(w) else w
+            at += len(w)
 
 
 def fingerprint(shingles: np.ndarray) -> int:
-    """64 bits of a set; 0 only for the empty set."""
+    """64 bits of a set; 0 only for the empty set. Shingle hashes are well mixed, so their sum and xor are too."""
     if not len(shingles):
         return 0
-    total = mix64(np.array([len(shingles)], np.uint64) + mix64(shingles).sum(dtype=np.uint64)
-                  ^ np.bitwise_xor.reduce(mix64(shingles + np.uint64(7))))
-    return int(total.view(np.int64)[0]) or 1
+    total = shingles.sum(dtype=np.uint64, keepdims=True) + mix64(np.bitwise_xor.reduce(shingles, keepdims=True))
+    return int(mix64(total + np.uint64(len(shingles))).view(np.int64)[0]) or 1
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -67,7 +75,9 @@ def order_by(shingles: np.ndarray, order: int) -> np.ndarray:
 
 
 def first_of(shingles: np.ndarray, rank: np.ndarray, n: int) -> np.ndarray:
-    return shingles[np.argpartition(rank, n - 1)[:n]] if n < len(shingles) else shingles
+    """The n shingles of lowest rank, in order of rank."""
+    some = np.argpartition(rank, n - 1)[:n] if n < len(shingles) else np.arange(len(shingles))
+    return shingles[some[np.argsort(rank[some])]]
 
 
 def profile(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray]:
@@ -80,8 +90,7 @@ def profile(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray
         for b in batches:
             key_type = b.column("key").type
             n, cls, held, waiting = [], [], [], 0
-            for t in as_bytes(b, "text"):
-                s = shingle_set(t, hashes)
+            for s in shingle_sets(as_bytes(b, "text"), hashes):
                 n.append(len(s))
                 cls.append(fingerprint(s))
                 held.append(s)
@@ -123,15 +132,14 @@ def cell_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def postings(docs: DataFrame, text: str, sketch: np.ndarray, percent: int) -> DataFrame:
-    """(token, cls, n): each class under the shingles of its prefix in the rare-first order."""
+    """(token, cls, n, pos): each class under the shingles of its prefix in the rare-first order."""
     counts = docs.sparkSession.sparkContext.broadcast(sketch)  # CELLS numbers of 16 bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, often = WordHashes(), set(), counts.value.astype(np.uint64) << np.uint64(48)
         for b in batches:
             token, cls, size = [], [], []
-            for t in as_bytes(b, "text"):
-                s = shingle_set(t, hashes)
+            for s in shingle_sets(as_bytes(b, "text"), hashes):
                 f = fingerprint(s)
                 if not len(s) or f in seen:
                     continue
@@ -144,59 +152,94 @@ def postings(docs: DataFrame, text: str, sketch: np.ndarray, percent: int) -> Da
                 again = [len(x) for x in token]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(token).view(np.int64)), pa.array(np.repeat(cls, again)),
-                     pa.array(np.repeat(size, again).astype(np.int32))], names=["token", "cls", "n"])
+                     pa.array(np.repeat(size, again).astype(np.int32)),
+                     pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in again]))],
+                    names=["token", "cls", "n", "pos"])
 
-    return map_batches(docs.select(F.col(text).alias("text")), run, "token long, cls long, n int")
+    return map_batches(docs.select(F.col(text).alias("text")), run, "token long, cls long, n int, pos int")
 
 
-def shared_lists(rows: DataFrame) -> DataFrame:
-    """(token, head, cls, n) of the lists with two classes or more; head: the list's smallest class, its size."""
+def shared_lists(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows of the lists (by token) with a list-mate of fitting size, each class once; frozen.
+
+    The rows of a list arrive by size, so a row has such a mate if one of its neighbours is one.
+    """
+    columns = ["token", "cls", "n", "pos"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (token, head, head's size, last class, is the head written)
+        last, kept = None, False  # the row before this batch, and whether it has been written
         for b in batches:
-            token, cls, n = (b.column(c).to_numpy() for c in ("token", "cls", "n"))
-            if not len(token):
+            if not b.num_rows:
                 continue
-            lead = 0 if last is None else 1
-            if lead:
-                token, cls = np.append(last[0], token), np.append(last[3], cls)
-                n = np.append(np.int32(0), n)
-            new_run = np.append(True, token[1:] != token[:-1])
-            fresh = new_run | np.append(True, cls[1:] != cls[:-1])
-            run_no = np.cumsum(new_run) - 1
-            begin = np.flatnonzero(new_run)
-            head, head_n = cls[begin], n[begin]
-            written = np.zeros(len(begin), bool)
-            if lead:
-                head[0], head_n[0], written[0] = last[1], last[2], last[4]
-            member = np.flatnonzero(fresh & ~new_run)
-            if lead:  # the first row repeats what the batch before has ended with
-                member = member[member > 0]
-            has = np.unique(run_no[member])
-            heads = has[~written[has]]
-            written[has] = True
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(token[begin][heads], token[member])),
-                 pa.array(np.append(head[heads], head[run_no[member]])),
-                 pa.array(np.append(head[heads], cls[member])),
-                 pa.array(np.append(head_n[heads], n[member]).astype(np.int32)),
-                 pa.array(np.append(head_n[heads], head_n[run_no[member]]).astype(np.int32))],
-                names=["token", "head", "cls", "n", "head_n"])
-            last = (token[-1], head[-1], head_n[-1], cls[-1], written[-1])
-
-    ordered = rows.repartition("token").sortWithinPartitions("token", "cls")
-    return freeze(map_batches(ordered, run, "token long, head long, cls long, n int, head_n int"), "jaccard-lists")
-
-
-def sets_of(docs: DataFrame, key: str, text: str, keys: DataFrame, percent: int, orders: int) -> DataFrame:
-    """(cls, shingles, prefixes) of the rows with these keys: sorted hashes, and the other orders' prefixes."""
-    chosen = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(keys, "key")
+            now = [b.column(c).to_numpy() for c in columns]
+            if last is not None:
+                now = [np.append(x, y) for x, y in zip(last, now)]
+            token, cls = now[:2]
+            fresh = np.append(True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1]))
+            now = [x[fresh] for x in now]
+            shared = has_mate(now[0], now[2], percent)
+            end_kept = bool(shared[-1]) or (len(shared) == 1 and kept)
+            if kept:
+                shared[0] = False
+            shared &= early_enough(*now[:1], *now[2:], percent)
+            yield pa.RecordBatch.from_arrays([pa.array(x[shared]) for x in now], names=columns)
+            last, kept = [x[-1:] for x in now], end_kept
+
+    ordered = rows.repartition("token").sortWithinPartitions("token", "n", "cls")
+    return freeze(map_batches(ordered, run, "token long, cls long, n int, pos int"), "jaccard-lists")
+
+
+def has_mate(token: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Rows, sorted by token and size, beside which a row of the same token has a fitting size."""
+    size = n.astype(np.int64)
+    alike = (token[1:] == token[:-1]) & (100 * size[:-1] >= percent * size[1:])
+    return np.append(False, alike) | np.append(alike, False)
+
+
+def early_enough(token: np.ndarray, n: np.ndarray, pos: np.ndarray, percent: int) -> np.ndarray:
+    """Rows that may hold the first common shingle with their smallest fitting mate, which allows the latest
+    place. Lists at the ends of the batch may go on, and pass."""
+    size = n.astype(np.int64)
+    run = np.cumsum(np.append(True, token[1:] != token[:-1])) - 1
+    wide = int(size.max()) + 1
+    mate = np.searchsorted(run * wide + size, run * wide - (-percent * size // 100), side="left")
+    mate = np.minimum(mate + (mate == np.arange(len(run))), len(run) - 1)
+    fits = (run[mate] == run) & (100 * np.minimum(size, size[mate]) >= percent * np.maximum(size, size[mate]))
+    last_place = size - -(-percent * (size + size[mate]) // (100 + percent))
+    return (fits & (pos <= last_place)) | (run == 0) | (run == run[-1])
+
+
+def may_link(percent: int, a: str, b: str) -> Column:
+    """Sizes and places that allow a pair, whose first common shingle this is, to reach the threshold: overlap
+    must be at least percent / (100 + percent) of the sizes' sum, and neither side has that many left before it."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    overlap = F.ceil(percent * (na + nb) / (100 + percent) - 1e-9)
+    return ((100 * F.least(na, nb) >= percent * F.greatest(na, nb))
+            & (F.col(f"{a}.pos") <= na - overlap) & (F.col(f"{b}.pos") <= nb - overlap))
+
+
+def best_partners(members: DataFrame, centres: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each member with the centre that it shares most lists with."""
+    votes = (members.alias("x").join(centres.alias("y"), "token")
+             .where((F.col("x.cls") != F.col("y.cls")) & may_link(percent, "x", "y"))
+             .groupBy(F.col("x.cls").alias("cls"), F.col("y.cls").alias("mate")).count())
+    best = votes.groupBy("cls").agg(F.max_by("mate", F.struct("count", "mate")).alias("mate"))
+    return freeze(best.select(F.least("cls", "mate").alias("a"), F.greatest("cls", "mate").alias("b")).distinct(),
+                  "jaccard-pairs")
+
+
+def sets_of(docs: DataFrame, key: str, text: str, pairs: DataFrame, classes: DataFrame, percent: int,
+            orders: int) -> DataFrame:
+    """(cls, shingles, prefixes) of the classes in `pairs`: sorted hashes, and the other orders' prefixes."""
+    members = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    keys = freeze(classes.join(members, "cls").where(F.col("named").isNotNull())
+                  .select(F.col("named").alias("key")).distinct(), "jaccard-keys")
+    chosen = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(sent(keys), "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            sets = [shingle_set(t, hashes) for t in as_bytes(b, "text")]
+            sets = list(shingle_sets(as_bytes(b, "text"), hashes))
             firsts = [b"".join(np.sort(first_of(s, order_by(s, k), prefix_size(len(s), percent))
                                        >> np.uint64(32)).astype("<u4").tobytes() for k in range(orders)) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -205,6 +248,10 @@ def sets_of(docs: DataFrame, key: str, text: str, keys: DataFrame, percent: int,
                 names=["cls", "shingles", "prefixes"])
 
     made = map_batches(chosen.select("text"), run, "cls long, shingles binary, prefixes binary")
+    made = freeze(made, "jaccard-chosen")
+    if made.count() == made.select("cls").distinct().count():
+        return made
+    # a key that several rows have
     return freeze(made.groupBy("cls").agg(F.first("shingles").alias("shingles"), F.first("prefixes").alias("prefixes")),
                   "jaccard-chosen")
 
@@ -240,35 +287,44 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, orders: int) -> Data
     return freeze(pairs, "jaccard-links")
 
 
+def still_split(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of the lists that hold several components, with each row's component `c` and the list's `most`."""
+    found = components(links).select(F.col("v").alias("cls"), "c")
+    labelled = lists.join(sent(found), "cls", "left").withColumn("c", F.coalesce("c", "cls")).repartition("token")
+    sizes = labelled.groupBy("token", "c").count()
+    split = sizes.groupBy("token").agg(
+        F.count(F.lit(1)).alias("several"), F.max_by("c", F.struct("count", "c")).alias("most")).where("several > 1")
+    return freeze(labelled.join(split.select("token", "most"), "token"), "jaccard-mixed")
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, orders: int = 2) -> DataFrame:
     """(key, n_shingles, component_id) of every row; the component is named by its smallest key."""
     rows, sketch = profile(docs, key, text)
     classes = freeze(rows.where("n > 0").groupBy("cls").agg(F.min("key").alias("named")), "jaccard-classes")
-    lists = shared_lists(postings(docs, text, sketch, percent))
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    met = lists.select("cls").distinct()
-    keys = classes.join(met, "cls").where(F.col("named").isNotNull()).select(F.col("named").alias("key")).distinct()
-    sets = sets_of(docs, key, text, keys, percent, orders)
-    first = freeze(lists.where((F.col("cls") != F.col("head")) & fits("n", "head_n")).groupBy("cls").agg(
-        F.min("head").alias("head")).select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b")).distinct(),
-        "jaccard-pairs")
-    links = linked(first, sets, percent, orders)
-    found = components(links)
-    labelled = lists.join(found.select(F.col("v").alias("cls"), "c"), "cls", "left").select(
-        "token", "cls", "n", F.coalesce("c", "cls").alias("c"))
-    split = labelled.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("token")
-    mixed = freeze(labelled.join(split, "token"), "jaccard-mixed")
-    largest = mixed.groupBy("token", "c").count().groupBy("token").agg(
-        F.max_by("c", F.struct("count", "c")).alias("most"))
-    outside = mixed.join(largest, "token").where(F.col("c") != F.col("most")).select(
-        "token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"), "most")
-    others = mixed.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    rest = (outside.join(others, "token")
-            .where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("most")) | (F.col("a") < F.col("b"))) & fits("na", "nb"))
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            .join(first, ["a", "b"], "left_anti"))
-    more = linked(freeze(rest, "jaccard-pairs"), sets, percent, orders)
-    found = components(links.unionByName(more))
+    lists = shared_lists(postings(docs, text, sketch, percent), percent)
+    degree = freeze(lists.groupBy("cls").agg(F.count(F.lit(1)).alias("lists")), "jaccard-degrees")
+    lists = lists.join(sent(degree), "cls")
+    member = F.struct("cls", "n", "pos")
+    check = lambda pairs: linked(pairs, sets_of(docs, key, text, pairs, classes, percent, orders), percent, orders)
+
+    by_token = lists.repartition("token")
+    centres = by_token.groupBy("token").agg(F.max_by(member, F.struct("lists", "cls")).alias("m")).select("token", "m.*")
+    tried = best_partners(by_token, centres, percent)
+    links = check(tried)
+    mixed = still_split(lists, links)
+    inner = mixed.where("c = most").groupBy("token").agg(
+        F.max_by(member, F.struct("lists", "cls")).alias("m")).select("token", "m.*")
+    again = best_partners(mixed.where("c <> most"), inner, percent)
+    links = links.unionByName(check(again))
+    tried = tried.unionByName(again)
+    mixed = still_split(lists, links)
+    x, y = mixed.where("c <> most").alias("x"), mixed.alias("y")
+    rest = (x.join(y, "token")
+            .where((F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.most")) | (F.col("x.cls") < F.col("y.cls")))
+                   & may_link(percent, "x", "y"))
+            .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+            .join(tried, ["a", "b"], "left_anti"))
+    found = components(links.unionByName(check(freeze(rest, "jaccard-pairs"))))
     named = classes.join(found.select(F.col("v").alias("cls"), "c"), "cls", "left").withColumn("c", F.coalesce("c", "cls"))
     names = named.groupBy("c").agg(F.min("named").alias("component_id"))
     of_class = freeze(named.join(names, "c").select("cls", "component_id"), "jaccard-names")
