@@ -304,13 +304,14 @@ def score_texts(net: Network | float, texts: list[bytes], words: Words, most: in
 def score(docs: DataFrame, net: Network | float, keep: list[str], text: str = "text") -> DataFrame:
     """`keep` columns of every row with its score."""
     sent = docs.sparkSession.sparkContext.broadcast(net)  # the table's size is fixed by BITS
-    narrow = docs.select(*keep, F.col(text).alias("__text"))
-    kept = [f for f in narrow.schema.fields if f.name != "__text"]
+    read = text if text in keep else "__text"  # a text that is kept anyway is not sent twice
+    narrow = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias(read))
+    kept = [narrow.schema[c] for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in batches:
-            got = score_texts(sent.value, as_bytes(b, "__text"), words)
+            got = score_texts(sent.value, as_bytes(b, read), words)
             yield pa.RecordBatch.from_arrays([b.column(f.name) for f in kept] + [pa.array(got, pa.float64())],
                                              names=[*(f.name for f in kept), "score"])
 

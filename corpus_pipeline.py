@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aquifer.llm import host_rules, jaccard_join, mixing, packing, toxicity
-from aquifer.llm.common import freeze, keyed, shared_folder
+from aquifer.llm.common import freeze, keyed, sent, shared_folder
 from aquifer.llm.queries import TOKENIZERS
 from aquifer.sources.tables import read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     net = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs.withColumn("__judged", F.col("text")), net, docs.columns, "__judged")
+    scored = toxicity.score(docs, net, docs.columns)
     return scored.where(F.col("score") < 0.5).select(*docs.columns)
 
 
@@ -48,11 +48,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, f"{TOKENIZERS}/word_bpe_49k.json", end_id=1)
 
 
-def without(rows: DataFrame, key: str, bad: DataFrame, most_sent: int = 1_000_000) -> DataFrame:
-    """Rows whose key is not in `bad`. Up to `most_sent` keys go to the rows (8 MB); more are joined by shuffling."""
-    bad = freeze(bad, "dropped")
-    if bad.count() <= most_sent:
-        bad = F.broadcast(bad)
+def without(rows: DataFrame, key: str, bad: DataFrame) -> DataFrame:
+    """Rows whose key is not in `bad`."""
+    bad = sent(freeze(bad, "dropped"))
     return rows.join(bad, F.col(key) == F.col("__bad"), "left_anti")
 
 
