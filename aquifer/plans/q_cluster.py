@@ -15,19 +15,19 @@ W = {"TDS": 1.0, "FE": 4.0, "SO4": 3.0, "MN": 2.0}
 
 @query("c_weighted", S.with_(S.ENV) + """
 SELECT l_orderkey, l_linenumber, round(TDS * sqrt(1.0), 6) AS TDS, round(FE * sqrt(4.0), 6) AS FE,
-  round(SO4 * sqrt(3.0), 6) AS SO4, round(MN * sqrt(2.0), 6) AS MN, round(NO3N, 6) AS NO3N FROM env""")
+  round(SO4 * sqrt(3.0), 6) AS SO4, round(MN * sqrt(2.0), 6) AS MN, round(NO3N, 6) AS NO3N, round(heavy, 6) AS heavy FROM env""")
 def c_weighted(spark, d):
     """Features scaled by sqrt(weight) before PCA (unlisted -> weight 1)."""
-    e = fx.env_covariates(spark, d).select("l_orderkey", "l_linenumber", "TDS", "FE", "SO4", "MN", "NO3N")
-    w = cluster.weight_features(e, ["TDS", "FE", "SO4", "MN", "NO3N"], W)
-    return w.select("l_orderkey", "l_linenumber", *[r6(c).alias(c) for c in ["TDS", "FE", "SO4", "MN", "NO3N"]])
+    e = fx.env_covariates(spark, d).select("l_orderkey", "l_linenumber", *fx.ENV_COLUMNS)
+    w = cluster.weight_features(e, fx.ENV_COLUMNS, W)
+    return w.select("l_orderkey", "l_linenumber", *[r6(c).alias(c) for c in fx.ENV_COLUMNS])
 
 
 @query("c_pca")
 def c_pca(spark, d):
     """Centred PCA fitted on train rows, applied to all rows (rows-only; variance checked in tests)."""
     e = fx.env_covariates(spark, d)
-    cols = ["TDS", "FE", "SO4", "MN", "NO3N"]
+    cols = fx.ENV_COLUMNS
     comps, mean, _ = cluster.fit_pca(e.where(F.col("l_orderkey") % 5 != 0), cols)
     return cluster.apply_pca(e, cols, comps, mean, ["l_orderkey", "l_linenumber", "node_id"])
 

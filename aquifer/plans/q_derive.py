@@ -129,11 +129,11 @@ def p_pivot(spark, d):
 
 
 @query("p_all_missing", S.with_(S.OBS, S.WIDE) + """
-SELECT sample_id, (click IS NULL AND error IS NULL AND purchase IS NULL) AS all_missing,
+SELECT sample_id, (click IS NULL AND error IS NULL AND purchase IS NULL AND signup IS NULL AND view IS NULL) AS all_missing,
        (click IS NOT NULL AND error IS NOT NULL AND purchase IS NOT NULL AND signup IS NOT NULL
         AND view IS NOT NULL) AS complete FROM wide""")
 def p_all_missing(spark, d):
-    w = derive.all_missing_flag(fx.wide_samples(spark, d), ["click", "error", "purchase"])
+    w = derive.all_missing_flag(fx.wide_samples(spark, d), AN)
     complete = F.lit(True)
     for a in AN:
         complete = complete & F.col(a).isNotNull()
@@ -142,11 +142,10 @@ def p_all_missing(spark, d):
 
 @query("p_node_has_label", S.with_(S.OBS, S.THR, S.LABELLED) + """
 SELECT well_id % 10 AS node_id, bool_or(y IS NOT NULL) AS has_label, count(y) AS n_labelled
-FROM labelled WHERE analyte IN ('view', 'signup') OR well_id % 10 <> 3 GROUP BY well_id % 10""")
+FROM labelled GROUP BY well_id % 10""")
 def p_node_has_label(spark, d):
-    """P14 node test: does the node have any label? (node 3 keeps only unlabelled-or-signup rows)."""
+    """P14 node test: does the node have any label?"""
     lab = derive.label_exceedance(fx.obs_long(spark, d), fx.fx_thresholds(spark))
-    lab = lab.where(F.col("analyte").isin("view", "signup") | (F.col("well_id") % 10 != 3))
     return lab.groupBy((F.col("well_id") % 10).alias("node_id")).agg(
         F.bool_or(F.col("y").isNotNull()).alias("has_label"), F.count("y").alias("n_labelled"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aquifer.functions import r6
-from aquifer.operators import evaluate, federate, models, network
+from aquifer.operators import evaluate, federate, models, network, prepare
 from aquifer.plans import sql as S
 from aquifer.plans.registry import query
 from aquifer.sources import fixtures as fx
@@ -16,8 +16,8 @@ TARGETS = [f"y_{a}" for a in fx.MODEL_TARGETS]
 
 def _split(spark, d):
     m = fx.model_frame(spark, d)
-    cut = "2024-01-25"
-    return m.where(F.col("day") < F.lit(cut).cast("date")), m.where(F.col("day") >= F.lit(cut).cast("date"))
+    s = prepare.chronological_split(m, "day", "sample_id", 0.8)
+    return s.where("split = 'train'").drop("split"), s.where("split = 'test'").drop("split")
 
 
 @query("m_gbt_independent")
@@ -32,7 +32,7 @@ def m_gbt_independent(spark, d):
 def m_importance(spark, d):
     """Feature importances of the per-analyte trees, ranked (rows-only)."""
     tr, te = _split(spark, d)
-    _, imp = models.independent_gbt(tr, te, FEATS, TARGETS[:2], max_iter=5)
+    _, imp = models.independent_gbt(tr, te, FEATS, TARGETS, max_iter=10)
     from pyspark.sql import Window
 
     return imp.withColumn("rank", F.row_number().over(Window.partitionBy("analyte").orderBy(F.desc("importance"))))
@@ -225,7 +225,7 @@ def m_tree_grid(spark, d):
     out = []
     for cfg in grid:
         iters = cfg[base.maxIter]
-        m, _ = models.independent_gbt(tr, te, FEATS, TARGETS[:1], max_iter=iters)
+        m, _ = models.independent_gbt(tr, te, FEATS, TARGETS, max_iter=iters)
         out.append(m.withColumn("n_trees", F.lit(iters)))
     res = out[0]
     for o in out[1:]:
@@ -237,8 +237,6 @@ def m_tree_grid(spark, d):
 def t_partition(spark, d):
     """Role catalog -> global/local numeric + categorical blocks, scalers and encoders fitted on the
     train split, applied to the test split; returns the test X_glob block (rows-only)."""
-    from aquifer.operators import prepare
-
     e = fx.env_covariates(spark, d, with_texture=True)
     roles = prepare.column_roles(e.columns, dict(e.dtypes))
     glob_num = [c for c, (r, k) in roles.items() if r == "global" and k == "num"]

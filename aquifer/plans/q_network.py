@@ -358,10 +358,9 @@ def j_local_chain(spark, d):
 
 
 @query("x_analytes", S.with_(S.OBS, S.THR, S.LABELLED) + """
-SELECT DISTINCT analyte FROM labelled WHERE y IS NOT NULL AND well_id % 10 IN (1, 2)""")
+SELECT DISTINCT analyte FROM labelled WHERE y IS NOT NULL""")
 def x_analytes(spark, d):
-    """Union of the labelled analytes of two nodes, de-duplicated."""
+    """Union of the labelled analytes of all nodes, de-duplicated."""
     lab = derive.label_exceedance(fx.obs_long(spark, d), fx.fx_thresholds(spark)).where(F.col("y").isNotNull())
-    a = lab.where(F.col("well_id") % 10 == 1).select("analyte")
-    b = lab.where(F.col("well_id") % 10 == 2).select("analyte")
-    return a.union(b).distinct()
+    by_node = lab.select((F.col("well_id") % 10).alias("node_id"), "analyte").distinct()
+    return by_node.select("analyte").distinct()
