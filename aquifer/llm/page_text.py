@@ -282,6 +282,18 @@ def main_text(page: str, template: list[tuple[int, int, float]] | None, most_com
     return " ".join(blocks)
 
 
+def with_template(pages: DataFrame, found: DataFrame, most_tokens: int = 1_000_000, salts: int = 32) -> DataFrame:
+    """Pages with their host's template. Templates of up to `most_tokens` tokens in all (about 40 MB) are sent to the
+    pages, which stay where they are; more are joined by host and salt, so that a large host's pages spread."""
+    found = freeze(found, "page-templates")
+    tokens = found.agg(F.sum(F.size("template"))).first()[0] or 0
+    if tokens <= most_tokens:
+        return pages.join(F.broadcast(found), "host", "left")
+    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return pages.withColumn("salt", F.pmod(F.xxhash64("html", "url"), F.lit(salts)).cast("int")).join(
+        salted, ["host", "salt"], "left")
+
+
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup: str = "html", least_pages: int = 4,
             most_common: float = 0.2) -> DataFrame:
     """page_id, url, text and n_chars of every row."""
@@ -289,7 +301,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup
     found = templates(rows, least_pages)
     # the same host name as host_of, for the join
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][\w+.\-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1))
-    joined = rows.withColumn("host", host).join(found, "host", "left").select("page_id", "url", "html", "template")
+    joined = with_template(rows.withColumn("host", host), found).select("page_id", "url", "html", "template")
     kind = pages.schema[page_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
