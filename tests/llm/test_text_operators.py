@@ -189,6 +189,8 @@ def test_page_text_template_of_a_host(spark):
     assert got[40].text == f"One Written by our staff {body[1]}" and got[41].text == got[42].text == ""
     assert all(r.n_chars == len(r.text) for r in got.values())
     assert page_text.extract(df.limit(0)).count() == 0
+    salted = page_text.with_template(df.selectExpr("*", "'h.example' AS host"), page_text.templates(df, 4), most_tokens=0)
+    assert salted.where("size(template) > 0").count() == len(rows)
 
 
 def test_template_classes_must_be_ordered():
