@@ -161,14 +161,15 @@ def mixed(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars",
         F.col(f"keep_{row}").alias("__row"), F.col("size").alias("__size"), "start", "end", "shard_size", "blocks",
         "quota", "turn")
     whole = frozen.select(F.col(row).alias("__row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
-    both = whole.join(laid, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.lit(max_copies))))
+    old = F.col("__doc").getField(text)
+    # the words are taken apart once, below the explode: inside the lambda they would be for every block
+    both = whole.join(laid, "__row").withColumn("__words", F.regexp_extract_all(old, F.lit(WORD), F.lit(0))).withColumn(
+        "__copy", F.explode(F.sequence(F.lit(1), F.lit(max_copies))))
     spans = F.filter(block_range(), lambda i: copies(i) >= F.col("__copy"))
     words = F.flatten(F.transform(F.col("__spans"), lambda i: F.slice(
         F.col("__words"), (block_start(i) - F.col("start") + 1).cast("int"),
         (block_end(i) - block_start(i)).cast("int"))))
-    old = F.col("__doc").getField(text)
     got = (both.withColumn("__spans", spans).where(F.size("__spans") > 0)
-           .withColumn("__words", F.regexp_extract_all(old, F.lit(WORD), F.lit(0)))
            .withColumn("__got", words).where(F.size("__got") > 0))
     out = F.when(F.size("__got") == F.col("__size"), old).otherwise(F.array_join("__got", " "))
     fields = {c: F.col("__doc").getField(c) for c in docs.columns} | {text: out}
