@@ -43,7 +43,13 @@ def sent(df: DataFrame, most: int = 1_000_000) -> DataFrame:
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
                 schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+    """mapInArrow, after which the worker gives back the memory that Arrow holds in reserve."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def fold(doc_id: Column, folds: int = 5) -> Column:
@@ -77,7 +83,7 @@ def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
 class WordHashes(dict):
     """bytes of a word -> 64-bit hash; remembers up to `limit` words, then starts anew."""
 
-    limit = 1_000_000
+    limit = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:

@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from aquifer.llm.common import as_bytes, freeze, map_batches, shared_folder
+from aquifer.llm.common import as_bytes, freeze, map_batches, shared_folder, slices
 from aquifer.llm.tokens import encoder, narrow, widen
 
 MAGIC = b"AQHUF1"
@@ -147,7 +147,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, text: str, doc_id: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer, drops_space=False)
         end = np.array([end_id], np.uint32).tobytes()
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, "text")):
             ids = [np.frombuffer(x + end, np.uint32) for x in coder.encode(as_bytes(b, "text"))]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()),

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aquifer.llm.common import WordHashes, as_bytes, freeze, map_batches, mix64, ngram_hashes, sent
+from aquifer.llm.common import WordHashes, as_bytes, freeze, map_batches, mix64, ngram_hashes, sent, slices
 from aquifer.llm.graph import components
 
 SHINGLE = 5
@@ -87,7 +87,7 @@ def profile(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, np.ndarray
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, total, key_type = WordHashes(), np.zeros(CELLS, np.uint32), None
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, "text", 2_000_000)):
             key_type = b.column("key").type
             n, cls, held, waiting = [], [], [], 0
             for s in shingle_sets(as_bytes(b, "text"), hashes):
@@ -137,7 +137,7 @@ def postings(docs: DataFrame, text: str, sketch: np.ndarray, percent: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen, often = WordHashes(), set(), counts.value.astype(np.uint64) << np.uint64(48)
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, "text", 2_000_000)):
             token, cls, size = [], [], []
             for s in shingle_sets(as_bytes(b, "text"), hashes):
                 f = fingerprint(s)
@@ -238,7 +238,7 @@ def sets_of(docs: DataFrame, key: str, text: str, pairs: DataFrame, classes: Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, "text", 2_000_000)):
             sets = list(shingle_sets(as_bytes(b, "text"), hashes))
             firsts = [b"".join(np.sort(first_of(s, order_by(s, k), prefix_size(len(s), percent))
                                        >> np.uint64(32)).astype("<u4").tobytes() for k in range(orders)) for s in sets]

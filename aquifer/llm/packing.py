@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aquifer.llm.common import as_bytes, freeze, map_batches
+from aquifer.llm.common import as_bytes, freeze, map_batches, slices
 from aquifer.llm.tokens import encoder, narrow, widen
 
 PIECES = ("doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -106,7 +106,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, text: str, doc_id: s
         end = np.array([end_id], np.uint32).tobytes()
         part = TaskContext.get().partitionId()
         before: dict[str, int] = {}
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, "text")):
             places, sizes, stored = [], [], []
             for queue, ids in zip(b.column("queue").to_pylist(), coder.encode(as_bytes(b, "text"))):
                 got = np.frombuffer(ids + end, np.uint32)

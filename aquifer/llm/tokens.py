@@ -11,16 +11,21 @@ from __future__ import annotations
 import array
 import os
 import re
-from collections.abc import Iterator
 
 import numpy as np
 
 #: A chunk: ASCII white space and what follows it, or white space at the end.
 CHUNK = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
-#: UTF-8 of white space outside the six, and of separators that libraries disagree about (general
-#: punctuation e2 80 as a whole: such texts are looked at closely).
+#: UTF-8 of white space outside the six, and of separators that libraries disagree about; and the first bytes that
+#: those have in general punctuation, of which there are many.
 RARE = [*(bytes([c]) for c in range(0x1C, 0x20)), b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f",
-        b"\xe3\x80\x80", b"\xef\xbb\xbf", *(b"\xe2\x80" + bytes([c]) for c in (*range(0x80, 0x8C), 0xA8, 0xA9, 0xAF))]
+        b"\xe3\x80\x80", b"\xef\xbb\xbf"]
+PUNCTUATION = b"\xe2\x80"
+RARE_PUNCTUATION = [PUNCTUATION + bytes([c]) for c in (*range(0x80, 0x8C), 0xA8, 0xA9, 0xAF)]
+
+
+def rare(text: bytes) -> bool:
+    return any(map(text.__contains__, RARE)) or PUNCTUATION in text and any(map(text.__contains__, RARE_PUNCTUATION))
 
 
 class Encoder(dict):
@@ -30,7 +35,7 @@ class Encoder(dict):
     limit: chunks in each of the two generations that are remembered.
     """
 
-    def __init__(self, path: str, drops_space: bool, limit: int = 500_000):
+    def __init__(self, path: str, drops_space: bool, limit: int = 150_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -52,25 +57,13 @@ class Encoder(dict):
         got = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
         return [array.array("I", e.ids).tobytes() for e in got]
 
-    def encode(self, texts: list[bytes], most: int = 1_000_000) -> Iterator[bytes]:
-        """The ids of each text, in order; texts are taken up to about `most` bytes at a time."""
-        at = 0
-        while at < len(texts):
-            end, held = at, 0
-            while end < len(texts) and (end == at or held + len(texts[end]) <= most):
-                held += len(texts[end])
-                end += 1
-            yield from self._some(texts[at:end])
-            at = end
-
-    def _some(self, texts: list[bytes]) -> list[bytes]:
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text, in order."""
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
-        rare = [any(map(t.__contains__, RARE)) for t in texts]
-        parts = [self.library([t]) if r else
-                 list(map(self.__getitem__, t.split() if self.drops_space else CHUNK.findall(t)))
-                 for t, r in zip(texts, rare)]
+        parts = [self.library([t]) if rare(t) else
+                 list(map(self.__getitem__, t.split() if self.drops_space else CHUNK.findall(t))) for t in texts]
         new = list(self.asked)
         for chunk, ids in zip(new, self.library(new)):
             self.asked[chunk] += ids

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aquifer.llm.common import as_bytes, fold, map_batches
+from aquifer.llm.common import as_bytes, fold, map_batches, slices
 
 WORDS = re.compile(rb"[a-z0-9\x80-\xff]+")
 
@@ -60,7 +60,7 @@ class Words(dict):
     marks = _language_bits()
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 150_000:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word)
         first, second = h & (1 << BITS) - 1, (h >> BITS & (1 << BITS) - 1) + (1 << BITS)
@@ -310,7 +310,7 @@ def score(docs: DataFrame, net: Network | float, keep: list[str], text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for b in batches:
+        for b in (s for batch in batches for s in slices(batch, read, 2_000_000)):
             got = score_texts(sent.value, as_bytes(b, read), words)
             yield pa.RecordBatch.from_arrays([b.column(f.name) for f in kept] + [pa.array(got, pa.float64())],
                                              names=[*(f.name for f in kept), "score"])
