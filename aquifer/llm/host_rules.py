@@ -8,6 +8,11 @@ break that rule by habit. The verdicts are joined back: a document goes if it fa
 its host breaks by habit, or `many` soft rules whatever its host. A document that passes every rule
 is always kept.
 
+The bound of a habit is a fixed rate or, with `habit` None, follows from the fitted prior: the lower quartile of
+the domain's posterior rate lies above the corpus mean (odds of three to one that the domain is worse). Where
+the domains differ by no more than chance, none has a habit. With `gross`, a failure of one soft rule by far
+rejects on any host.
+
 Edge cases: a null text has no words and fails the length rule; a null domain is a domain of its own;
 repeated rows are judged each for itself, alike; an empty table gives an empty result; columns of other
 names are carried by `judge` only if they are listed in `keep`.
@@ -34,6 +39,15 @@ SOFT_RULES = {
     "repeats": "5 * n_repeat_words > n_words",
     "word_length": "word_chars < 2 * n_words or word_chars > 14 * n_words",
 }
+#: The same rules failed by far: a symbol a word, a repeated line for every five words, a third of the words repeated, and
+#: words that no language has.
+GROSS_RULES = {
+    "symbols": "n_symbols > n_words",
+    "dup_lines": "n_dup_lines >= 3 and 5 * n_dup_lines > n_words",
+    "repeats": "3 * n_repeat_words > n_words",
+    "word_length": "2 * word_chars < 3 * n_words or word_chars > 25 * n_words",
+}
+LOWER_QUARTILE = 0.6745  # of a normal posterior, in standard deviations below its mean
 BASE_RULE = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
 
@@ -92,7 +106,7 @@ def measured(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
 
 
 def host_rates(rows: DataFrame, domain: str) -> DataFrame:
-    """One row per (domain, rule): documents, failures, raw and shrunk failure rate.
+    """One row per (domain, rule): documents, failures, raw and shrunk failure rate, the rate's lower quartile, corpus mean.
 
     The beta prior of a rule has the mean of the whole corpus and the size that the spread of the domains'
     rates, weighted by their documents and less their sampling noise, asks for.
@@ -109,25 +123,34 @@ def host_rates(rows: DataFrame, domain: str) -> DataFrame:
     spread = F.greatest(F.col("square") / F.col("total") - F.col("mu") * F.col("mu") - noise, F.lit(1e-9))
     strength = F.least(F.greatest(F.col("mu") * (1 - F.col("mu")) / spread - 1, F.lit(1.0)), F.lit(1e6))
     prior = prior.select("rule", "mu", strength.alias("strength"))
+    shrunk = (F.col("failures") + F.col("mu") * F.col("strength")) / (F.col("n") + F.col("strength"))
+    deviation = F.sqrt(F.col("shrunk") * (1 - F.col("shrunk")) / (F.col("n") + F.col("strength") + 1))
     return stacked.join(prior, "rule").select(
-        "domain", "rule", "n", "failures", (F.col("failures") / F.col("n")).alias("rate"),
-        ((F.col("failures") + F.col("mu") * F.col("strength")) / (F.col("n") + F.col("strength"))).alias("shrunk"))
+        "domain", "rule", "n", "failures", (F.col("failures") / F.col("n")).alias("rate"), shrunk.alias("shrunk"),
+        "mu", "strength").select(
+        "domain", "rule", "n", "failures", "rate", "shrunk", (F.col("shrunk") - LOWER_QUARTILE * deviation).alias("low"), "mu")
 
 
 def judge(docs: DataFrame, domain: str = "source", text: str = "text", keep: list[str] = ["doc_id"],
-          habit: float = 0.4, many: int = 3) -> DataFrame:
+          habit: float | None = 0.4, many: int = 3, gross: bool = False) -> DataFrame:
     """Every row's measures, `base_failed` and `kept`.
 
-    habit: a domain whose shrunk failure rate of a soft rule is above this breaks the rule by habit.
+    habit: a domain whose shrunk failure rate of a soft rule is above this breaks the rule by habit; None: the bound
+        that follows from the fitted prior.
     many: so many soft failures reject a document on any host.
+    gross: a gross failure of one soft rule rejects a document on any host.
     """
     carried = [F.col(c) for c in keep] + [F.col(domain).alias("__domain")]
     rows = measured(docs.select(*carried, F.col(text).alias("__raw")), [*keep, "__domain"], "__raw")
-    verdicts = (host_rates(rows, "__domain").where(F.col("shrunk") > habit)
+    bound = F.col("low") > F.col("mu") if habit is None else F.col("shrunk") > habit
+    verdicts = (host_rates(rows, "__domain").where(bound)
                 .groupBy("domain").agg(F.collect_set("rule").alias("habits")))  # at most one entry per rule
     failed = F.filter(F.array(*[F.when(F.expr(cond), F.lit(rule)) for rule, cond in SOFT_RULES.items()]),
                       lambda x: x.isNotNull())
     joined = rows.join(verdicts, rows["__domain"].eqNullSafe(verdicts["domain"]), "left")
     base = F.expr(BASE_RULE)
     bad = F.coalesce(F.arrays_overlap(failed, F.col("habits")), F.lit(False)) | (F.size(failed) >= many)
+    if gross:
+        for cond in GROSS_RULES.values():
+            bad |= F.expr(cond)
     return joined.select(*keep, *MEASURES, base.alias("base_failed"), (~base & ~bad).alias("kept"))

@@ -1,7 +1,8 @@
 """A cleaning pipeline over `documents`: each stage reads what the stage before has written.
 
 1. toxicity: documents that the classifier predicts toxic go.
-2. quality rules: documents that the rules or their host's record reject go.
+2. quality rules: documents that the rules, a gross failure of one, or their host's record (bound from the fitted prior)
+   reject go.
 3. n-gram Jaccard join: of each group of near duplicates the document with the smallest id stays.
 4. mixing: sources are mixed to their target weights; a row for each copy that is taken.
 5. packing: the mix as pieces of sequences of 2048 tokens.
@@ -29,7 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, key = keyed(docs)
-    bad = host_rules.judge(rows, keep=[key]).where("not kept").select(F.col(key).alias("__bad"))
+    bad = host_rules.judge(rows, keep=[key], habit=None, gross=True).where("not kept").select(F.col(key).alias("__bad"))
     return without(rows, key, bad).select(*docs.columns)
 
 

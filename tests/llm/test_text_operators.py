@@ -47,8 +47,27 @@ def test_host_record_decides_soft_failures(spark):
     assert r.rate > r.shrunk > 0.4 and rates[("good", "symbols")].shrunk < 0.1
 
 
+def test_host_bound_follows_from_the_prior(spark):
+    """Mild failures go on the worse host (a fifth of its rows), stay on the others; gross ones go on any host."""
+    def mild(i):
+        return " ".join(w + "#" * (k % 4 > 0) for k, w in enumerate(prose(i, 90).split()))
+
+    junk = prose(1, 90).replace(" ", "### ")
+    rows = [(i, mild(i) if i < 40 else prose(i, 90), "worse") for i in range(200)]
+    rows += [(1000 + i, mild(i) if i % 100 == 0 else prose(i, 90), f"h{i % 8}") for i in range(800)]
+    rows += [(5000, junk, "h1"), (5001, None, None), (5002, prose(3, 90), "worse")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r.doc_id: r.kept for r in host_rules.judge(docs, habit=None, gross=True).collect()}
+    assert not any(kept[i] for i in range(40)) and all(kept[i] for i in range(40, 200)) and kept[5002]
+    assert all(kept[1000 + i] for i in range(800)) and not kept[5000] and not kept[5001]
+    import corpus_pipeline
+    good = {r.doc_id for r in corpus_pipeline.drop_low_quality(spark, docs, "").collect()}
+    assert good == {k for k, v in kept.items() if v}
+
+
 def test_host_rules_empty(no_docs):
     assert host_rules.judge(no_docs).count() == 0
+    assert host_rules.judge(no_docs, habit=None, gross=True).count() == 0
 
 
 def brute_kneser_ney(train, texts, n):
