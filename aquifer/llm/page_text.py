@@ -2,8 +2,9 @@
 
 A page is a sequence of tokens: tags and text runs, each with the path of elements around it. Over the pages of a
 host, tokens with the same occurrence vector (how often they occur on which page) form an equivalence class. A
-class is part of the template if it is frequent (on every page of a host of `least_pages` or more), large (two
-tokens or more) and, on the page at hand, ordered (its tokens follow each other in one order, once or in
+class is part of the template if it is frequent (on `least_pages` pages or more, and on a share of `support` of the
+host's pages that hold tokens; a share of `layout` is enough for a class with tags, which tell a layout of its own from
+a passage that many articles quote), large (two tokens or more) and, on the page at hand, ordered (its tokens follow each other in one order, once or in
 rounds) and nested (each of its rounds lies in one gap of the classes found before, or encloses whole ones). What
 lies between the template's tokens are the slots; a run of text that is itself a template token is no content. Slots
 that belong to a menu, header, footer, sidebar, notice, advert, form, script, style or reader comments, told from
@@ -13,9 +14,9 @@ Vectors are compared as 64-bit sums over pages, so that a host's pages are never
 and one line a (host, token) is shuffled. Pages on smaller hosts have no template but their paths.
 
 Safe side: where template runs make up more than `most_common` of an article's text (copies of one article on a host),
-they are kept.
+only those on nearly all of the host's pages (a share of `ALWAYS`) go, and none if these are too many as well.
 
-Edge cases: a null or empty html gives empty text; a null url is a host of its own; repeated rows count as pages each
+Edge cases: a null or empty html gives empty text and does not count as a page of its host; a null url is a host of its own; repeated rows count as pages each
 and are extracted each; broken markup is read on: an end tag closes what is open inside, one without a start is skipped,
 an unclosed element ends with its parent; an empty table gives no rows.
 """
@@ -59,6 +60,7 @@ MARKS = frozenset(
     "complementary contentinfo form skip".split())
 HEADS = frozenset("header masthead topbar".split())  # not inside the article
 MAIN = frozenset("article main".split())
+ALWAYS = 0.9  # share of a host's pages
 
 
 def host_of(url: str | None) -> str:
@@ -162,65 +164,76 @@ def read_page(page: str) -> list[Run]:
     return out
 
 
-def tallies(pages: list[str], hosts: list[str]) -> Iterator[tuple[str, int, int, int, int]]:
-    """(host, token, pages, vector, places) summed over these pages; token 0 counts the host's pages."""
+def tallies(pages: list[str], hosts: list[str]) -> Iterator[tuple[str, int, int, int, int, int]]:
+    """(host, token, pages, vector, places, is it a tag) summed over these pages; token 0 counts the host's pages that
+    hold tokens."""
     sums: dict[tuple[str, int], list[int]] = {}
     for page, host in zip(pages, hosts):
         number = np.uint64(xxhash.xxh3_64_intdigest(page))
         places: dict[int, list[int]] = {}
+        tags: set[int] = set()
         for k, run in enumerate(read_page(page)):
             if run.key:
                 places.setdefault(run.key, []).append(k)
+                if run.text is None:
+                    tags.add(run.key)
+        if not places:
+            continue
         keys = [0, *places]
         counts = np.array([1, *map(len, places.values())], np.uint64)
         with np.errstate(over="ignore"):
             vector = mix64(number + counts * np.uint64(0x9E3779B97F4A7C15)).tolist()
         for key, v, first in zip(keys, vector, [0, *(p[0] for p in places.values())]):
-            got = sums.setdefault((host, key), [0, 0, 0])
+            got = sums.setdefault((host, key), [0, 0, 0, int(key in tags)])
             got[0] += 1
             got[1] = (got[1] + v) % 2**64
             got[2] += first
-    for (host, key), (n, vector, place) in sums.items():
-        yield host, key, n, vector, place
+    for (host, key), (n, vector, place, tag) in sums.items():
+        yield host, key, n, vector, place, tag
 
 
-def templates(pages: DataFrame, least_pages: int) -> DataFrame:
-    """(host, template): the frequent, large classes of each host as arrays of token, class and mean place."""
+def templates(pages: DataFrame, least_pages: int, support: float = 0.5, layout: float = 0.2) -> DataFrame:
+    """(host, template): the frequent, large classes of each host as arrays of token, class, mean place and the share
+    of the host's pages that hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t.decode("utf-8", "replace") for t in as_bytes(b, "html")]
             got = list(tallies(texts, [host_of(u) for u in b.column("url").to_pylist()]))
-            host, key, n, vector, place = zip(*got) if got else ((),) * 5
+            host, key, n, vector, place, tag = zip(*got) if got else ((),) * 6
             yield pa.RecordBatch.from_arrays(
                 [pa.array(host, pa.string()), pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(n, pa.int64()),
-                 pa.array(np.array(vector, np.uint64).view(np.int64)), pa.array(place, pa.int64())],
-                names=["host", "token", "pages", "vector", "places"])
+                 pa.array(np.array(vector, np.uint64).view(np.int64)), pa.array(place, pa.int64()),
+                 pa.array(tag, pa.int32())],
+                names=["host", "token", "pages", "vector", "places", "tag"])
 
     # the sum of vectors may leave 64 bits: add the two halves and put them together again
     half = 1 << 32
     low, high = F.sum(F.col("vector").bitwiseAND(half - 1)), F.sum(F.shiftrightunsigned("vector", 32))
     totals = map_batches(pages.select("url", "html"), run,
-                         "host string, token long, pages long, vector long, places long").groupBy("host", "token").agg(
-        F.sum("pages").alias("pages"), low.alias("low"), high.alias("high"), F.sum("places").alias("places"))
+                         "host string, token long, pages long, vector long, places long, tag int").groupBy("host", "token").agg(
+        F.sum("pages").alias("pages"), low.alias("low"), high.alias("high"), F.sum("places").alias("places"), F.max("tag").alias("tag"))
     totals = freeze(totals.where(F.col("pages") >= least_pages), "page-tokens")
     sizes = totals.where("token = 0").select("host", F.col("pages").alias("all"))
-    common = totals.where("token <> 0").join(sizes, "host").where(F.col("pages") == F.col("all")).withColumn(
+    common = totals.where("token <> 0").join(sizes, "host").where(F.col("pages") >= min(layout, support) * F.col("all")).withColumn(
         "class", F.xxhash64("low", "high"))
-    large = common.groupBy("host", "class").count().where("count >= 2").select("host", "class")
-    # a host's template has at most as many tokens as its shortest page
+    large = common.groupBy("host", "class").agg(
+        F.count(F.lit(1)).alias("size"), F.max("tag").alias("tag"), F.min(F.col("pages") / F.col("all")).alias("share"))
+    large = large.where((F.col("size") >= 2) & ((F.col("tag") == 1) | (F.col("share") >= support))).select("host", "class")
+    # a host's template has at most as many tokens as its mean page has, divided by the least share
     return (common.join(large, ["host", "class"]).groupBy("host").agg(F.collect_list(F.struct(
-        "token", "class", (F.col("places") / F.col("pages")).alias("place"))).alias("template")))
+        "token", "class", (F.col("places") / F.col("pages")).alias("place"),
+        (F.col("pages") / F.col("all")).alias("share"))).alias("template")))
 
 
-def template_tokens(runs: list[Run], template: list[tuple[int, int, float]]) -> set[int]:
+def template_tokens(runs: list[Run], template: list[tuple]) -> set[int]:
     """Tokens of the classes that are ordered and nested on this page."""
     places: dict[int, list[int]] = {}
     for k, run in enumerate(runs):
         if run.key:
             places.setdefault(run.key, []).append(k)
     classes: dict[int, list[tuple[float, int]]] = {}
-    for token, cls, place in template:
+    for token, cls, place, *_ in template:
         if token in places:
             classes.setdefault(cls, []).append((place, token))
     spans: list[tuple[list[int], set[int]]] = []
@@ -249,16 +262,19 @@ def template_tokens(runs: list[Run], template: list[tuple[int, int, float]]) ->
     return good
 
 
-def main_text(page: str, template: list[tuple[int, int, float]] | None, most_common: float) -> str:
+def main_text(page: str, template: list[tuple[int, int, float, float]] | None, most_common: float) -> str:
     runs = read_page(page)
     has_article = any(r.article and not r.other and r.text and r.text.strip() for r in runs)
     wanted = [r.text is not None and not r.other and (r.article or not has_article) for r in runs]
     if template:
         fixed = template_tokens(runs, template)
-        common = [w and r.key in fixed for w, r in zip(wanted, runs)]
+        always = {token for token, *_, share in template if share >= ALWAYS}
         whole = sum(len(r.text.strip()) for w, r in zip(wanted, runs) if w)
-        if sum(len(r.text.strip()) for c, r in zip(common, runs) if c) <= most_common * whole:
-            wanted = [w and not c for w, c in zip(wanted, common)]
+        for drop in (fixed, fixed & always):
+            common = [w and r.key in drop for w, r in zip(wanted, runs)]
+            if sum(len(r.text.strip()) for c, r in zip(common, runs) if c) <= most_common * whole:
+                wanted = [w and not c for w, c in zip(wanted, common)]
+                break
     blocks: list[str] = []
     parts: list[str] = []
     linked = 0
@@ -295,10 +311,10 @@ def with_template(pages: DataFrame, found: DataFrame, most_tokens: int = 1_000_0
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup: str = "html", least_pages: int = 4,
-            most_common: float = 0.2) -> DataFrame:
+            most_common: float = 0.2, support: float = 0.5, layout: float = 0.2) -> DataFrame:
     """page_id, url, text and n_chars of every row."""
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(markup).alias("html"))
-    found = templates(rows, least_pages)
+    found = templates(rows, least_pages, support, layout)
     # the same host name as host_of, for the join
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\s*(?:[a-zA-Z][\w+.\-]*:)?//(?:[^/@?#]*@)?([^/:?#]*)", 1))
     joined = with_template(rows.withColumn("host", host), found).select("page_id", "url", "html", "template")
@@ -310,7 +326,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup
             column = b.column("template")
             for k, page in enumerate(as_bytes(b, "html")):
                 got = column[k].as_py()
-                template = got and [(t["token"] % 2**64, t["class"], t["place"]) for t in got]
+                template = got and [(t["token"] % 2**64, t["class"], t["place"], t["share"]) for t in got]
                 texts.append(main_text(page.decode("utf-8", "replace"), template, most_common))
             yield pa.RecordBatch.from_arrays(
                 [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()),

@@ -212,6 +212,29 @@ def test_page_text_template_of_a_host(spark):
     assert salted.where("size(template) > 0").count() == len(rows)
 
 
+def test_page_text_template_with_odd_pages_and_two_layouts(spark):
+    """Empty pages, a page built otherwise, a second layout and near copies leave a host's templates in place."""
+    one = "<html><body><article><h1>{t}</h1><p>Written by our staff</p><p>{b}</p></article></body></html>"
+    two = "<html><body><main><h2>{t}</h2><div>{b}</div><div><i>Reported from our bureau</i></div></main></body></html>"
+    body = [words(i, 120) for i in range(20)]
+    rows = [(i, f"https://h.example/{i}", (one if i < 12 else two).format(t=f"No {i}", b=body[i])) for i in range(18)]
+    rows += [(30, "https://h.example/e", ""), (31, "https://h.example/n", None),
+             (32, "https://h.example/o", f"<html><body><table><tr><td>{body[18]}</td></tr></table></body></html>")]
+    copy = [words(50 + k, 40) for k in range(8)]  # six near copies of one article, one paragraph of each changed
+    near = [[w if k != j else words(90 + j, 40) for k, w in enumerate(copy)] for j in range(6)]
+    rows += [(60 + j, f"http://n.example/{j}", one.format(t=f"No {j}", b="</p><p>".join(near[j]))) for j in range(6)]
+    rows += [(70 + j, f"http://n.example/x{j}", one.format(t=f"No {j}", b=body[j])) for j in range(6)]
+    quoted = "</p><p>".join(["a line that many quote", "and another one"])
+    rows += [(80 + i, f"http://q.example/{i}", one.format(t=f"No {i}", b=f"{body[i]}</p><p>{quoted}" if i < 5 else body[i]))
+             for i in range(15)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in page_text.extract(df).collect()}
+    assert all(got[i] == f"No {i} {body[i]}" for i in range(18))
+    assert got[30] == got[31] == "" and got[32] == body[18]
+    assert all(got[60 + j] == f"No {j} {' '.join(near[j])}" and got[70 + j] == f"No {j} {body[j]}" for j in range(6))
+    assert all(got[80 + i] == f"No {i} {body[i]} a line that many quote and another one" for i in range(5))
+
+
 def test_template_classes_must_be_ordered():
     runs = [page_text.Run(k, None, False, False, False, False) for k in (1, 2, 3, 1, 2, 3)]
     assert page_text.template_tokens(runs, [(1, 9, 0.0), (2, 9, 1.0), (3, 9, 2.0)]) == {1, 2, 3}
