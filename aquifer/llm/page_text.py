@@ -18,7 +18,9 @@ only those on nearly all of the host's pages (a share of `ALWAYS`) go, and none
 
 Edge cases: a null or empty html gives empty text and does not count as a page of its host; a null url is a host of its own; repeated rows count as pages each
 and are extracted each; broken markup is read on: an end tag closes what is open inside, one without a start is skipped,
-an unclosed element ends with its parent; an empty table gives no rows.
+an unclosed element ends with its parent, script, style, title, textarea and iframe with the page; a drawing or list of options
+ends where a block starts that it can't hold, other replaced content where a block starts and no end tag follows; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,15 +43,18 @@ MARKUP = re.compile(
 NAMES = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 PARTS = re.compile(r"[a-z]+")
 
-#: Elements without content, whose content is not text, and that end a block of text (fixed values of HTML).
+#: Elements without content, whose content is not markup, whose content is not shown as text, those of them that hold no
+#: blocks, and elements that end a block of text (fixed values of HTML).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math canvas object select option".split())
+RAW = frozenset("script style title textarea iframe".split())
+UNSEEN = frozenset("noscript template svg math canvas object select option optgroup datalist".split())
+NO_BLOCKS = frozenset("svg math select option optgroup datalist".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary "
     "table tbody td tfoot th thead title tr ul video audio".split())
 #: An element that ends an open one of the same kind (or an open paragraph) when it starts.
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+ENDS = {"option": {"option"}, "optgroup": {"option", "optgroup"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 #: Elements, and words in class, id and role, that mark other parts of a page than the article.
 ASIDE = frozenset("nav footer aside form menu dialog button label fieldset".split())
 MARKS = frozenset(
@@ -103,6 +108,13 @@ def read_page(page: str) -> list[Run]:
     # of each open element: tag, path, is it in the article, in another part, in a link
     stack: list[tuple[str, str, bool, bool, bool]] = [("", "", False, False, False)]
     at, n = 0, len(page)
+    last_ends: dict[str, int] = {}
+
+    def closes(tag: str) -> bool:
+        """Is there an end tag of this kind further on?"""
+        if tag not in last_ends:
+            last_ends[tag] = max((m.start() for m in re.finditer(rf"</{tag}\b", page, re.I)), default=-1)
+        return last_ends[tag] >= at
 
     def text(raw: str) -> None:
         _, path, article, other, link = stack[-1]
@@ -142,21 +154,27 @@ def read_page(page: str) -> list[Run]:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 at = end.end() if end else n
             continue
+        if tag in BLOCK and stack[-1][3] and tag not in ("option", "legend", "hr", "br"):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k][0] == "foreignobject":  # part of a drawing that holds blocks
+                    break
+                if stack[k][0] in NO_BLOCKS or stack[k][0] in UNSEEN and not closes(stack[k][0]):
+                    del stack[k:]
         ended = ENDS.get(tag, set()) | ({"p"} if tag in BLOCK and tag != "br" else set())
         if ended:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in ended:
                     del stack[k:]
                     break
-                if stack[k][0] in BLOCK:
+                if stack[k][0] in BLOCK or stack[k][0] in UNSEEN:
                     break
         _, path, article, other, link = stack[-1]
         words, cls = marks_of(tag, m.group(3) or "")
         inside = article or ((tag in MAIN or "main" in words and tag in ("div", "section")) and not other)
         if tag not in ("html", "body", "main"):
             own = words & MARKS if tag != "article" else words & {"comment", "comments", "related", "ad", "ads"}
-            other = other or tag in ASIDE or bool(own) or (not inside and (tag == "header" or bool(words & HEADS)))
-        if tag in VOID:
+            other = other or tag in ASIDE or tag in UNSEEN or bool(own) or (not inside and (tag == "header" or bool(words & HEADS)))
+        if tag in VOID or tag in UNSEEN and (m.group(3) or "").rstrip().endswith("/"):
             tag_run("", tag)
             continue
         stack.append((tag, f"{path}/{tag}.{cls}" if cls else f"{path}/{tag}", inside, other, link or tag == "a"))

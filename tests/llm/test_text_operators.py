@@ -192,6 +192,20 @@ def test_page_text_drops_all_but_the_article():
                                                        "a < b": "a < b", "<p title='>'>q</p>": "q"}.get(page, "")
 
 
+def test_page_text_goes_on_behind_unclosed_elements():
+    article = "<article><h1>T</h1><p>body</p></article>"
+    for broken in ("<datalist id=d><option>a<option value=b>b</datalist>", "<option>a", "<select><option>a<option>b</select>",
+                   "<select><optgroup><option>a", "<div><svg><path d=x></div>", "<svg><path d=x><text>chart</text>",
+                   "<object data=x>", "<canvas>", "<noscript>off", "<math><mi>x", "<template><p>t</template>",
+                   "<noscript><article>copy</article></noscript>", "<svg><title>icon</title><path/></svg>", "<svg/>",
+                   "<svg><foreignObject><div>in</div></foreignObject></svg>", "<object><p>old</p></object>"):
+        assert page_text.main_text(f"<html><body>{broken}{article}</body></html>", None, 0.2) == "T body", broken
+    page = "<article><p>one <svg><path d=x><p>two <select><option>a<option>b</select> three<canvas>c</canvas></article>"
+    assert page_text.main_text(page, None, 0.2) == "one two three"
+    for raw in ("<script>x", "<style>x", "<iframe>"):
+        assert page_text.main_text(article + raw + article, None, 0.2) == "T body"
+
+
 def test_page_text_template_of_a_host(spark):
     """A line that every page of a host repeats in its article is template; shared articles are kept whole."""
     body = [words(i, 120) for i in range(8)]
