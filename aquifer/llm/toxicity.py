@@ -4,12 +4,14 @@ Words are hashed twice into one table of embeddings and the two rows are added,
 shares a row with a telling one does not look like it. Filters over one, two and three words slide over the
 whole text; each filter's largest value (max pooling) goes into a logistic output. The first dimension of the
 embeddings starts from the smoothed log-odds of the hashed word in toxic and other training texts, the
-rest at random; all of it is trained. Every language has its own threshold, calibrated on training rows that the
-fit did not see; the language is told from the text's own function words. A score is the logistic of the
+rest at random; all of it is trained. Every language has its own threshold, calibrated on all labelled training
+rows that the fit did not see, whole texts of any length; the language is told from the text's own function words. A score is the logistic of the
 margin over that threshold, so 0.5 is the threshold everywhere.
 
 Learning uses a bounded sample of the labelled rows outside the held-out fold: up to `sample` rows of each
-label, the first in a hash order of the ids, of at most `longest` words. Scoring reads every text whole.
+label, the first in a hash order of the ids, of at most `longest` words; a quarter of it is left to the thresholds, so that
+they have rows on small tables. Margins are found once a text; the thresholds come from their counts in fine bins by
+language and label, where short rows stand in for the fit's rows of their label. Scoring reads every text whole.
 Labels, language and source columns and ids are never inputs of a score.
 
 Edge cases: a null or empty text has no words and gets the score of its empty features; labels that are null or
@@ -20,15 +22,16 @@ of both kinds every row gets the smoothed share of toxic labels; repeated rows g
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aquifer.llm.common import as_bytes, fold, map_batches, slices
+from aquifer.llm.common import as_bytes, fold, freeze, map_batches, slices
 
 WORDS = re.compile(rb"[a-z0-9\x80-\xff]+")
 
@@ -43,6 +46,9 @@ LANGUAGES = ("other", *FUNCTION_WORDS)
 BITS = 18  # of a row number in the embedding table
 WIDTHS = (1, 2, 3)
 PAD = max(WIDTHS) - 1
+#: Bins of a margin for the thresholds: so many to one, up to a margin of RANGE either side; a fixed number in all.
+BINS, RANGE = 512, 32
+LEAST_TOXIC = 20  # rows of a language with its own threshold
 
 
 def _language_bits() -> dict[bytes, int]:
@@ -202,37 +208,33 @@ class Network:
         self.const = -float(np.mean([np.max(self.table[rows_of(t)[0], 0] + self.table[rows_of(t)[1], 0], initial=0)
                                      for t in texts])) * len(WIDTHS)
 
-    def calibrate(self, texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray) -> None:
-        """Each language's threshold: the margin with the best F1, half way to the next row; a language with
-        fewer than 20 toxic rows takes the threshold of all."""
-        z = np.concatenate([self.logits(texts[k:k + 64]) for k in range(0, len(texts), 64)]) if texts else np.empty(0)
-        group = np.array([language_of(t) for t in texts], np.int64)
-        everywhere = best_threshold(z, labels, weights)
-        for g in range(len(LANGUAGES)):
-            own = group == g
-            enough = own.any() and labels[own].sum() >= 20
-            self.thresholds[g] = best_threshold(z[own], labels[own], weights[own]) if enough else everywhere
-
 
 def best_threshold(z: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> float:
-    if not len(z) or not labels.any():
+    values, at = np.unique(z, return_inverse=True)
+    return best_cut(values, values, np.bincount(at, labels * weights, len(values)), np.bincount(at, weights, len(values)))
+
+
+def best_cut(low: np.ndarray, high: np.ndarray, hits: np.ndarray, weights: np.ndarray) -> float:
+    """The margin with the best F1 among the gaps of rising bins, half way between them; a bin can't be cut."""
+    if not len(low) or not hits.any():
         return 0.0
-    order = np.argsort(-z, kind="stable")
-    z, hit = z[order], (labels * weights)[order]
-    found = np.cumsum(hit)
-    f1 = 2 * found / (np.cumsum(weights[order]) + hit.sum())
-    f1[:-1][z[1:] == z[:-1]] = -1  # a tie can't be cut
+    low, high, hits, weights = low[::-1], high[::-1], hits[::-1], weights[::-1]
+    f1 = 2 * np.cumsum(hits) / (np.cumsum(weights) + hits.sum())
     k = int(np.argmax(f1))
-    return float((z[k] + z[k + 1]) / 2) if k + 1 < len(z) else float(z[k] - 1.0)
+    return float((low[k] + high[k + 1]) / 2) if k + 1 < len(low) else float(low[k] - 1.0)
+
+
+def known_labels(labels: DataFrame, doc_id: str, label: str, held_out: int) -> DataFrame:
+    """id and y of the labelled documents outside the held-out fold."""
+    return (labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & (fold(F.col(doc_id)) != held_out))
+            .groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y")))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int, longest: int, text: str, doc_id: str,
                   label: str, held_out: int) -> list:
-    """Up to `sample` rows of each label as (label, total of that label, packed words)."""
-    known = (labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & (fold(F.col(doc_id)) != held_out))
-             .groupBy(F.col(doc_id).alias("id")).agg(F.max(F.col(label).cast("int")).alias("y")))
+    """Up to `sample` rows of each label as (label, id, packed words)."""
+    known = known_labels(labels, doc_id, label, held_out)
     mix = F.xxhash64(F.col("id").cast("string"))
-    totals = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = None
     for y in (0, 1):
         some = known.where(F.col("y") == y).orderBy(mix, "id").limit(sample)
@@ -251,32 +253,76 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int, longest: int,
 
     id_type = docs.schema[doc_id].dataType.simpleString()
     got = map_batches(rows.select("id", "y", "text"), run, f"id {id_type}, y int, words binary").collect()
-    return [(r["y"], totals[r["y"]], np.frombuffer(r["words"], np.int64))
+    return [(r["y"], r["id"], np.frombuffer(r["words"], np.int64))
             for r in sorted(got, key=lambda r: (str(r["id"]), r["words"]))]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, longest: int = 4096, text: str = "text",
-        doc_id: str = "doc_id", label: str = "toxic", held_out: int = 0) -> Network | float:
-    """A trained network, or a constant score where the labels do not hold both kinds."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, longest: int = 4096, text: str = "text",
+          doc_id: str = "doc_id", label: str = "toxic", held_out: int = 0) -> tuple[Network | float, dict]:
+    """A network without thresholds and the rows that it has seen, id -> (label, rows); or a constant score where the
+    labels do not hold both kinds."""
     rows = training_rows(docs, labels, sample, longest, text, doc_id, label, held_out)
     y = np.array([r[0] for r in rows], np.int64)
     if not len(y) or y.min() == y.max():
-        return (float(y.sum()) + 0.5) / (len(y) + 1.0)
-    texts = [r[2] for r in rows]
-    taken = np.bincount(y, minlength=2)
-    weights = np.array([r[1] / taken[r[0]] for r in rows])
-    aside = np.arange(len(rows)) % 4 == 3  # rows for the thresholds
+        return (float(y.sum()) + 0.5) / (len(y) + 1.0), {}
+    number = {i: k for k, i in enumerate(dict.fromkeys(r[1] for r in rows))}
+    seen = np.array([number[r[1]] % 4 != 3 for r in rows])  # the others are for the thresholds
     net = Network()
-    net.train([t for t, a in zip(texts, aside) if not a], y[~aside])
-    net.calibrate([t for t, a in zip(texts, aside) if a], y[aside], weights[aside])
+    net.train([r[2] for r, s in zip(rows, seen) if s], y[seen])
+    counts = Counter(r[1] for r, s in zip(rows, seen) if s)
+    return net, {r[1]: (int(r[0]), counts[r[1]]) for r, s in zip(rows, seen) if s}
+
+
+def thresholds(rows: DataFrame, labels: DataFrame, seen: dict, longest: int = 4096, doc_id: str = "doc_id",
+               label: str = "toxic", held_out: int = 0) -> np.ndarray:
+    """Each language's threshold from `rows` (doc_id, margin, language, n_words): the margin with the best F1 over all
+    labelled rows that the fit has not seen; a language with fewer than LEAST_TOXIC toxic rows takes that of all."""
+    used = rows.sparkSession.createDataFrame([(i,) for i in seen], f"id {rows.schema[doc_id].dataType.simpleString()}")
+    known = known_labels(labels, doc_id, label, held_out).join(F.broadcast(used), "id", "left_anti")  # 2 * sample ids
+    place = F.floor(F.least(F.greatest(F.col("margin"), F.lit(-RANGE)), F.lit(RANGE)) * BINS)
+    bins = rows.join(known, rows[doc_id] == known["id"]).groupBy(
+        "language", "y", (F.col("n_words") > longest).alias("long"), place.alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("margin").alias("low"), F.max("margin").alias("high")).toPandas()
+    weight = np.ones(len(bins))
+    for y in (0, 1):  # the fit has seen short rows only
+        short = ((bins["y"] == y) & ~bins["long"].astype(bool)).to_numpy(bool)
+        left = int(bins["n"][short].sum())
+        weight[short] += sum(n for label, n in seen.values() if label == y) / max(1, left)
+    bins["weight"] = bins["n"] * weight
+    bins["hits"] = bins["weight"] * bins["y"]
+
+    def cut(some) -> float:
+        got = some.groupby("bin").agg({"low": "min", "high": "max", "hits": "sum", "weight": "sum"}).sort_index()
+        return best_cut(*(got[c].to_numpy(float) for c in ("low", "high", "hits", "weight")))
+
+    out = np.full(len(LANGUAGES), cut(bins))
+    for g, own in bins.groupby("language"):
+        if (own["n"] * own["y"]).sum() >= LEAST_TOXIC:
+            out[int(g)] = cut(own)
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, longest: int = 4096, text: str = "text",
+        doc_id: str = "doc_id", label: str = "toxic", held_out: int = 0) -> Network | float:
+    """A trained network with its thresholds, or a constant score where the labels do not hold both kinds."""
+    net, seen = learn(docs, labels, sample, longest, text, doc_id, label, held_out)
+    if not isinstance(net, float):
+        net.thresholds = thresholds(margins(docs, net, [doc_id], text), labels, seen, longest, doc_id, label, held_out)
     return net
 
 
 def score_texts(net: Network | float, texts: list[bytes], words: Words, most: int = 200_000) -> np.ndarray:
-    """Scores of whole texts; a text of more than `most` words is pooled over overlapping stretches."""
+    """Scores of whole texts."""
     if isinstance(net, float):
         return np.full(len(texts), net)
-    out, group, held, langs = [], [], 0, []
+    margin, langs, _ = measure(net, texts, words, most)
+    return 1 / (1 + np.exp(-np.clip(np.round(margin - net.thresholds[langs], 9), -50, 50)))
+
+
+def measure(net: Network, texts: list[bytes], words: Words,
+            most: int = 200_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Margin, language and words of whole texts; a text of more than `most` words is pooled over overlapping stretches."""
+    out, group, held, langs, sizes = [], [], 0, [], []
 
     def flush() -> None:
         nonlocal held
@@ -288,6 +334,7 @@ def score_texts(net: Network | float, texts: list[bytes], words: Words, most: in
     for t in texts:
         packed = words.of(t)
         langs.append(language_of(packed))
+        sizes.append(len(packed))
         if held + len(packed) > most:
             flush()
         if len(packed) > most:
@@ -297,12 +344,12 @@ def score_texts(net: Network | float, texts: list[bytes], words: Words, most: in
             group.append(packed)
             held += len(packed)
     flush()
-    margin = (np.concatenate(out) if out else np.empty(0)) - net.thresholds[langs]
-    return 1 / (1 + np.exp(-np.clip(np.round(margin, 9), -50, 50)))
+    margin = np.concatenate(out) if out else np.empty(0)
+    return margin, np.array(langs, np.int64), np.array(sizes, np.int64)
 
 
-def score(docs: DataFrame, net: Network | float, keep: list[str], text: str = "text") -> DataFrame:
-    """`keep` columns of every row with its score."""
+def margins(docs: DataFrame, net: Network, keep: list[str], text: str = "text") -> DataFrame:
+    """`keep` columns of every row with its margin, language and n_words."""
     sent = docs.sparkSession.sparkContext.broadcast(net)  # the table's size is fixed by BITS
     read = text if text in keep else "__text"  # a text that is kept anyway is not sent twice
     narrow = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text).alias(read))
@@ -311,16 +358,42 @@ def score(docs: DataFrame, net: Network | float, keep: list[str], text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in (s for batch in batches for s in slices(batch, read, 2_000_000)):
-            got = score_texts(sent.value, as_bytes(b, read), words)
-            yield pa.RecordBatch.from_arrays([b.column(f.name) for f in kept] + [pa.array(got, pa.float64())],
-                                             names=[*(f.name for f in kept), "score"])
+            got = measure(sent.value, as_bytes(b, read), words)
+            yield pa.RecordBatch.from_arrays([b.column(f.name) for f in kept] + [pa.array(g) for g in got],
+                                             names=[*(f.name for f in kept), "margin", "language", "n_words"])
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["score double"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept]
+                       + ["margin double, language long, n_words long"])
     return map_batches(narrow, run, schema)
 
 
+def score_of(net: Network) -> Column:
+    """The score from the columns margin and language."""
+    own = F.element_at(F.array(*[F.lit(float(t)) for t in net.thresholds]), (F.col("language") + 1).cast("int"))
+    over = F.least(F.greatest(F.round(F.col("margin") - own, 9), F.lit(-50.0)), F.lit(50.0))
+    return 1 / (1 + F.exp(-over))
+
+
+def score(docs: DataFrame, net: Network | float, keep: list[str], text: str = "text") -> DataFrame:
+    """`keep` columns of every row with its score."""
+    if isinstance(net, float):
+        return docs.select(*keep, F.lit(net).alias("score"))
+    return margins(docs.select(*dict.fromkeys([*keep, text])), net, keep, text).select(*keep, score_of(net).alias("score"))
+
+
+def judge(docs: DataFrame, labels: DataFrame, keep: list[str], text: str = "text", doc_id: str = "doc_id",
+          sample: int = 6000, longest: int = 4096, label: str = "toxic", held_out: int = 0) -> DataFrame:
+    """`keep` columns (without the text) of every row with its score: fitted, and each text's margin found once."""
+    net, seen = learn(docs, labels, sample, longest, text, doc_id, label, held_out)
+    if isinstance(net, float):
+        return score(docs, net, keep, text)
+    rows = freeze(margins(docs.select(*dict.fromkeys([*keep, doc_id, text])), net, list(dict.fromkeys([*keep, doc_id])), text),
+                  "margins")
+    net.thresholds = thresholds(rows, labels, seen, longest, doc_id, label, held_out)
+    return rows.select(*keep, score_of(net).alias("score"))
+
+
 def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """doc_id, held_out, score and predicted of every row."""
-    net = fit(docs, labels, text=text, doc_id=doc_id, **options)
-    return score(docs, net, [doc_id], text).select(
+    return judge(docs, labels, [doc_id], text, doc_id, **options).select(
         doc_id, (fold(F.col(doc_id)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -23,9 +23,9 @@ from aquifer.sources.tables import read_table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    net = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, net, docs.columns)
-    return scored.where(F.col("score") < 0.5).select(*docs.columns)
+    rows, key = keyed(docs)
+    scored = toxicity.judge(rows, read_table(spark, sf_dir, "labels"), [key])
+    return without(rows, key, scored.where(F.col("score") >= 0.5).select(F.col(key).alias("__bad"))).select(*docs.columns)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

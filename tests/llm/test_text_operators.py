@@ -292,6 +292,32 @@ def test_toxicity_edges(spark, edge_docs, no_docs):
     assert whole == pytest.approx(toxicity.score_texts(net, [long], toxicity.Words(), most=10**9)[0], abs=1e-5)
 
 
+def test_toxicity_thresholds_cover_all_labelled_rows(spark):
+    """Rows outside the sample and texts over `longest` words count; thresholds are those of a search over all rows."""
+    docs, labels = toxic_corpus(spark, 480)
+    rows = [(r.doc_id, r.text if r.doc_id % 5 else f"der und die {r.text} " + words(r.doc_id, 300, 3000))
+            for r in docs.collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    options = dict(sample=40, longest=200)
+    net, seen = toxicity.learn(docs, labels, **options)
+    assert 0 < len(seen) <= 80
+    y = {r.doc_id: r.toxic for r in labels.collect()}
+    left = [(i, t.encode()) for i, t in rows if i not in seen and zlib.crc32(str(i).encode()) % 5]
+    z, language, sizes = toxicity.measure(net, [t for _, t in left], toxicity.Words())
+    toxic = np.array([y[i] for i, _ in left])
+    weight = np.ones(len(left))
+    for k in (0, 1):
+        short = (toxic == k) & (sizes <= 200)
+        weight[short] += sum(n for v, n in seen.values() if v == k) / short.sum()
+    assert (sizes > 200).sum() > 50 and len(left) > 300
+    want = np.full(len(toxicity.LANGUAGES), toxicity.best_threshold(z, toxic, weight))
+    for g in set(language.tolist()):
+        own = language == g
+        if toxic[own].sum() >= 20:
+            want[g] = toxicity.best_threshold(z[own], toxic[own], weight[own])
+    assert toxicity.fit(docs, labels, **options).thresholds == pytest.approx(want, abs=2 / toxicity.BINS)
+
+
 def test_toxicity_threshold_is_per_language():
     z, y = np.array([3.0, 2.0, 1.0, 0.0]), np.array([1, 1, 0, 0])
     assert toxicity.best_threshold(z, y, np.ones(4)) == 1.5
