@@ -4,8 +4,7 @@
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
-from harness import _rows
+from harness import SF_SMALL, _rows
 
 NAMES = ["w_split", "e_auroc", "g_boxplot", "t_spearman", "p_impute", "j_basin", "t_label_encode"]
 

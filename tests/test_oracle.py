@@ -3,8 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from harness import compare, duck
-from conftest import SF_SMALL
+from harness import SF_SMALL, compare, duck
 
 ORACLE = E.oracle_sql()
 QUERIES = E.queries()

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF_SMALL
+from harness import SF_SMALL
 
 QUERIES = E.queries()
 ORACLE = E.oracle_sql()

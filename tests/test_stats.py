@@ -56,7 +56,7 @@ def test_scaler_thresholds(spark):
 
 def test_split_is_chronological_partition(spark):
     from aquifer.sources import fixtures as fx
-    from conftest import SF_SMALL
+    from harness import SF_SMALL
 
     o = fx.obs_long(spark, SF_SMALL).select("sample_id", "ts")
     s = prepare.chronological_split(o, "ts", "sample_id", 0.8).toPandas()
