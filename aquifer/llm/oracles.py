@@ -71,3 +71,23 @@ WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {WO
             * (least(lo + size, (i + 1) * shard_size // blocks) - greatest(lo, i * shard_size // blocks)))::BIGINT AS taken
           FROM b GROUP BY doc_id)
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM x LEFT JOIN got USING (doc_id)"""
+
+FILL_IN_MIDDLE = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u FROM documents),
+d AS (
+  SELECT doc_id, text, u, len(u)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS a,
+    ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS b, ('0x' || substr(h, 17, 8))::BIGINT % 100 AS rate,
+    ('0x' || substr(h, 25, 8))::BIGINT % 100 AS kind FROM t),
+p AS (
+  SELECT doc_id, text, n, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+      OR rate >= 100 THEN 'plain' WHEN kind < 50 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(u[1:least(a, b)], '') AS prefix, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS middle,
+    array_to_string(u[greatest(a, b) + 1:n], '') AS suffix FROM d)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
