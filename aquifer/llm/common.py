@@ -35,6 +35,12 @@ def freeze(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a table that has been read for the last time."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def sent(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     """A frozen table of two or three numbers a row, marked to be sent to all tasks if it has up to `most` rows
     (tens of MB); a larger one is joined by shuffling."""

@@ -91,3 +91,26 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS pre
     ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
 FROM p
 """
+
+
+def clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    """Plain Lloyd rounds, one after the other."""
+    tables = [f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR), embedding) AS rid, vec_id,
+  embedding FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+v AS MATERIALIZED (SELECT rid, unnest(range(64)) AS dim, unnest(list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)) AS x
+  FROM kept),
+c0 AS MATERIALIZED (SELECT rid - 1 AS cluster, dim, x FROM v WHERE rid <= {k})"""]
+    for r in range(rounds + 1):
+        tables.append(f"""a{r} AS MATERIALIZED (SELECT rid, (m % 64)::INT AS cluster, m // 64 AS distance FROM (
+  SELECT rid, min(d * 64 + cluster) AS m FROM (SELECT rid, cluster, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS d
+    FROM v JOIN c{r} c USING (dim) GROUP BY rid, cluster) GROUP BY rid))""")
+        if r < rounds:
+            tables.append(f"""c{r + 1} AS MATERIALIZED (SELECT cluster, dim, ((s - ((s % n) + n) % n) // n)::BIGINT AS x FROM (
+  SELECT cluster, dim, sum(x) AS s, count(*) AS n FROM a{r} JOIN v USING (rid) GROUP BY cluster, dim)
+  UNION ALL SELECT cluster, dim, x FROM c{r} WHERE cluster NOT IN (SELECT cluster FROM a{r}))""")
+    return ",\n".join(tables) + f"""
+SELECT vec_id, a.cluster, distance, sum(distance) OVER (PARTITION BY a.cluster)::BIGINT AS cluster_inertia,
+  sum(distance) OVER ()::BIGINT AS inertia, h.centroid_sha256
+FROM a{rounds} a JOIN kept USING (rid) JOIN (SELECT cluster, sha256(string_agg(x::VARCHAR, ',' ORDER BY dim)) AS centroid_sha256
+  FROM c{rounds} GROUP BY cluster) h USING (cluster)"""

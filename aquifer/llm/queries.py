@@ -7,15 +7,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aquifer.llm import (fill_in_middle, host_rules, huffman, jaccard_join, kneser_ney, licenses, mixing, neighbours, packing,
-                         page_text, simhash, toxicity)
-from aquifer.llm.oracles import FILL_IN_MIDDLE, HOST_RULES, JACCARD_JOIN, MIXING
+from aquifer.llm import (fill_in_middle, heap_kmeans, host_rules, huffman, jaccard_join, kneser_ney, licenses, mixing, neighbours,
+                         packing, page_text, simhash, toxicity)
+from aquifer.llm.oracles import FILL_IN_MIDDLE, HOST_RULES, JACCARD_JOIN, MIXING, clusters_sql
 from aquifer.sources.tables import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {
     "op3_host_rules": HOST_RULES, "op6_jaccard_join": JACCARD_JOIN, "op10_sainte_lague_mix": MIXING,
-    "op12_fill_in_middle": FILL_IN_MIDDLE,
+    "op12_fill_in_middle": FILL_IN_MIDDLE, "op13_heap_kmeans": clusters_sql(),
 }
 
 #: Folder of the public tokenizers' files, a parameter of the deployment.
@@ -87,6 +87,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.round_trip(read_table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_heap_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return heap_kmeans.cluster(read_table(spark, sf_dir, "embeddings"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
