@@ -35,6 +35,7 @@ from aquifer.llm.graph import components
 SEED = 42
 _LOW = 0x5555555555555555  # the low bit of each pair
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))  # A-Z to a-z, other bytes as they are
+PER_TASK = 10_000  # fingerprints a task sends to their grid points, about 49 rows each
 _BLOCK = 1 << 16  # shingles whose bits are counted at once
 
 
@@ -122,7 +123,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     """Every row's (doc_id, fingerprint as 16 hex digits, component_id: the smallest id that links reach, its own included)."""
     rows = freeze(fingerprints(docs, doc_id, text, words), "fingerprints")
     distinct = freeze(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    member = components(links(distinct, crowd=crowd)).select(F.col("v").alias("fp"), "c")
+    tasks = 1 + distinct.count() // PER_TASK
+    member = components(links(distinct.repartition(tasks, "fp"), crowd=crowd)).select(F.col("v").alias("fp"), "c")
     classes = distinct.join(member, "fp", "left").select("fp", "least", F.coalesce("c", "fp").alias("c"))
     least = classes.groupBy("c").agg(F.min("least").alias("component_id"))
     named = freeze(classes.join(least, "c").select("fp", "component_id"), "classes")
