@@ -1,30 +1,17 @@
-"""Site clustering: feature weighting, centred PCA, batch SOM, average/complete-linkage merging,
-nearest-centroid assignment, node fingerprints and prior matrices.
-
-Codebooks, centroids and node vectors are bounded by the clustering (grid size, number of nodes);
-they are the only things broadcast, and every broadcast checks its size first.
-"""
+"""Site clustering parts: feature weighting, centred PCA, linkage on a pair table, node fingerprints and prior matrices.
+The map, merging without pairs and the whole clustering are in `sites`."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aquifer.functions import cosine
 from aquifer.session import cut_lineage
 
-MAX_BROADCAST_VALUES = 5_000_000  # centroid/codebook values allowed in a broadcast
-
-
-def _check_broadcast(n_values: int, what: str) -> None:
-    if n_values > MAX_BROADCAST_VALUES:
-        raise ValueError(f"{what} has {n_values} values, above the broadcast bound {MAX_BROADCAST_VALUES}")
-
 
 # ------------------------------------------------------------------------ T14
 def weight_features(df: DataFrame, cols: list[str], weights: dict[str, float]) -> DataFrame:
@@ -54,7 +41,6 @@ def fit_pca(df: DataFrame, cols: list[str], k: int | None = None):
 def apply_pca(df: DataFrame, cols: list[str], comps: np.ndarray, mean: np.ndarray, keep: list[str],
               out_prefix: str = "pc") -> DataFrame:
     """Project rows with a fitted PCA (missing columns -> 0, centred with the training mean)."""
-    _check_broadcast(comps.size, "PCA components")
     exprs = []
     for j in range(comps.shape[1]):
         e = F.lit(0.0)
@@ -64,23 +50,7 @@ def apply_pca(df: DataFrame, cols: list[str], comps: np.ndarray, mean: np.ndarra
     return df.select(*keep, *exprs)
 
 
-# ------------------------------------------------------------------------ J9
-def assign_nearest(rows: DataFrame, vec: str, centroids: list[tuple[int, list[float]]], low: float = 0.4) -> DataFrame:
-    """Argmax cosine to the centroids (first on ties), low-confidence flag below `low`;
-    no centroids -> -1. Centroids are a bounded plan, inlined as one literal array."""
-    if not centroids:
-        return rows.withColumn("assigned", F.lit(-1)).withColumn("sim", F.lit(None).cast("double")) \
-            .withColumn("low_confidence", F.lit(True))
-    _check_broadcast(sum(len(v) for _, v in centroids), "centroids")
-    cents = F.array(*[F.struct(F.lit(int(i)).alias("id"), F.array(*[F.lit(float(x)) for x in v]).alias("v"))
-                      for i, v in centroids])
-    scored = F.transform(cents, lambda c: F.struct(cosine(F.col(vec), c["v"]).alias("s"), (-c["id"]).alias("nid")))
-    best = F.array_max(scored)
-    out = rows.withColumn("_best", best)
-    return out.withColumn("assigned", (-F.col("_best.nid")).cast("int")).withColumn("sim", F.col("_best.s")) \
-        .withColumn("low_confidence", F.col("sim") < low).drop("_best")
-
-
+# ----------------------------------------------------------------------- W12
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Counts per value, NULL kept as its own bucket, most frequent first."""
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.col(col).asc_nulls_last())
@@ -91,94 +61,22 @@ def som_grid(n: int) -> int:
     return max(1, int(math.floor(math.sqrt(5 * math.sqrt(n)))))
 
 
-def batch_som(df: DataFrame, vec: str, grid: int | None = None, epochs: int = 10, sigma: float = 0.3,
-              seed: int = 42):
-    """Batch SOM. Each epoch is one distributed pass: best-matching unit per row (vectorised
-    numpy in mapInPandas against the broadcast codebook), map-side partial sums per unit, a shuffle
-    of those partials, then Gaussian-neighbourhood smoothing on the small grid table.
-    Returns (codebook g^2 x d, list of quantisation errors per epoch)."""
-    spark = df.sparkSession
-    n = df.count()
-    g = grid or som_grid(n)
-    first = df.select(vec).where(F.col(vec).isNotNull()).first()
-    d = len(first[0])
-    _check_broadcast(g * g * d, "SOM codebook")
-    # the start does not depend on the order of rows or partitions
-    init = df.select(vec).where(F.col(vec).isNotNull()).orderBy(F.xxhash64(F.lit(seed), F.col(vec)), vec).limit(g * g).collect()
-    rng = np.random.default_rng(seed)
-    code = np.array([r[0] for r in init], dtype=float)
-    if len(code) < g * g:
-        code = np.vstack([code, rng.normal(size=(g * g - len(code), d)) * 0.01])
-    coords = np.array([(i // g, i % g) for i in range(g * g)], dtype=float)
-    dist2 = ((coords[:, None, :] - coords[None, :, :]) ** 2).sum(-1)
-    h = np.exp(-dist2 / (2 * sigma * sigma))
-    errors = []
-    for _ in range(epochs):
-        bc = spark.sparkContext.broadcast(code)
-
-        def partial(it, bc=bc):
-            cb = bc.value
-            cn = (cb * cb).sum(1)
-            for pdf in it:
-                x = np.stack(pdf[vec].to_numpy()).astype(float)
-                d2 = (x * x).sum(1)[:, None] - 2 * x @ cb.T + cn[None, :]
-                bmu = d2.argmin(1)
-                err = np.sqrt(np.maximum(d2[np.arange(len(x)), bmu], 0))
-                out = pd.DataFrame({"bmu": bmu})
-                sums = pd.DataFrame(x).groupby(bmu).sum()
-                res = pd.DataFrame({"bmu": sums.index.astype("int64"),
-                                    "cnt": out.groupby("bmu").size().reindex(sums.index).to_numpy().astype("int64"),
-                                    "err": pd.Series(err).groupby(bmu).sum().reindex(sums.index).to_numpy(),
-                                    "s": list(sums.to_numpy())})
-                yield res
-
-        parts = df.select(vec).mapInPandas(partial, "bmu long, cnt long, err double, s array<double>")
-        agg = parts.groupBy("bmu").agg(F.sum("cnt").alias("cnt"), F.sum("err").alias("err"),
-                                       F.array(*[F.sum(F.col("s")[i]) for i in range(d)]).alias("s")).collect()
-        sums = np.zeros((g * g, d))
-        cnt = np.zeros(g * g)
-        tot_err = 0.0
-        for r in agg:
-            sums[r["bmu"]] = r["s"]
-            cnt[r["bmu"]] = r["cnt"]
-            tot_err += r["err"]
-        errors.append(tot_err / max(n, 1))
-        num = h @ sums
-        den = h @ cnt
-        upd = den > 1e-12
-        code[upd] = num[upd] / den[upd][:, None]
-        bc.unpersist()
-    return code, errors
-
-
-def som_assign(df: DataFrame, vec: str, code: np.ndarray, keep: list[str]) -> DataFrame:
-    """Winning neuron per row (vectorised pandas UDF against the broadcast codebook)."""
-    _check_broadcast(code.size, "SOM codebook")
-    bc = df.sparkSession.sparkContext.broadcast(code)
-
-    @F.pandas_udf("long")
-    def bmu(s: pd.Series) -> pd.Series:
-        cb = bc.value
-        x = np.stack(s.to_numpy()).astype(float)
-        d2 = (x * x).sum(1)[:, None] - 2 * x @ cb.T + (cb * cb).sum(1)[None, :]
-        return pd.Series(d2.argmin(1).astype("int64"))
-
-    return df.select(*keep, bmu(F.col(vec)).alias("neuron"))
-
-
 # ------------------------------------------------------------------------ C4
 def agglomerate(pairs: DataFrame, threshold: float, linkage: str = "average",
-                n_clusters: int | None = None) -> DataFrame:
+                n_clusters: int | None = None, items: DataFrame | None = None) -> DataFrame:
     """C4: agglomerative clustering on a pair-distance table (i < j, d) by reciprocal-nearest-neighbour
     merging (exact for reducible linkages: average, complete). Each round merges every reciprocal
     pair below `threshold` (or, with `n_clusters`, the closest pairs while more clusters remain),
     relabels to the smaller id and re-aggregates the pair state (sum_d, cnt) or max(d).
     Lineage is cut with a reliable checkpoint each round. Returns (item, cluster) with cluster = the
-    smallest member id."""
+    smallest member id; `items` (item) adds those that are in no pair, each a cluster of its own. For cosine distance
+    and average linkage `sites.merge_groups` needs no pairs."""
     state = pairs.select(F.col("i").cast("long"), F.col("j").cast("long"),
                          F.col("d").cast("double").alias("sd"), F.lit(1).cast("long").alias("cnt"))
-    items = state.select(F.col("i").alias("item")).union(state.select(F.col("j").alias("item"))).distinct()
-    labels = items.withColumn("cluster", F.col("item"))
+    paired = state.select(F.col("i").alias("item")).union(state.select(F.col("j").alias("item")))
+    if items is not None:
+        paired = paired.union(items.select(F.col("item").cast("long")))
+    labels = paired.distinct().withColumn("cluster", F.col("item"))
     labels, state = cut_lineage(labels), cut_lineage(state)
     while True:  # every round merges a pair or ends
         dist = (F.col("sd") / F.col("cnt")) if linkage == "average" else F.col("sd")
@@ -214,31 +112,6 @@ def agglomerate(pairs: DataFrame, threshold: float, linkage: str = "average",
     return labels
 
 
-def naive_agglomerate(points: np.ndarray, threshold: float, linkage: str = "average") -> list[int]:
-    """O(n^3) reference used by tests: merge the closest pair while its distance < threshold."""
-    n = len(points)
-    d = np.sqrt(((points[:, None] - points[None]) ** 2).sum(-1))
-    clusters = {i: [i] for i in range(n)}
-    while len(clusters) > 1:
-        best = None
-        keys = sorted(clusters)
-        for ai, a in enumerate(keys):
-            for b in keys[ai + 1:]:
-                block = d[np.ix_(clusters[a], clusters[b])]
-                v = block.mean() if linkage == "average" else block.max()
-                if best is None or v < best[0] - 1e-15:
-                    best = (v, a, b)
-        if best[0] >= threshold:
-            break
-        _, a, b = best
-        clusters[a] = clusters[a] + clusters.pop(b)
-    lab = [0] * n
-    for k, members in clusters.items():
-        for m in members:
-            lab[m] = min(members)
-    return lab
-
-
 # ------------------------------------------------------------------------ C5
 def zscore_columns(df: DataFrame, key: str, feature: str = "feature", value: str = "value") -> DataFrame:
     """Standardise each feature column across nodes with the population std (0 std -> 0)."""
@@ -254,29 +127,3 @@ def pair_distances(matrix: DataFrame, key: str, feature: str = "feature", value:
     b = matrix.select(F.col(key).alias("j"), feature, F.col(value).alias("vb"))
     j = a.join(b, feature).where(F.col("i") < F.col("j"))
     return j.groupBy("i", "j").agg(F.sqrt(F.sum((F.col("va") - F.col("vb")) ** 2)).alias("d"))
-
-
-def codebook_groups(spark, code: np.ndarray, n_groups: int, linkage: str = "average") -> DataFrame:
-    """(neuron, grp) -- the neurons merged by agglomeration of the codebook into `n_groups` groups,
-    numbered from 0 by their smallest neuron. The codebook is bounded by its broadcast check, so its pairs are too."""
-    _check_broadcast(len(code) * len(code), "codebook pairs")
-    i, j = np.triu_indices(len(code), 1)
-    d = np.sqrt(((code[i] - code[j]) ** 2).sum(axis=1))
-    if len(code) == 1:
-        return spark.createDataFrame([(0, 0)], "neuron long, grp int")
-    pairs = spark.createDataFrame(pd.DataFrame({"i": i, "j": j, "d": d}))
-    labels = agglomerate(pairs, math.inf, linkage, n_clusters=n_groups)
-    first = Window.orderBy("cluster")  # one row per neuron
-    return labels.select(F.col("item").alias("neuron"), (F.dense_rank().over(first) - 1).cast("int").alias("grp"))
-
-
-def label_rows(df: DataFrame, vec: str, keep: list[str], n_groups: int, grid: int | None = None, epochs: int = 10,
-               seed: int = 42) -> DataFrame:
-    """C1 + C4 + C2 end to end: fit a map on the rows' vectors, merge its neurons into groups, and give every row its
-    neuron and its group. Rows without a vector get NULL for both."""
-    there = df.where(F.col(vec).isNotNull())
-    code, _ = batch_som(there.select(vec), vec, grid, epochs, seed=seed)
-    groups = codebook_groups(df.sparkSession, code, min(n_groups, len(code)))
-    labelled = som_assign(there, vec, code, keep).join(F.broadcast(groups), "neuron")  # one row per neuron
-    rest = df.where(F.col(vec).isNull()).select(*keep, F.lit(None).cast("long").alias("neuron"), F.lit(None).cast("int").alias("grp"))
-    return labelled.select(*keep, "neuron", "grp").unionByName(rest)

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aquifer.functions import r6
-from aquifer.operators import cluster, profile
+from aquifer.operators import cluster, profile, sites
+from aquifer.operators.nearest import match
 from aquifer.plans import sql as S
 from aquifer.plans.registry import query
+from aquifer.session import write_down
 from aquifer.sources import fixtures as fx
+from aquifer.sources.tables import read_table
 
 W = {"TDS": 1.0, "FE": 4.0, "SO4": 3.0, "MN": 2.0}
 
@@ -32,10 +35,16 @@ def c_pca(spark, d):
     return cluster.apply_pca(e, cols, comps, mean, ["l_orderkey", "l_linenumber", "node_id"])
 
 
-def _centroids(spark, d):
-    p = fx.node_params(spark, d)
-    rows = p.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("param", "v"))).alias("s")).collect()
-    return [(r["node_id"], [x["v"] for x in r["s"]]) for r in sorted(rows, key=lambda r: r["node_id"])]
+def _node_vectors(spark, d):
+    """(id, v): the nodes' parameter vectors, entries in the order of their number."""
+    entries = F.array_sort(F.collect_list(F.struct("param", "v")))  # a node's parameters
+    return fx.node_params(spark, d).groupBy(F.col("node_id").cast("bigint").alias("id")).agg(
+        F.transform(entries, lambda e: e["v"]).alias("v"))
+
+
+def _embedded(spark, d):
+    return read_table(spark, d, "embeddings").select(
+        "vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
 
 
 ASSIGN_SQL = S.with_(S.PARAMS) + """
@@ -51,9 +60,7 @@ ASSIGN_SQL = S.with_(S.PARAMS) + """
 
 
 def _assigned(spark, d):
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select(
-        "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
-    return cluster.assign_nearest(e, "vec", _centroids(spark, d))
+    return sites.nearest_centroid(_embedded(spark, d), "vec", write_down(_node_vectors(spark, d)))
 
 
 @query("c_assign", ASSIGN_SQL + """
@@ -61,32 +68,65 @@ SELECT vec_id, assigned::INT AS assigned, round(sim, 6) AS sim, sim < 0.4 AS low
 def c_assign(spark, d):
     """Nearest node centroid by cosine for every row (first on ties), low-confidence flag."""
     a = _assigned(spark, d)
-    return a.select("vec_id", "assigned", r6("sim").alias("sim"), "low_confidence")
+    return a.select("vec_id", F.col("assigned").cast("int").alias("assigned"), r6("sim").alias("sim"), "low_confidence")
 
 
 @query("w_assign_counts", ASSIGN_SQL + "SELECT assigned::INT AS assigned, count(*) AS n FROM best GROUP BY assigned")
 def w_assign_counts(spark, d):
     """Assignment value counts, most frequent first."""
-    return cluster.value_counts(_assigned(spark, d), "assigned")
+    return cluster.value_counts(_assigned(spark, d).withColumn("assigned", F.col("assigned").cast("int")), "assigned")
 
 
 @query("c_som")
 def c_som(spark, d):
-    """Batch SOM over the embeddings, then the winning neuron per row (rows-only)."""
-    e = spark.read.parquet(f"{d}/embeddings.parquet").select(
-        "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("vec"))
-    code, _ = cluster.batch_som(e, "vec", epochs=5)
-    return cluster.som_assign(e, "vec", code, ["vec_id"])
-
-
-@query("c_agglom")
+    """A map of the embeddings on the default grid, then the winning unit per row (rows-only)."""
+    e = _embedded(spark, d)
+    code, _ = sites.fit_map(e, "vec")
+    return match(e.select("vec_id", "vec"), "vec", code).select("vec_id", F.col("best").alias("neuron"))
+
+
+@query("c_winner", S.with_(S.PARAMS) + """
+, dist AS (SELECT vec_id, node_id, sum(pow(x - v, 2)) AS d2 FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x,
+    generate_subscripts(embedding, 1) - 1 AS param FROM embeddings) e JOIN params USING (param) GROUP BY vec_id, node_id)
+SELECT vec_id, node_id::BIGINT AS winner, round(sqrt(d2), 6) AS dist FROM dist
+QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d2, node_id) = 1""")
+def c_winner(spark, d):
+    """The winning unit of every row for a given codebook (the node vectors)."""
+    won = match(_embedded(spark, d).select("vec_id", "vec"), "vec", write_down(_node_vectors(spark, d)))
+    return won.select("vec_id", F.col("best").alias("winner"), r6(F.sqrt("score")).alias("dist"))
+
+
+@query("c_group_sim", """
+WITH n AS (SELECT label, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
+, u AS (SELECT label, vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM n)
+SELECT a.label::BIGINT AS a, b.label::BIGINT AS b, round(avg(list_sum(list_transform(list_zip(a.u, b.u), lambda z: z[1] * z[2]))), 6) AS sim
+FROM u a JOIN u b ON a.label < b.label GROUP BY a.label, b.label""")
+def c_group_sim(spark, d):
+    """Mean cosine between the members of two groups, from one sum of unit vectors a group (SQL: from all pairs of members)."""
+    items = _embedded(spark, d).select(F.col("label").cast("bigint").alias("grp"), F.col("vec").alias("v"))
+    return sites.group_similarity(items).withColumn("sim", r6("sim"))
+
+
+def _agglomeration_sql(steps: int = 12, threshold: float = 0.6) -> str:
+    """Always the closest pair of groups by mean distance over all pairs of members, `steps` times at most."""
+    sql = S.with_(S.PARAMS) + """
+, norms AS (SELECT node_id, sqrt(sum(v * v)) AS nrm FROM params GROUP BY node_id)
+, dist AS MATERIALIZED (SELECT a.node_id AS i, b.node_id AS j, 1 - sum(a.v * b.v) / (any_value(x.nrm) * any_value(y.nrm)) AS d
+    FROM params a JOIN params b ON a.param = b.param AND a.node_id <> b.node_id JOIN norms x ON x.node_id = a.node_id
+    JOIN norms y ON y.node_id = b.node_id GROUP BY a.node_id, b.node_id)
+, g0 AS (SELECT DISTINCT node_id AS item, node_id AS cluster FROM params)"""
+    for k in range(steps):
+        sql += f"""
+, m{k} AS MATERIALIZED (SELECT a.cluster AS a, b.cluster AS b, avg(d) AS d FROM dist JOIN g{k} a ON a.item = i JOIN g{k} b ON b.item = j
+    WHERE a.cluster < b.cluster GROUP BY a.cluster, b.cluster HAVING avg(d) < {threshold} ORDER BY avg(d), a.cluster LIMIT 1)
+, g{k + 1} AS MATERIALIZED (SELECT item, coalesce(m{k}.a, cluster) AS cluster FROM g{k} LEFT JOIN m{k} ON cluster = m{k}.b)"""
+    return sql + f"\nSELECT item::BIGINT AS item, cluster::BIGINT AS cluster FROM g{steps}"
+
+
+@query("c_agglom", _agglomeration_sql())
 def c_agglom(spark, d):
-    """C4: average-linkage merging of node vectors with cosine distance < 0.3 (rows-only)."""
-    from aquifer.operators import network
-
-    sims = network.similarity_pairs(fx.node_params(spark, d))
-    pairs = sims.select(F.col("a").alias("i"), F.col("b").alias("j"), (1 - F.col("sim")).alias("d"))
-    return cluster.agglomerate(pairs, 0.3, "average")
+    """C4: average-linkage merging of the node vectors below a mean cosine distance, by sums of unit vectors."""
+    return sites.merge_groups(_node_vectors(spark, d).withColumnRenamed("id", "item"), 0.6)
 
 
 @query("t_corr_groups")
@@ -96,7 +136,8 @@ def t_corr_groups(spark, d):
     ids = {a: i for i, a in enumerate(fx.FX_ANALYTES)}
     m = F.create_map(*[x for a, i in ids.items() for x in (F.lit(a), F.lit(i))])
     pairs = r.select(m[F.col("a")].alias("i"), m[F.col("b")].alias("j"), (1 - F.abs("r")).alias("d"))
-    lab = cluster.agglomerate(pairs, 0.9, "complete")
+    alone = spark.createDataFrame([(i,) for i in ids.values()], "item long")
+    lab = cluster.agglomerate(pairs, 0.9, "complete", items=alone)
     inv = F.create_map(*[x for a, i in ids.items() for x in (F.lit(i), F.lit(a))])
     return lab.select(inv[F.col("item")].alias("analyte"), inv[F.col("cluster")].alias("group"))
 
@@ -166,17 +207,31 @@ def c_prior_groups(spark, d):
                                n_clusters=3)
 
 
-@query("c_site_labels")
-def c_site_labels(spark, d):
-    """C2 end to end on the environment features: scaled, weighted, projected, mapped to neurons, and the neurons merged
-    into nine groups; every row gets its neuron and group (rows-only, property-tested)."""
+SITE_KEYS = ["l_orderkey", "l_linenumber"]
+
+
+def _sites(spark, d, train_only):
+    """The environment features scaled by a plan, and the clusters fitted on them (or on the training rows)."""
     from aquifer.operators import prepare
 
     e = fx.env_covariates(spark, d)
-    plan = prepare.fit_scalers(e, fx.ENV_COLUMNS)
-    scaled = prepare.apply_scalers(e, plan, keep=["l_orderkey", "l_linenumber"])
-    weighted = cluster.weight_features(scaled, fx.ENV_COLUMNS, {"TDS": 2.0, "heavy": 0.5})
-    comps, mean, _ = cluster.fit_pca(weighted, fx.ENV_COLUMNS)
-    pcs = cluster.apply_pca(weighted, fx.ENV_COLUMNS, comps, mean, ["l_orderkey", "l_linenumber"])
-    vec = pcs.select("l_orderkey", "l_linenumber", F.array(*[F.col(f"pc{j}") for j in range(comps.shape[1])]).alias("vec"))
-    return cluster.label_rows(vec, "vec", ["l_orderkey", "l_linenumber"], n_groups=9, grid=6, epochs=10)
+    train = e.where(F.col("l_orderkey") % 5 != 0) if train_only else e
+    plan = prepare.fit_scalers(train, fx.ENV_COLUMNS)
+    scaled = prepare.apply_scalers(e, plan, keep=SITE_KEYS)
+    rows = scaled.where(F.col("l_orderkey") % 5 != 0) if train_only else scaled
+    return scaled, sites.fit_sites(rows, fx.ENV_COLUMNS, {"TDS": 2.0, "heavy": 0.5})
+
+
+@query("c_site_labels")
+def c_site_labels(spark, d):
+    """C1 + C2 + C4 + G8 end to end: features scaled, weighted, projected, mapped to the units of the default grid, the units
+    merged below a cosine distance of 0.6, clusters tiered by size; every row gets unit, cluster and tier (rows-only)."""
+    scaled, fitted = _sites(spark, d, train_only=False)
+    return fitted.label(scaled, SITE_KEYS)
+
+
+@query("c_site_test")
+def c_site_test(spark, d):
+    """J9 end to end: clusters fitted on the training rows, the other rows assigned to the nearest centroid (rows-only)."""
+    scaled, fitted = _sites(spark, d, train_only=True)
+    return fitted.assign(scaled.where(F.col("l_orderkey") % 5 == 0), SITE_KEYS)

@@ -83,3 +83,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     checkpoint_dir(spark)
     conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     return f"{(conf or spark.sparkContext.getCheckpointDir()).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def write_down(df: DataFrame, name: str = "table") -> DataFrame:
+    """The table written to the checkpoint folder and read back. Unlike a checkpoint it keeps nothing of the old plan, whose
+    inferred constraints would grow from round to round of an iterative job."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

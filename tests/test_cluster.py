@@ -4,6 +4,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from linkage import naive_agglomerate
+
 from aquifer.operators import cluster
 from aquifer.session import checkpoint_dir
 
@@ -17,7 +19,7 @@ def test_agglomerate_matches_naive(spark, seed, linkage):
     rows = [(i, j, float(np.linalg.norm(pts[i] - pts[j]))) for i in range(n) for j in range(i + 1, n)]
     pairs = spark.createDataFrame(rows, "i long, j long, d double")
     got = {r["item"]: r["cluster"] for r in cluster.agglomerate(pairs, 1.5, linkage).collect()}
-    want = cluster.naive_agglomerate(pts, 1.5, linkage)
+    want = naive_agglomerate(np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(-1)), 1.5, linkage)
     assert [got[i] for i in range(n)] == want
 
 
@@ -33,35 +35,8 @@ def test_pca_centred_and_sign_fixed(spark):
     assert abs(scores.pc0.mean()) < 1e-9
 
 
-def test_som_quantisation_error_falls(spark):
-    rng = np.random.default_rng(5)
-    x = np.vstack([rng.normal(loc=c, size=(100, 4)) for c in range(4)])
-    df = spark.createDataFrame(pd.DataFrame({"v": list(x)}), "v array<double>")
-    _, errs = cluster.batch_som(df, "v", grid=3, epochs=4)
-    assert errs[-1] <= errs[0]
-
-
-def test_assign_ties_and_empty(spark):
-    df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "id int, v array<double>")
-    out = cluster.assign_nearest(df, "v", [(5, [1.0, 0.0]), (3, [2.0, 0.0])]).orderBy("id").collect()
-    assert out[0]["assigned"] == 3 and out[0]["low_confidence"] is False  # tie -> first (smallest id)
-    assert out[1]["sim"] == 0.0 and out[1]["low_confidence"] is True
-    none = cluster.assign_nearest(df, "v", []).collect()
-    assert all(r["assigned"] == -1 for r in none)
-
-
-def test_rows_get_the_group_of_their_neuron(spark):
-    from aquifer.operators import cluster
-
-    rng = np.random.default_rng(3)
-    centres = np.array([[0.0, 0.0], [8.0, 0.0], [0.0, 8.0]])
-    rows = [(i, (centres[i % 3] + rng.normal(0, 0.3, 2)).tolist()) for i in range(600)] + [(600, None)]
-    df = spark.createDataFrame(rows, "id long, vec array<double>")
-    got = cluster.label_rows(df, "vec", ["id"], n_groups=3, grid=4, epochs=8).toPandas().set_index("id")
-    assert len(got) == 601 and np.isnan(got.loc[600].grp)
-    assert got.dropna().groupby("neuron").grp.nunique().max() == 1 and set(got.grp.dropna()) <= {0, 1, 2}
-    for k in range(3):  # well separated clouds are never mixed with each other in a group
-        own = set(got.loc[[i for i in range(600) if i % 3 == k]].grp)
-        assert len(own) == 1
-    again = cluster.label_rows(df.repartition(7), "vec", ["id"], n_groups=3, grid=4, epochs=8).toPandas().set_index("id")
-    assert (again.grp.sort_index().dropna() == got.grp.sort_index().dropna()).all()
+def test_items_without_a_pair_stay(spark):
+    pairs = spark.createDataFrame([(1, 2, 0.1), (2, 3, 0.9), (1, 3, 0.9)], "i long, j long, d double")
+    items = spark.createDataFrame([(k,) for k in range(1, 6)], "item long")
+    got = {r["item"]: r["cluster"] for r in cluster.agglomerate(pairs, 0.5, items=items).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5}
