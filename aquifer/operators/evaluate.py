@@ -21,8 +21,9 @@ def score_table(pred: DataFrame, keys: list[str], y: str = "y", score: str = "sc
     and the group totals P, N.
 
     The distinct-score table is materialised once; totals come from it (a small aggregate) and one
-    prefix pass gives the below-sums, so the prefix is computed exactly once."""
-    lab = pred.where(F.col(y).isNotNull() & F.col(score).isNotNull())
+    prefix pass gives the below-sums, so the prefix is computed exactly once. Rows without a label or with a NULL or NaN score
+    count nowhere."""
+    lab = pred.where(F.col(y).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score))
     st = cut_lineage(lab.groupBy(*keys, score).agg(
         F.count_if(F.col(y) == 1.0).alias("pos"), F.count_if(F.col(y) == 0.0).alias("neg")))
     tot = st.groupBy(*keys).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))

@@ -3,10 +3,16 @@ histograms, box-plot statistics, variance ranking, correlations and VIF."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aquifer.operators.stats import quantiles_wide, to_long, value_counts_prefix, value_histogram
+from aquifer.operators.stats import global_prefix, quantiles_wide, to_long
+from aquifer.session import write_down
 
 
 # ------------------------------------------------------------------- G1 / G5
@@ -84,18 +90,17 @@ def histogram(df: DataFrame, cols: list[str], bins: int = 50) -> DataFrame:
 
 # ----------------------------------------------------------------------- G26
 def boxplot_stats(df: DataFrame, cols: list[str], whisker: float = 1.5) -> DataFrame:
-    """q1/median/q3 (exact, interpolated), whisker ends within 1.5 IQR, outlier count.
-    Everything is derived from the distinct-value histogram, so the input is scanned once."""
+    """q1/median/q3 (exact, interpolated), whisker ends within 1.5 IQR, outlier count. Two passes find the quartiles
+    (approximate bounds, then counts and the values between them), a third the whiskers."""
     long = to_long(df, cols).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    hist = value_histogram(long, ["col"], "x")
-    q = quantiles_wide(long, ["col"], "x", {"q1": 0.25, "median": 0.5, "q3": 0.75}, hist=hist)
-    j = hist.join(F.broadcast(q), "col")  # one row per column
+    q = quantiles_wide(long, ["col"], "x", {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    j = long.join(F.broadcast(q), "col")  # one row per column
     iqr = F.col("q3") - F.col("q1")
     lo_f, hi_f = F.col("q1") - whisker * iqr, F.col("q3") + whisker * iqr
     return j.groupBy("col", "q1", "median", "q3").agg(
         F.min(F.when(F.col("x") >= lo_f, F.col("x"))).alias("whisker_lo"),
         F.max(F.when(F.col("x") <= hi_f, F.col("x"))).alias("whisker_hi"),
-        F.coalesce(F.sum(F.when((F.col("x") < lo_f) | (F.col("x") > hi_f), F.col("_c"))), F.lit(0)).alias("n_outliers"),
+        F.count_if((F.col("x") < lo_f) | (F.col("x") > hi_f)).alias("n_outliers"),
     )
 
 
@@ -124,72 +129,120 @@ def variance_filter(df: DataFrame, cols: list[str], min_var: float = 1e-8) -> Da
 
 
 # ------------------------------------------------------------------- T10 / T11
+TILE = 256  # columns on a side of the blocks that a task adds up
+
+
+def gram_sums(df: DataFrame, cols: list[str], tile: int = TILE) -> DataFrame:
+    """(a, b, n, sa, sb, saa, sbb, sab) for a before b in `cols`: sums over the rows where both are present, of values less
+    their column's mean (so that large means cost no digits).
+
+    A batch of rows gives matrix products of values and presence masks, a task adds them up in a block of tile x tile column
+    pairs, and Spark adds the tasks' blocks. Columns beyond one tile are read tile by tile, two at a time."""
+    means = df.agg(*[F.avg(F.nanvl(F.col(c).cast("double"), F.lit(None))).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    centre = np.array([0.0 if m is None else m for m in means])
+    tiles = [list(range(at, min(at + tile, len(cols)))) for at in range(0, len(cols), tile)]
+    parts = []
+    for i, left in enumerate(tiles):
+        for right in tiles[i:]:
+            parts.append(_tile_sums(df, cols, centre, left, right))
+    names = F.array(*[F.lit(c) for c in cols])
+    total = functools.reduce(DataFrame.unionByName, parts).groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    return total.select(F.element_at(names, F.col("i") + 1).alias("a"), F.element_at(names, F.col("j") + 1).alias("b"),
+                        F.col("n").cast("long").alias("n"), "sa", "sb", "saa", "sbb", "sab")
+
+
+def _tile_sums(df: DataFrame, cols: list[str], centre: np.ndarray, left: list[int], right: list[int]) -> DataFrame:
+    used = left if left == right else left + right
+    rows = df.select(*[F.col(cols[k]).cast("double").alias(f"c{k}") for k in used])
+    i, j = (g.ravel() for g in np.meshgrid(left, right, indexing="ij"))
+    keep = i < j
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((6, len(left), len(right)))
+        for batch in batches:
+            x = np.column_stack([batch.column(f"c{k}").to_numpy(zero_copy_only=False) for k in used]).astype(float) - centre[used]
+            there = ~np.isnan(x)
+            x, m = np.where(there, x, 0.0), there.astype(float)
+            a, ma = x[:, :len(left)], m[:, :len(left)]
+            b, mb = x[:, len(used) - len(right):], m[:, len(used) - len(right):]
+            sums += [ma.T @ mb, a.T @ mb, ma.T @ b, (a * a).T @ mb, ma.T @ (b * b), a.T @ b]
+        flat = sums.reshape(6, -1)[:, keep]
+        yield pa.RecordBatch.from_arrays([pa.array(i[keep], pa.int32()), pa.array(j[keep], pa.int32()), *map(pa.array, flat)],
+                                         ["i", "j", "n", "sa", "sb", "saa", "sbb", "sab"])
+
+    return rows.mapInArrow(run, "i int, j int, n double, sa double, sb double, saa double, sbb double, sab double")
+
+
+def _correlation(n: Column, sa: Column, sb: Column, saa: Column, sbb: Column, sab: Column) -> Column:
+    """Pearson from sums; NULL where a side does not vary."""
+    va, vb = saa - sa * sa / n, sbb - sb * sb / n
+    return F.when((n > 0) & (va > 0) & (vb > 0), (sab - sa * sb / n) / F.sqrt(va * vb))
+
+
+def pearson_pairs(df: DataFrame, cols: list[str], tile: int = TILE) -> DataFrame:
+    """Pairwise-complete Pearson for every column pair, from blocks of sums; the plan does not grow with the pairs."""
+    s = gram_sums(df, cols, tile)
+    return s.select("a", "b", _correlation(*[F.col(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")]).alias("r"))
+
+
 def _pairs(cols: list[str]):
     return [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
 
 
-def pearson_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pairwise-complete Pearson for every column pair in ONE aggregate (corr skips NULL rows)."""
-    pairs = _pairs(cols)
-    row = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    stack = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r"))
-                      for a, b in pairs])
-    return row.select(F.inline(stack))
+def _ranked(joint: DataFrame, ranks: DataFrame, keys: list[str], bound: int | None) -> DataFrame:
+    """The joint values with their rank; ranks of values with more than `bound` cells are sent to the tasks."""
+    if bound is None:
+        return joint.join(ranks.drop("cells"), keys)
+    common = F.col("cells") > bound
+    few = F.broadcast(ranks.where(common).drop("cells"))
+    rest = joint.join(few.select(*keys), keys, "left_anti").join(ranks.where(~common).drop("cells"), keys)
+    return joint.join(few, keys).unionByName(rest)
 
 
-def spearman_pairs(df: DataFrame, cols: list[str], id_col: str) -> DataFrame:
-    """Pairwise-complete Spearman: per pair keep rows where both are present, mid-rank each
-    side inside the pair, then Pearson of ranks. Both sides of every pair are ranked in ONE
-    distributed, skew-safe pass keyed by (pair, side); no group is sorted in a single task."""
-    pairs = _pairs(cols)
+def spearman_pairs(df: DataFrame, cols: list[str], hot: int = 100_000) -> DataFrame:
+    """Pairwise-complete Spearman. The rows of a pair collapse to counts of its joint values (xa, xb); the counts of either
+    side give the mid-ranks inside the pair, and the correlation of ranks is weighted by the joint counts. Rows are never
+    ranked or joined. A value that meets more than `hot` (and a thousandth of all) joint values gets its rank by broadcast
+    (such values are at most a thousand a side, over all pairs), so no task holds one value's counts."""
     stack = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("xa"),
-                               F.col(b).cast("double").alias("xb")) for a, b in pairs])
-    long = df.select(id_col, F.inline(stack)).where(F.col("xa").isNotNull() & F.col("xb").isNotNull())
-    sides = long.select(id_col, "a", "b", F.inline(F.array(
-        F.struct(F.lit("a").alias("side"), F.col("xa").alias("x")),
-        F.struct(F.lit("b").alias("side"), F.col("xb").alias("x")))))
-    ranks = mid_rank(sides, ["a", "b", "side"], "x", "rk")
-    ranked = sides.join(ranks, ["a", "b", "side", "x"])
-    wide = ranked.groupBy("a", "b", id_col).agg(F.max(F.when(F.col("side") == "a", F.col("rk"))).alias("ra"),
-                                                F.max(F.when(F.col("side") == "b", F.col("rk"))).alias("rb"))
-    return wide.groupBy("a", "b").agg(F.corr("ra", "rb").alias("r"))
-
-
-def mid_rank(long: DataFrame, keys: list[str], value: str, out: str = "rank") -> DataFrame:
-    """Distinct-value table with the 1-based average rank of ties: (#values below) + (ties + 1) / 2."""
-    ranks = value_counts_prefix(long.select(*keys, value), keys, value)
-    return ranks.withColumn(out, F.col("_below") + (F.col("_c") + 1) / 2.0).drop("_c", "_below")
-
-
-def _mid_rank(long: DataFrame, keys: list[str], value: str, out: str, id_col: str) -> DataFrame:
-    return long.join(mid_rank(long, keys, value, out), [*keys, value]).select(*keys, id_col, out)
+                               F.col(b).cast("double").alias("xb")) for a, b in _pairs(cols)])
+    there = F.col("xa").isNotNull() & F.col("xb").isNotNull() & ~F.isnan("xa") & ~F.isnan("xb")
+    joint = write_down(df.select(F.inline(stack)).where(there).groupBy("a", "b", "xa", "xb").agg(F.count(F.lit(1)).alias("n")))
+    sides = joint.select("a", "b", "n", F.inline(F.array(
+        F.struct(F.lit("a").alias("side"), F.col("xa").alias("x")), F.struct(F.lit("b").alias("side"), F.col("xb").alias("x")))))
+    marginal = write_down(sides.groupBy("a", "b", "side", "x").agg(F.sum("n").alias("_c"), F.count(F.lit(1)).alias("cells")))
+    ranks = global_prefix(marginal, ["a", "b", "side"], "x", "_c", "_below").select(
+        "a", "b", "side", "x", "cells", (F.col("_below") + (F.col("_c") + 1) / 2.0).alias("rk"))
+    ranks = write_down(ranks)
+    size = ranks.agg(F.sum("cells"), F.max("cells")).first()
+    bound = max(hot, (size[0] or 0) // 2000)  # every joint value is counted on both sides
+    out = joint
+    for side in ("a", "b"):
+        own = ranks.where(F.col("side") == side).select("a", "b", F.col("x").alias(f"x{side}"), F.col("rk").alias(f"r{side}"), "cells")
+        out = _ranked(out, own, ["a", "b", f"x{side}"], bound if (size[1] or 0) > bound else None)
+    n, ra, rb = F.col("n"), F.col("ra"), F.col("rb")
+    sums = out.groupBy("a", "b").agg(F.sum(n).alias("n"), F.sum(n * ra).alias("sa"), F.sum(n * rb).alias("sb"),
+                                     F.sum(n * ra * ra).alias("saa"), F.sum(n * rb * rb).alias("sbb"), F.sum(n * ra * rb).alias("sab"))
+    return sums.select("a", "b", _correlation(*[F.col(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")]).alias("r"))
 
 
 # ----------------------------------------------------------------------- T13
 def vif(df: DataFrame, cols: list[str], max_cols: int = 20, min_var: float = 0.01) -> list[tuple]:
     """Variance inflation factors with intercept on zero-filled columns: keep columns with
-    variance > min_var, take the `max_cols` most variable, one distributed pass for all means and
-    cross-products, then invert the (<= max_cols)^2 correlation matrix on the driver.
+    variance > min_var, take the `max_cols` most variable, their correlations from
+    blocks of sums, then invert the (<= max_cols)^2 correlation matrix on the driver.
     Returns rows (col, variance, vif, high) with vif = inf for a singular matrix."""
-    import numpy as np
-
     z = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
     var = z.agg(*[F.var_samp(c).alias(c) for c in cols]).first().asDict()
     keep = sorted([c for c in cols if var[c] is not None and var[c] > min_var], key=lambda c: (-var[c], c))[:max_cols]
     if len(keep) < 2:
         return [(c, var[c], 1.0, False) for c in keep]
-    exprs = [F.count(F.lit(1)).alias("n")] + [F.sum(c).alias(f"s_{i}") for i, c in enumerate(keep)]
-    exprs += [F.sum(F.col(a) * F.col(b)).alias(f"p_{i}_{j}") for i, a in enumerate(keep) for j, b in enumerate(keep)
-              if j >= i]
-    r = z.agg(*exprs).first()
-    n, k = r["n"], len(keep)
-    mean = np.array([r[f"s_{i}"] / n for i in range(k)])
-    cov = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            cov[i, j] = cov[j, i] = r[f"p_{i}_{j}"] / n - mean[i] * mean[j]
-    sd = np.sqrt(np.diag(cov))
-    corr = cov / np.outer(sd, sd)
+    k = len(keep)
+    corr = np.eye(k)
+    for r in pearson_pairs(z, keep).collect():  # at most max_cols squared
+        i, j = keep.index(r["a"]), keep.index(r["b"])
+        corr[i, j] = corr[j, i] = r["r"]
     try:
         if np.linalg.cond(corr) > 1e12:
             raise np.linalg.LinAlgError

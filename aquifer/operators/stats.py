@@ -10,19 +10,19 @@ group's values into one task, by one path at every size:
    holds a third of all rows;
 3. the totals of the (partition, group) pairs become offsets through a window over that small table.
 
-Quantiles first collapse to a distinct (group, value, count) table (map-side combine), so long
-runs of tied values cost one row each. NULL is a group like any other. Everything is sort/shuffle
+Quantiles sort only the values near their order positions (`bracket_histogram`), equal values as one row with a count
+(map-side combine), so long runs of tied values cost one row each. NULL is a group like any other. Everything is sort/shuffle
 based and spills to disk.
 """
 
 from __future__ import annotations
 
-import math
+import functools
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aquifer.session import cut_lineage
+from aquifer.session import cut_lineage, write_down
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -88,15 +88,47 @@ def value_counts_prefix(df: DataFrame, groups: list[str], value: str, hist: Data
     return global_prefix(h, groups, value, "_c", "_below")
 
 
-def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[float],
-                    hist: DataFrame | None = None) -> DataFrame:
-    """Rows (groups..., p, q): linear-interpolated quantile (numpy default / quantile_cont / percentile).
-    `hist` may pass a precomputed `value_histogram`. The prefix table is consumed once; group sizes
-    come from the materialised histogram."""
+BRACKETED = 16  # probabilities up to which only the values near each order position are sorted
+ACCURACY = 2000  # of the approximate bounds around a position
+
+
+def bracket_histogram(df: DataFrame, groups: list[str], value: str, probs: list[float], accuracy: int = ACCURACY) -> DataFrame:
+    """Counts (groups, _o, _c) that determine the order positions of `probs`: `_o` = (interval, value), in order.
+
+    Approximate quantiles around each position (one pass, small sketches) are the ends of a bracket that the position lies in.
+    A second pass counts the rows between the brackets' ends; only rows inside a bracket keep their value, equal ones
+    as one row, so about 6 / accuracy of the rows of each probability are sorted later."""
+    margin = 3.0 / accuracy
+    ends = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
+    base = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value))).select(*groups, F.col(value).cast("double").alias("_x"))
+    bounds = write_down(base.groupBy(*groups).agg(F.percentile_approx("_x", ends, accuracy).alias("_b")))
+    near = null_safe_join(base, bounds, groups)
+    low = [F.lit(float("-inf")) if e == 0.0 else F.col("_b")[i] for i, e in enumerate(ends)]
+    high = [F.lit(float("inf")) if e == 1.0 else F.col("_b")[i] for i, e in enumerate(ends)]
+    at = sum((F.col("_x") > F.col("_b")[i]).cast("int") + (F.col("_x") >= F.col("_b")[i]).cast("int") for i in range(len(ends)))
+    inside = functools.reduce(Column.__or__, [(F.col("_x") >= low[2 * k]) & (F.col("_x") <= high[2 * k + 1]) for k in range(len(probs))])
+    order = F.struct(at.alias("at"), F.when(inside, F.col("_x")).alias("x"))
+    return write_down(near.groupBy(*groups, order.alias("_o")).agg(F.count(F.lit(1)).alias("_c")))
+
+
+def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[float], accuracy: int = ACCURACY) -> DataFrame:
+    """Rows (groups..., p, q): linear-interpolated quantile (numpy default / quantile_cont / percentile). Up to `BRACKETED`
+    probabilities are found in brackets, more (a grid of quantiles) in the histogram of all values. A position that no
+    bracket holds would show as a missing value; then the histogram decides."""
     if not groups:
-        return _exact_quantiles_single(df, value, probs, hist)
-    hist = hist if hist is not None else value_histogram(df.select(*groups, value), groups, value)
-    vc = value_counts_prefix(None, groups, value, hist=hist)
+        return exact_quantiles(df.select(F.lit(0).alias("_g"), value), ["_g"], value, probs, accuracy).drop("_g")
+    if len(probs) <= BRACKETED:
+        got = write_down(_interpolated(bracket_histogram(df, groups, value, probs, accuracy), groups, probs))
+        if got.where(F.col("q").isNull()).isEmpty():
+            return got
+    hist = value_histogram(df.select(*groups, F.col(value).cast("double").alias("_x")), groups, "_x")
+    return _interpolated(hist.select(*groups, F.struct(F.lit(0).alias("at"), F.col("_x").alias("x")).alias("_o"), "_c"), groups, probs)
+
+
+def _interpolated(hist: DataFrame, groups: list[str], probs: list[float]) -> DataFrame:
+    """(groups..., p, q) from counts (groups, _o = (interval, value or NULL), _c)."""
+    vc = _prefix(hist, groups, F.col("_o"), [F.col("_c")], ["_below"], None).select(
+        *groups, F.col("_o.x").alias("_x"), "_c", "_below").where(F.col("_x").isNotNull())
     sizes = hist.groupBy(*groups).agg(F.sum("_c").alias("_n"))
     h = (F.col("_n") - 1) * F.col("p")
     plan = (
@@ -118,53 +150,20 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[fl
                                         F.floor(F.col("_pos") / F.col("_B")).cast("long").alias("_nbk"))
     cond = [F.col(g).eqNullSafe(F.col(f"_n_{g}")) for g in groups] + [F.col("_bk") == F.col("_nbk"),
             F.col("_pos") >= F.col("_below"), F.col("_pos") < F.col("_below") + F.col("_c")]
-    joined = v.join(n, cond)
-    picked = joined.select(*groups, "_pos", F.col(value).alias("_x"))
+    picked = v.join(n, cond).select(*groups, "_pos", "_x")
     # one row per group with its <= 2*len(probs) picked order statistics, read once for lo and hi
     pm = picked.groupBy(*groups).agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_x"))).alias("_m"))
-    out = null_safe_join(plan, pm, groups)
+    out = null_safe_join(plan, pm, groups, "left")
     xlo, xhi = F.element_at("_m", F.col("_lo")), F.element_at("_m", F.col("_hi"))
     between = xlo + (F.col("_h") - F.col("_lo")) * (xhi - xlo)
     q = F.when(xlo == xhi, xlo).otherwise(between)  # also where both are infinite
     return out.select(*groups, "p", q.alias("q"))
 
 
-def _exact_quantiles_single(df: DataFrame, value: str, probs: list[float], hist: DataFrame | None) -> DataFrame:
-    """Ungrouped quantiles: the handful of needed order positions are literals; only the histogram
-    rows covering them (<= 2 per probability) reach the driver."""
-    spark = df.sparkSession
-    hist = hist if hist is not None else value_histogram(df.select(value), [], value)
-    n = hist.agg(F.sum("_c")).first()[0] or 0
-    vc = value_counts_prefix(None, [], value, hist=hist)
-    if n == 0:
-        return spark.createDataFrame([(float(p), None) for p in probs], "p double, q double")
-    pos = sorted({int(v) for p in probs for v in (math.floor((n - 1) * p), math.ceil((n - 1) * p))})
-    hit = None
-    for q in pos:
-        c = (F.col("_below") <= q) & (F.col("_below") + F.col("_c") > q)
-        hit = c if hit is None else hit | c
-    rows = vc.where(hit).select("_below", "_c", value).collect()
-
-    def at(q):
-        for r in rows:
-            if r["_below"] <= q < r["_below"] + r["_c"]:
-                return float(r[value])
-        raise AssertionError("position not covered")
-
-    out = []
-    for p in probs:
-        h = (n - 1) * p
-        lo, hi = math.floor(h), math.ceil(h)
-        x, y = at(lo), at(hi)
-        out.append((float(p), x if x == y else x + (h - lo) * (y - x)))
-    return spark.createDataFrame(out, "p double, q double")
-
-
-def quantiles_wide(df: DataFrame, groups: list[str], value: str, probs: dict[str, float],
-                   hist: DataFrame | None = None) -> DataFrame:
+def quantiles_wide(df: DataFrame, groups: list[str], value: str, probs: dict[str, float]) -> DataFrame:
     """exact_quantiles pivoted to one column per named probability."""
     names = list(probs)
-    q = exact_quantiles(df, groups, value, [probs[n] for n in names], hist)
+    q = exact_quantiles(df, groups, value, [probs[n] for n in names])
     exprs = [F.max(F.when(F.col("p") == float(probs[n]), F.col("q"))).alias(n) for n in names]
     return q.groupBy(*groups).agg(*exprs) if groups else q.agg(*exprs)
 

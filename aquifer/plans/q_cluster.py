@@ -132,7 +132,7 @@ def c_agglom(spark, d):
 @query("t_corr_groups")
 def t_corr_groups(spark, d):
     """Complete-linkage groups of analytes on the 1 - |spearman| distance, cut at 0.9 (rows-only)."""
-    r = profile.spearman_pairs(fx.wide_samples(spark, d), fx.FX_ANALYTES, "sample_id")
+    r = profile.spearman_pairs(fx.wide_samples(spark, d), fx.FX_ANALYTES)
     ids = {a: i for i, a in enumerate(fx.FX_ANALYTES)}
     m = F.create_map(*[x for a, i in ids.items() for x in (F.lit(a), F.lit(i))])
     pairs = r.select(m[F.col("a")].alias("i"), m[F.col("b")].alias("j"), (1 - F.abs("r")).alias("d"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aquifer.functions import r6
@@ -172,6 +175,40 @@ def u_predictive(spark, d):
     return b.select("sample_id", *[r6(c).alias(c) for c in ["pred_mean", "pred_std", "lower", "upper"]])
 
 
+LAPLACE_SQL = S.with_(S.OBS, S.THR, S.LABELLED) + """
+, mf AS (SELECT well_id, ts::DATE AS day, [(well_id % 7) / 6.0, (dayofweek(ts::DATE) + 1) / 7.0, ln(1 + count(*)), min(hour(ts)) / 23.0, 1.0] AS x,
+         max(CASE WHEN analyte = 'click' THEN y END) AS y_click, max(CASE WHEN analyte = 'error' THEN y END) AS y_error,
+         max(CASE WHEN analyte = 'purchase' THEN y END) AS y_purchase, max(CASE WHEN analyte = 'signup' THEN y END) AS y_signup
+         FROM labelled GROUP BY well_id, ts::DATE)
+, l AS (SELECT well_id, day, analyte, y, j, x[j + 1]::DOUBLE AS x FROM mf UNPIVOT (y FOR analyte IN (y_click, y_error, y_purchase, y_signup)), range(5) r(j))
+, w AS (SELECT analyte, j, -sum((0.5 - y) * x) / (1 + sum(0.25 * x * x)) / 5 AS mu FROM l GROUP BY analyte, j)
+, p AS (SELECT well_id, day, analyte, 1 / (1 + exp(-sum(mu * x))) AS p FROM l JOIN w USING (analyte, j) GROUP BY well_id, day, analyte)
+SELECT analyte, ['f_well', 'f_dow', 'f_events', 'f_hour', 'bias'][j + 1] AS weight, round(any_value(mu), 6) AS mu,
+  round(1 / sqrt(1 + sum(p * (1 - p) * x * x)), 6) AS sigma
+FROM l JOIN p USING (well_id, day, analyte) JOIN w USING (analyte, j) GROUP BY analyte, j"""
+
+
+@query("m_laplace", LAPLACE_SQL)
+def m_laplace(spark, d):
+    """M7: posterior mean and deviation of every analyte's link after one step from zero."""
+    post = federate.fit_posteriors(fx.model_frame(spark, d), FEATS, TARGETS, steps=1)
+    return post.select("analyte", "weight", r6("mu").alias("mu"), r6("sigma").alias("sigma"))
+
+
+@query("u_posterior")
+def u_posterior(spark, d):
+    """Bands of the test rows over draws from the posterior fitted on the training rows (rows-only, property-tested)."""
+    tr, te = _split(spark, d)
+    fitted = federate.fit_posteriors(tr, FEATS, TARGETS, steps=50).collect()  # analytes x weights
+    out = []
+    for t in TARGETS:
+        own = [r for r in fitted if r["analyte"] == t]
+        pm = federate.predictive_moments(te.select("sample_id", *FEATS), FEATS, [r["mu"] for r in own], [r["sigma"] for r in own], 50)
+        out.append(evaluate.uncertainty_band(pm, "pred_mean", "pred_std").select(
+            "sample_id", F.lit(t).alias("analyte"), "pred_mean", "pred_std", "lower", "upper"))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 @query("m_personalize")
 def m_personalize(spark, d):
     """M6: personalised tail per node. Global chain (click, error) trained first; its context (known

@@ -150,7 +150,7 @@ GROUP BY a, b"""
 
 @query("t_spearman", _spearman_sql())
 def t_spearman(spark, d):
-    return profile.spearman_pairs(fx.wide_samples(spark, d), AN, "sample_id").withColumn("r", r6("r"))
+    return profile.spearman_pairs(fx.wide_samples(spark, d), AN).withColumn("r", r6("r"))
 
 
 @query("g_missing_sites", S.with_(S.SITES) + """
@@ -169,6 +169,17 @@ def t_vif(spark, d):
     return spark.createDataFrame(rows, "col string, variance double, vif double, high boolean")
 
 
+@query("t_vif_two", S.with_(S.ENV) + """
+, e AS (SELECT coalesce(TDS, 0) AS TDS, coalesce(FE, 0) AS FE, coalesce(NO3N, 0) AS NO3N FROM env)
+SELECT pair, round(1 / (1 - r * r), 6) AS vif FROM (SELECT 'TDS|FE' AS pair, corr(TDS, FE) AS r FROM e
+  UNION ALL SELECT 'TDS|NO3N', corr(TDS, NO3N) FROM e)""")
+def t_vif_two(spark, d):
+    """T13 on two columns at a time, where it is 1 / (1 - r^2) for both."""
+    e = fx.env_covariates(spark, d)
+    rows = [(f"{a}|{b}", {r[0]: r[2] for r in profile.vif(e, [a, b])}[b]) for a, b in (("TDS", "FE"), ("TDS", "NO3N"))]
+    return spark.createDataFrame(rows, "pair string, vif double").withColumn("vif", r6("vif"))
+
+
 @query("j_attach", S.with_(S.OBS, S.WIDE, S.THR, S.LABELLED) + """
 , lab AS (SELECT well_id * 100000 + date_diff('day', DATE '2024-01-01', ts::DATE) AS sample_id,
           max(CASE WHEN analyte = 'click' THEN y END) AS y_click FROM labelled GROUP BY 1)

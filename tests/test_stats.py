@@ -139,3 +139,84 @@ def test_split_keeps_repeated_and_null_ids(spark):
     s = prepare.chronological_split(spark.createDataFrame(rows, "d string, id long"), "d", "id", 0.4).collect()
     assert sorted((str(r.id), r.split) for r in s) == [
         ("1", "train"), ("2", "test"), ("2", "train"), ("5", "test"), ("None", "test")]
+
+
+@pytest.mark.parametrize("accuracy", [4, 50, 2000])
+def test_quantiles_by_brackets(spark, accuracy):
+    """Coarse and fine bounds, giant ties, infinities, NULL and NaN, null groups and groups of one give exact values."""
+    from aquifer.operators.stats import bracket_histogram
+
+    rng = np.random.default_rng(4)
+    inf = math.inf
+    groups = {"many": rng.normal(size=5000), "ties": np.repeat([1.0, 2.0, 3.0], [10, 3000, 11]), "one": [4.0], "two": [1.0, 2.0],
+              None: np.append(rng.integers(0, 50, 900), [-inf, inf, inf]), "wide": rng.lognormal(0, 9, 4000)}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("many", None), ("many", math.nan), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(6)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
+    got = {(r.g, r.p): r.q for r in exact_quantiles(df, ["g"], "x", probs, accuracy).collect()}
+    assert len(got) == len(groups) * len(probs)
+    for g, xs in groups.items():
+        for p in probs:
+            want = np.min(xs) if p == 0 else np.max(xs) if p == 1 else np.quantile(np.array(xs, float), p)
+            assert np.isnan(want) or got[g, p] == pytest.approx(want, rel=1e-12)  # numpy has NaN between infinities
+    if accuracy == 2000:
+        kept = bracket_histogram(df.where("g = 'many'"), ["g"], "x", [0.5], accuracy).where("_o.x IS NOT NULL").count()
+        assert kept < 100  # of 5000 values
+    single = exact_quantiles(df.where("g = 'wide'"), [], "x", [0.5], accuracy).first()
+    assert single.q == pytest.approx(np.quantile(groups["wide"], 0.5), rel=1e-12)
+
+
+def pairwise(x, method):
+    out = {}
+    for i in range(x.shape[1]):
+        for j in range(i + 1, x.shape[1]):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            a, b = (pd.Series(x[both, k]) for k in (i, j))
+            out[i, j] = (a.rank() if method == "spearman" else a).corr(b.rank() if method == "spearman" else b)
+    return out
+
+
+@pytest.mark.parametrize("hot", [5, 100_000])
+def test_spearman_from_joint_counts(spark, hot):
+    from aquifer.operators import profile
+
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.integers(0, 5, 900), rng.normal(size=900).round(1), np.where(rng.random(900) < 0.4, 7.0, rng.normal(size=900)),
+                         np.full(900, 3.0)])
+    x[rng.random(x.shape) < 0.2] = np.nan
+    df = spark.createDataFrame(pd.DataFrame(x, columns=list("abcd"))).repartition(4)
+    got = {("abcd".index(r.a), "abcd".index(r.b)): r.r for r in profile.spearman_pairs(df, list("abcd"), hot).collect()}
+    for pair, want in pairwise(x, "spearman").items():
+        assert got[pair] is None if np.isnan(want) else got[pair] == pytest.approx(want, abs=1e-9)
+    assert profile.spearman_pairs(df.limit(0), list("ab")).count() == 0
+
+
+def test_pearson_of_three_hundred_columns(spark):
+    from aquifer.operators import profile
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 300)) + 1e6
+    x[:, 1] = 2 * x[:, 0] + rng.normal(size=400)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 7] = 5.0
+    names = [f"k{i}" for i in range(300)]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=names)).repartition(3)
+    want = pairwise(x[:, :12], "pearson")
+    for tile in (256, 7):
+        cols = names if tile == 256 else names[:12]
+        got = {(int(r.a[1:]), int(r.b[1:])): r.r for r in profile.pearson_pairs(df, cols, tile).collect()}
+        assert len(got) == len(cols) * (len(cols) - 1) // 2
+        for pair, r in want.items():
+            assert got[pair] is None if 7 in pair else got[pair] == pytest.approx(r, abs=1e-9)
+
+
+def test_nan_scores_count_nowhere(spark):
+    from aquifer.operators.evaluate import ranking_metrics, roc_points
+
+    nan = float("nan")
+    rows = [("a", 0.0, 0.1), ("a", 1.0, 0.2), ("a", 0.0, 0.3), ("a", 1.0, 0.9)]
+    more = rows + [("a", 1.0, nan), ("a", 0.0, nan), ("b", 1.0, nan)]
+    schema = "k string, y double, score double"
+    clean, dirty = spark.createDataFrame(rows, schema), spark.createDataFrame(more, schema)
+    assert ranking_metrics(dirty, ["k"]).collect() == ranking_metrics(clean, ["k"]).collect()
+    assert sorted(map(str, roc_points(dirty, ["k"]).collect())) == sorted(map(str, roc_points(clean, ["k"]).collect()))
