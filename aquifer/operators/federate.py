@@ -12,8 +12,8 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -31,11 +31,20 @@ class ChainSpec:
     targets: list[str]
     node: str = "node_id"
     pos_weight_cap: float = 10.0
-    forcing: float = 1.0  # probability of using the known label as chain context
+    forcing: float | Callable[[int], float] = 1.0  # chance that a known label is chain context, or the chance by epoch
+    flags: bool = False  # whether each feature's presence (0 or 1) is an input too
     seed: int = 42
 
     def width(self, k: int) -> int:
-        return len(self.features) + k + 1  # features, previous links, bias
+        return len(self.features) * (1 + self.flags) + k + 1  # features, their flags, previous links, bias
+
+    def rate(self, epoch: int) -> float:
+        return self.forcing(epoch) if callable(self.forcing) else self.forcing
+
+
+def falling(first: float, last: float, epochs: int) -> Callable[[int], float]:
+    """A forcing rate that falls in equal steps from the first to the last of so many epochs, and stays there."""
+    return lambda epoch: first + (last - first) * min(1.0, epoch / max(1, epochs - 1))
 
 
 @dataclass
@@ -58,10 +67,14 @@ def _softplus(z):
     return np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z)))
 
 
-def _chain_pass(pdf: pd.DataFrame, spec: ChainSpec, weights: dict, pos_w: dict, rng_u: np.ndarray | None):
-    """Gradient/loss sums of one partition for every (node, link)."""
+def _chain_pass(pdf: pd.DataFrame, spec: ChainSpec, weights: dict, pos_w: dict, rng_u: np.ndarray | None, rate: float | None = None):
+    """Gradient/loss sums of one partition for every (node, link); `rate`: the forcing rate, the first epoch's by default."""
+    rate = spec.rate(0) if rate is None else rate
     out = []
-    x_all = np.nan_to_num(pdf[spec.features].to_numpy(dtype=float), nan=0.0)  # missing: masked out (P16)
+    raw = pdf[spec.features].to_numpy(dtype=float)
+    x_all = np.nan_to_num(raw, nan=0.0)  # missing: masked out (P16)
+    if spec.flags:
+        x_all = np.hstack([x_all, (~np.isnan(raw)).astype(float)])
     y_all = pdf[spec.targets].to_numpy(dtype=float)
     nodes = pdf[spec.node].to_numpy()
     for n in np.unique(nodes):
@@ -83,7 +96,7 @@ def _chain_pass(pdf: pd.DataFrame, spec: ChainSpec, weights: dict, pos_w: dict,
             gz = np.where(lab, (1 - yl) * p - pw * yl * (1 - p), 0.0)
             grad = gz @ inp
             out.append((int(n), k, float(cell[lab].sum()), int(lab.sum()), grad.tolist()))
-            use_true = lab if u is None else (lab & (u[:, k] < spec.forcing))
+            use_true = lab if u is None else (lab & (u[:, k] < rate))
             ctx = np.hstack([ctx, np.where(use_true, yl, p)[:, None]])
     return out
 
@@ -94,12 +107,14 @@ def _gradient_sums(df: DataFrame, spec: ChainSpec, weights: dict, pos_w: dict, w
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast((weights, pos_w))
     cols = [spec.node, *spec.features, *spec.targets]
-    draws = [f"_u{k}" for k in range(len(spec.targets))] if spec.forcing < 1 else []
+    rate = spec.rate(step)
+    draws = [f"_u{k}" for k in range(len(spec.targets))] if rate < 1 else []
+    whole = spec if not callable(spec.forcing) else replace(spec, forcing=rate)  # what the tasks get holds no function
 
     def run(it, bc=bc):
         w, pw = bc.value
         for pdf in it:
-            rows = _chain_pass(pdf, spec, w, pw, pdf[draws].to_numpy(dtype=float) if draws else None)
+            rows = _chain_pass(pdf, whole, w, pw, pdf[draws].to_numpy(dtype=float) if draws else None, rate)
             if rows:
                 yield pd.DataFrame({
                     "node": [r[0] for r in rows], "link": [r[1] for r in rows], "loss": [r[2] for r in rows],
@@ -138,8 +153,10 @@ def train_steps(df: DataFrame, model: ChainModel, steps: int = 10, lr: float = 0
                 clip: float = 1.0, nodes: list[int] | None = None) -> ChainModel:
     """M5: full-batch gradient steps of the masked logistic chain for all (or the given) nodes at once.
     The loss is the mean over labelled cells of all links of a node (G13); gradients are clipped by
-    their global L2 norm per node (S10) and pulled towards 0 by `l2` (the Gaussian prior, G14)."""
+    their global L2 norm per node (S10) and pulled towards 0 by `l2` (the Gaussian prior, G14). The rows are written once and
+    read by every step; the forcing rate is that of the model's epoch, the number of steps it has seen."""
     spec = model.spec
+    df = write_down(df)
     width = max(spec.width(k) for k in range(len(spec.targets)))
     pos_w = class_weights(df, spec)
     active = set(model.weights) if nodes is None else set(nodes) & set(model.weights)
@@ -188,7 +205,9 @@ def score_chain(df: DataFrame, model: ChainModel, keep: list[str], use_known: bo
         w = F.create_map(*[x for n, ws in model.weights.items()
                            for x in (F.lit(int(n)), F.array(*[F.lit(float(v)) for v in ws[k]]))])
         wk = w[F.col(spec.node)]
-        inputs = [F.col(c).cast("double") for c in spec.features] + ctx_cols + [F.lit(1.0)]
+        values = [F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in spec.features]
+        flags = [v.isNotNull().cast("double") for v in values] if spec.flags else []
+        inputs = [F.coalesce(v, F.lit(0.0)) for v in values] + flags + ctx_cols + [F.lit(1.0)]
         z = sum((wk[i] * c for i, c in enumerate(inputs)), F.lit(0.0))
         p = sigmoid(z)
         out = out.withColumn(f"_p{k}", p)

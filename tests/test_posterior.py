@@ -54,3 +54,24 @@ def test_bands_narrow_with_more_rows(spark):
         m = federate.predictive_moments(df.limit(200), ["a"], [r.mu for r in post], [r.sigma for r in post], 50)
         widths.append(m.agg(F.avg("pred_std")).first()[0])
     assert widths[1] < widths[0] / 4
+
+
+def test_forcing_falls_by_epoch_and_flags_are_inputs(spark):
+    rate = federate.falling(0.9, 0.3, 4)
+    assert [round(rate(e), 6) for e in (0, 1, 2, 3, 9)] == [0.9, 0.7, 0.5, 0.3, 0.3]
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=800)
+    pdf = pd.DataFrame({"node_id": 0, "a": np.where(rng.random(800) < 0.5, np.nan, a)})
+    pdf["y"] = pdf.a.isna().astype(float)  # only the presence of the feature tells the label
+    pdf["z"] = pdf.y
+    df = spark.createDataFrame(pdf).withColumn("a", F.nanvl("a", F.lit(None)))
+    losses = {}
+    for flags in (False, True):
+        spec = federate.ChainSpec(["a"], ["y", "z"], forcing=rate, flags=flags)
+        model = federate.train_steps(df, federate.init_model(df, spec), steps=8)
+        losses[flags] = model.history
+        assert [len(w) for w in model.weights[0]] == [2 + flags, 3 + flags]
+        again = federate.train_steps(df.repartition(5), federate.init_model(df, spec), steps=8)
+        assert np.allclose(again.history, model.history, atol=1e-9)
+        assert federate.score_chain(df, model, ["node_id"]).where("score IS NULL").count() == 0
+    assert losses[True][-1] < losses[False][-1] and losses[True][-1] < losses[True][0]
