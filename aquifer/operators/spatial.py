@@ -1,9 +1,9 @@
 """Spatial enrichment: point-in-polygon join (boundary = outside), basin/county fill, convex hulls.
 
-The polygon join is an equi-join on grid cells: each polygon is exploded to the cells its bounding
-box covers (bounded by polygon extent / cell size), each point maps to exactly one cell, and only
-candidates sharing a cell are tested exactly (bounding box, on-edge test, even-odd ray cast over
-the ring array with higher-order functions -- no Python per row).
+The polygon join is an equi-join on grid cells of several sizes. A polygon starts as at most four cells about as large as
+itself. A cell that would cost many edge tests (points in it times edges in it) is cut into four; a piece no edge reaches is
+either dropped or marked as wholly inside, where a point needs no test. Points meet the pieces of each size in use, and cells
+that hold a large share of all points are salted. No Python per row.
 """
 
 from __future__ import annotations
@@ -14,76 +14,190 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aquifer import catalog
+from aquifer.session import write_down
+
+CELL = ["_level", "_cx", "_cy"]  # a square of side 2^level whose lower corner is (cx, cy) sides from the origin
+SHARE = 512  # a cell with over 1/SHARE of all points is salted; at most SHARE cells of a size can be
 
 
 def _edges(ring: Column) -> Column:
+    """The ring's sides as structs; an edge between equal points never decides anything and is left out."""
     nxt = F.concat(F.slice(ring, 2, F.size(ring) - 1), F.array(F.element_at(ring, 1)))
-    return F.arrays_zip(ring.alias("a"), nxt.alias("b"))
+    sides = F.transform(F.arrays_zip(ring.alias("a"), nxt.alias("b")), lambda e: F.struct(
+        e["a"]["x"].alias("x1"), e["a"]["y"].alias("y1"), e["b"]["x"].alias("x2"), e["b"]["y"].alias("y2")))
+    return F.filter(sides, lambda e: (e["x1"] != e["x2"]) | (e["y1"] != e["y2"]))
 
 
 def _on_edge(e, x: Column, y: Column) -> Column:
-    x1, y1, x2, y2 = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
+    x1, y1, x2, y2 = e["x1"], e["y1"], e["x2"], e["y2"]
     cross = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
     return (cross == 0) & (x >= F.least(x1, x2)) & (x <= F.greatest(x1, x2)) & \
         (y >= F.least(y1, y2)) & (y <= F.greatest(y1, y2))
 
 
 def _crosses(e, x: Column, y: Column) -> Column:
-    x1, y1, x2, y2 = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
+    x1, y1, x2, y2 = e["x1"], e["y1"], e["x2"], e["y2"]
     straddle = (y1 > y) != (y2 > y)
     xint = F.try_divide((x2 - x1) * (y - y1), y2 - y1) + x1
     return straddle & F.coalesce(x < xint, F.lit(False))
 
 
-def strictly_inside(ring: Column, x: Column, y: Column) -> Column:
-    """Even-odd rule; points on an edge or vertex are outside (the 'within' predicate)."""
-    edges = _edges(ring)
-    on_boundary = F.exists(edges, lambda e: _on_edge(e, x, y))
-    odd = F.aggregate(edges, F.lit(False), lambda acc, e: acc != _crosses(e, x, y))
-    return ~on_boundary & odd
+def _odd(edges: Column, x: Column, y: Column) -> Column:
+    return F.aggregate(edges, F.lit(False), lambda acc, e: acc != _crosses(e, x, y))
 
 
-def polygon_cells(polys: DataFrame, ring: str = "ring", cell: float = 100.0) -> DataFrame:
-    """Explode each polygon to the grid cells covered by its bounding box (plus the bbox itself)."""
-    xs = F.transform(ring, lambda p: p["x"])
-    ys = F.transform(ring, lambda p: p["y"])
-    p = polys.withColumn("_minx", F.array_min(xs)).withColumn("_maxx", F.array_max(xs)) \
+def strictly_inside(edges: Column, x: Column, y: Column) -> Column:
+    """Even-odd rule; points on an edge or vertex are outside (the 'within' predicate)."""
+    return ~F.exists(edges, lambda e: _on_edge(e, x, y)) & _odd(edges, x, y)
+
+
+def _reaches(e, x0: Column, y0: Column, side: Column) -> Column:
+    """May the edge touch the closed cell? Never false for an edge that does: rounding is allowed for on the far side."""
+    x1, y1, x2, y2 = e["x1"], e["y1"], e["x2"], e["y2"]
+    size = F.greatest(F.abs(x1), F.abs(x2), F.abs(y1), F.abs(y2), F.abs(x0) + side, F.abs(y0) + side)
+    m = size * 1e-12
+    near = (F.greatest(x1, x2) >= x0 - m) & (F.least(x1, x2) <= x0 + side + m) & \
+        (F.greatest(y1, y2) >= y0 - m) & (F.least(y1, y2) <= y0 + side + m)
+    at = [(x2 - x1) * (b - y1) - (y2 - y1) * (a - x1) for a in (x0, x0 + side) for b in (y0, y0 + side)]
+    slack = (F.abs(x2 - x1) + F.abs(y2 - y1)) * m
+    return near & ~((F.least(*at) > slack) | (F.greatest(*at) < -slack))
+
+
+def _clip(pieces: DataFrame) -> DataFrame:
+    """Keep the edges that can count for a point of the piece's cell, and tell whether the cell is wholly inside.
+
+    The ray of a point runs to the right, so edges above, below and left of the cell never count. Where no edge reaches the
+    cell, all its points are on one side: outside, and the piece goes, or inside, and it needs no edges."""
+    side = F.pow(F.lit(2.0), F.col("_level"))
+    p = pieces.withColumn("_s", side).withColumn("_x0", F.col("_cx") * F.col("_s")).withColumn("_y0", F.col("_cy") * F.col("_s"))
+    x0, y0, s = F.col("_x0"), F.col("_y0"), F.col("_s")
+    p = p.withColumn("_edges", F.filter("_edges", lambda e: (
+        (F.greatest(e["y1"], e["y2"]) >= y0) & (F.least(e["y1"], e["y2"]) <= y0 + s)
+        & (F.greatest(e["x1"], e["x2"]) >= x0 - F.greatest(F.abs(e["x1"]), F.abs(e["x2"]), F.abs(x0)) * 1e-12))))
+    p = p.withColumn("_whole", ~F.exists("_edges", lambda e: _reaches(e, x0, y0, s)))
+    p = p.where(~F.col("_whole") | _odd(F.col("_edges"), x0 + s / 2, y0 + s / 2))
+    empty = F.filter("_edges", lambda e: F.lit(False))
+    return p.withColumn("_edges", F.when(F.col("_whole"), empty).otherwise(F.col("_edges"))).drop("_s", "_x0", "_y0")
+
+
+def polygon_pieces(polys: DataFrame, ring: str = "ring") -> DataFrame:
+    """Each polygon as pieces (`_level`, `_cx`, `_cy`, `_whole`, `_edges`) on at most four cells (nine by rounding) about its size.
+
+    Rings that enclose nothing (NULL, under three points, no width or height) or hold a NULL or non-finite coordinate have
+    no pieces."""
+    xs, ys = F.transform(ring, lambda p: p["x"].cast("double")), F.transform(ring, lambda p: p["y"].cast("double"))
+    fine = F.forall(F.concat(xs, ys), lambda v: F.coalesce(F.abs(v) < float("inf"), F.lit(False)))
+    p = polys.where(F.col(ring).isNotNull() & (F.size(ring) >= 3) & F.forall(ring, lambda v: v.isNotNull()) & fine)
+    p = p.withColumn("_minx", F.array_min(xs)).withColumn("_maxx", F.array_max(xs)) \
         .withColumn("_miny", F.array_min(ys)).withColumn("_maxy", F.array_max(ys))
-    cx = F.sequence(F.floor(F.col("_minx") / cell), F.floor(F.col("_maxx") / cell))
-    cy = F.sequence(F.floor(F.col("_miny") / cell), F.floor(F.col("_maxy") / cell))
-    return p.withColumn("_cx", F.explode(cx)).withColumn("_cy", F.explode(cy))
+    extent = F.greatest(F.col("_maxx") - F.col("_minx"), F.col("_maxy") - F.col("_miny"))
+    p = p.where((F.col("_maxx") > F.col("_minx")) & (F.col("_maxy") > F.col("_miny")))
+    p = p.withColumn("_level", F.ceil(F.log2(extent)).cast("int")).withColumn("_s", F.pow(F.lit(2.0), F.col("_level")))
+    xy = F.transform(ring, lambda v: F.struct(v["x"].cast("double").alias("x"), v["y"].cast("double").alias("y")))
+    p = p.withColumn("_edges", _edges(xy)) \
+        .withColumn("_cx", F.explode(F.sequence(F.floor(F.col("_minx") / F.col("_s")), F.floor(F.col("_maxx") / F.col("_s"))))) \
+        .withColumn("_cy", F.explode(F.sequence(F.floor(F.col("_miny") / F.col("_s")), F.floor(F.col("_maxy") / F.col("_s")))))
+    return _clip(p.drop("_s", "_minx", "_maxx", "_miny", "_maxy", ring))
+
+
+def _quarter(pieces: DataFrame) -> DataFrame:
+    """Cut each piece's cell into four. Sides are powers of two, so halving loses nothing to rounding."""
+    kids = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
+    k = pieces.withColumn("_kid", F.explode(kids)).withColumn("_level", F.col("_level") - 1) \
+        .withColumn("_cx", F.col("_cx") * 2 + F.col("_kid.a")).withColumn("_cy", F.col("_cy") * 2 + F.col("_kid.b"))
+    return _clip(k.drop("_kid"))
+
+
+def _on_cells(pts: DataFrame, levels: list[int]) -> DataFrame:
+    """Each point once for each cell size, with the cell that holds it."""
+    p = pts.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels])))
+    side = F.pow(F.lit(2.0), F.col("_level"))
+    return p.withColumn("_cx", F.floor(F.col("_x") / side)).withColumn("_cy", F.floor(F.col("_y") / side))
+
+
+def _levels(pieces: DataFrame) -> list[int]:
+    """The cell sizes in use: at most one for each power of two, however many rows there are."""
+    return sorted(r[0] for r in pieces.select("_level").distinct().collect())
+
+
+def _counted(pieces: DataFrame, pts: DataFrame) -> DataFrame:
+    """The pieces whose cell holds points, with their number: one pass over the coordinates, summed on the map side."""
+    cells = pieces.select(*CELL).distinct()
+    levels = _levels(cells)
+    if not levels:
+        return pieces.withColumn("_n", F.lit(0).cast("long"))
+    n = _on_cells(pts.select("_x", "_y"), levels).groupBy(*CELL).agg(F.count(F.lit(1)).alias("_n"))
+    return pieces.join(n.join(cells, CELL, "left_semi"), CELL)
+
+
+def refined_pieces(pieces: DataFrame, pts: DataFrame, work: int, depth: int, finest: int) -> DataFrame:
+    """Cut cells into four while the points in them times the edges in them come to more than `work` tests.
+
+    Cells with few points or few edges stay as they are, so the number of pieces follows the work, not the area. At most
+    `depth` rounds, and no cell below side 2^finest."""
+    done = None
+    todo = pieces
+    for step in range(depth + 1):
+        todo = write_down(_counted(todo, pts), "pieces")
+        heavy = todo.where(~F.col("_whole") & (F.col("_level") > finest)).groupBy(*CELL).agg(
+            F.sum(F.col("_n") * F.size("_edges")).alias("_work")).where(F.col("_work") > work).select(*CELL)
+        if step == depth or heavy.isEmpty():
+            return todo if done is None else done.unionByName(todo)
+        cut = todo.where(~F.col("_whole")).join(heavy, CELL, "left_semi")
+        kept = todo.where("_whole").unionByName(todo.where(~F.col("_whole")).join(heavy, CELL, "left_anti"))
+        done = kept if done is None else done.unionByName(kept)
+        todo = _quarter(cut).drop("_n")
+    raise AssertionError("the last round returns")
+
+
+def candidate_pairs(pts: DataFrame, pieces: DataFrame, share: int = SHARE) -> DataFrame:
+    """Join points (`_x`, `_y`) to the pieces of their cells, cells with over 1/`share` of the points over several tasks.
+
+    The hot cells of a size are disjoint and each holds over 1/share of the points, so there are fewer than share of them:
+    they may be sent to all tasks. Points of a hot cell draw a salt from their coordinates and key, its pieces are repeated."""
+    levels = _levels(pieces)
+    if not levels:
+        return pts.limit(0).join(pieces.withColumn("_salt", F.lit(0)), F.lit(False))
+    total = pts.count()
+    hot = pieces.where(F.col("_n") * share > total).groupBy(*CELL).agg(
+        F.ceil(F.max("_n") * share / F.lit(float(max(total, 1)))).cast("int").alias("_salts"))
+    hot = F.broadcast(hot)
+    spread = F.coalesce(F.pmod(F.xxhash64("_pt", "_x", "_y"), F.col("_salts")), F.lit(0)).cast("int")
+    left = _on_cells(pts, levels).join(hot, CELL, "left").withColumn("_salt", spread).drop("_salts")
+    right = pieces.join(hot, CELL, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts", "_n")
+    return left.join(right, [*CELL, "_salt"])
 
 
 def point_in_polygon_join(points: DataFrame, polys: DataFrame, x: str, y: str, poly_id: str,
-                          ring: str = "ring", cell: float = 100.0, keep: list[str] | None = None,
-                          point_id: str | None = None) -> DataFrame:
+                          ring: str = "ring", cell: float | None = None, keep: list[str] | None = None,
+                          point_id: str | None = None, work: int = 1 << 22, depth: int = 10) -> DataFrame:
     """Left join each point to the polygon that strictly contains it; several hits -> lowest id.
 
-    Returns every input point once, with `poly_id` (+ `keep` polygon columns) NULL when unmatched.
-    Candidate pairs come from a cell equi-join; Spark broadcasts the polygon side when it is small
-    (AQE size check) and otherwise shuffles both sides on the cell key.
+    Returns every input point once, with `poly_id` (+ `keep` polygon columns) NULL when unmatched; points with a NULL,
+    NaN or infinite coordinate are unmatched. Candidates come from a cell equi-join (see the module); Spark broadcasts the pieces
+    when they are small (AQE size check) and otherwise shuffles both sides on the salted cell. `cell` bounds the finest
+    side, `work` the edge tests a cell may cost before it is cut.
     """
     keep = keep or []
-    cells = polygon_cells(polys.select(poly_id, ring, *keep), ring, cell)
     if not point_id:
         raise ValueError("point_id (a unique key of the points) is required: candidate matches are joined back "
                          "on it, and it must be stable when a lost task is recomputed")
-    pid = F.col(point_id)
-    pts = points.withColumn("_cx", F.floor(F.col(x) / cell)).withColumn("_cy", F.floor(F.col(y) / cell)) \
-        .withColumn("_pt", pid)
-    px, py = F.col(x).cast("double"), F.col(y).cast("double")
-    cand = pts.select("_pt", "_cx", "_cy", px.alias("_x"), py.alias("_y")).join(cells, ["_cx", "_cy"])
-    inside = cand.where(
-        (F.col("_x") >= F.col("_minx")) & (F.col("_x") <= F.col("_maxx")) & (F.col("_y") >= F.col("_miny")) &
-        (F.col("_y") <= F.col("_maxy")) & strictly_inside(F.col(ring), F.col("_x"), F.col("_y")))
-    best = inside.groupBy("_pt").agg(F.min_by(F.struct(poly_id, *keep), F.col(poly_id)).alias("_m"))
-    out = pts.join(best, "_pt", "left")
+    spots = points.select(F.col(point_id).alias("_pt"), F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")) \
+        .where((F.abs("_x") < float("inf")) & (F.abs("_y") < float("inf")))
+    hit = polys.select(F.struct(poly_id, *keep).alias("_m"), F.col(ring).alias("_ring"))
+    finest = int(np.floor(np.log2(cell))) if cell else -1000
+    pieces = refined_pieces(polygon_pieces(hit, "_ring"), spots, work, depth, finest)
+    cand = candidate_pairs(spots, pieces)
+    inside = cand.where(F.col("_whole") | strictly_inside(F.col("_edges"), F.col("_x"), F.col("_y")))
+    best = inside.groupBy("_pt").agg(F.min_by("_m", F.col("_m")[poly_id]).alias("_m"))
+    out = points.withColumn("_pt", F.col(point_id)).join(best, "_pt", "left")
     return out.select(*points.columns, *[F.col(f"_m.{c}").alias(c) for c in [poly_id, *keep]])
 
 
 def fill_basins(sites: DataFrame, polys: DataFrame, x: str, y: str, basin: str = "basin",
                 unknown: str = catalog.UNKNOWN_BASIN, outside: str = catalog.OUTSIDE_REGION,
-                cell: float = 100.0, point_id: str | None = None) -> DataFrame:
+                cell: float | None = None, point_id: str | None = None) -> DataFrame:
     """Only rows whose basin is the unknown sentinel are looked up; matched -> basin and region,
     unmatched -> the outside sentinel for both; other rows keep their values (region NULL)."""
     known = ~F.col(basin).eqNullSafe(F.lit(unknown))  # a NULL basin is not the sentinel

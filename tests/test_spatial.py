@@ -53,3 +53,90 @@ def test_fill_keeps_null_basins_and_single_sites(spark):
     named = sites.selectExpr("*", f"'{catalog.MISSING_COUNTY_VALUES[0]}' as county")
     filled = {r.site: r.county for r in spatial.fill_counties(named, address, "key").collect()}
     assert len(filled) == 3 and filled[1] == filled[2] == "ALPHA"
+
+
+def _rough_polygons(rng, n, vertices):
+    """Star-shaped rings of very different sizes around random centres, and one with a notch along the axes."""
+    out = []
+    for i in range(n):
+        cx, cy, r = rng.uniform(-50, 50), rng.uniform(-50, 50), 2.0 ** rng.integers(-2, 6)
+        a = np.sort(rng.uniform(0, 2 * np.pi, vertices))
+        d = r * rng.uniform(0.3, 1.0, vertices)
+        out.append((i, [{"x": float(cx + k * np.cos(t)), "y": float(cy + k * np.sin(t))} for k, t in zip(d, a)]))
+    notch = [(0, 0), (8, 0), (8, 4), (4, 4), (4, 2), (2, 2), (2, 8), (0, 8)]
+    return out + [(n, [{"x": float(a), "y": float(b)} for a, b in notch])]
+
+
+def _plain_join(pts, polys):
+    """Every point against every polygon: on an edge is outside, else an even-odd count; lowest id."""
+    got = {}
+    for pid, x, y in pts:
+        got[pid] = None
+        for gid, ring in polys:
+            odd = edge = False
+            for a, b in zip(ring, ring[1:] + ring[:1]):
+                x1, y1, x2, y2 = a["x"], a["y"], b["x"], b["y"]
+                cross = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+                if cross == 0 and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+                    edge = True
+                if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+                    odd = not odd
+            if odd and not edge:
+                got[pid] = gid
+                break
+    return got
+
+
+RINGS = "gid int, ring array<struct<x:double,y:double>>"
+
+
+def test_cells_of_several_sizes_match_every_pair(spark):
+    rng = np.random.default_rng(5)
+    polys = _rough_polygons(rng, 25, 40)
+    pts = [(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(-70, 70, (1500, 2)))]
+    pts += [(2000 + i, float(a), float(b)) for i, (a, b) in enumerate(np.ndindex(10, 10))]  # corners and edges of the notch
+    pts += [(3000 + i, p["x"], p["y"]) for i, p in enumerate(polys[3][1])]
+    want = _plain_join(pts, polys)
+    pdf = spark.createDataFrame(pts, "pid int, x double, y double")
+    g = spark.createDataFrame(polys, RINGS)
+    for work, depth in ((1 << 22, 10), (200, 6)):  # cells left whole, and cells cut many times
+        out = spatial.point_in_polygon_join(pdf, g, "x", "y", "gid", point_id="pid", work=work, depth=depth)
+        assert {r.pid: r.gid for r in out.collect()} == want
+    spots = pdf.selectExpr("pid as _pt", "x as _x", "y as _y")
+    fine = spatial.refined_pieces(spatial.polygon_pieces(g), spots, 200, 6, -1000)
+    start = spatial.refined_pieces(spatial.polygon_pieces(g), spots, 1 << 22, 6, -1000)
+    tests = [p.selectExpr("sum(_n * size(_edges))").first()[0] for p in (start, fine)]
+    assert fine.where("_whole").count() > 0 and tests[1] < tests[0] / 2
+
+
+def test_a_third_of_the_points_in_one_cell(spark):
+    rng = np.random.default_rng(6)
+    polys = _rough_polygons(rng, 12, 30)
+    spread = rng.uniform(-70, 70, (2000, 2))
+    dense = np.array([3.0, 3.0]) + rng.uniform(0, 1e-3, (1000, 2))
+    pts = [(i, float(a), float(b)) for i, (a, b) in enumerate(np.concatenate([spread, dense]))]
+    pdf = spark.createDataFrame(pts, "pid int, x double, y double")
+    g = spark.createDataFrame(polys, RINGS)
+    out = spatial.point_in_polygon_join(pdf, g, "x", "y", "gid", point_id="pid", work=2000)
+    assert {r.pid: r.gid for r in out.collect()} == _plain_join(pts, polys)
+    spots = pdf.selectExpr("pid as _pt", "x as _x", "y as _y")
+    pieces = spatial.refined_pieces(spatial.polygon_pieces(g), spots, 2000, 10, -1000)
+    pairs = spatial.candidate_pairs(spots, pieces, share=30)
+    most = pairs.select(*spatial.CELL, "_salt", "_pt").distinct().groupBy(*spatial.CELL, "_salt").count().agg({"count": "max"})
+    assert most.first()[0] < 3 * 3000 / 30  # no task's key holds more than a few shares, though one cell holds a third
+    tests = pairs.where(~pairs["_whole"]).selectExpr("sum(size(_edges)) as t").first().t or 0
+    assert tests < 0.1 * len(pts) * 12 * 30  # against every point with every edge
+
+
+def test_odd_rings_and_points(spark):
+    square = [{"x": 0.0, "y": 0.0}, {"x": 4.0, "y": 0.0}, {"x": 4.0, "y": 4.0}, {"x": 0.0, "y": 4.0}, {"x": 0.0, "y": 0.0}]
+    flat = [{"x": 0.0, "y": 1.0}, {"x": 4.0, "y": 1.0}, {"x": 2.0, "y": 1.0}]
+    bad = [{"x": 0.0, "y": 0.0}, {"x": float("nan"), "y": 0.0}, {"x": 4.0, "y": 4.0}]
+    g = spark.createDataFrame([(3, square), (0, None), (1, flat), (2, bad), (4, []), (5, [square[0], None, square[2]])], RINGS)
+    pts = spark.createDataFrame([(1, 1.0, 1.0, "a"), (2, None, 1.0, "b"), (3, float("nan"), 1.0, "c"), (4, float("inf"), 1.0, "d"),
+                                 (5, 4.0, 2.0, "e")], "pid int, x double, y double, _level string")
+    out = {r.pid: (r.gid, r._level) for r in
+           spatial.point_in_polygon_join(pts, g, "x", "y", "gid", point_id="pid").collect()}
+    assert out == {1: (3, "a"), 2: (None, "b"), 3: (None, "c"), 4: (None, "d"), 5: (None, "e")}
+    none = spatial.point_in_polygon_join(pts, g.limit(0), "x", "y", "gid", point_id="pid")
+    assert none.count() == 5 and none.where("gid is not null").count() == 0
