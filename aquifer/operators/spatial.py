@@ -110,60 +110,62 @@ def _quarter(pieces: DataFrame) -> DataFrame:
 
 def _on_cells(pts: DataFrame, levels: list[int]) -> DataFrame:
     """Each point once for each cell size, with the cell that holds it."""
-    p = pts.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels])))
+    p = pts.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>")))
     side = F.pow(F.lit(2.0), F.col("_level"))
     return p.withColumn("_cx", F.floor(F.col("_x") / side)).withColumn("_cy", F.floor(F.col("_y") / side))
 
 
-def _levels(pieces: DataFrame) -> list[int]:
-    """The cell sizes in use: at most one for each power of two, however many rows there are."""
-    return sorted(r[0] for r in pieces.select("_level").distinct().collect())
+def _counted(pieces: DataFrame, pts: DataFrame) -> tuple[DataFrame, dict]:
+    """The pieces whose cell holds points, written down with the cell's points, edge tests and pieces, and a summary by size.
 
-
-def _counted(pieces: DataFrame, pts: DataFrame) -> DataFrame:
-    """The pieces whose cell holds points, with their number: one pass over the coordinates, summed on the map side."""
-    cells = pieces.select(*CELL).distinct()
-    levels = _levels(cells)
-    if not levels:
-        return pieces.withColumn("_n", F.lit(0).cast("long"))
+    One pass over the coordinates, summed on the map side. The sizes in use are powers of two, a few dozen at most, however
+    many rows there are; for each the summary holds its points, its fullest cell and its costliest cell."""
+    edges = F.when(F.col("_whole"), 0).otherwise(F.size("_edges"))
+    cells = pieces.groupBy(*CELL).agg(F.sum(edges).alias("_tests"), F.count(F.lit(1)).alias("_share"))
+    levels = [r[0] for r in pieces.select("_level").distinct().collect()]
     n = _on_cells(pts.select("_x", "_y"), levels).groupBy(*CELL).agg(F.count(F.lit(1)).alias("_n"))
-    return pieces.join(n.join(cells, CELL, "left_semi"), CELL)
+    cells = n.join(cells, CELL).withColumn("_work", F.col("_n") * F.col("_tests")).drop("_tests")
+    out = write_down(pieces.join(cells, CELL), "pieces")
+    rows = out.groupBy("_level").agg(F.sum(F.col("_n") / F.col("_share")).alias("points"), F.max("_n").alias("fullest"),
+                                     F.max("_work").alias("costliest")).collect()
+    return out.drop("_share"), {r["_level"]: r for r in rows}
 
 
-def refined_pieces(pieces: DataFrame, pts: DataFrame, work: int, depth: int, finest: int) -> DataFrame:
+def refined_pieces(pieces: DataFrame, pts: DataFrame, work: int, depth: int, finest: int) -> tuple[DataFrame, dict]:
     """Cut cells into four while the points in them times the edges in them come to more than `work` tests.
 
     Cells with few points or few edges stay as they are, so the number of pieces follows the work, not the area. At most
-    `depth` rounds, and no cell below side 2^finest."""
-    done = None
-    todo = pieces
+    `depth` rounds, and no cell below side 2^finest. Returns the pieces and, by size, (points, points of the fullest cell)."""
+    done, sizes = None, {}
     for step in range(depth + 1):
-        todo = write_down(_counted(todo, pts), "pieces")
-        heavy = todo.where(~F.col("_whole") & (F.col("_level") > finest)).groupBy(*CELL).agg(
-            F.sum(F.col("_n") * F.size("_edges")).alias("_work")).where(F.col("_work") > work).select(*CELL)
-        if step == depth or heavy.isEmpty():
-            return todo if done is None else done.unionByName(todo)
-        cut = todo.where(~F.col("_whole")).join(heavy, CELL, "left_semi")
-        kept = todo.where("_whole").unionByName(todo.where(~F.col("_whole")).join(heavy, CELL, "left_anti"))
+        todo, seen = _counted(pieces, pts)
+        for level, r in seen.items():
+            old = sizes.get(level, (0, 0))
+            sizes[level] = (max(old[0], r["points"]), max(old[1], r["fullest"]))
+        more = step < depth and any(r["costliest"] > work and level > finest for level, r in seen.items())
+        heavy = ~F.col("_whole") & (F.col("_work") > work) & (F.col("_level") > finest) & F.lit(more)
+        kept = todo.where(~heavy).drop("_work")
         done = kept if done is None else done.unionByName(kept)
-        todo = _quarter(cut).drop("_n")
-    raise AssertionError("the last round returns")
-
-
-def candidate_pairs(pts: DataFrame, pieces: DataFrame, share: int = SHARE) -> DataFrame:
-    """Join points (`_x`, `_y`) to the pieces of their cells, cells with over 1/`share` of the points over several tasks.
-
-    The hot cells of a size are disjoint and each holds over 1/share of the points, so there are fewer than share of them:
-    they may be sent to all tasks. Points of a hot cell draw a salt from their coordinates and key, its pieces are repeated."""
-    levels = _levels(pieces)
-    if not levels:
-        return pts.limit(0).join(pieces.withColumn("_salt", F.lit(0)), F.lit(False))
-    total = pts.count()
-    hot = pieces.where(F.col("_n") * share > total).groupBy(*CELL).agg(
-        F.ceil(F.max("_n") * share / F.lit(float(max(total, 1)))).cast("int").alias("_salts"))
-    hot = F.broadcast(hot)
+        if not more:
+            break
+        pieces = _quarter(todo.where(heavy).drop("_n", "_work"))
+    return done, sizes
+
+
+def candidate_pairs(pts: DataFrame, pieces: DataFrame, sizes: dict, share: int = SHARE, rows: int = 1 << 16) -> DataFrame:
+    """Join points (`_x`, `_y`) to the pieces of their cells, cells with over 1/`share` of a size's points over several tasks.
+
+    The hot cells of a size are disjoint and each holds over 1/share of the points counted, so there are fewer than share
+    of them: they may be sent to all tasks. Points of a hot cell draw a salt from their coordinates and key, its pieces are
+    repeated. A cell of up to `rows` points is one task's work in any case."""
+    left = _on_cells(pts, sorted(sizes))
+    most = max(rows, max((v[0] for v in sizes.values()), default=0) / share)
+    if all(v[1] <= most for v in sizes.values()):
+        return left.withColumn("_salt", F.lit(0)).join(pieces.drop("_n"), CELL)
+    hot = F.broadcast(pieces.where(F.col("_n") > most).groupBy(*CELL).agg(
+        F.ceil(F.max("_n") / F.lit(most)).cast("int").alias("_salts")))
     spread = F.coalesce(F.pmod(F.xxhash64("_pt", "_x", "_y"), F.col("_salts")), F.lit(0)).cast("int")
-    left = _on_cells(pts, levels).join(hot, CELL, "left").withColumn("_salt", spread).drop("_salts")
+    left = left.join(hot, CELL, "left").withColumn("_salt", spread).drop("_salts")
     right = pieces.join(hot, CELL, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts", "_n")
     return left.join(right, [*CELL, "_salt"])
@@ -187,8 +189,8 @@ def point_in_polygon_join(points: DataFrame, polys: DataFrame, x: str, y: str, p
         .where((F.abs("_x") < float("inf")) & (F.abs("_y") < float("inf")))
     hit = polys.select(F.struct(poly_id, *keep).alias("_m"), F.col(ring).alias("_ring"))
     finest = int(np.floor(np.log2(cell))) if cell else -1000
-    pieces = refined_pieces(polygon_pieces(hit, "_ring"), spots, work, depth, finest)
-    cand = candidate_pairs(spots, pieces)
+    pieces, sizes = refined_pieces(polygon_pieces(hit, "_ring"), spots, work, depth, finest)
+    cand = candidate_pairs(spots, pieces, sizes)
     inside = cand.where(F.col("_whole") | strictly_inside(F.col("_edges"), F.col("_x"), F.col("_y")))
     best = inside.groupBy("_pt").agg(F.min_by("_m", F.col("_m")[poly_id]).alias("_m"))
     out = points.withColumn("_pt", F.col(point_id)).join(best, "_pt", "left")

@@ -99,12 +99,12 @@ def test_cells_of_several_sizes_match_every_pair(spark):
     want = _plain_join(pts, polys)
     pdf = spark.createDataFrame(pts, "pid int, x double, y double")
     g = spark.createDataFrame(polys, RINGS)
-    for work, depth in ((1 << 22, 10), (200, 6)):  # cells left whole, and cells cut many times
+    for work, depth in ((1 << 22, 10), (200, 4)):  # cells left whole, and cells cut many times
         out = spatial.point_in_polygon_join(pdf, g, "x", "y", "gid", point_id="pid", work=work, depth=depth)
         assert {r.pid: r.gid for r in out.collect()} == want
     spots = pdf.selectExpr("pid as _pt", "x as _x", "y as _y")
-    fine = spatial.refined_pieces(spatial.polygon_pieces(g), spots, 200, 6, -1000)
-    start = spatial.refined_pieces(spatial.polygon_pieces(g), spots, 1 << 22, 6, -1000)
+    fine, _ = spatial.refined_pieces(spatial.polygon_pieces(g), spots, 200, 4, -1000)
+    start, _ = spatial.refined_pieces(spatial.polygon_pieces(g), spots, 1 << 22, 4, -1000)
     tests = [p.selectExpr("sum(_n * size(_edges))").first()[0] for p in (start, fine)]
     assert fine.where("_whole").count() > 0 and tests[1] < tests[0] / 2
 
@@ -117,11 +117,11 @@ def test_a_third_of_the_points_in_one_cell(spark):
     pts = [(i, float(a), float(b)) for i, (a, b) in enumerate(np.concatenate([spread, dense]))]
     pdf = spark.createDataFrame(pts, "pid int, x double, y double")
     g = spark.createDataFrame(polys, RINGS)
-    out = spatial.point_in_polygon_join(pdf, g, "x", "y", "gid", point_id="pid", work=2000)
+    out = spatial.point_in_polygon_join(pdf, g, "x", "y", "gid", point_id="pid", work=2000, depth=5)
     assert {r.pid: r.gid for r in out.collect()} == _plain_join(pts, polys)
     spots = pdf.selectExpr("pid as _pt", "x as _x", "y as _y")
-    pieces = spatial.refined_pieces(spatial.polygon_pieces(g), spots, 2000, 10, -1000)
-    pairs = spatial.candidate_pairs(spots, pieces, share=30)
+    pieces, sizes = spatial.refined_pieces(spatial.polygon_pieces(g), spots, 2000, 5, -1000)
+    pairs = spatial.candidate_pairs(spots, pieces, sizes, share=30, rows=1)
     most = pairs.select(*spatial.CELL, "_salt", "_pt").distinct().groupBy(*spatial.CELL, "_salt").count().agg({"count": "max"})
     assert most.first()[0] < 3 * 3000 / 30  # no task's key holds more than a few shares, though one cell holds a third
     tests = pairs.where(~pairs["_whole"]).selectExpr("sum(size(_edges)) as t").first().t or 0
