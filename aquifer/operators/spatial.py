@@ -245,35 +245,58 @@ def _monotone_chain(pts: np.ndarray) -> np.ndarray:
     return np.array(lower[:-1] + upper[:-1])
 
 
-def convex_hulls(points: DataFrame, group: str, x: str, y: str, min_points: int = 3) -> DataFrame:
+COMPASS = 16  # directions whose farthest points make the polygon that discards inner points
+
+
+def _discard_inner(base: DataFrame) -> DataFrame:
+    """Drop the points strictly inside the polygon of their group's farthest points in `COMPASS` directions.
+
+    Such a point is never a vertex of the hull. The polygon is one small row a group, found with a map-side aggregate; it
+    joins back by group, where AQE sends it when it is small, and a group of any size needs no single task."""
+    turn = [2 * np.pi * k / COMPASS for k in range(COMPASS)]
+    far = [F.max_by(F.struct("x", "y"), F.col("x") * float(np.cos(t)) + F.col("y") * float(np.sin(t))) for t in turn]
+    ring = base.groupBy("g").agg(F.array(*far).alias("_ring"))
+    j = base.join(ring, "g").withColumn("_edges", _edges(F.col("_ring")))
+    left = F.forall("_edges", lambda e: (e["x2"] - e["x1"]) * (F.col("y") - e["y1"]) - (e["y2"] - e["y1"]) * (F.col("x") - e["x1"])
+                    > (F.abs(e["x2"] - e["x1"]) + F.abs(e["y2"] - e["y1"])) * 1e-12
+                    * (F.abs(e["x1"]) + F.abs(e["y1"]) + F.abs("x") + F.abs("y")))
+    return j.where(~((F.size("_edges") >= 3) & left)).select("g", "x", "y")
+
+
+def convex_hulls(points: DataFrame, group: str, x: str, y: str, min_points: int = 3, piece: int = 20_000,
+                 fan: int = 16) -> DataFrame:
     """Convex hull per group with >= `min_points` points, as a closed ring, plus centroid.
 
-    Phase 1 prunes every (partition, group) slice to its own hull vertices in `mapInPandas`
-    (a hull of hulls is the hull), so phase 2 (`applyInPandas` per group) only sees hull vertices,
-    never a whole group.
+    A hull of hulls is the hull, so a group is reduced as a tree: points inside a first polygon of far points go, the others
+    are dealt to pieces of about `piece` points, each piece becomes its hull, and `fan` pieces at a time become one until one
+    is left. No task reads more than a piece, or `fan` hulls of pieces; `n_last` tells what the last task of a group read.
+    Only a group whose own hull has many vertices makes that large, and then its ring is as large. Points with a NULL or
+    non-finite coordinate and rows of no group are left out; a group of equal points or points on a line has a ring without area.
     """
-    base = points.select(F.col(group).alias("g"), F.col(x).cast("double").alias("x"),
-                         F.col(y).cast("double").alias("y"))
+    base = points.select(F.col(group).cast("string").alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")) \
+        .where(F.col(group).isNotNull() & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf")))
     counts = base.groupBy("g").agg(F.count(F.lit(1)).alias("n_points"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    outer = _discard_inner(base).distinct()  # repeated points count once
+    sized = write_down(outer.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(piece))).cast("int").alias("_pieces")), "hulls")
+    pieces = sized.agg(F.max("_pieces")).first()[0] or 1
+    part = outer.join(sized, "g").withColumn("_piece", F.pmod(F.xxhash64("x", "y"), F.col("_pieces")).cast("int"))
+    part = part.select("g", "x", "y", "_piece")
 
-    def partial(it):
-        for pdf in it:
-            out = []
-            for g, grp in pdf.groupby("g"):
-                h = _monotone_chain(grp[["x", "y"]].to_numpy())
-                out.append(pd.DataFrame({"g": g, "x": h[:, 0], "y": h[:, 1]}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
+    def reduce_piece(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = _monotone_chain(pdf[["x", "y"]].to_numpy())
+        return pd.DataFrame({"g": pdf["g"].iloc[0], "x": h[:, 0], "y": h[:, 1], "_piece": pdf["_piece"].iloc[0]})
 
-    pruned = base.mapInPandas(partial, base.schema)
+    while pieces > 1:
+        part = part.groupBy("g", "_piece").applyInPandas(reduce_piece, part.schema)
+        part = part.withColumn("_piece", F.floor(F.col("_piece") / fan).cast("int"))
+        pieces = -(-pieces // fan)
 
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
         h = _monotone_chain(pdf[["x", "y"]].to_numpy())
         ring = [{"x": float(a), "y": float(b)} for a, b in h]
-        if ring:
-            ring.append(ring[0])
-        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "ring": [ring], "n_vertices": [len(h)]})
+        return pd.DataFrame({"g": [pdf["g"].iloc[0]], "ring": [[*ring, ring[0]]], "n_vertices": [len(h)], "n_last": [len(pdf)]})
 
-    hulls = pruned.groupBy("g").applyInPandas(final, "g string, ring array<struct<x:double,y:double>>, n_vertices int")
+    hulls = part.groupBy("g").applyInPandas(
+        final, "g string, ring array<struct<x:double,y:double>>, n_vertices int, n_last long")
     j = counts.where(F.col("n_points") >= min_points).join(hulls, "g")
-    return j.select(F.col("g").alias(group), "n_points", "n_vertices", "ring", "cx", "cy")
+    return j.select(F.col("g").alias(group), "n_points", "n_vertices", "ring", "cx", "cy", "n_last")

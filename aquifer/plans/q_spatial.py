@@ -52,4 +52,4 @@ def g_hull(spark, d):
     s = fx.site_points(spark, d)
     m = spatial.point_in_polygon_join(s, fx.basins(spark, d), "lon_c", "lat_c", "basin_id", keep=["basin"],
                                       point_id="site_id")
-    return spatial.convex_hulls(m.where(F.col("basin").isNotNull()), "basin", "lon_c", "lat_c")
+    return spatial.convex_hulls(m.where(F.col("basin").isNotNull()), "basin", "lon_c", "lat_c").drop("n_last")

@@ -140,3 +140,37 @@ def test_odd_rings_and_points(spark):
     assert out == {1: (3, "a"), 2: (None, "b"), 3: (None, "c"), 4: (None, "d"), 5: (None, "e")}
     none = spatial.point_in_polygon_join(pts, g.limit(0), "x", "y", "gid", point_id="pid")
     assert none.count() == 5 and none.where("gid is not null").count() == 0
+
+
+def _vertices(points):
+    """A point is a vertex of the hull when some line through it leaves all other points strictly on one side."""
+    pts, out = np.unique(points, axis=0), set()
+    for p in pts:
+        d = pts[(pts != p).any(axis=1)] - p
+        a = np.sort(np.arctan2(d[:, 1], d[:, 0]))
+        gaps = np.diff(np.append(a, a[0] + 2 * np.pi))
+        if len(a) < 2 or gaps.max() > np.pi + 1e-9:
+            out.add(tuple(p))
+    return out
+
+
+def test_hull_tree_matches_a_plain_search_and_bounds_the_last_task(spark):
+    rng = np.random.default_rng(8)
+    t = rng.uniform(0, 2 * np.pi, 900)
+    big = rng.normal(size=(4000, 2))
+    ring = np.stack([np.cos(t), np.sin(t)], axis=1) * (1 - 0.02 * rng.random((900, 1)))
+    parts = {"big": big, "ring": ring, "line": np.stack([np.arange(9.0), 2 * np.arange(9.0)], axis=1),
+             "same": np.ones((5, 2)), "grid": np.array(list(np.ndindex(6, 6)), dtype=float), "two": np.eye(2)}
+    pdf = pd.concat([pd.DataFrame({"g": g, "x": p[:, 0], "y": p[:, 1]}) for g, p in parts.items()])
+    odd = spark.createDataFrame([(None, 1.0, 1.0), ("big", None, 0.0), ("big", float("inf"), 0.0)], "g string, x double, y double")
+    df = spark.createDataFrame(pdf).unionByName(odd).repartition(6)
+    got = {r["g"]: r for r in spatial.convex_hulls(df, "g", "x", "y", piece=50, fan=4).collect()}
+    assert set(got) == {"big", "ring", "line", "same", "grid"}  # two points are under the minimum
+    for g in ("big", "ring", "grid"):
+        want = _vertices(parts[g])
+        assert {(p["x"], p["y"]) for p in got[g]["ring"]} == want and got[g]["n_vertices"] == len(want)
+        assert got[g]["n_points"] == len(parts[g])
+    assert {(p["x"], p["y"]) for p in got["line"]["ring"]} == {(0.0, 0.0), (8.0, 16.0)}
+    assert [(p["x"], p["y"]) for p in got["same"]["ring"]] == [(1.0, 1.0)] * 2
+    assert got["big"]["n_last"] <= 4 * 50 and got["ring"]["n_last"] <= 4 * got["ring"]["n_vertices"]  # of 4,000 and 900 points
+    assert spatial.convex_hulls(df.limit(0), "g", "x", "y").count() == 0
