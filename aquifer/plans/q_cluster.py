@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aquifer.functions import r6
-from aquifer.operators import cluster, profile, sites
+from aquifer.operators import cluster, fingerprint, profile, sites
 from aquifer.operators.nearest import match
 from aquifer.plans import sql as S
 from aquifer.plans.registry import query
@@ -107,14 +107,14 @@ def c_group_sim(spark, d):
     return sites.group_similarity(items).withColumn("sim", r6("sim"))
 
 
-def _agglomeration_sql(steps: int = 12, threshold: float = 0.6) -> str:
+def _agglomeration_sql(steps: int = 12, threshold: float = 0.6, source: str | None = None, rows: str = "params") -> str:
     """Always the closest pair of groups by mean distance over all pairs of members, `steps` times at most."""
-    sql = S.with_(S.PARAMS) + """
-, norms AS (SELECT node_id, sqrt(sum(v * v)) AS nrm FROM params GROUP BY node_id)
+    sql = (source or S.with_(S.PARAMS)) + f"""
+, norms AS (SELECT node_id, sqrt(sum(v * v)) AS nrm FROM {rows} GROUP BY node_id)
 , dist AS MATERIALIZED (SELECT a.node_id AS i, b.node_id AS j, 1 - sum(a.v * b.v) / (any_value(x.nrm) * any_value(y.nrm)) AS d
-    FROM params a JOIN params b ON a.param = b.param AND a.node_id <> b.node_id JOIN norms x ON x.node_id = a.node_id
+    FROM {rows} a JOIN {rows} b ON a.param = b.param AND a.node_id <> b.node_id JOIN norms x ON x.node_id = a.node_id
     JOIN norms y ON y.node_id = b.node_id GROUP BY a.node_id, b.node_id)
-, g0 AS (SELECT DISTINCT node_id AS item, node_id AS cluster FROM params)"""
+, g0 AS (SELECT DISTINCT node_id AS item, node_id AS cluster FROM {rows})"""
     for k in range(steps):
         sql += f"""
 , m{k} AS MATERIALIZED (SELECT a.cluster AS a, b.cluster AS b, avg(d) AS d FROM dist JOIN g{k} a ON a.item = i JOIN g{k} b ON b.item = j
@@ -142,30 +142,44 @@ def t_corr_groups(spark, d):
     return lab.select(inv[F.col("item")].alias("analyte"), inv[F.col("cluster")].alias("group"))
 
 
+ENV_WEIGHTS = {"TDS": 2.0, "heavy": 0.5}
+
 FP_SQL = S.with_(S.ENV, S.ENV_LONG, S.PARAMS) + """
-, feat AS (SELECT node_id, 'env_' || col AS feature, avg(x) AS value FROM env_long GROUP BY node_id, col
-           UNION ALL SELECT node_id, 'w' || param::VARCHAR AS feature, v FROM params WHERE param >= 56)
+, feat AS (SELECT node_id, 'env_' || col AS feature, avg(x) * CASE col WHEN 'TDS' THEN 2.0 WHEN 'heavy' THEN 0.5 ELSE 1.0 END AS value
+           FROM env_long GROUP BY node_id, col
+           UNION ALL SELECT node_id, 'w' || param::VARCHAR AS feature, v FROM params)
 , st AS (SELECT feature, avg(value) AS m, stddev_pop(value) AS s FROM feat GROUP BY feature)
+, fp AS MATERIALIZED (SELECT node_id, f.feature AS param, CASE WHEN s > 0 THEN (value - m) / s ELSE 0.0 END AS v
+                      FROM feat f JOIN st USING (feature))
 """
 
 
-def _fingerprint_long(spark, d):
+def _fingerprints(spark, d):
     from aquifer.operators.stats import to_long
 
-    env = to_long(fx.env_covariates(spark, d), fx.ENV_COLUMNS, ["node_id"]).groupBy("node_id", "col").agg(
-        F.avg("x").alias("value")).select("node_id", F.concat(F.lit("env_"), "col").alias("feature"), "value")
-    w = fx.node_params(spark, d).where(F.col("param") >= 56).select(
-        F.col("node_id").cast("bigint").alias("node_id"), F.concat(F.lit("w"), F.col("param").cast("string")).alias("feature"),
-        F.col("v").alias("value"))
-    return env.unionByName(w)
+    env = to_long(fx.env_covariates(spark, d), fx.ENV_COLUMNS, ["node_id"]).groupBy("node_id", F.col("col").alias("feature")).agg(
+        F.avg("x").alias("value"))
+    params = fx.node_params(spark, d).withColumn("node_id", F.col("node_id").cast("bigint"))
+    return fingerprint.node_fingerprints(env, params, ENV_WEIGHTS)
 
 
-@query("c_fingerprint", FP_SQL + """
-SELECT node_id, f.feature, round(CASE WHEN s > 0 THEN (value - m) / s ELSE 0.0 END, 6) AS z FROM feat f JOIN st USING (feature)""")
+@query("c_fingerprint", FP_SQL + "SELECT node_id, param AS feature, round(v, 6) AS z FROM fp")
 def c_fingerprint(spark, d):
-    """Node fingerprints = env means || last parameter slice, z-scored per column (population std)."""
-    z = cluster.zscore_columns(_fingerprint_long(spark, d), "node_id")
-    return z.withColumn("z", r6("z"))
+    """Node fingerprints = weighted env means || all parameters (principal scores above 15 nodes), z-scored per column."""
+    return _fingerprints(spark, d).withColumn("z", r6("z"))
+
+
+@query("c_node_clusters", _agglomeration_sql(9, 0.3, FP_SQL, "fp"))
+def c_node_clusters(spark, d):
+    """Nodes clustered on their fingerprints by average linkage below a mean cosine distance of 0.3."""
+    return fingerprint.cluster_nodes(_fingerprints(spark, d))
+
+
+@query("c_weight_scores")
+def c_weight_scores(spark, d):
+    """The principal scores of all node parameters, from node products (fewer nodes than parameters)."""
+    s = fingerprint.principal_scores(fx.node_params(spark, d), "node_id", "param", "v")
+    return s.withColumn("value", r6("value"))
 
 
 PRIOR_SQL = S.with_(S.PRED) + """
