@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aquifer.functions import r6
-from aquifer.operators import evaluate, federate, models, network, prepare
+from aquifer.operators import evaluate, federate, models, network, prepare, shapley
 from aquifer.plans import sql as S
 from aquifer.plans.registry import query
 from aquifer.sources import fixtures as fx
@@ -95,6 +95,38 @@ def m_attrib(spark, d):
     return a.select("sample_id", *[r6(f"phi_{c}").alias(f"phi_{c}") for c in FEATS])
 
 
+_SHAP_SQL = S.with_(S.OBS) + """
+, mf AS (SELECT well_id * 100000 + date_diff('day', DATE '2024-01-01', ts::DATE) AS sample_id, (well_id % 7) / 6.0 AS a,
+         (dayofweek(ts::DATE) + 1) / 7.0 AS b, ln(1 + count(*)) AS c, min(hour(ts)) / 23.0 AS e FROM obs GROUP BY well_id, ts::DATE)
+, bg AS (SELECT a AS ba, b AS bb, c AS bc, e AS be FROM mf ORDER BY sample_id LIMIT 50)
+, masks AS (SELECT m, bit_count(m::INT)::INT AS size, [m & 1, (m >> 1) & 1, (m >> 2) & 1, (m >> 3) & 1] AS on_ FROM range(16) r(m))
+, kinds AS (SELECT DISTINCT a, b, c, e FROM mf)
+, f AS (SELECT a, b, c, e, m, size, on_, avg(1 / (1 + exp(-(0.5 * CASE WHEN on_[1] = 1 THEN a ELSE ba END - 0.2 * CASE WHEN on_[2] = 1 THEN b ELSE bb END
+        + 0.1 * CASE WHEN on_[3] = 1 THEN c ELSE bc END + 0.3 * CASE WHEN on_[4] = 1 THEN e ELSE be END)))) AS v
+        FROM kinds, bg, masks GROUP BY a, b, c, e, m, size, on_)
+, phi AS (SELECT a, b, c, e, sum(v * CASE WHEN on_[1] = 1 THEN w1 ELSE -w0 END) AS pa, sum(v * CASE WHEN on_[2] = 1 THEN w1 ELSE -w0 END) AS pb,
+          sum(v * CASE WHEN on_[3] = 1 THEN w1 ELSE -w0 END) AS pc, sum(v * CASE WHEN on_[4] = 1 THEN w1 ELSE -w0 END) AS pe, sum(CASE WHEN m = 0 THEN v END) AS base
+          FROM (SELECT *, CASE size WHEN 0 THEN 0 WHEN 1 THEN 0.25 WHEN 2 THEN 1 / 12.0 WHEN 3 THEN 1 / 12.0 ELSE 0.25 END AS w1,
+                CASE size WHEN 0 THEN 0.25 WHEN 1 THEN 1 / 12.0 WHEN 2 THEN 1 / 12.0 WHEN 3 THEN 0.25 ELSE 0 END AS w0 FROM f)
+          GROUP BY a, b, c, e)
+SELECT sample_id, round(pa, 6) + 0.0 AS phi_f_well, round(pb, 6) + 0.0 AS phi_f_dow, round(pc, 6) + 0.0 AS phi_f_events, round(pe, 6) + 0.0 AS phi_f_hour,
+  round(base, 6) AS base FROM mf JOIN phi USING (a, b, c, e)"""
+
+
+@query("m_shap", _SHAP_SQL)
+def m_shap(spark, d):
+    """Shapley values of a given logistic model's probability for every sample, against the first 50 samples, over all
+    orders of its four features (SQL: from the mean prediction of every subset of features)."""
+    m = fx.model_frame(spark, d).select("sample_id", *FEATS)
+
+    def probability(v):
+        z = sum((F.lit(_ATTR_W[c]) * x for c, x in zip(FEATS, v)), F.lit(0.0))
+        return 1 / (1 + F.exp(-z))
+
+    s = shapley.shapley_values(m, FEATS, probability, m.orderBy("sample_id"))  # 50 background rows are the feature
+    return s.select("sample_id", *[(r6(f"phi_{c}") + 0.0).alias(f"phi_{c}") for c in FEATS], r6("base").alias("base"))
+
+
 def _spec():
     return federate.ChainSpec(features=FEATS, targets=TARGETS)
 
