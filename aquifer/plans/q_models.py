@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aquifer.functions import r6
-from aquifer.operators import evaluate, federate, models, network, prepare, shapley
+from aquifer.operators import evaluate, federate, models, network, partition, prepare, shapley
 from aquifer.plans import sql as S
+from aquifer.plans.q_prepare import PROFILE_SQL
 from aquifer.plans.registry import query
 from aquifer.sources import fixtures as fx
 
@@ -334,17 +335,57 @@ def m_tree_grid(spark, d):
     return res
 
 
+def _partition_rows(spark, d, heavy):
+    """FX3 with analytes of the chain and of the classes, admin columns and a local category."""
+    e = fx.env_covariates(spark, d, with_texture=True).withColumn("PFOA", F.col("FE") / 10).withColumn("PFOS", F.col("MN") * 2) \
+        .withColumn("PFBS", F.col("SO4") + 1).withColumn("PFNA", F.when(F.col("l_linenumber") > 1, F.col("NO3N"))) \
+        .withColumn("node_tier", F.col("node_id") % 3 + 1).withColumn("cluster_id", F.col("node_id")) \
+        .withColumn("season", F.concat(F.lit("q"), F.quarter("date").cast("string"))) \
+        .withColumn("load", F.col("TDS") / F.col("FE")).drop("date", "node_id")
+    return e if heavy else e.drop("heavy")
+
+
+KEYS = ["l_orderkey", "l_linenumber"]
+
+
+def _fitted_partition(spark, d, heavy):
+    e = _partition_rows(spark, d, heavy)
+    return e, partition.fit_partition(e.where(F.col("l_orderkey") % 5 != 0), KEYS)
+
+
 @query("t_partition")
 def t_partition(spark, d):
-    """Role catalog -> global/local numeric + categorical blocks, scalers and encoders fitted on the
-    train split, applied to the test split; returns the test X_glob block (rows-only)."""
-    e = fx.env_covariates(spark, d, with_texture=True)
-    roles = prepare.column_roles(e.columns, dict(e.dtypes))
-    glob_num = [c for c, (r, k) in roles.items() if r == "global" and k == "num"]
-    glob_cat = [c for c, (r, k) in roles.items() if r == "global" and k == "cat"]
-    train, test = e.where(F.col("l_orderkey") % 5 != 0), e.where(F.col("l_orderkey") % 5 == 0)
-    plan = prepare.fit_scalers(train, glob_num)
-    cats = prepare.fit_categories(train, glob_cat).collect()
-    x = prepare.apply_scalers(test.select("l_orderkey", "l_linenumber", *glob_num, *glob_cat), plan,
-                              keep=["l_orderkey", "l_linenumber", *glob_cat])
-    return prepare.one_hot_wide(x, cats, glob_cat).drop(*glob_cat)
+    """All five parts of every row, train and test, from the partition fitted on the training rows (rows-only: the quantile
+    scaler of `heavy` has no SQL; `t_blocks` holds the same without that column)."""
+    e, fitted = _fitted_partition(spark, d, heavy=True)
+    return fitted.apply(e).withColumn("split", F.when(F.col("l_orderkey") % 5 != 0, "train").otherwise("test"))
+
+
+_COLS = "TDS, FE, SO4, MN, NO3N, load"
+_BLOCKS_SQL = S.with_(S.ENV) + f"""
+, all_ AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS TDS, l_quantity AS FE, l_discount * 100 AS SO4, l_tax * 100 AS MN, p_size::DOUBLE AS NO3N,
+           l_suppkey % 10 AS node_id, p_type AS tex, 'q' || quarter(l_shipdate) AS season, l_extendedprice / l_quantity AS load
+           FROM lineitem LEFT JOIN part ON l_partkey = p_partkey)
+, env_long AS (SELECT * FROM (SELECT {_COLS} FROM all_ WHERE l_orderkey % 5 <> 0) UNPIVOT (x FOR col IN ({_COLS})))""" + PROFILE_SQL + f"""
+, qs AS (SELECT col, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS q2, quantile_cont(x, 0.75) AS q3 FROM env_long GROUP BY col)
+, plan AS (SELECT c.col, CASE WHEN scaler = 'standard' THEN mean ELSE q2 END AS center,
+           CASE WHEN scaler = 'standard' THEN (CASE WHEN std > 0 THEN std ELSE 1.0 END) ELSE (CASE WHEN q3 <> q1 THEN q3 - q1 ELSE 1.0 END) END AS scale
+           FROM choice c JOIN qs USING (col))
+, num AS (SELECT * FROM (SELECT l_orderkey, l_linenumber, {_COLS} FROM all_) UNPIVOT INCLUDE NULLS (x FOR col IN ({_COLS})))
+, seen AS (SELECT DISTINCT tex FROM all_ WHERE l_orderkey % 5 <> 0)
+, seasons AS (SELECT DISTINCT season FROM all_ WHERE l_orderkey % 5 <> 0)
+, y AS (SELECT * FROM (SELECT l_orderkey, l_linenumber, FE / 10 AS PFOA, MN * 2 AS PFOS, SO4 + 1 AS PFBS, CASE WHEN l_linenumber > 1 THEN NO3N END AS PFNA,
+        (node_id % 3 + 1)::DOUBLE AS node_tier, node_id::DOUBLE AS cluster_id FROM all_)
+        UNPIVOT INCLUDE NULLS (x FOR col IN (PFOA, PFOS, PFBS, PFNA, node_tier, cluster_id)))
+SELECT l_orderkey, l_linenumber, CASE WHEN col = 'load' THEN 'X_loc' ELSE 'X_glob' END AS block, col AS feature, round((x - center) / scale, 6) + 0.0 AS value
+  FROM num JOIN plan USING (col)
+UNION ALL SELECT l_orderkey, l_linenumber, 'X_glob', 'Texture_USDA_' || coalesce(a.tex, 'nan'), 1.0 FROM all_ a JOIN seen s ON a.tex IS NOT DISTINCT FROM s.tex
+UNION ALL SELECT l_orderkey, l_linenumber, 'X_loc', 'season_' || coalesce(a.season, 'nan'), 1.0 FROM all_ a JOIN seasons s ON a.season IS NOT DISTINCT FROM s.season
+UNION ALL SELECT l_orderkey, l_linenumber, CASE WHEN col IN ('PFOA', 'PFOS') THEN 'Y_glob' WHEN col IN ('PFBS', 'PFNA') THEN 'Y_loc' ELSE 'geo' END, col, round(x, 6) + 0.0 FROM y"""
+
+
+@query("t_blocks", _BLOCKS_SQL)
+def t_blocks(spark, d):
+    """X_glob, X_loc, Y_glob, Y_loc and geo of every row by name, train and test, from the fitted partition."""
+    e, fitted = _fitted_partition(spark, d, heavy=False)
+    return partition.long_blocks(fitted.apply(e), fitted).withColumn("value", r6("value") + 0.0)
