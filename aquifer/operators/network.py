@@ -85,15 +85,26 @@ def volume_weighted_average(params: DataFrame, nodes: DataFrame, edges: DataFram
     return avg.unionByName(keep)
 
 
+def pooled_average(params: DataFrame, nodes: DataFrame, group: str, node: str = "node_id", key: str = "param",
+                   value: str = "v") -> DataFrame:
+    """N4/N5 where all nodes of a group with tier != 3 are linked with each other: they share one average, so it is one sum for
+    each (group, param), added up before the shuffle, and not one for each pair of nodes. Tier-3 nodes keep their parameters."""
+    sharing = nodes.where(F.col("tier") != 3).select(node, group, "volume")
+    sums = params.join(sharing, node).groupBy(group, key).agg(
+        (F.sum(F.col(value) * F.col("volume")) / F.sum("volume")).alias(value))
+    avg = sharing.select(node, group).join(sums, group).select(node, key, value)
+    keep = params.join(nodes.where(F.col("tier") == 3).select(node), node, "left_semi").select(node, key, value)
+    return avg.unionByName(keep)
+
+
 def clustered_average(params: DataFrame, nodes: DataFrame, cluster: str, node: str = "node_id",
                       max_satellite_share: float = 0.95) -> DataFrame:
-    """Per cluster with > 1 node and satellite share <= 0.95, intra-cluster edges then N4 within
-    the cluster, all clusters in one job; nodes of skipped clusters keep their parameters."""
+    """Per cluster with > 1 node and satellite share <= 0.95 the volume-weighted average of its nodes with tier != 3, all
+    clusters in one job; nodes of skipped clusters keep their parameters."""
     stats = nodes.groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"), F.avg((F.col("tier") == 3).cast("double")).alias("_s"))
     ok = stats.where((F.col("_n") > 1) & (F.col("_s") <= max_satellite_share)).select(cluster)
     active = nodes.join(ok, cluster, "left_semi")
-    edges = intra_cluster_topology(active, cluster, node)
-    upd = volume_weighted_average(params.join(active.select(node), node, "left_semi"), active, edges, node)
+    upd = pooled_average(params, active, cluster, node)
     rest = params.join(active.select(node), node, "left_anti")
     return upd.unionByName(rest.select(*upd.columns))
 

@@ -224,6 +224,28 @@ def fill_counties(sites: DataFrame, address: DataFrame, key: str, county: str =
     return j.withColumn(county, F.when(need, fixed).otherwise(F.col(county))).drop("_name")
 
 
+def _rounded(lat: str, lon: str, digits: int) -> list[Column]:
+    """A place's key: both coordinates in whole steps of 10^-digits, halves up, so that equal keys are equal integers; NULL if
+    the coordinate is NULL, NaN or infinite."""
+    def step(c):
+        x = F.col(c).cast("double")
+        return F.when(F.abs(x) < float("inf"), F.floor(x * float(10 ** digits) + 0.5))
+    return [step(lat).alias("_klat"), step(lon).alias("_klon")]
+
+
+def fill_counties_at(sites: DataFrame, address: DataFrame, lat: str, lon: str, digits: int = 2, county: str = "county",
+                     address_lat: str = "lat", address_lon: str = "lon") -> DataFrame:
+    """J3 by place: `fill_counties` where a site's address is the one stored for its coordinates rounded to `digits`.
+
+    The lookup holds one answer for each rounded place, so sites at one place share it and nothing is asked twice. A site
+    without a coordinate, or at a place that is not stored, keeps its county. The columns of `sites` come back unchanged."""
+    parts = ["county", "city", "town", "municipality", "state_district"]
+    known = address.select(*_rounded(address_lat, address_lon, digits), *parts).where(F.col("_klat").isNotNull() & F.col("_klon").isNotNull())
+    place = known.select(F.struct("_klat", "_klon").alias("_place"), *parts)
+    at = sites.select("*", F.struct(*_rounded(lat, lon, digits)).alias("_place"))
+    return fill_counties(at, place, "_place", county).select(*sites.columns)
+
+
 # ------------------------------------------------------------------------ C10
 def _monotone_chain(pts: np.ndarray) -> np.ndarray:
     pts = np.unique(pts, axis=0)

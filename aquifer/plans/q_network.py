@@ -108,7 +108,7 @@ SELECT node_id, param, round(v, 6) AS v FROM avg_p""")
 def f_avg(spark, d):
     """Volume-weighted averaging over the tier graph (tier-3 nodes keep their parameters)."""
     t = _tiers(spark, d)
-    a = network.volume_weighted_average(fx.node_params(spark, d), t, network.tier_topology(t))
+    a = network.pooled_average(fx.node_params(spark, d), t.withColumn("pool", F.lit(0)), "pool")  # tiers 1 and 2 are all linked
     return a.select("node_id", F.col("param").cast("bigint").alias("param"), r6("v").alias("v"))
 
 
@@ -137,7 +137,7 @@ def f_interp(spark, d):
     """Interpolated meta-update old + 0.1 * (new - old)."""
     t = _tiers(spark, d)
     old = fx.node_params(spark, d)
-    new = network.volume_weighted_average(old, t, network.tier_topology(t))
+    new = network.pooled_average(old, t.withColumn("pool", F.lit(0)), "pool")
     i = network.interpolate(old, new, ["node_id", "param"])
     return i.select("node_id", F.col("param").cast("bigint").alias("param"), r6("v").alias("v"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from aquifer import catalog
 from aquifer.operators import spatial
 from aquifer.plans import sql as S
 from aquifer.plans.registry import query
@@ -46,6 +47,20 @@ def j_county_fill(spark, d):
     return spatial.fill_counties(s, fx.address_lookup(spark, d), "nationkey").select("site_id", "county")
 
 
+@query("j_county_at", S.with_(S.SITES) + """
+, spot AS (SELECT *, floor(lat_c / 100.0 * 10 + 0.5)::BIGINT AS klat, floor(lon_c / 100.0 * 10 + 0.5)::BIGINT AS klon FROM sites)
+, addr AS (SELECT klat, klon, min(county) AS name FROM spot WHERE county NOT IN ('unknown', 'NO COUNTY FOUND') AND trim(county) <> '' GROUP BY klat, klon)
+SELECT site_id, CASE WHEN county IN ('unknown', 'NO COUNTY FOUND') AND name IS NOT NULL
+  THEN trim(replace(upper(name), ' COUNTY', '')) ELSE county END AS county FROM spot LEFT JOIN addr USING (klat, klon)""")
+def j_county_at(spark, d):
+    """Missing counties from the addresses stored for the site's coordinates rounded to a tenth of a degree (here those of
+    the sites whose county is known)."""
+    s = fx.sites(spark, d).select("site_id", "county", (F.col("lat_c") / 100.0).alias("lat"), (F.col("lon_c") / 100.0).alias("lon"))
+    none = [F.lit(None).cast("string").alias(c) for c in ["city", "town", "municipality", "state_district"]]
+    address = s.where(~F.col("county").isin(*catalog.MISSING_COUNTY_VALUES)).select("lat", "lon", "county", *none)
+    return spatial.fill_counties_at(s, address, "lat", "lon", digits=1).select("site_id", "county")
+
+
 @query("g_hull")
 def g_hull(spark, d):
     """Convex hull per basin of the matched sites (rows-only; geometry property-tested)."""

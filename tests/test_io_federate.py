@@ -139,3 +139,26 @@ def test_tree_baseline_without_labelled_test_rows_and_with_missing_features(spar
     test = spark.createDataFrame([(1.0, 2.0, None)], "a double, b double, y double")
     m, imp = models.independent_gbt(train, test, ["a", "b"], ["y"], max_iter=2)
     assert [(r.auroc, r.n_test) for r in m.collect()] == [(None, 0)] and imp.count() == 2
+
+
+def test_pooled_average_equals_the_average_over_edges(spark):
+    """Where tiers 1 and 2 are all linked, one sum a parameter gives what the sum over each node's neighbours gives."""
+    import numpy as np
+    from aquifer.operators import network
+
+    rng = np.random.default_rng(2)
+    nodes = spark.createDataFrame([(i, int(i % 3) + 1, float(rng.integers(1, 50)), i % 2) for i in range(15)],
+                                  "node_id long, tier int, volume double, pool int")
+    params = spark.createDataFrame([(i, p, float(rng.normal())) for i in range(15) for p in range(4) if (i, p) != (3, 2)],
+                                   "node_id long, param int, v double")
+
+    def rows(df):
+        return {(r.node_id, r.param): round(r.v, 9) for r in df.collect()}
+
+    one = nodes.withColumn("pool", nodes["pool"] * 0)
+    plain = network.volume_weighted_average(params, nodes, network.tier_topology(nodes))
+    pooled = rows(network.pooled_average(params, one, "pool"))
+    assert pooled == rows(plain) and len(pooled) >= 4 * 15 - 1
+    split = rows(network.pooled_average(params, nodes, "pool"))
+    edges = network.intra_cluster_topology(nodes, "pool")
+    assert split == rows(network.volume_weighted_average(params, nodes, edges))

@@ -174,3 +174,18 @@ def test_hull_tree_matches_a_plain_search_and_bounds_the_last_task(spark):
     assert [(p["x"], p["y"]) for p in got["same"]["ring"]] == [(1.0, 1.0)] * 2
     assert got["big"]["n_last"] <= 4 * 50 and got["ring"]["n_last"] <= 4 * got["ring"]["n_vertices"]  # of 4,000 and 900 points
     assert spatial.convex_hulls(df.limit(0), "g", "x", "y").count() == 0
+
+
+def test_counties_by_rounded_place(spark):
+    from aquifer import catalog
+
+    gone = catalog.MISSING_COUNTY_VALUES[0]
+    sites = spark.createDataFrame([(1, 35.123, -119.5, gone, 7), (2, 35.118, -119.499, gone, 7), (3, 35.2, -119.5, gone, 7),
+                                   (4, 35.123, -119.5, "KERN", 7), (5, None, -119.5, gone, 7), (6, float("nan"), 1.0, gone, 7)],
+                                  "site long, lat double, lon double, county string, city int")
+    address = spark.createDataFrame([(35.12, -119.5, "", "Taft", None, None, None), (35.12, -119.5, "Zed County", None, None, None, None),
+                                     (None, -119.5, "Nowhere", None, None, None, None)],
+                                    "lat double, lon double, county string, city string, town string, municipality string, state_district string")
+    got = spatial.fill_counties_at(sites, address, "lat", "lon")
+    assert got.columns == sites.columns
+    assert {r.site: r.county for r in got.collect()} == {1: "TAFT", 2: "TAFT", 3: gone, 4: "KERN", 5: gone, 6: gone}
