@@ -173,7 +173,8 @@ def _quantile_normal_udf(quantiles: list[float]):
             p = 0.5 * (fwd + bwd)
             p = np.where(xv <= q[0], 0.0, p)
             p = np.where(xv >= q[-1], 1.0, p)
-            out[ok] = inv(np.clip(p, CLIP, 1 - CLIP))
+            places, at = np.unique(np.clip(p, CLIP, 1 - CLIP), return_inverse=True)
+            out[ok] = inv(places)[at]  # equal values are transformed once a batch
         return pd.Series(out)
 
     return transform
@@ -233,6 +234,24 @@ def label_encode(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     return df.join(codes, col, "left")
 
 
+def fit_labels(train: DataFrame, col: str) -> DataFrame:
+    """T8 fit: (value, code) with the sorted distinct training values numbered from 0; NULL has no code."""
+    d = train.select(F.col(col).alias("value")).distinct().where(F.col("value").isNotNull())
+    return sorted_ordinal(d, [], "value", "code")
+
+
+def encode_labels(df: DataFrame, codes: DataFrame, col: str, out: str | None = None) -> DataFrame:
+    """T8 apply: every row with its value's training code; a value that training did not have raises when the row is read.
+
+    NULL stays NULL. `out` (default `<col>_code`) replaces a column of that name."""
+    out = out or f"{col}_code"
+    table = codes.select(F.col("value").alias("_value"), F.col("code").alias("_code"))
+    unseen = F.raise_error(F.concat(F.lit(f"unseen label in {col}: "), F.col(f"`{col}`").cast("string"))).cast("int")
+    j = df.join(table, F.col(f"`{col}`") == F.col("_value"), "left")
+    code = F.when(F.col(f"`{col}`").isNull(), F.lit(None).cast("int")).when(F.col("_code").isNull(), unseen).otherwise(F.col("_code").cast("int"))
+    return j.withColumn(out, code).drop("_value", "_code")
+
+
 # ------------------------------------------------------------------- P11/P12
 def column_roles(columns: list[str], dtypes: dict[str, str], global_feats: list[str] | None = None) -> dict:
     """Schema-only pass -> role per column (target / admin / global / local) and num/cat."""

@@ -120,16 +120,13 @@ def t_scale_test(spark, d):
 
 @query("t_quantile")
 def t_quantile(spark, d):
-    """T5: quantile -> normal transform (vectorised pandas UDF over a 1000-point exact quantile plan)."""
+    """T5: quantile -> normal transform of all columns (pandas UDF over a 1000-point exact quantile plan fitted on train)."""
     train, test_df = _train_test(spark, d)
-    plan = prepare.ScalerPlan(kind={"heavy": "quantile", "TDS": "quantile"})
+    plan = prepare.ScalerPlan(kind={c: "quantile" for c in ENVC})
     probs = list(np.linspace(0, 1, prepare.QUANTILE_GRID))
-    rows = exact_quantiles(to_long(train, ["heavy", "TDS"]), ["col"], "x", probs).collect()
-    for c in ["heavy", "TDS"]:
-        m = {r["p"]: r["q"] for r in rows if r["col"] == c}
-        plan.quantiles[c] = [m[p] for p in probs]
-    return prepare.apply_scalers(test_df.select("l_orderkey", "l_linenumber", "heavy", "TDS"), plan,
-                                 keep=["l_orderkey", "l_linenumber"])
+    found = {(r["col"], r["p"]): r["q"] for r in exact_quantiles(to_long(train, ENVC), ["col"], "x", probs).collect()}
+    plan.quantiles = {c: [found[c, p] for p in probs] for c in ENVC}
+    return prepare.apply_scalers(test_df.select("l_orderkey", "l_linenumber", *ENVC), plan, keep=["l_orderkey", "l_linenumber"])
 
 
 @query("t_onehot", """

@@ -94,3 +94,32 @@ def test_recall_alpha_without_positives(spark):
     r = {x["analyte"]: x for x in evaluate.recall_alpha(df, ["analyte"], F.col("p")).collect()}
     assert r["a"]["recall"] is None and r["a"]["alpha_global"] == 1.0 and r["a"]["alpha_local"] == 1.0
     assert r["b"]["recall"] == 0.5 and r["b"]["alpha_global"] == 1.0 and r["b"]["alpha_local"] == 1.0
+
+
+def test_labels_fitted_on_train(spark):
+    import pytest
+    from aquifer.operators import prepare
+
+    train = spark.createDataFrame([("b",), ("a",), (None,), ("c",), ("a",)], "kind string")
+    codes = prepare.fit_labels(train, "kind")
+    test = spark.createDataFrame([(1, "c", 7), (2, None, 7), (3, "a", 7), (3, "a", 7)], "id int, kind string, kind_code int")
+    got = prepare.encode_labels(test, codes, "kind")
+    assert got.columns == test.columns
+    assert sorted((r.id, r.kind_code) for r in got.collect() if r.kind) == [(1, 2), (3, 0), (3, 0)]
+    assert [r.kind_code for r in got.where("id = 2").collect()] == [None]
+    odd = spark.createDataFrame([(1, "zz")], "id int, kind string")
+    with pytest.raises(Exception, match="unseen label in kind: zz"):
+        prepare.encode_labels(odd, codes, "kind").collect()
+
+
+def test_a_skipped_chain_link_is_a_zero_feature(spark):
+    """A link with one class only trains no model and stands as a constant column before the next link."""
+    import numpy as np
+    from aquifer.operators import models
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(120, 2))
+    rows = [(i, float(a), float(b), 1.0, float(a + b > 0)) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "sample_id long, f1 double, f2 double, y_same double, y_sum double")
+    out = models.chain_gbt(df.where("sample_id < 80"), df.where("sample_id >= 80"), ["f1", "f2"], ["y_same", "y_sum"], max_iter=3).collect()
+    assert [(r.analyte, r.n_features) for r in out] == [("y_sum", 3)] and out[0].auroc > 0.8
