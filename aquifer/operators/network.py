@@ -86,13 +86,16 @@ def volume_weighted_average(params: DataFrame, nodes: DataFrame, edges: DataFram
 
 
 def pooled_average(params: DataFrame, nodes: DataFrame, group: str, node: str = "node_id", key: str = "param",
-                   value: str = "v") -> DataFrame:
+                   value: str = "v", slices: int = 64) -> DataFrame:
     """N4/N5 where all nodes of a group with tier != 3 are linked with each other: they share one average, so it is one sum for
-    each (group, param), added up before the shuffle, and not one for each pair of nodes. Tier-3 nodes keep their parameters."""
+    each (group, param), added up before the shuffle, and not one for each pair of nodes. The averages go back to their nodes
+    in `slices` of the parameters, so that one large group is several tasks. Tier-3 nodes keep their parameters."""
     sharing = nodes.where(F.col("tier") != 3).select(node, group, "volume")
     sums = params.join(sharing, node).groupBy(group, key).agg(
         (F.sum(F.col(value) * F.col("volume")) / F.sum("volume")).alias(value))
-    avg = sharing.select(node, group).join(sums, group).select(node, key, value)
+    sums = sums.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(slices)).cast("int"))
+    homes = sharing.select(node, group, F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice"))
+    avg = homes.join(sums, [group, "_slice"]).select(node, key, value)
     keep = params.join(nodes.where(F.col("tier") == 3).select(node), node, "left_semi").select(node, key, value)
     return avg.unionByName(keep)
 
