@@ -10,7 +10,10 @@ the ids); every row is indexed. Candidates of all tables are merged and ranked b
 
 Equal vectors are indexed once, with their k + 1 smallest ids, so a common vector costs one row. Buckets
 are dealt to parts of about `part_rows` rows; a query goes to the parts that hold buckets it visits and brings
-back its k + 1 best of each. A query that finds fewer than k + 1 rows is compared with every row, part by part.
+back its k + 1 best of each. Parts are measured before anything meets: one that holds a crowded bucket is cut into
+cells of about `part_rows` rows, which all of its queries go to, and one that many queries visit is repeated for
+blocks of about `part_rows` queries, so that a task holds a bounded number of both. A query that finds fewer than
+k + 1 rows is compared with every row, part by part.
 
 Edge cases: vectors that are null, of another length than most, all zero, or hold null, NaN or infinity take no
 part, nor do null ids; repeated rows count once; ties go to the smaller id; fewer candidates than k give
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aquifer.llm.common import freeze, mix64
+from aquifer.llm.common import freeze, mix64, sent
 
 STEPS = (-1, 0, 1)
 
@@ -147,6 +150,25 @@ def best_in_part(k: int):
     return run
 
 
+def meet(index: DataFrame, asked: DataFrame, k: int, part_rows: int) -> DataFrame:
+    """(rep, score, vec_id): each query's k + 1 best rows of every cell of a part that it goes to.
+
+    A part of more than 2 `part_rows` rows is cut into cells by a hash of the class, and its queries into blocks of the same
+    size by a hash of the query; a cell meets a block in one group.
+    """
+    def pieces(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / (2 * part_rows)).alias(name))
+
+    grid = sent(freeze(pieces(index, "cells").join(pieces(asked, "blocks"), "part"), "ann-grid"))
+    every = {n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)) for n in ("cells", "blocks")}
+    left = (index.join(grid, "part").withColumn("cell", F.pmod(F.xxhash64("first_id"), "cells"))
+            .withColumn("block", every["blocks"]).drop("cells", "blocks"))
+    right = (asked.join(grid, "part").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+             .withColumn("cell", every["cells"]).drop("cells", "blocks"))
+    where = ["part", "cell", "block"]
+    return left.groupBy(*where).cogroup(right.groupBy(*where)).applyInArrow(best_in_part(k), "rep long, score double, vec_id long")
+
+
 def nearest(rows: DataFrame, k: int = 10, every: int = 100, tables: int = 6, projections: int = 8,
             recall: float = 0.95, sample: int = 20_000, part_rows: int = 8192, seed: int = 11,
             vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -198,17 +220,16 @@ def nearest(rows: DataFrame, k: int = 10, every: int = 100, tables: int = 6, pro
                 ("part", pa.int64()), ("rep", pa.int64()), ("v", pa.list_(pa.float64())), ("buckets", pa.list_(pa.int64()))]))
 
     asked = heads.mapInArrow(visit, "part long, rep long, v array<double>, buckets array<long>")
-    found_schema = "rep long, score double, vec_id long"
-    found = freeze(indexed.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(
-        best_in_part(k), found_schema), "ann-found")
+    asked = freeze(asked, "ann-asked")
+    found = freeze(meet(indexed, asked, k, part_rows), "ann-found")
     counts = found.distinct().groupBy("rep").count().where(F.col("count") > k)
     short = freeze(heads.join(counts, "rep", "left_anti"), "ann-short")
     if total > 1 and not short.isEmpty():
-        all_parts = short.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).withColumn(
+        even = -(-total // part_rows)  # every class once, dealt evenly
+        one_table = indexed.where("t = 0").withColumn("part", F.pmod(F.xxhash64("first_id"), F.lit(even)))
+        all_parts = short.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(even - 1).cast("long")))).withColumn(
             "buckets", F.lit(None).cast("array<long>"))
-        one_table = indexed.where("t = 0")
-        found = found.unionByName(one_table.groupBy("part").cogroup(all_parts.groupBy("part")).applyInArrow(
-            best_in_part(k), found_schema))
+        found = found.unionByName(meet(one_table, all_parts, k, part_rows))
     near_first = Window.partitionBy("rep").orderBy("score", "vec_id")
     merged = found.distinct().withColumn("nth", F.row_number().over(near_first)).where(F.col("nth") <= k + 1)
     ranked = Window.partitionBy("query_id").orderBy("score", "vec_id")

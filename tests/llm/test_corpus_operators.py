@@ -210,6 +210,20 @@ def test_neighbours_against_brute_force(spark):
     assert hit >= 0.9 * 10 * len(got)
 
 
+def test_neighbours_in_one_crowded_bucket(spark):
+    """A third of the rows are close but different: their bucket is cut into cells, and queries into blocks, and nothing is lost."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([5 + rng.normal(0, 1e-3, (300, 8)), rng.normal(0, 4, (600, 8))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    plain = neighbours.nearest(df, every=3, part_rows=8192).orderBy("query_id", "rank").collect()
+    cut = neighbours.nearest(df, every=3, part_rows=16).orderBy("query_id", "rank").collect()
+    assert cut == plain and len(cut) == 3000
+    for q in range(0, 300, 30):
+        far = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = sorted((f, i) for i, f in enumerate(far.tolist()) if i != q)[:10]
+        assert [r.vec_id for r in cut if r.query_id == q] == [i for _, i in want]
+
+
 def test_neighbours_with_few_rows(spark):
     df = spark.createDataFrame([(100, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [5.0, 5.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = neighbours.nearest(df).orderBy("rank").collect()
