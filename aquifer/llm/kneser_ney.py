@@ -292,7 +292,7 @@ class Table:
         return out[:, back]
 
 
-def train(docs: DataFrame, order: int = 2, text: str = "text", shards: int | None = None) -> Model:
+def train(docs: DataFrame, order: int = 3, text: str = "text", shards: int | None = None) -> Model:
     """Count the n-grams of every text and write the model to the shared folder."""
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -369,7 +369,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
     return map_batches(narrow, run, schema)
 
 
-def held_out_scores(docs: DataFrame, order: int = 2, text: str = "text", doc_id: str = "doc_id",
+def held_out_scores(docs: DataFrame, order: int = 3, text: str = "text", doc_id: str = "doc_id",
                     held_out: int = 1) -> DataFrame:
     """Train on the rows outside the held-out fold and score every row."""
     model = train(docs.where(fold(F.col(doc_id)) != held_out), order, text)
