@@ -6,6 +6,8 @@ A shard adds up its n-grams, writes them as arrays sorted by hash to the shared
 things by hash again: one count for each distinct n-gram to its suffix (the continuation counts of the order
 below), and counts, distinct followers and their share with one, two and more occurrences to its context. So
 order after order follows, and one pass over the texts is all; nothing but a line per file reaches the driver.
+Packed blocks name words by their places in the block's own list of words. A context of order k + 1 is a k-gram, so
+both are lines of one file.
 
 Probabilities. p_k(w | h) = max(c(hw) - D(c), 0) / C(h) + g(h) p_(k-1)(w | shorter h), where c counts occurrences
 for the highest order and distinct left neighbours below; D1, D2, D3+ of each order follow from its counts of
@@ -45,30 +47,48 @@ BLOCKS = "shard int, kind int, payload binary, stats binary"
 
 def pack(columns: list[np.ndarray]) -> bytes:
     """Columns of equally many numbers; the first is sorted and stored as differences. Bytes of equal weight lie
-    together, so that small and similar numbers pack well."""
+    together, so that small and similar numbers pack well; those that are 0 in the whole column are left out."""
     out = [struct.pack("<II", len(columns), len(columns[0]))]
     for k, c in enumerate(columns):
         c = c.astype(np.uint64)
         if k == 0:
             c = np.diff(c, prepend=np.uint64(0))
-        raw = c.view(np.uint8).reshape(-1, 8).T.tobytes()
-        squeezed = pa.compress(raw, codec="zstd", asbytes=True)
-        out.append(struct.pack("<I", len(squeezed)) + squeezed)
+        width = -(-int(c.max()).bit_length() // 8) if len(c) else 0
+        squeezed = pa.compress(c.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), codec="zstd", asbytes=True)
+        out.append(struct.pack("<BI", width, len(squeezed)) + squeezed)
     return b"".join(out)
 
 
-def unpack(payload: bytes) -> list[np.ndarray]:
-    n_columns, n = struct.unpack_from("<II", payload)
-    at, columns = 8, []
+def unpack(payload: bytes, at: int = 0) -> list[np.ndarray]:
+    n_columns, n = struct.unpack_from("<II", payload, at)
+    at, columns = at + 8, []
     for k in range(n_columns):
-        (size,) = struct.unpack_from("<I", payload, at)
-        raw = pa.decompress(payload[at + 4:at + 4 + size], decompressed_size=8 * n, codec="zstd", asbytes=True)
-        at += 4 + size
-        c = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, n).T).view(np.uint64).ravel()
+        width, size = struct.unpack_from("<BI", payload, at)
+        raw = pa.decompress(payload[at + 5:at + 5 + size], decompressed_size=width * n, codec="zstd", asbytes=True)
+        at += 5 + size
+        c = np.zeros((n, 8), np.uint8)
+        c[:, :width] = np.frombuffer(raw, np.uint8).reshape(width, n).T
+        c = c.view(np.uint64).ravel()
         columns.append(np.cumsum(c, dtype=np.uint64) if k == 0 else c)
     return columns
 
 
+def pack_grams(words: list[np.ndarray], sums: list[np.ndarray]) -> bytes:
+    """n-grams as places in the block's own list of different words, in order of the words; with their sums."""
+    own, places = np.unique(np.concatenate(words), return_inverse=True)
+    places = places.reshape(len(words), -1)
+    order = np.lexsort(places[::-1])
+    listed = pack([own])
+    return struct.pack("<I", len(listed)) + listed + pack([c[order] for c in (*places, *sums)])
+
+
+def unpack_grams(payload: bytes, k: int) -> list[np.ndarray]:
+    (size,) = struct.unpack_from("<I", payload)
+    (own,) = unpack(payload, 4)
+    columns = unpack(payload, 4 + size)
+    return [own[c] for c in columns[:k]] + columns[k:]
+
+
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     """Shards are ranges of the hash, so that sorted hashes are sorted by shard."""
     return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
@@ -84,16 +104,16 @@ def add_up(hashes: np.ndarray, sums: list[np.ndarray], carried: list[np.ndarray]
             [c[order[first]] for c in carried])
 
 
-def deal(hashes: np.ndarray, kind: int, sort_by: np.ndarray, columns: list[np.ndarray], shards: int) -> Iterator[dict]:
-    """Rows with sorted hashes as one packed block a shard."""
+def deal(hashes: np.ndarray, kind: int, words: list[np.ndarray], sums: list[np.ndarray], shards: int) -> Iterator[dict]:
+    """Rows with sorted hashes as one packed block a shard: n-grams by their words, contexts by their hashes."""
     if not len(hashes):
         return
     shard = shard_of(hashes, shards)
     edges = np.flatnonzero(np.diff(shard, prepend=-1))
     for lo, hi in zip(edges, np.append(edges[1:], len(shard))):
-        order = np.argsort(sort_by[lo:hi], kind="stable")
-        yield {"shard": int(shard[lo]), "kind": kind, "stats": None,
-               "payload": pack([sort_by[lo:hi][order], *[c[lo:hi][order] for c in columns]])}
+        numbers = [c[lo:hi] for c in sums]
+        payload = pack_grams([w[lo:hi] for w in words], numbers) if kind == GRAMS else pack([hashes[lo:hi], *numbers])
+        yield {"shard": int(shard[lo]), "kind": kind, "payload": payload, "stats": None}
 
 
 def token_hashes(texts: list[bytes], order: int, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -122,7 +142,7 @@ def counted(docs: DataFrame, order: int, shards: int) -> DataFrame:
             grams = ngram_hashes(flat, order)[places - order + 1]
             grams, (n,), words = add_up(grams, [np.ones(len(grams), np.uint64)], words)
             return pa.RecordBatch.from_pylist(
-                list(deal(grams, GRAMS, words[0], [*words[1:], n, n], shards)), BLOCK_SCHEMA)
+                list(deal(grams, GRAMS, words, [n, n], shards)), BLOCK_SCHEMA)
 
         held: list[bytes] = []
         size = 0
@@ -148,8 +168,9 @@ def join_words(words: list[np.ndarray]) -> np.ndarray:
     return ngram_hashes(flat, n)[::n]
 
 
-def level(rows: DataFrame, k: int, folder: str, shards: int) -> DataFrame:
-    """Add up order k's n-grams and order k + 1's contexts shard by shard, write both, deal out what follows.
+def level(rows: DataFrame, k: int, order: int, folder: str, shards: int) -> DataFrame:
+    """Add up order k's n-grams and order k + 1's contexts (which are k words too) shard by shard, write both as one
+    file of k-grams, and deal out what follows.
 
     Every written file passes a line of statistics on, in rows of kind None.
     """
@@ -157,30 +178,41 @@ def level(rows: DataFrame, k: int, folder: str, shards: int) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
         out = [r for r in table.filter(pc.is_null(table.column("kind"))).to_pylist()]
-        blocks = {kind: [unpack(x) for x in table.filter(pc.equal(table.column("kind"), kind)).column("payload").to_pylist()]
-                  for kind in (GRAMS, CONTEXTS)}
+        blocks = {kind: table.filter(pc.equal(table.column("kind"), kind)).column("payload").to_pylist() for kind in (GRAMS, CONTEXTS)}
+        keys, following = np.empty(0, np.uint64), [np.empty(0, np.uint64)] * 4
         if blocks[CONTEXTS]:
-            columns = [np.concatenate(c) for c in zip(*blocks[CONTEXTS])]
-            keys, sums, _ = add_up(columns[0], columns[1:], [])
-            write_arrays(f"{folder}/contexts-{k + 1}-{shard:06d}", keys, sums)
+            columns = [np.concatenate(c) for c in zip(*map(unpack, blocks[CONTEXTS]))]
+            keys, following, _ = add_up(columns[0], columns[1:], [])
+        grams, own = np.empty(0, np.uint64), [np.empty(0, np.uint64)] * (2 if k == 1 else 1)
         if blocks[GRAMS]:
-            columns = [np.concatenate(c) for c in zip(*blocks[GRAMS])]
+            columns = [np.concatenate(c) for c in zip(*[unpack_grams(x, k) for x in blocks[GRAMS]])]
             words, n, raw = columns[:k], columns[k], columns[k + 1]
             grams, (n, raw), words = add_up(join_words(words), [n, raw], words)
-            write_arrays(f"{folder}/grams-{k}-{shard:06d}", grams, [n, raw] if k == 1 else [n])
+            own = [n, raw] if k == 1 else [n]
+        every = np.union1d(grams, keys)
+        spread = [(grams, c) for c in own] + ([(keys, c) for c in following] if k < order else [])
+        write_arrays(f"{folder}/grams-{k}-{shard:06d}", every, [placed(every, at, c) for at, c in spread])
+        if blocks[GRAMS]:
             classes = [(n == 1).astype(np.uint64), (n == 2).astype(np.uint64), (n >= 3).astype(np.uint64)]
             stats = [k, len(grams), int(n.sum()), int(raw.sum()), *[int((n == c).sum()) for c in (1, 2, 3, 4)]]
             out.append({"shard": 0, "kind": None, "payload": None, "stats": np.array(stats, np.int64).tobytes()})
             if k > 1:
                 heads, sums, _ = add_up(join_words(words[:-1]), [n, *classes], [])
-                out += deal(heads, CONTEXTS, heads, sums, shards)
+                out += deal(heads, CONTEXTS, [], sums, shards)
                 tails, sums, tail_words = add_up(join_words(words[1:]), [np.ones(len(grams), np.uint64), raw], words[1:])
-                out += deal(tails, GRAMS, tail_words[0], [*tail_words[1:], *sums], shards)
+                out += deal(tails, GRAMS, tail_words, sums, shards)
         return pa.Table.from_pylist(out, BLOCK_SCHEMA)
 
     return rows.groupBy("shard").applyInArrow(run, BLOCKS)
 
 
+def placed(every: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The values at their keys' places among all sorted keys, 0 elsewhere."""
+    out = np.zeros(len(every), np.uint64)
+    out[np.searchsorted(every, keys)] = values
+    return out
+
+
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if ":" in uri else (fs.LocalFileSystem(), uri)
 
@@ -301,7 +333,7 @@ def train(docs: DataFrame, order: int = 3, text: str = "text", shards: int | Non
     store.create_dir(base, recursive=True)
     rows = counted(docs.select(F.col(text).alias("text")), order, shards)
     for k in range(order, 0, -1):
-        rows = level(rows, k, folder, shards)
+        rows = level(rows, k, order, folder, shards)
     # the last order's contexts are the empty one, known from the statistics
     lines = freeze(rows.where("stats is not null").select("stats"), "kneser-ney-stats").collect()  # a row per file
     stats = np.array([np.frombuffer(r["stats"], np.int64) for r in lines], np.int64).reshape(-1, 8)
@@ -313,8 +345,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.grams = {k: model.table("grams", k, 2 if k == 1 else 1) for k in range(1, model.order + 1)}
-        self.contexts = {k: model.table("contexts", k, 4) for k in range(2, model.order + 1)}
+        self.grams = {k: model.table("grams", k, (2 if k == 1 else 1) + (4 if k < model.order else 0)) for k in range(1, model.order + 1)}
         self.hashes = WordHashes()
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -331,7 +362,7 @@ class Scorer:
                 raw = got[1]
                 total, one, two, more = (np.full(len(places), x) for x in m.empty_context)
             else:
-                total, one, two, more = self.contexts[k].look_up(ngram_hashes(flat, k - 1)[places - k + 1])
+                total, one, two, more = self.grams[k - 1].look_up(ngram_hashes(flat, k - 1)[places - k + 1])[-4:]
             d1, d2, d3 = m.discounts[k]
             taken = np.where(n >= 3, d3, np.where(n == 2, d2, np.where(n == 1, d1, 0.0)))
             seen = total > 0
