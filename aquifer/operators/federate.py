@@ -5,7 +5,7 @@ driver and broadcast each step). One training step is ONE pass over the data for
 `mapInPandas` computes per-partition gradient sums of the masked, class-weighted logistic chain
 keyed by (node, link); Spark sums those partials (map-side combine + shuffle of the small keys);
 the driver applies clipping, the Gaussian-prior pull and the update to the small table.
-Averaging between nodes reuses the relational operators of `network` on the long parameter table.
+Rounds with averaging between nodes keep the parameters as a table instead (`rounds`).
 """
 
 from __future__ import annotations
@@ -183,17 +183,6 @@ def train_steps(df: DataFrame, model: ChainModel, steps: int = 10, lr: float = 0
     return model
 
 
-def average_models(model: ChainModel, groups: dict[int, list[int]], volumes: dict[int, float]) -> ChainModel:
-    """Volume-weighted parameter average inside each group of nodes (N4 semantics on the small table)."""
-    for members in groups.values():
-        vol = np.array([volumes.get(n, 1.0) for n in members])
-        for k in range(len(model.spec.targets)):
-            avg = sum(model.weights[n][k] * v for n, v in zip(members, vol)) / vol.sum()
-            for n in members:
-                model.weights[n][k] = avg.copy()
-    return model
-
-
 def score_chain(df: DataFrame, model: ChainModel, keep: list[str], use_known: bool = True) -> DataFrame:
     """Chain predictions as JVM expressions: per node weights are looked up from a broadcast literal map;
     the context of link k is the known label (when `use_known`) else the link's probability."""
