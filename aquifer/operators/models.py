@@ -99,6 +99,23 @@ def chain_gbt(train: DataFrame, test: DataFrame, features: list[str], chain: lis
     return spark.createDataFrame(out, "analyte string, n_features int, auroc double, auprc double")
 
 
+def compare_modes(train: DataFrame, test: DataFrame, features: list[str], global_chain: list[str], local_chain: list[str],
+                  classes: DataFrame, local_features: list[str] | None = None, max_iter: int = 100) -> DataFrame:
+    """M1/M4: a row for each analyte of `classes` (analyte, class, ord): test AUROC and AUPRC of its independent model and of its link
+    in the global or the local chain, the best mode by AUROC (ties: in that order) and the rows the independent model learnt from.
+    An analyte without a model, or without both classes in the test rows, has nulls."""
+    alone, _ = independent_gbt(train, test, features, [*global_chain, *local_chain], max_iter)
+    chains = {"global_chain": chain_gbt(train, test, features, global_chain, max_iter),
+              "local_chain": chain_gbt(train, test, local_features or features, local_chain, max_iter)}
+    out = classes.select("analyte", "class", "ord").join(alone.select(
+        "analyte", F.col("auroc").alias("independent_auroc"), F.col("auprc").alias("independent_auprc"), "n_train"), "analyte", "left")
+    for mode, m in chains.items():
+        out = out.join(m.select("analyte", F.col("auroc").alias(f"{mode}_auroc"), F.col("auprc").alias(f"{mode}_auprc")), "analyte", "left")
+    modes = ["independent", *chains]
+    top = F.greatest(*[F.col(f"{m}_auroc") for m in modes])  # nulls are passed over
+    return out.withColumn("best_mode", F.coalesce(*[F.when(F.col(f"{m}_auroc") == top, F.lit(m)) for m in modes]))
+
+
 def descriptor_rows(long: DataFrame, descriptors: DataFrame, analyte: str = "analyte") -> DataFrame:
     """M8 input: long (sample x analyte) rows joined to descriptors; missing analyte -> zero row."""
     j = long.join(F.broadcast(descriptors), analyte, "left")

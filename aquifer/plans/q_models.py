@@ -282,6 +282,15 @@ def m_personalize(spark, d):
     return rounds.personalize(tr, chain, spec, ["y_purchase", "y_signup"], _volume_tiers(tr))
 
 
+@query("m_modes")
+def m_modes(spark, d):
+    """M1/M4: independent models, global chain (click, error) and local chain (purchase, signup) side by side, 10 trees each
+    (rows-only, tested against the single operators)."""
+    tr, te = _split(spark, d)
+    classes = spark.createDataFrame([("y_click", "A", 0), ("y_error", "A", 1), ("y_purchase", "B", 2), ("y_signup", "B", 3)], "analyte string, class string, ord int")
+    return models.compare_modes(tr, te, FEATS, TARGETS[:2], TARGETS[2:], classes, max_iter=10)
+
+
 @query("m_tree_grid")
 def m_tree_grid(spark, d):
     """Configuration grid -- the boosted-tree baseline repeated per tree count (rows-only)."""
