@@ -335,7 +335,7 @@ def c_meta_map(spark, d):
     meta = log.where(F.col("round") == last).select("node_id", F.col("cluster_label").alias("meta"))
     u = spark.read.parquet(f"{d}/events.parquet").select("user_id").distinct().withColumn(
         "node_id", (F.col("user_id") % 20).cast("int"))
-    return u.join(F.broadcast(meta), "node_id", "left").select("user_id", "node_id", F.col("meta").cast("string"))
+    return u.join(meta, "node_id", "left").select("user_id", "node_id", F.col("meta").cast("string"))
 
 
 @query("j_node_rows", S.with_(S.ENV, S.VOLUMES, S.TIERS) + """
@@ -354,7 +354,7 @@ def j_local_chain(spark, d):
     """Observed analytes that are not in the global chain (left-anti join)."""
     g = spark.createDataFrame([("click",), ("view",)], "analyte string")
     obs = fx.obs_long(spark, d).select("analyte").distinct()
-    return obs.join(F.broadcast(g), "analyte", "left_anti")
+    return obs.join(g, "analyte", "left_anti")
 
 
 @query("x_analytes", S.with_(S.OBS, S.THR, S.LABELLED) + """
