@@ -3,7 +3,9 @@
 A task holds one block of targets at a time, at most `bound` numbers. Targets beyond that are met in passes over the rows:
 each pass is a map that carries the best so far along, and is written before the next, so neither memory nor a shuffle
 grows with rows x targets. Distances are added up component by component, in the same order for both sides, so they do
-not depend on the batch and d(a, b) = d(b, a) to the last bit. Ties go to the smaller id.
+not depend on the batch and d(a, b) = d(b, a) to the last bit. Ties go to the smaller id. Most targets are ruled out
+before: by boxes around rows that lie close together, where dimensions are few, and by a matrix product with a bound of its
+rounding.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ from aquifer.session import write_down
 
 BOUND = 2_000_000  # numbers of a target block that a task holds
 _CELLS = 1 << 20  # distances that are computed at once
+_GROUP = 128  # rows that share a box
+_TRIED = 32  # targets that bound the distance of a box's rows
+_ROWS, _BYTES = 1 << 16, 1 << 26  # of a gathered batch
 MEASURES = ("euclidean", "cosine", "dot")
 FLOOR = 1e-8  # vectors with a smaller norm have cosine 0
 
@@ -42,26 +47,141 @@ def _costs(x: np.ndarray, targets: np.ndarray, measure: str) -> np.ndarray:
     return out
 
 
+def _rough(x: np.ndarray, targets: np.ndarray, measure: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, slack): a @ b.T in single precision is each cost less a number of the row's own; a target whose entry lies over the
+    row's least by more than `slack` cannot be its best. A slack that is not finite says nothing about its row."""
+    top = np.sqrt((targets * targets).sum(1)).max()
+    size = np.sqrt((x * x).sum(1))
+    reach = size + top
+    if measure == "euclidean":
+        middle = targets.mean(0)
+        x, targets = x - middle, targets - middle
+        squares = (targets * targets).sum(1)
+        spread = np.square(np.sqrt((x * x).sum(1)) + np.sqrt(squares.max()))
+        a, b = np.column_stack([x, np.ones(len(x))]), np.column_stack([-2 * targets, squares])
+    else:
+        spread = size * top
+        a, b = x, -targets
+    single, double = np.finfo(np.float32).eps, np.finfo(float).eps
+    slack = 16 * (x.shape[1] + 4) * (single * spread + double * reach * np.sqrt(spread) + np.square(double * reach)) + x.shape[1] * 1e-35
+    return a.astype(np.float32), b.astype(np.float32), np.where(spread + top * top < 1e30, slack, np.inf)
+
+
+def _pair_costs(x: np.ndarray, targets: np.ndarray, measure: str) -> np.ndarray:
+    """The costs of row k and target k, added up as in `_costs`."""
+    out = np.zeros(len(x))
+    for j in range(x.shape[1]):
+        if measure == "euclidean":
+            step = x[:, j] - targets[:, j]
+            out += step * step
+        else:
+            out -= x[:, j] * targets[:, j]
+    return out
+
+
+def _plain(x: np.ndarray, ids: np.ndarray, targets: np.ndarray, measure: str, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the best targets and their costs, from all costs."""
+    c = _costs(x, targets, measure)
+    if own is not None:
+        place = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+        mine = np.flatnonzero(ids[place] == own)
+        c[mine, place[mine]] = np.inf
+    k = c.argmin(1)
+    return k, c[np.arange(len(k)), k]
+
+
+def _screened(x: np.ndarray, ids: np.ndarray, targets: np.ndarray, measure: str, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The same from a matrix product in single precision: only targets that its rounding leaves open are compared."""
+    with np.errstate(all="ignore"):
+        a, b, slack = _rough(x, targets, measure)
+        rough = a @ b.T
+        if own is not None:
+            place = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+            mine = np.flatnonzero(ids[place] == own)
+            rough[mine, place[mine]] = np.inf
+        limit = rough.min(1) + slack.astype(np.float32)
+    sure = np.isfinite(limit)
+    if not sure.all():
+        k, cost = np.zeros(len(x), np.int64), np.full(len(x), np.inf)
+        for rows, way in ((sure, _screened), (~sure, _plain)):
+            if rows.any():
+                k[rows], cost[rows] = way(x[rows], ids, targets, measure, None if own is None else own[rows])
+        return k, cost
+    row, k = np.divmod(np.flatnonzero((rough <= limit[:, None]).ravel()), len(ids))
+    cost = _pair_costs(x[row], targets[k], measure)
+    if len(row) > len(x):
+        order = np.lexsort((k, cost, row))
+        first = order[np.flatnonzero(np.diff(row, prepend=-1))]  # `row` ascends, so each row's pairs keep their place in `order`
+        return k[first], cost[first]
+    return k, cost
+
+
+def _close_groups(x: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Places of rows that lie close together, at most `most` at a time: halves along the widest side."""
+    todo = [np.arange(len(x))]
+    while todo:
+        at = todo.pop()
+        if len(at) <= most:
+            yield at
+            continue
+        part = x[at]
+        half = len(at) // 2
+        order = np.argpartition(part[:, np.ptp(part, 0).argmax()], half)
+        todo += [at[order[:half]], at[order[half:]]]
+
+
+def _within(part: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    """Places of the targets that can be nearest to one of these rows: no farther from the rows' box than the row that is worst off
+    with a few targets near the middle."""
+    low, high = part.min(0), part.max(0)
+    middle = low + (high - low) / 2
+    least, centre = np.zeros(len(targets)), np.zeros(len(targets))
+    for j in range(part.shape[1]):
+        t = targets[:, j]
+        gap = np.maximum(np.maximum(low[j] - t, t - high[j]), 0.0)
+        least += gap * gap
+        centre += np.square(t - middle[j])
+    some = np.argpartition(centre, _TRIED)[:_TRIED]
+    worst = _costs(part, targets[some], "euclidean").min(1).max()
+    return np.flatnonzero(~(least > worst * (1 + 1e-9)))
+
+
+def pruned(measure: str, n: int, dim: int) -> bool:
+    """Whether boxes around rows can rule targets out: many targets, few dimensions."""
+    return measure == "euclidean" and n >= 1024 and dim <= 16
+
+
 def best_of(x: np.ndarray, ids: np.ndarray, targets: np.ndarray, measure: str, own: np.ndarray | None = None
             ) -> tuple[np.ndarray, np.ndarray]:
     """Each row's best target (ids ascending; `own`: an id that a row does not match) and its cost."""
     best, cost = np.full(len(x), -1, np.int64), np.full(len(x), np.inf)
-    if not len(ids):
+    if not len(ids) or not len(x):
         return best, cost
-    step = max(1, _CELLS // len(ids))
-    for at in range(0, len(x), step):
-        part = slice(at, at + step)
-        c = _costs(x[part], targets, measure)
-        if own is not None:
-            place = np.minimum(np.searchsorted(ids, own[part]), len(ids) - 1)
-            mine = np.flatnonzero(ids[place] == own[part])
-            c[mine, place[mine]] = np.inf
-        k = c.argmin(1)
-        cost[part] = c[np.arange(len(k)), k]
-        best[part] = np.where(np.isfinite(cost[part]), ids[k], -1)
+    way = _screened if measure != "cosine" and np.isfinite(targets).all() else _plain
+    if way is _screened and own is None and pruned(measure, *targets.shape) and np.isfinite(x).all():
+        groups = ((at, _within(x[at], targets)) for at in _close_groups(x, _GROUP))
+    else:
+        step = max(1, _CELLS // len(ids))
+        groups = ((np.arange(at, min(at + step, len(x))), slice(None)) for at in range(0, len(x), step))
+    for part, open_ in groups:
+        k, c = way(x[part], ids[open_], targets[open_], measure, None if own is None else own[part])
+        cost[part] = c
+        best[part] = np.where(np.isfinite(c), ids[open_][k], -1)
     return best, cost
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in larger batches, of about `_ROWS` rows or `_BYTES`, so that rows that lie close together are many."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= _ROWS or sum(b.nbytes for b in held) >= _BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _dense(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of rows with a whole vector of that length, and their vectors."""
     lists = column.to_pylist() if column.null_count or column.values.null_count else None
@@ -104,7 +224,7 @@ def match(rows: DataFrame, vec: str, targets: DataFrame, measure: str = "euclide
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, m = sent.value
-            for batch in batches:
+            for batch in _gathered(batches) if pruned(measure, *m.shape) else batches:
                 there, x = _dense(batch.column(vec), dim)
                 best = batch.column("best").to_numpy(zero_copy_only=False).astype(float)
                 before = np.where(np.isnan(best), -1, best).astype(np.int64)
