@@ -20,7 +20,7 @@ from aquifer.operators.cluster import apply_pca, fit_pca, som_grid, weight_featu
 from aquifer.operators.nearest import BOUND, match
 from aquifer.operators.profile import column_variance
 from aquifer.operators.stats import sorted_ordinal
-from aquifer.session import write_down
+from aquifer.session import spread, write_down
 
 
 # ----------------------------------------------------------------------------- map
@@ -61,28 +61,38 @@ def start_units(rows: DataFrame, vec: str, n_units: int, dim: int, seed: int) ->
 
 
 def fit_map(rows: DataFrame, vec: str, grid: int | None = None, epochs: int = 10, sigma: float = 0.3, seed: int = 42,
-            bound: int = BOUND, start: DataFrame | None = None) -> tuple[DataFrame, list[float]]:
+            bound: int = BOUND, start: DataFrame | None = None, dealt: bool = False) -> tuple[DataFrame, list[float]]:
     """The map's units (id, v) on a grid x grid lattice (default: floor(sqrt(5 sqrt(rows)))) and the mean distance of the
-    rows to their unit before each epoch. Batch training: every epoch moves all units at once."""
+    rows to their unit before each epoch. Batch training: every epoch moves all units at once. `dealt`: the rows are a stored table
+    in parts of equal size (`session.spread`); others are dealt first."""
     there = rows.where(F.col(vec).isNotNull()).select(vec)
+    there = there if dealt else spread(there)
     size = there.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
     if not size["n"]:
         return rows.sparkSession.createDataFrame([], "id long, v array<double>"), []
     grid, dim = grid or som_grid(size["n"]), size["d"]
     code = write_down(start if start is not None else start_units(there, vec, grid * grid, dim, seed))
-    errors = []
-    for _ in range(epochs):
+    seen = []
+    for epoch in range(epochs):
         won = match(there, vec, code, "euclidean", bound=bound, size=(grid * grid, dim)).where("best IS NOT NULL")
         sums = write_down(won.groupBy(F.col("best").alias("unit")).agg(
             F.count(F.lit(1)).cast("double").alias("cnt"), F.sum(F.sqrt("score")).alias("err"), _added(vec, dim).alias("s")))
-        errors.append(sums.agg(F.sum("err") / F.sum("cnt")).first()[0])
-        spread = smooth(sums.drop("err"), grid, dim, sigma).where(F.col("cnt") > 1e-12)
-        moved = spread.select(F.col("unit").alias("id"), F.transform("s", lambda x: x / F.col("cnt")).alias("_v"))
+        seen.append(sums.select(F.lit(epoch).alias("epoch"), "err", "cnt"))
+        spread_out = smooth(sums.drop("err"), grid, dim, sigma).where(F.col("cnt") > 1e-12)
+        moved = spread_out.select(F.col("unit").alias("id"), F.transform("s", lambda x: x / F.col("cnt")).alias("_v"))
         code = write_down(code.join(moved, "id", "left").select("id", F.coalesce("_v", "v").alias("v")))
+    if not seen:
+        return code, []
+    mean = functools.reduce(DataFrame.unionByName, seen).groupBy("epoch").agg((F.sum("err") / F.sum("cnt")).alias("e"))
+    by_epoch = {r["epoch"]: r["e"] for r in mean.collect()}  # a row for each epoch
+    errors = [by_epoch.get(k) for k in range(epochs)]
     return code, errors
 
 
 # -------------------------------------------------------------------------- merging
+_PAIRS = 100_000_000  # products of two groups that a task of a merging round computes
+
+
 def _unit(v: Column) -> Column:
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
@@ -94,33 +104,33 @@ def merges(items: DataFrame, threshold: float | None = None, bound: int = BOUND)
     groups as always merging the closest pair; they end when no pair is below `threshold` (None: one group is left).
     `items`: (item long, v array<double>); a zero vector has cosine 0 with all."""
     state = write_down(items.select(F.col("item").alias("grp"), F.lit(1).cast("long").alias("n"), _unit(F.col("v")).alias("s"),
-                                     F.lit(0.0).alias("h")))
+                                    F.lit(0.0).alias("h")))
     size = state.agg(F.count(F.lit(1)), F.max(F.size("s"))).first()
     n, dim = size[0], size[1] or 0
     rounds: list[DataFrame] = []
     while True:
-        mean = state.select("grp", "n", "h", F.transform("s", lambda x: x / F.col("n")).alias("mean"))
+        mean = state.withColumn("mean", F.transform("s", lambda x: x / F.col("n")))
         near = match(mean, "mean", mean.select(F.col("grp").alias("id"), F.col("mean").alias("v")), "dot", own="grp", bound=bound,
-                     size=(n, dim))
-        near = write_down(near.where("best IS NOT NULL").select("grp", F.col("best").alias("other"), (1 - F.col("score")).alias("dist"), "h"))
-        back = near.select(F.col("grp").alias("b"), F.col("other").alias("_a"), F.col("h").alias("_h"))
-        pairs = near.where(F.col("grp") < F.col("other")).join(
-            back, (F.col("other") == F.col("b")) & (F.col("grp") == F.col("_a")))
-        if threshold is not None:
-            pairs = pairs.where(F.col("dist") < threshold)
-        pairs = write_down(pairs.select(F.lit(len(rounds)).alias("round"), F.col("grp").alias("a"), "b", "dist",
-                                        F.greatest("dist", "h", "_h").alias("height")))
+                     size=(n, dim)).withColumn("dist", 1 - F.col("score"))
+        # two groups that are each other's nearest get one key, every other group a key of its own or one that it has alone
+        to = F.col("best") if threshold is None else F.when(F.col("dist") < threshold, F.col("best"))
+        to = F.coalesce(to, F.col("grp"))
+        keyed = near.select(F.least("grp", to).alias("_a"), F.greatest("grp", to).alias("_b"), F.struct("grp", "n", "s", "h", "dist").alias("_g"))
+        met = keyed.repartition(1 + n * n // _PAIRS, "_a", "_b").groupBy("_a", "_b").agg(F.sort_array(F.collect_list("_g")).alias("_m"))
+        a, b = F.get("_m", F.lit(0)), F.get("_m", F.lit(1))  # one group or two
+        after = write_down(met.select(
+            a["grp"].alias("grp"), (a["n"] + F.coalesce(b["n"], F.lit(0))).alias("n"),
+            F.when(b.isNull(), a["s"]).otherwise(F.zip_with(a["s"], b["s"], lambda x, y: x + y)).alias("s"),
+            F.when(b.isNull(), a["h"]).otherwise(F.greatest(a["dist"], a["h"], b["h"])).alias("h"),
+            b["grp"].alias("b"), F.when(b.isNotNull(), a["dist"]).alias("dist")))
+        pairs = after.where("b IS NOT NULL").select(F.lit(len(rounds)).alias("round"), F.col("grp").alias("a"), "b", "dist",
+                                                    F.col("h").alias("height"))
         merged = pairs.count()
         if not merged:
             return functools.reduce(DataFrame.unionByName, rounds, pairs)
         rounds.append(pairs)
         n -= merged
-        gone = state.select(F.col("grp").alias("b"), F.col("n").alias("_n"), F.col("s").alias("_s"))
-        joined = pairs.join(gone, "b").select(F.col("a").alias("grp"), "_n", "_s", "height")
-        state = write_down(state.join(pairs.select(F.col("b").alias("grp")), "grp", "left_anti").join(joined, "grp", "left").select(
-            "grp", (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n"),
-            F.when(F.col("_s").isNull(), F.col("s")).otherwise(F.zip_with("s", "_s", lambda x, y: x + y)).alias("s"),
-            F.coalesce("height", "h").alias("h")))
+        state = after.select("grp", "n", "s", "h")
 
 
 def follow(items: DataFrame, merged: DataFrame) -> DataFrame:
@@ -256,6 +266,8 @@ def fit_sites(train: DataFrame, columns: list[str], weights: dict[str, float] |
     their weight and projected on up to eight principal components; a map with a unit for about every sqrt(rows)/5 rows is
     fitted, its units are merged while their mean cosine distance is below `threshold`, clusters get size tiers and
     centroids in the reduced space. A cluster is named by its smallest unit."""
+    columns = [c for c in columns if c in train.columns]
+    train = spread(train.select(*dict.fromkeys(columns))) if columns else train  # read about ten times below
     varying, reason = usable_columns(train, columns)
     if reason:
         return SiteClusters(reason=reason)
@@ -263,7 +275,7 @@ def fit_sites(train: DataFrame, columns: list[str], weights: dict[str, float] |
     filled = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in varying])
     fitted.components, fitted.mean, _ = fit_pca(weight_features(filled, varying, fitted.weights), varying)
     reduced = write_down(fitted.reduce(train, []))
-    code, _ = fit_map(reduced, "vec", grid, epochs, seed=seed, bound=bound)
+    code, _ = fit_map(reduced, "vec", grid, epochs, seed=seed, bound=bound, dealt=True)
     groups = merge_groups(code.select(F.col("id").alias("item"), "v"), threshold, bound=bound)
     fitted.units = write_down(code.join(groups.select(F.col("item").alias("id"), F.col("cluster").alias("cluster_id")), "id"))
     won = match(reduced, "vec", code, "euclidean", bound=bound).select(F.col("best").alias("id"), "vec")

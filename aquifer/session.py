@@ -91,3 +91,10 @@ def write_down(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, name: str = "rows", rows_a_task: int = 500_000) -> DataFrame:
+    """Rows that are read many times, written in parts of equal size: at least three a core, whatever files they came from."""
+    held = write_down(df, name)
+    parts = max(3 * df.sparkSession.sparkContext.defaultParallelism, -(-held.count() // rows_a_task))
+    return write_down(held.repartition(parts), name)

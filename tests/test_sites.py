@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from linkage import naive_agglomerate
 
-from aquifer.operators import sites
+from aquifer.operators import nearest, sites
 from aquifer.operators.nearest import match
 
 ITEMS = "item long, v array<double>"
@@ -168,3 +168,40 @@ def test_assign_ties_and_no_centroids(spark):
     assert out[0].assigned == 3 and out[0].low_confidence is False  # a tie: the smaller id
     assert out[1].sim == 0.0 and out[1].low_confidence is True
     assert all(r.assigned == -1 for r in sites.nearest_centroid(rows, "v", cents.where("id < 0")).collect())
+
+
+@pytest.mark.parametrize("measure,dim", [("euclidean", 5), ("euclidean", 40), ("dot", 5)])
+def test_most_targets_are_ruled_out_and_the_best_stay_the_same(monkeypatch, measure, dim):
+    """Ties, equal targets, far offsets and values of many sizes: bit for bit what all distances give, from few of them."""
+    rng = np.random.default_rng(8)
+    x, targets = (np.round(rng.normal(size=(n, dim)), 2) for n in (4000, 1500))
+    targets[700:720], x[:20] = targets[3], targets[3]
+    targets[900:905] *= 1e-9
+    x[30], x[31] = 1e200, 1e-200
+    ids = np.arange(1500) * 2
+    for shift in (0.0, 1e8 if measure == "euclidean" else 1.0):
+        own = ids[np.arange(4000) % 1500] if measure == "dot" else None
+        want = nearest._plain(x + shift, ids, targets + shift, measure, own)
+        counted, costs, pairs = [], nearest._costs, nearest._pair_costs
+        monkeypatch.setattr(nearest, "_costs", lambda a, b, m: counted.append(len(a) * len(b)) or costs(a, b, m))
+        monkeypatch.setattr(nearest, "_pair_costs", lambda a, b, m: counted.append(len(a)) or pairs(a, b, m))
+        best, cost = nearest.best_of(x + shift, ids, targets + shift, measure, own)
+        monkeypatch.undo()
+        assert np.array_equal(best, np.where(np.isfinite(want[1]), ids[want[0]], -1)) and np.array_equal(cost, want[1])
+        assert sum(counted) < 4000 * 1500 / 10
+
+
+def test_a_round_of_merges_writes_one_table(spark, monkeypatch):
+    x = np.random.default_rng(0).normal(size=(60, 3))
+    written, write = [], sites.write_down
+    monkeypatch.setattr(sites, "write_down", lambda df, *a: written.append(1) or write(df, *a))
+    rounds = sites.merges(frame(spark, enumerate(x), ITEMS), 0.6).agg({"round": "max"}).first()[0] + 1
+    assert rounds > 1 and len(written) == 1 + rounds + 1  # the start, the rounds, the one that finds nothing
+
+
+def test_rows_read_many_times_are_dealt_evenly(spark, monkeypatch):
+    seen, found = [], sites.match
+    monkeypatch.setattr(sites, "match", lambda rows, *a, **k: seen.append(rows.rdd.getNumPartitions()) or found(rows, *a, **k))
+    rows = spark.createDataFrame([([float(i), 1.0],) for i in range(200)], "v array<double>").coalesce(1)
+    sites.fit_map(rows, "v", grid=2, epochs=1)
+    assert min(seen) >= min(2, spark.sparkContext.defaultParallelism)
