@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from aquifer import catalog
@@ -126,6 +126,7 @@ def fit_partition(train: DataFrame, keys: list[str], global_feats: list[str] | N
     roles = column_roles(columns, types, global_feats)
     num = [c for c in columns if roles[c][0] in BLOCKS and roles[c][1] == "num"]
     cat = [c for c in columns if roles[c][0] in BLOCKS and types[c] == "string"]
+    train = write_down(train.select(*num, *cat), "train") if num or cat else train  # read four times, its joins run once
     learned = fit_scalers(train, num) if num else ScalerPlan()
     rows = []
     for role, block in BLOCKS.items():
@@ -146,15 +147,15 @@ def fit_partition(train: DataFrame, keys: list[str], global_feats: list[str] | N
 def long_blocks(parts: DataFrame, fitted: Partition) -> DataFrame:
     """(keys, block, feature, value): each entry of each block as a row; targets and admin numbers as they are, names as text
     are not part of it."""
-    x = None
-    for name in ("X_glob", "X_loc"):
-        one = parts.select(*fitted.keys, F.lit(name).alias("block"), F.explode(F.arrays_zip(f"{name}.indices", f"{name}.values")).alias("_e")) \
-            .select(*fitted.keys, "block", F.col("_e.indices").alias("pos"), F.col("_e.values").alias("value"))
-        x = one if x is None else x.unionByName(one)
-    x = x.join(fitted.features(), ["block", "pos"]).select(*fitted.keys, "block", "feature", "value")
-    for name in ("Y_glob", "Y_loc", "geo"):
-        cols = [r["column"] for r in fitted.plan.where(F.col("block") == name).collect()]
-        if cols:
-            wide = parts.select(*fitted.keys, *[F.col(name)[c].cast("double").alias(c) for c in cols])
-            x = x.unionByName(wide.unpivot(fitted.keys, cols, "feature", "value").withColumn("block", F.lit(name)))
-    return x
+    def sparse(name: str) -> Column:
+        return F.transform(F.arrays_zip(f"{name}.indices", f"{name}.values"), lambda e: F.struct(
+            F.lit(name).alias("block"), e["indices"].alias("pos"), e["values"].alias("value")))
+
+    cells, names = [sparse("X_glob"), sparse("X_loc")], []
+    for r in fitted.plan.where("block NOT IN ('X_glob', 'X_loc')").collect():  # a row a column
+        names.append((r["block"], r["pos"], r["column"]))
+        cells.append(F.array(F.struct(F.lit(r["block"]).alias("block"), F.lit(r["pos"]).alias("pos"),
+                                      F.col(r["block"])[r["column"]].cast("double").alias("value"))))
+    named = fitted.features().unionByName(fitted.plan.sparkSession.createDataFrame(names, "block string, pos int, feature string"))
+    entries = parts.select(*fitted.keys, F.explode(F.concat(*cells)).alias("_e")).select(*fitted.keys, "_e.*")  # one pass over the rows
+    return entries.join(named, ["block", "pos"]).select(*fitted.keys, "block", "feature", "value")

@@ -53,3 +53,13 @@ def test_quantile_scaled_columns_and_no_categories(spark):
     r = fitted.apply(df).first()
     assert r.X_loc.size == 0 and r.Y_glob is None and r.geo is None
     assert long_blocks(fitted.apply(df), fitted).count() == 400
+
+
+def test_blocks_read_the_rows_once(spark, tmp_path):
+    spark.createDataFrame([(i, float(i % 7), float(i), float(i % 3), f"q{i % 4}", 2.0 * i) for i in range(40)],
+                          "k long, TDS double, PFOA double, PFBS double, season string, node_tier double").write.parquet(f"{tmp_path}/rows")
+    df = spark.read.parquet(f"{tmp_path}/rows")
+    fitted = fit_partition(df, ["k"])
+    long = long_blocks(fitted.apply(df), fitted)
+    assert long.columns == ["k", "block", "feature", "value"] and long.count() == 5 * 40
+    assert long._jdf.queryExecution().optimizedPlan().toString().count("Relation [k#") == 1
