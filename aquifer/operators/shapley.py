@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+UNROLLED = 64  # sets up to which each has its own expression
+
 
 def feature_orders(width: int, orders: int, seed: int) -> list[list[int]]:
     """All orders of the features if there are at most `orders` (then the values are exact), else that many seeded ones, each
@@ -28,6 +30,17 @@ def feature_orders(width: int, orders: int, seed: int) -> list[list[int]]:
     return [o for p in half for o in (p, p[::-1])][:orders]
 
 
+def changed_sets(ways: list[list[int]], width: int) -> dict[frozenset[int], list[int]]:
+    """The sets of features that have changed at some step of the orders, and for each feature how often the prediction there
+    is the one after its step, less how often it is the one before."""
+    sets: dict[frozenset[int], list[int]] = {}
+    for order in ways:
+        for k, i in enumerate(order):
+            for m, sign in ((frozenset(order[:k]), -1), (frozenset(order[:k + 1]), 1)):
+                sets.setdefault(m, [0] * width)[i] += sign
+    return sets
+
+
 def shapley_values(df: DataFrame, features: list[str], predict: Callable[[list[Column]], Column], background: DataFrame,
                    orders: int = 24, seed: int = 0, rows: int = 50) -> DataFrame:
     """Every row with `phi_<feature>` and `base` (the background's mean prediction); the phis add up to predict(x) - base.
@@ -41,31 +54,29 @@ def shapley_values(df: DataFrame, features: list[str], predict: Callable[[list[C
         raise ValueError("attributions need background rows and features")
     width = len(features)
     ways = feature_orders(width, orders, seed)
-    ranks = [[o.index(i) for i in range(width)] for o in ways]  # the step at which each feature changes
-    pairs = F.from_json(F.lit(json.dumps({"b": [list(r) for r in taken], "r": ranks})), "b array<array<double>>, r array<array<int>>")
+    sets = changed_sets(ways, width)
+    given = F.from_json(F.lit(json.dumps({"b": [list(r) for r in taken], "s": [[i in m for i in range(width)] for m in sets]})),
+                        "b array<array<double>>, s array<array<boolean>>")
     x = F.array(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features])
 
-    def at(values: Column) -> Column:
-        return predict([values[i] for i in range(width)]).cast("double")
+    def total(changed: Callable[[int, Column], Column]) -> Column:
+        """The predictions' sum over the background, each feature the row's or the background row's."""
+        return F.aggregate(F.col("_p.b"), F.lit(0.0), lambda acc, b: acc + predict([changed(i, b[i]) for i in range(width)]).cast("double"))
 
-    def path(b: Column, rank: Column) -> Column:
-        """The predictions after 0, 1, ... all features have changed."""
-        def mixed(step):
-            return F.array(*[F.when(rank[i] < step, F.col("_x")[i]).otherwise(b[i]) for i in range(width)])
-        return F.transform(F.sequence(F.lit(0), F.lit(width)), lambda step: at(mixed(step)))
+    def over(m: frozenset[int]) -> Column:
+        return total(lambda i, b: F.col("_x")[i] if i in m else b)
 
-    def shares(b: Column, rank: Column) -> Column:
-        def of(values):
-            return F.transform(rank, lambda r: F.element_at(values, r + 2) - F.element_at(values, r + 1))
-        return F.element_at(F.transform(F.array(path(b, rank)), of), 1)
+    if len(sets) <= UNROLLED:
+        totals = F.array(*[over(m) for m in sets])
+    else:
+        totals = F.transform("_p.s", lambda on: total(lambda i, b: F.when(on[i], F.col("_x")[i]).otherwise(b)))
 
-    def added(acc: Column, one: Column) -> Column:
-        return F.zip_with(acc, one, lambda a, c: a + c)
+    def share(i: int) -> Column:
+        weights = F.from_json(F.lit(json.dumps([float(m[i]) for m in sets.values()])), "array<double>")
+        return F.aggregate(F.zip_with("_v", weights, lambda v, w: v * w), F.lit(0.0), lambda acc, v: acc + v)
 
-    zero = F.array(*[F.lit(0.0)] * width)
-    total = F.aggregate(F.col("_p.b"), zero, lambda acc, b: F.aggregate(
-        F.col("_p.r"), acc, lambda inner, rank: added(inner, shares(b, rank))))
-    base = F.aggregate(F.col("_p.b"), F.lit(0.0), lambda acc, b: acc + at(b)) / F.lit(float(len(taken)))
     n = F.lit(float(len(taken) * len(ways)))
-    t = df.withColumn("_x", x).withColumn("_p", pairs).withColumn("_phi", total).withColumn("base", base)
-    return t.select(*[F.col(c) for c in df.columns], *[(F.col("_phi")[i] / n).alias(f"phi_{c}") for i, c in enumerate(features)], "base")
+    t = df.withColumn("_x", x).withColumn("_p", given).withColumn("_v", totals)
+    none = list(sets).index(frozenset())
+    return t.select(*[F.col(c) for c in df.columns], *[(share(i) / n).alias(f"phi_{c}") for i, c in enumerate(features)],
+                    (F.col("_v")[none] / F.lit(float(len(taken)))).alias("base"))

@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from aquifer.operators.shapley import feature_orders, shapley_values
+from aquifer.operators.shapley import changed_sets, feature_orders, shapley_values
 
 COLS = ["a", "b", "c", "d"]
 
@@ -79,3 +79,16 @@ def test_orders_and_nothing_to_compare_with(spark):
     with pytest.raises(ValueError):
         shapley_values(df, COLS, _curved, df.limit(0))
     assert shapley_values(df.limit(0), COLS, _curved, df).count() == 0
+
+
+def test_a_set_of_features_is_predicted_once():
+    """Four features: 24 orders meet in 16 sets; a feature's share is a gain and a loss of each order."""
+    sets = changed_sets(feature_orders(4, 24, 0), 4)
+    assert len(sets) == 16 and all(sum(abs(w[i]) for w in sets.values()) == 48 and sum(w[i] for w in sets.values()) == 0 for i in range(4))
+
+
+def test_many_sets_give_the_same_as_one_expression_each(spark, monkeypatch):
+    _, df = _frame(spark, 5, 1)
+    one = shapley_values(df, COLS, _curved, df.orderBy("pid")).orderBy("pid").toPandas().to_numpy()
+    monkeypatch.setattr("aquifer.operators.shapley.UNROLLED", 0)
+    np.testing.assert_allclose(one, shapley_values(df, COLS, _curved, df.orderBy("pid")).orderBy("pid").toPandas().to_numpy(), atol=1e-12)
