@@ -230,7 +230,10 @@ def best_partners(members: DataFrame, centres: DataFrame, percent: int) -> DataF
 
 def sets_of(docs: DataFrame, key: str, text: str, pairs: DataFrame, classes: DataFrame, percent: int,
             orders: int) -> DataFrame:
-    """(cls, shingles, prefixes) of the classes in `pairs`: sorted hashes, and the other orders' prefixes."""
+    """(cls, packed, prefixes) of the classes in `pairs`: a text of each, compressed, and the other orders' prefixes.
+
+    A text packs to a quarter of its shingles' hashes, so texts are stored and dealt to the pairs, not sets.
+    """
     members = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     keys = freeze(classes.join(members, "cls").where(F.col("named").isNotNull())
                   .select(F.col("named").alias("key")).distinct(), "jaccard-keys")
@@ -239,20 +242,21 @@ def sets_of(docs: DataFrame, key: str, text: str, pairs: DataFrame, classes: Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in (s for batch in batches for s in slices(batch, "text", 2_000_000)):
-            sets = list(shingle_sets(as_bytes(b, "text"), hashes))
+            texts = as_bytes(b, "text")
+            sets = list(shingle_sets(texts, hashes))
             firsts = [b"".join(np.sort(first_of(s, order_by(s, k), prefix_size(len(s), percent))
                                        >> np.uint64(32)).astype("<u4").tobytes() for k in range(orders)) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([fingerprint(s) for s in sets], pa.int64()),
-                 pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary()), pa.array(firsts, pa.binary())],
-                names=["cls", "shingles", "prefixes"])
+                 pa.array([zlib.compress(t.lower(), 1) for t in texts], pa.binary()), pa.array(firsts, pa.binary())],
+                names=["cls", "packed", "prefixes"])
 
-    made = map_batches(chosen.select("text"), run, "cls long, shingles binary, prefixes binary")
+    made = map_batches(chosen.select("text"), run, "cls long, packed binary, prefixes binary")
     made = freeze(made, "jaccard-chosen")
     if made.count() == made.select("cls").distinct().count():
         return made
     # a key that several rows have
-    return freeze(made.groupBy("cls").agg(F.first("shingles").alias("shingles"), F.first("prefixes").alias("prefixes")),
+    return freeze(made.groupBy("cls").agg(F.first("packed").alias("packed"), F.first("prefixes").alias("prefixes")),
                   "jaccard-chosen")
 
 
@@ -267,21 +271,29 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int, orders: int) -> Data
 
     def keep(test):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                good = [test(x, y) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
+            hashes = WordHashes()
+            for b in (batch.slice(lo, 256) for batch in batches for lo in range(0, batch.num_rows, 256)):
+                good = test(b.column("x").to_pylist(), b.column("y").to_pylist(), hashes)
                 yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
         return run
 
-    def share(x: bytes, y: bytes) -> bool:
-        x_, y_ = (np.frombuffer(s, "<u4").reshape(orders, -1) for s in (x, y))
-        return all(np.isin(x_[k], y_[k]).any() for k in range(orders))
-
-    def reach(x: bytes, y: bytes) -> bool:
-        x_, y_ = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-        both = len(np.intersect1d(x_, y_, assume_unique=True))
-        return 100 * both >= percent * (len(x_) + len(y_) - both)
-
-    for column, test in (("prefixes", share), ("shingles", reach)):
+    def share(xs: list[bytes], ys: list[bytes], _: WordHashes) -> list[bool]:
+        good = []
+        for x, y in zip(xs, ys):
+            x_, y_ = (np.frombuffer(s, "<u4").reshape(orders, -1) for s in (x, y))
+            good.append(all(np.isin(x_[k], y_[k]).any() for k in range(orders)))
+        return good
+
+    def reach(xs: list[bytes], ys: list[bytes], hashes: WordHashes) -> list[bool]:
+        different = list(dict.fromkeys(xs + ys))
+        sets = dict(zip(different, shingle_sets([zlib.decompress(p) for p in different], hashes)))
+        good = []
+        for x_, y_ in ((sets[x], sets[y]) for x, y in zip(xs, ys)):
+            both = len(np.intersect1d(x_, y_, assume_unique=True))
+            good.append(100 * both >= percent * (len(x_) + len(y_) - both))
+        return good
+
+    for column, test in (("prefixes", share), ("packed", reach)):
         left, right = sides(column)
         pairs = map_batches(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), keep(test), "a long, b long")
     return freeze(pairs, "jaccard-links")

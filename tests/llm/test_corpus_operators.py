@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 
 from aquifer.llm import huffman, jaccard_join, mixing, neighbours, packing, tokens
 from aquifer.llm.graph import components
-from llm_tables import DOCS, TOKENIZERS, words
+from llm_tables import DOCS, TOKENIZERS, prose, words
 
 BYTES, WORDS = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/word_bpe_49k.json"
 
@@ -179,6 +179,24 @@ def test_jaccard_join_edges(edge_docs, no_docs):
     assert jaccard_join.join(no_docs).count() == 0
 
 
+def test_jaccard_pairs_are_compared_from_packed_texts(spark):
+    """What is stored and dealt out for a class takes fewer bytes than its shingles' hashes, and decides as they do."""
+    base = [prose(40 + i, 400).split() for i in range(6)]
+    rows = [(2 * i + k, " ".join(b[:400 - 50 * (i % 3)]).upper() if k else " ".join(b))
+            for i, b in enumerate(base) for k in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    profiled, _ = jaccard_join.profile(docs, "doc_id", "text")
+    of = {r.key: (r.cls, r.n) for r in profiled.collect()}
+    classes = profiled.select("cls", profiled.key.alias("named"))
+    pairs = spark.createDataFrame([(of[2 * i][0], of[2 * i + 1][0]) for i in range(6)], "a long, b long")
+    sets = jaccard_join.sets_of(docs, "doc_id", "text", pairs, classes, 75, 2)
+    n = dict(of.values())
+    for r in sets.collect():
+        assert sum(len(x) for x in r if isinstance(x, (bytes, bytearray))) < 8 * n[r.cls]
+    got = {(r.a, r.b) for r in jaccard_join.linked(pairs, sets, 75, 2).collect()}
+    assert got == {(r.a, r.b) for i, r in enumerate(pairs.collect()) if i % 3 < 2}  # 300 of 400 words: below 75 %
+
+
 def test_components_of_long_chain_and_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7)]
     got = {r.v: r.c for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
