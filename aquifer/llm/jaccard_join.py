@@ -17,7 +17,7 @@ No link between different components can be missed: a pair that reaches t shares
 enough in both prefixes (the positional filter).
 
 Lists are never gathered: they arrive sorted and are read as a stream. Sets are 64-bit shingle hashes, and
-classes 64-bit set fingerprints.
+classes 64-bit set fingerprints. Pairs get their classes' texts, compressed, and make the sets from them.
 
 Edge cases: null and empty texts have size 0 and are linked with nothing; texts under five words have one
 shingle, the whole; repeated rows and equal texts are linked; a row with a null key is only linked
