@@ -1,13 +1,17 @@
 """Interpolated modified Kneser-Ney language model, counted in Spark, scored from memory-mapped hash arrays.
 
 Counting. Every training text's tokens are words (A-Z lower-cased) and one end token, behind order - 1 start marks.
-Tasks count the n-grams of what they read and deal them out, as sorted and packed arrays, to shards by n-gram hash.
-A shard adds up its n-grams, writes them as arrays sorted by hash to the shared folder, and deals out two
-things by hash again: one count for each distinct n-gram to its suffix (the continuation counts of the order
-below), and counts, distinct followers and their share with one, two and more occurrences to its context. So
-order after order follows, and one pass over the texts is all; nothing but a line per file reaches the driver.
-Packed blocks name words by their places in the block's own list of words. A context of order k + 1 is a k-gram, so
-both are lines of one file.
+Tasks count the n-grams of what they read and deal them out, as sorted and packed arrays, by the words between the
+first and the last (two words: by the first). So a shard holds whole what follows from its n-grams: counts, distinct
+followers and their share with one, two and more occurrences of each context, and the number of different words before
+each suffix (the continuation counts of the order below). It writes n-grams and contexts as arrays sorted by hash to the
+shared folder. A suffix of two words of a trigram stays in its shard; others, and one-word contexts, are dealt out again.
+So order after order follows, and one pass over the texts is all; nothing but a line per file reaches the driver.
+
+Frequent words. n-grams whose dealing words are all frequent (over half a shard's share of the tokens, by a sample) are
+dealt by all words but the last, or two-word ones by both, and their suffixes and contexts are added up in another round.
+Packed blocks name words by their places among the sample's commonest words, which all tasks know, or else in the block's
+own list. The sample decides only where n-grams are added up and how blocks name words, never what is counted.
 
 Probabilities. p_k(w | h) = max(c(hw) - D(c), 0) / C(h) + g(h) p_(k-1)(w | shorter h), where c counts occurrences
 for the highest order and distinct left neighbours below; D1, D2, D3+ of each order follow from its counts of
@@ -32,15 +36,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aquifer.llm.common import WordHashes, as_bytes, fold, freeze, map_batches, ngram_hashes, shared_folder
+from aquifer.llm.common import as_bytes, fold, freeze, map_batches, mix64, shared_folder
 
 START, END = np.uint64(0x5BD1E995A3C59AC3), np.uint64(0x2545F4914F6CDD1D)
-GRAMS, CONTEXTS = 0, 1
-BLOCK_TOKENS = 2_000_000
+CONTEXTS = 0  # kind of a block of one-word contexts; n-grams of k words are of kind k, lines of statistics of none
+BLOCK_BYTES = 24_000_000
+BATCH_BYTES = 6_000_000
+SAMPLE = 5000  # texts, about, from which frequent and common words are known
+COMMON = 1 << 16  # common words
 BLOCK_SCHEMA = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary()), ("stats", pa.binary())])
 BLOCKS = "shard int, kind int, payload binary, stats binary"
 
@@ -73,20 +81,71 @@ def unpack(payload: bytes, at: int = 0) -> list[np.ndarray]:
     return columns
 
 
-def pack_grams(words: list[np.ndarray], sums: list[np.ndarray]) -> bytes:
-    """n-grams as places in the block's own list of different words, in order of the words; with their sums."""
+def in_order(columns: list[np.ndarray]) -> np.ndarray:
+    """The rows' order by the first column, then the next; as one number a row where that fits."""
+    bits = max(int(c.max(initial=0)).bit_length() for c in columns)
+    if bits * len(columns) > 64:
+        return np.lexsort(columns[::-1])
+    return np.argsort(one_number(columns, bits))
+
+
+def one_number(columns: list[np.ndarray], bits: int) -> np.ndarray:
+    key = columns[0].astype(np.uint64)
+    for c in columns[1:]:
+        key = (key << np.uint64(bits)) | c.astype(np.uint64)
+    return key
+
+
+def dealing_first(columns: list) -> list:
+    """The words between the first and the last, then these; restored by `dealing_last`."""
+    return [*columns[1:-1], columns[0], *columns[1:][-1:]] if len(columns) > 2 else columns
+
+
+def dealing_last(columns: list) -> list:
+    return [columns[-2], *columns[:-2], columns[-1]] if len(columns) > 2 else columns
+
+
+class Words:
+    """What a sample tells of words: the hashes of frequent ones, sorted, and of common ones, the commonest first."""
+
+    def __init__(self, frequent: np.ndarray, common: np.ndarray):
+        self.frequent, self.common = frequent, common
+        self.rank = np.argsort(common)
+        self.sorted = common[self.rank]
+
+    def ranks(self, hashes: np.ndarray) -> np.ndarray:
+        """The words' places among the common ones; -1 for others."""
+        if not len(self.common):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == hashes, self.rank[at], -1)
+
+
+def pack_places(own: np.ndarray, ranks: np.ndarray, known: int, words: list[np.ndarray], sums: list[np.ndarray]) -> bytes:
+    """n-grams, given by places in a list of words that is sorted by hash, with their sums. Of the list only what occurs
+    and is not among the `known` common words is packed, frequent words first, so that most places are small."""
+    n = np.bincount(np.concatenate(words), minlength=len(own))
+    used = np.flatnonzero((n > 0) & (ranks < 0))
+    used = used[np.argsort(-np.frexp(n[used])[1], kind="stable")]
+    place = ranks.copy()
+    place[used] = known + np.arange(len(used))
+    columns = dealing_first([place[w] for w in words])
+    order = in_order(columns)
+    listed = pack([own[used]])
+    return struct.pack("<I", len(listed)) + listed + pack([c[order] for c in (*columns, *sums)])
+
+
+def pack_grams(words: list[np.ndarray], sums: list[np.ndarray], sample: Words) -> bytes:
+    """n-grams, given by the words' hashes, with their sums."""
     own, places = np.unique(np.concatenate(words), return_inverse=True)
-    places = places.reshape(len(words), -1)
-    order = np.lexsort(places[::-1])
-    listed = pack([own])
-    return struct.pack("<I", len(listed)) + listed + pack([c[order] for c in (*places, *sums)])
+    return pack_places(own, sample.ranks(own), len(sample.common), list(places.reshape(len(words), -1)), sums)
 
 
-def unpack_grams(payload: bytes, k: int) -> list[np.ndarray]:
+def unpack_grams(payload: bytes, k: int, sample: Words) -> list[np.ndarray]:
     (size,) = struct.unpack_from("<I", payload)
-    (own,) = unpack(payload, 4)
+    own = np.concatenate([sample.common, *unpack(payload, 4)])
     columns = unpack(payload, 4 + size)
-    return [own[c] for c in columns[:k]] + columns[k:]
+    return dealing_last([own[c] for c in columns[:k]]) + columns[k:]
 
 
 def shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -104,135 +163,232 @@ def add_up(hashes: np.ndarray, sums: list[np.ndarray], carried: list[np.ndarray]
             [c[order[first]] for c in carried])
 
 
-def deal(hashes: np.ndarray, kind: int, words: list[np.ndarray], sums: list[np.ndarray], shards: int) -> Iterator[dict]:
-    """Rows with sorted hashes as one packed block a shard: n-grams by their words, contexts by their hashes."""
-    if not len(hashes):
-        return
-    shard = shard_of(hashes, shards)
-    edges = np.flatnonzero(np.diff(shard, prepend=-1))
-    for lo, hi in zip(edges, np.append(edges[1:], len(shard))):
-        numbers = [c[lo:hi] for c in sums]
-        payload = pack_grams([w[lo:hi] for w in words], numbers) if kind == GRAMS else pack([hashes[lo:hi], *numbers])
-        yield {"shard": int(shard[lo]), "kind": kind, "payload": payload, "stats": None}
+def frequent(words: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Which hashes are among the sorted ones of frequent words."""
+    if not len(heavy):
+        return np.zeros(len(words), bool)
+    return heavy[np.minimum(np.searchsorted(heavy, words), len(heavy) - 1)] == words
+
+
+def join_words(words: list[np.ndarray]) -> np.ndarray:
+    """n-gram hashes from columns of word hashes; the same as ngram_hashes over consecutive words."""
+    factors = mix64(np.arange(len(words) * 100, len(words) * 101, dtype=np.uint64)) | np.uint64(1)
+    h = words[0] * factors[0]
+    for w, f in zip(words[1:], factors[1:]):
+        h += w * f
+    return mix64(h)
+
+
+def dealt_to(words: list[np.ndarray], heavy: np.ndarray, shards: int) -> np.ndarray:
+    """The shards to which n-grams are dealt."""
+    by = words[1:-1] if len(words) > 2 else words[:1]
+    shard = shard_of(join_words(by), shards)
+    if len(words) > 1:
+        often = np.flatnonzero(np.logical_and.reduce([frequent(w, heavy) for w in by]))
+        whole = words[:-1] if len(words) > 2 else words
+        shard[often] = shard_of(join_words([w[often] for w in whole]), shards)
+    return shard
+
+
+def parted(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The rows of each shard, in order."""
+    order = np.argsort(shard.astype(np.uint16) if int(shard.max(initial=0)) < 1 << 16 else shard, kind="stable")
+    edges = np.flatnonzero(np.diff(shard[order], prepend=-1))
+    for lo, hi in zip(edges, np.append(edges[1:], len(order))):
+        yield int(shard[order[lo]]), order[lo:hi]
+
+
+def deal(kind: int, words: list[np.ndarray], sums: list[np.ndarray], sample: Words, shards: int) -> Iterator[dict]:
+    """n-grams or one-word contexts as one packed block a shard."""
+    for shard, rows in parted(dealt_to(words, sample.frequent, shards)):
+        payload = pack_grams([w[rows] for w in words], [c[rows] for c in sums], sample)
+        yield {"shard": shard, "kind": kind, "payload": payload, "stats": None}
+
 
+class WordPlaces(dict):
+    """A word -> its place in the list of words, in order of appearance; the start mark and the end come first."""
 
-def token_hashes(texts: list[bytes], order: int, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' tokens behind one another, order - 1 start marks before each; and the places of the tokens."""
+    def __init__(self):
+        super().__init__({None: 0, True: 1})
+
+    def __missing__(self, word: bytes) -> int:
+        p = self[word] = len(self)
+        return p
+
+    def listed(self) -> np.ndarray:
+        """The words' hashes, by place."""
+        some = iter(self)
+        next(some), next(some)
+        return np.concatenate([[START, END], np.fromiter(map(xxhash.xxh3_64_intdigest, some), np.uint64, len(self) - 2)])
+
+
+def token_places(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' tokens behind one another as places in a list of words, order - 1 start marks before each; the places
+    of the tokens; the list, sorted by hash."""
+    known = WordPlaces()
     parts, sizes = [], []
-    marks = np.full(order - 1, START)
+    marks, end = np.zeros(order - 1, np.int32), np.ones(1, np.int32)
     for t in texts:
-        words = hashes.of(t.lower().split())
-        parts += [marks, words, [END]]
+        words = t.lower().split()
+        parts += [marks, np.fromiter(map(known.__getitem__, words), np.int32, len(words)), end]
         sizes.append(len(words) + 1)
     sizes = np.array(sizes, np.int64)
-    flat = np.concatenate(parts).astype(np.uint64)
-    places = np.arange(int(sizes.sum())) + np.repeat((order - 1) * np.arange(1, len(sizes) + 1), sizes)
-    return flat, places
-
-
-def counted(docs: DataFrame, order: int, shards: int) -> DataFrame:
-    """Packed blocks of the highest order's n-grams: columns are the words, occurrences, occurrences again (raw)."""
+    at = np.arange(int(sizes.sum())) + np.repeat((order - 1) * np.arange(1, len(sizes) + 1), sizes)
+    own = known.listed()
+    by_hash = np.argsort(own)
+    place = np.empty(len(own), np.int32)
+    place[by_hash] = np.arange(len(own), dtype=np.int32)
+    return place[np.concatenate(parts)], at, own[by_hash]
+
+
+def distinct_rows(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The different rows, and how often each occurs."""
+    bits = max(int(c.max(initial=0)).bit_length() for c in columns)
+    if bits * len(columns) <= 64:
+        key = np.sort(one_number(columns, bits))
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        own, mask = key[first], np.uint64((1 << bits) - 1)
+        rows = [((own >> np.uint64(bits * j)) & mask).astype(np.int32) for j in reversed(range(len(columns)))]
+    else:
+        order = in_order(columns)
+        columns = [c[order] for c in columns]
+        first = np.flatnonzero(np.logical_or.reduce([np.diff(c, prepend=-1) != 0 for c in columns]))
+        rows = [c[first] for c in columns]
+    return rows, np.diff(first, append=len(columns[0])).astype(np.uint64)
+
+
+def counted(docs: DataFrame, order: int, shards: int, sample: Words) -> DataFrame:
+    """Packed blocks of the highest order's n-grams: columns are the words and the occurrences."""
+
+    def blocks(texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        flat, at, own = token_places(texts, order)
+        words, n = distinct_rows([flat[at - order + 1 + j] for j in range(order)])
+        ranks, known, out = sample.ranks(own), len(sample.common), []
+        for shard, rows in parted(dealt_to([own[w] for w in words], sample.frequent, shards)):
+            payload = pack_places(own, ranks, known, [w[rows] for w in words], [n[rows]])
+            out.append({"shard": shard, "kind": order, "payload": payload, "stats": None})
+        yield pa.RecordBatch.from_pylist(out, BLOCK_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-
-        def blocks(texts: list[bytes]) -> pa.RecordBatch:
-            flat, places = token_hashes(texts, order, hashes)
-            words = [flat[places - order + 1 + j] for j in range(order)]
-            grams = ngram_hashes(flat, order)[places - order + 1]
-            grams, (n,), words = add_up(grams, [np.ones(len(grams), np.uint64)], words)
-            return pa.RecordBatch.from_pylist(
-                list(deal(grams, GRAMS, words, [n, n], shards)), BLOCK_SCHEMA)
-
         held: list[bytes] = []
         size = 0
         for b in batches:
             for t in as_bytes(b, "text"):
                 held.append(t)
                 size += len(t)
-                if size >= 6 * BLOCK_TOKENS:
-                    yield blocks(held)
+                if size >= BLOCK_BYTES:
+                    yield from blocks(held)
                     held, size = [], 0
         if held:
-            yield blocks(held)
+            yield from blocks(held)
 
     return map_batches(docs, run, BLOCKS)
 
 
-def join_words(words: list[np.ndarray]) -> np.ndarray:
-    """n-gram hashes from columns of word hashes; the same as ngram_hashes over consecutive words."""
-    n = len(words)
-    if not n:
-        return np.empty(0, np.uint64)
-    flat = np.stack(words, axis=1).ravel()
-    return ngram_hashes(flat, n)[::n]
+def sampled(docs: DataFrame, shards: int) -> Words:
+    """Frequent words are over half a shard's share of a sample's tokens: 2 a shard at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                flat, _, own = token_places(as_bytes(b, "text"), 1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(own.view(np.int64)), pa.array(np.bincount(flat, minlength=len(own)))], names=["word", "n"])
+
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    counts = map_batches(docs.sample(share, seed=1), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    held = freeze(counts, "kneser-ney-sample")
+    least = (held.agg(F.sum("n")).first()[0] or 0) / (2 * shards)
+    hashes = lambda df: np.array([r["word"] for r in df.collect()], np.int64).view(np.uint64)
+    return Words(np.sort(hashes(held.where(F.col("n") > least))), hashes(held.orderBy(F.desc("n"), "word").limit(COMMON)))
 
 
-def level(rows: DataFrame, k: int, order: int, folder: str, shards: int) -> DataFrame:
-    """Add up order k's n-grams and order k + 1's contexts (which are k words too) shard by shard, write both as one
-    file of k-grams, and deal out what follows.
+def level(rows: DataFrame, k: int, order: int, folder: str, shards: int, sample: Words) -> DataFrame:
+    """Add up order k's n-grams shard by shard, write them and their contexts, and deal out what follows.
 
-    Every written file passes a line of statistics on, in rows of kind None.
+    Blocks for lower orders are passed on, and so are lines of statistics, of which every written file has one.
     """
 
+    def settle(j: int, words: list[np.ndarray], n: np.ndarray, raw: np.ndarray, shard: int) -> Iterator[dict]:
+        """Write whole n-grams of j words, with what follows from them."""
+        write_arrays(f"{folder}/grams-{j}-{k}-{shard:06d}", join_words(words), [n, raw] if j == 1 else [n])
+        stats = [j, len(n), int(n.sum()), int(raw.sum()), *[int((n == c).sum()) for c in (1, 2, 3, 4)]]
+        yield {"shard": 0, "kind": None, "payload": None, "stats": np.array(stats, np.int64).tobytes()}
+        if j == 1:
+            return
+        ones = [(n == 1).astype(np.uint64), (n == 2).astype(np.uint64), (n >= 3).astype(np.uint64)]
+        keys, sums, head = add_up(join_words(words[:-1]), [n, *ones], words[:-1])
+        if j > 2:
+            write_arrays(f"{folder}/contexts-{j}-{shard:06d}", keys, sums)
+        else:
+            yield from deal(CONTEXTS, head, sums, sample, shards)
+        _, sums, tail = add_up(join_words(words[1:]), [np.ones(len(n), np.uint64), raw], words[1:])
+        here = ~frequent(tail[0], sample.frequent) if j == 3 else np.zeros(len(tail[0]), bool)
+        if here.any():
+            yield from settle(j - 1, [w[here] for w in tail], *[c[here] for c in sums], shard)
+        yield from deal(j - 1, [w[~here] for w in tail], [c[~here] for c in sums], sample, shards)
+
     def run(table: pa.Table) -> pa.Table:
         shard = table.column("shard")[0].as_py()
-        out = [r for r in table.filter(pc.is_null(table.column("kind"))).to_pylist()]
-        blocks = {kind: table.filter(pc.equal(table.column("kind"), kind)).column("payload").to_pylist() for kind in (GRAMS, CONTEXTS)}
-        keys, following = np.empty(0, np.uint64), [np.empty(0, np.uint64)] * 4
-        if blocks[CONTEXTS]:
-            columns = [np.concatenate(c) for c in zip(*map(unpack, blocks[CONTEXTS]))]
-            keys, following, _ = add_up(columns[0], columns[1:], [])
-        grams, own = np.empty(0, np.uint64), [np.empty(0, np.uint64)] * (2 if k == 1 else 1)
-        if blocks[GRAMS]:
-            columns = [np.concatenate(c) for c in zip(*[unpack_grams(x, k) for x in blocks[GRAMS]])]
-            words, n, raw = columns[:k], columns[k], columns[k + 1]
-            grams, (n, raw), words = add_up(join_words(words), [n, raw], words)
-            own = [n, raw] if k == 1 else [n]
-        every = np.union1d(grams, keys)
-        spread = [(grams, c) for c in own] + ([(keys, c) for c in following] if k < order else [])
-        write_arrays(f"{folder}/grams-{k}-{shard:06d}", every, [placed(every, at, c) for at, c in spread])
-        if blocks[GRAMS]:
-            classes = [(n == 1).astype(np.uint64), (n == 2).astype(np.uint64), (n >= 3).astype(np.uint64)]
-            stats = [k, len(grams), int(n.sum()), int(raw.sum()), *[int((n == c).sum()) for c in (1, 2, 3, 4)]]
-            out.append({"shard": 0, "kind": None, "payload": None, "stats": np.array(stats, np.int64).tobytes()})
-            if k > 1:
-                heads, sums, _ = add_up(join_words(words[:-1]), [n, *classes], [])
-                out += deal(heads, CONTEXTS, [], sums, shards)
-                tails, sums, tail_words = add_up(join_words(words[1:]), [np.ones(len(grams), np.uint64), raw], words[1:])
-                out += deal(tails, GRAMS, tail_words, sums, shards)
+        here = pc.fill_null(pc.is_in(table.column("kind"), pa.array([k, CONTEXTS] if k == 1 else [k], pa.int32())), False)
+        out = table.filter(pc.invert(here)).to_pylist()
+        for kind in (k, CONTEXTS):
+            blocks = table.filter(pc.and_(here, pc.fill_null(pc.equal(table.column("kind"), kind), False))).column("payload").to_pylist()
+            if not blocks:
+                continue
+            size = max(1, kind)
+            columns = [np.concatenate(c) for c in zip(*[unpack_grams(x, size, sample) for x in blocks])]
+            keys, sums, words = add_up(join_words(columns[:size]), columns[size:], columns[:size])
+            if kind == CONTEXTS:
+                write_arrays(f"{folder}/contexts-2-{shard:06d}", keys, sums)
+            else:
+                out += settle(k, words, sums[0], sums[-1], shard)
         return pa.Table.from_pylist(out, BLOCK_SCHEMA)
 
     return rows.groupBy("shard").applyInArrow(run, BLOCKS)
 
 
-def placed(every: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The values at their keys' places among all sorted keys, 0 elsewhere."""
-    out = np.zeros(len(every), np.uint64)
-    out[np.searchsorted(every, keys)] = values
-    return out
-
-
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri) if ":" in uri else (fs.LocalFileSystem(), uri)
 
 
+KEY_BITS, TOP_BITS = 56, 16  # bits of a key's hash in a file, and those of them by which the file is indexed
+
+
 def write_arrays(uri: str, keys: np.ndarray, columns: list[np.ndarray]) -> None:
-    """One file: sizes, sorted keys, then per column a byte for each entry, and place and value of those of 255 or more.
+    """One file: sizes; the commonest rows of values; place and values of rows that are not among them; then, for the keys
+    sorted by 56 bits of their hash, where those of each upper 16 bits begin, the next 32 bits, the lowest 8, and a byte
+    that tells the row of values (255: not a common one). Few keys share a file, so 56 bits tell them apart.
 
     The file gets its name when it is whole, so a repeated task replaces it by the same one.
     """
     store, path = filesystem(uri)
     draft = f"{path}.{uuid.uuid4().hex[:8]}"
-    large = [np.flatnonzero(c >= 255) for c in columns]
+    keys = keys.astype(np.uint64) & np.uint64((1 << KEY_BITS) - 1)
+    order = np.argsort(keys)
+    keys, columns = keys[order], [c.astype(np.uint64)[order] for c in columns]
+    bits = 64 // len(columns)
+    small = np.flatnonzero(np.logical_and.reduce([c >> np.uint64(bits - 1) == 0 for c in columns]))
+    row = np.zeros(len(small), np.uint64)
+    for j, c in enumerate(columns):
+        row |= c[small] << np.uint64(j * bits)
+    rows, back, n = np.unique(row, return_inverse=True, return_counts=True)
+    common = np.argsort(-n, kind="stable")[:255]
+    number = np.full(len(rows), 255, np.uint8)
+    number[common] = np.arange(len(common))
+    code = np.full(len(keys), 255, np.uint8)
+    code[small] = number[back]
+    rest = np.flatnonzero(code == 255)
+    palette = np.stack([(rows[common] >> np.uint64(j * bits)) & np.uint64((1 << bits - 1) - 1) for j in range(len(columns))])
+    begins = np.searchsorted(keys, np.arange((1 << TOP_BITS) + 1, dtype=np.uint64) << np.uint64(KEY_BITS - TOP_BITS))
     with store.open_output_stream(draft) as out:
-        out.write(np.array([len(keys), len(columns), *map(len, large)], np.uint64).tobytes())
-        out.write(keys.astype(np.uint64).tobytes())
-        for c, some in zip(columns, large):
-            out.write(some.astype(np.uint64).tobytes())
-            out.write(c[some].astype(np.uint64).tobytes())
-        for c in columns:
-            out.write(np.minimum(c, 255).astype(np.uint8).tobytes())
+        out.write(np.array([len(keys), len(columns), len(common), len(rest)], np.uint64).tobytes())
+        for numbers in (palette, rest, *[c[rest] for c in columns]):
+            out.write(numbers.astype(np.uint64).tobytes())
+        out.write(begins.astype(np.uint64).tobytes() if len(keys) >> 32 else begins.astype(np.uint32).tobytes())
+        out.write((keys >> np.uint64(8)).astype(np.uint32).tobytes())
+        out.write(keys.astype(np.uint8).tobytes())
+        out.write(code.tobytes())
     store.move(draft, path)
 
 
@@ -241,45 +397,71 @@ class Arrays:
 
     def __init__(self, path: str):
         raw = np.memmap(path, np.uint8, mode="r")
-        n, n_columns = (int(x) for x in raw[:16].view(np.uint64))
-        large = [int(x) for x in raw[16:16 + 8 * n_columns].view(np.uint64)]
-        at = 16 + 8 * n_columns
-        self.keys = raw[at:at + 8 * n].view(np.uint64)
-        at += 8 * n
-        self.large = []
-        for m in large:
-            self.large.append((raw[at:at + 8 * m].view(np.uint64), raw[at + 8 * m:at + 16 * m].view(np.uint64)))
-            at += 16 * m
-        self.small = [raw[at + j * n:at + (j + 1) * n] for j in range(n_columns)]
+        at = 0
+
+        def column(kind: type, n: int) -> np.ndarray:
+            nonlocal at
+            at += n * np.dtype(kind).itemsize
+            return raw[at - n * np.dtype(kind).itemsize:at].view(kind)
+
+        self.n, m, common, rest = (int(x) for x in column(np.uint64, 4))
+        self.palette = np.zeros((m, 256))
+        self.palette[:, :common] = column(np.uint64, m * common).reshape(m, common)
+        self.rest = column(np.uint64, rest)
+        self.rest_values = column(np.uint64, m * rest).reshape(m, rest)
+        self.begins = column(np.uint64 if self.n >> 32 else np.uint32, (1 << TOP_BITS) + 1)
+        self.middle, self.low, self.code = column(np.uint32, self.n), column(np.uint8, self.n), column(np.uint8, self.n)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the keys are there, and their places."""
+        top = ((keys >> np.uint64(KEY_BITS - TOP_BITS)) & np.uint64((1 << TOP_BITS) - 1)).astype(np.int64)
+        middle, low = (keys >> np.uint64(8)).astype(np.uint32), keys.astype(np.uint8)
+        at, end = self.begins[top].astype(np.int64), self.begins[top + 1].astype(np.int64)
+        size, last = end - at, self.n - 1
+        while (most := int(size.max(initial=0))) > 0:  # halve all stretches: the first place that is not below the key
+            half = size >> 1
+            mid = at + half
+            below = (size > 0) & (self.middle[np.minimum(mid, last)] < middle)
+            at = np.where(below, mid + 1, at)
+            size = np.where(below, size - half - 1, half)
+            if most == 1:
+                break
+        open_ = np.flatnonzero((at < end) & (self.middle[np.minimum(at, last)] == middle)) if self.n else np.empty(0, np.int64)
+        found = []
+        while len(open_):  # few keys agree in all but the lowest bits
+            found.append(open_[self.low[at[open_]] == low[open_]])
+            open_ = open_[self.low[at[open_]] < low[open_]]
+            at[open_] += 1
+            open_ = open_[at[open_] < end[open_]]
+            open_ = open_[self.middle[at[open_]] == middle[open_]]
+        there = np.concatenate(found) if found else np.empty(0, np.int64)
+        return there, at[there]
 
     def look_up(self, keys: np.ndarray) -> np.ndarray:
-        """(column, key) -> value as double; 0 for keys that are not there. Keys are sorted."""
-        out = np.zeros((len(self.small), len(keys)))
-        if not len(self.keys):
-            return out
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        there = np.flatnonzero(self.keys[at] == keys)
-        for j, (small, (places, values)) in enumerate(zip(self.small, self.large)):
-            got = small[at[there]].astype(np.float64)
-            more = np.flatnonzero(got == 255)
-            got[more] = values[np.searchsorted(places, at[there][more].astype(np.uint64))]
-            out[j, there] = got
+        """(column, key) -> value as double; 0 for keys that are not there."""
+        out = np.zeros((len(self.palette), len(keys)))
+        there, at = self.find(keys)
+        code = self.code[at]
+        values = self.palette[:, code]
+        more = np.flatnonzero(code == 255)
+        values[:, more] = self.rest_values[:, np.searchsorted(self.rest, at[more].astype(np.uint64))]
+        out[:, there] = values
         return out
 
 
 class Model:
     """What the driver knows of a model: where its files are, and the discounts. Sent to the workers."""
 
-    def __init__(self, order: int, folder: str, shards: int, stats: np.ndarray):
-        self.order, self.folder, self.shards = order, folder, shards
+    def __init__(self, order: int, folder: str, shards: int, stats: np.ndarray, heavy: np.ndarray):
+        self.order, self.folder, self.shards, self.heavy = order, folder, shards, heavy
         sums = {k: stats[stats[:, 0] == k][:, 1:].sum(axis=0) for k in range(1, order + 1)}
         self.known, self.total, self.tokens = (int(x) for x in sums[1][:3])
         self.discounts = {k: discounts(s[3:].astype(np.float64)) for k, s in sums.items()}
         one = sums[1][3:].astype(np.float64)
         self.empty_context = [float(self.total), one[0], one[1], self.known - one[0] - one[1]]
 
-    def table(self, name: str, k: int, columns: int) -> "Table":
-        return Table(self, f"{name}-{k}", columns)
+    def table(self, name: str, columns: int) -> "Table":
+        return Table(self, name, columns)
 
 
 def discounts(n: np.ndarray) -> list[float]:
@@ -311,17 +493,14 @@ class Table:
                 self.open[s] = Arrays(local)
         return self.open[s]
 
-    def look_up(self, keys: np.ndarray) -> np.ndarray:
-        """(column, key) -> value; the distinct keys are looked up once each, in order."""
-        some, back = np.unique(keys, return_inverse=True)
-        out = np.zeros((self.columns, len(some)))
-        shard = shard_of(some, self.model.shards)
-        edges = np.flatnonzero(np.diff(shard, prepend=-1))
-        for lo, hi in zip(edges, np.append(edges[1:], len(shard))):
-            arrays = self.shard(int(shard[lo]))
+    def look_up(self, keys: np.ndarray, parts: list[tuple[int, np.ndarray]]) -> np.ndarray:
+        """(column, key) -> value; parts: the keys of each shard that are to be looked up."""
+        out = np.zeros((self.columns, len(keys)))
+        for shard, rows in parts:
+            arrays = self.shard(shard)
             if arrays is not None:
-                out[:, lo:hi] = arrays.look_up(some[lo:hi])
-        return out[:, back]
+                out[:, rows] = arrays.look_up(keys[rows])
+        return out
 
 
 def train(docs: DataFrame, order: int = 3, text: str = "text", shards: int | None = None) -> Model:
@@ -331,13 +510,15 @@ def train(docs: DataFrame, order: int = 3, text: str = "text", shards: int | Non
     folder = shared_folder(spark, "kneser-ney")
     store, base = filesystem(folder)
     store.create_dir(base, recursive=True)
-    rows = counted(docs.select(F.col(text).alias("text")), order, shards)
+    texts = docs.select(F.col(text).alias("text"))
+    sample = sampled(texts, shards)
+    rows = counted(texts, order, shards, sample)
     for k in range(order, 0, -1):
-        rows = level(rows, k, order, folder, shards)
+        rows = level(rows, k, order, folder, shards, sample)
     # the last order's contexts are the empty one, known from the statistics
     lines = freeze(rows.where("stats is not null").select("stats"), "kneser-ney-stats").collect()  # a row per file
     stats = np.array([np.frombuffer(r["stats"], np.int64) for r in lines], np.int64).reshape(-1, 8)
-    return Model(order, folder, shards, stats)
+    return Model(order, folder, shards, stats, sample.frequent)
 
 
 class Scorer:
@@ -345,24 +526,36 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model = model
-        self.grams = {k: model.table("grams", k, (2 if k == 1 else 1) + (4 if k < model.order else 0)) for k in range(1, model.order + 1)}
-        self.hashes = WordHashes()
+        orders = range(1, model.order + 1)
+        self.grams = {k: model.table(f"grams-{k}-{k}", 1 + (k == 1)) for k in orders}
+        self.stayed = model.table("grams-2-3", 1)  # two-word n-grams that stayed in their trigrams' shard
+        self.contexts = {k: model.table(f"contexts-{k}", 4) for k in orders if k > 1}
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Per text: tokens, known tokens, base score, score."""
         m = self.model
-        flat, places = token_hashes(texts, m.order, self.hashes)
+        flat, places, own = token_places(texts, m.order)
+        flat = own[flat]
         tokens = np.array([len(t.split()) + 1 for t in texts], np.int64)
         p = np.full(len(places), 1.0 / (m.known + 1))
         raw = np.zeros(len(places))
         for k in range(1, m.order + 1):
-            got = self.grams[k].look_up(ngram_hashes(flat, k)[places - k + 1])
-            n = got[0]
+            words = [flat[places - k + 1 + j] for j in range(k)]
+            keys = join_words(words)
+            parts = list(parted(dealt_to(words, m.heavy, m.shards)))
+            if k == 2 and m.order > 2:
+                often = frequent(words[0], m.heavy)
+                n = np.where(often, self.grams[2].look_up(keys, [(s, r[often[r]]) for s, r in parts]),
+                             self.stayed.look_up(keys, [(s, r[~often[r]]) for s, r in parts]))[0]
+            else:
+                got = self.grams[k].look_up(keys, parts)
+                n = got[0]
             if k == 1:
                 raw = got[1]
                 total, one, two, more = (np.full(len(places), x) for x in m.empty_context)
             else:
-                total, one, two, more = self.grams[k - 1].look_up(ngram_hashes(flat, k - 1)[places - k + 1])[-4:]
+                at = list(parted(dealt_to(words[:1], m.heavy, m.shards))) if k == 2 else parts
+                total, one, two, more = self.contexts[k].look_up(join_words(words[:-1]), at)
             d1, d2, d3 = m.discounts[k]
             taken = np.where(n >= 3, d3, np.where(n == 2, d2, np.where(n == 1, d1, 0.0)))
             seen = total > 0
@@ -386,7 +579,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text") ->
             texts, at = as_bytes(b, "__text"), 0
             while at < len(texts):
                 end, held = at, 0
-                while end < len(texts) and (end == at or held + len(texts[end]) <= 3 * BLOCK_TOKENS):
+                while end < len(texts) and (end == at or held + len(texts[end]) <= BATCH_BYTES):
                     held += len(texts[end])
                     end += 1
                 got = scorer(texts[at:end])

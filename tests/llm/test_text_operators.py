@@ -153,6 +153,43 @@ def test_arrays_hold_large_counts(tmp_path):
         assert all((x == y).all() for x, y in zip(kneser_ney.unpack(kneser_ney.pack(columns)), columns))
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+@pytest.mark.parametrize("shards", [1, 40])
+def test_kneser_ney_adds_up_across_shards(spark, order, shards):
+    """Frequent words' n-grams lie in many shards, others whole in one; both give the plain model's scores."""
+    rng = np.random.default_rng(order)
+    texts = [" ".join(rng.choice(["the", "of", *[f"w{j}" for j in range(300)]], 40, p=[.3, .2, *[.5 / 300] * 300])) for _ in range(120)]
+    texts += ["", "the", "the of", "the the the the the"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    model = kneser_ney.train(docs, order, shards=shards)
+    assert len(model.heavy) == (0 if shards == 1 else 3)  # with the end
+    got = sorted((r.n_tokens, r.n_known, r.base_score, r.score) for r in kneser_ney.score(docs, model, []).collect())
+    assert np.array(got) == pytest.approx(np.array(sorted(brute_kneser_ney(texts, texts, order))))
+    whole = kneser_ney.Scorer(model)([b"never seen", "Ünseen the".encode()])
+    assert whole[3] == pytest.approx([x[3] for x in brute_kneser_ney(texts, ["never seen", "Ünseen the"], order)])
+
+
+def test_model_files_and_blocks_are_small(tmp_path):
+    """A key takes six bytes and its row of values one; common words are not listed in every block."""
+    rng = np.random.default_rng(3)
+    keys = rng.integers(0, 2**64, 200_000, dtype=np.uint64)
+    n = rng.choice([1, 1, 1, 1, 1, 1, 1, 2, 3, 400], len(keys)).astype(np.uint64)
+    columns = [n, (n == 1).astype(np.uint64), (n == 2).astype(np.uint64), (n >= 3).astype(np.uint64)]
+    kneser_ney.write_arrays(str(tmp_path / "x"), keys, columns)
+    assert (tmp_path / "x").stat().st_size < 8 * len(keys)
+    assert (kneser_ney.Arrays(str(tmp_path / "x")).look_up(keys[::-1]) == np.stack(columns)[:, ::-1]).all()
+
+    own = np.sort(rng.integers(0, 2**64, 5000, dtype=np.uint64))
+    words, sums = [rng.choice(own, 3000) for _ in range(3)], [np.ones(3000, np.uint64)]
+    sizes = []
+    for common in (own[:0], rng.permutation(own)[:4000]):
+        sample = kneser_ney.Words(own[:0], common)
+        packed = kneser_ney.pack_grams(words, sums, sample)
+        sizes.append(len(packed))
+        assert sorted(zip(*words)) == sorted(zip(*kneser_ney.unpack_grams(packed, 3, sample)[:3]))
+    assert sizes[1] < 0.6 * sizes[0]
+
+
 def test_licenses_found_exactly_and_altered(spark, edge_docs, no_docs):
     mit = licenses.TEMPLATES["MIT-permission"]
     altered = mit.replace("copy of this software", "copy of that software")
