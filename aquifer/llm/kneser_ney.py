@@ -22,7 +22,8 @@ Scoring. Workers map the shards' files into memory and look up the distinct n-gr
 shared folder that can't be mapped (not a file path) is copied by each worker to its own disk, file by file.
 
 Edge cases: a null or empty text is the end token alone; repeated rows count and are scored each; without training
-rows every token has 1 / (V + 1) = 1; a null id is a training row. Hashes have 64 bits.
+rows every token has 1 / (V + 1) = 1; a null id is a training row. Word hashes have 64 bits; keys in files have 56, and
+few share a file.
 """
 
 from __future__ import annotations
