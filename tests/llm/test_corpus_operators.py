@@ -2,6 +2,7 @@
 
 import collections
 import heapq
+import json
 import zlib
 
 import numpy as np
@@ -34,6 +35,44 @@ def test_cached_encoder_equals_the_library(path, drops):
         assert all((a == b[:-1]).all() and len(a) + 1 == len(b) for a, b in zip(got, library_ids(path, texts, 0)))
 
 
+@pytest.mark.parametrize("path,drops", [(BYTES, False), (WORDS, True)])
+def test_plain_chunks_are_joined_and_equal_the_library(path, drops):
+    plain = [c for c in map(chr, range(33, 0x3000)) if not tokens.NOT_PLAIN.search(c)]
+    texts = [s.replace("?", c) for c in plain for s in (
+        "?", "a?", "?a", "1?1", "-?-", "'?", "?'S", "a?. b,?c", " ?\n?,", "e?\u0301")]
+    rng = np.random.default_rng(4)
+    parts = [*"aeKLST09.,'-!<=h \n\t", "ß", "É", "İ", "ſ", "×", "½", "ª", "…", "»", "\u0301", "\u0331", "\u0338", "\u0341", "中",
+             "σ", "Σ", "Ж", "’", "\x00", "\x01", "\x7f", "\u00ad", "'ll", "don't", " The", "tion", "\ue000", "\U000f0061", "</w>"]
+    texts += ["".join(rng.choice(parts, rng.integers(1, 30))) for _ in range(4000)]
+    coder = tokens.Encoder(path, drops)
+    asked = []
+    coder.library = lambda chunks: [asked.extend(chunks), tokens.Encoder.library(coder, chunks)][1]
+    got = coder.encode([t.encode() for t in texts])
+    want = library_ids(path, texts, 0)
+    assert [t for t, a, b in zip(texts, got, want) if a != b[:-1].tobytes()] == []
+    asked.clear()  # new words of plain characters do not go through the whole tokenizer
+    many = [words(k, 400) + ", Häuschen. l'été?" for k in range(5)]
+    fresh = tokens.Encoder(path, drops)
+    fresh.library = coder.library
+    assert [x for x in fresh.encode([t.encode() for t in many])] == [x[:-1].tobytes() for x in library_ids(path, many, 0)]
+    assert asked == []
+
+
+@pytest.mark.parametrize("drops", [False, True])
+def test_a_file_with_other_rules_goes_through_the_library(tmp_path, drops):
+    spec = json.loads(open(WORDS if drops else BYTES, encoding="utf-8").read())
+    if drops:  # digits stay together
+        spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] = r"[\p{L}]+|[\p{N}]+|[^\s\p{L}\p{N}]+"
+    else:
+        spec["normalizer"] = {"type": "Lowercase"}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    coder = tokens.Encoder(str(path), drops)
+    texts = ["The year 1984, don't.", words(3, 200)]
+    assert coder.joined is None
+    assert coder.encode([t.encode() for t in texts]) == [x[:-1].tobytes() for x in library_ids(str(path), texts, 0)]
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 300), max_size=400), min_size=1, max_size=12), st.integers(9, 14))
 def test_huffman_block_round_trip(documents, limit):
