@@ -24,16 +24,15 @@ SPACE = r" \t\n\r\x0b\x0c"
 #: What stands before a full stop or comma that starts a chunk: an ASCII letter or digit, or a letter of Latin-1.
 BEFORE_STOP = (rb"[A-Za-z0-9]", rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]")
 #: A chunk: ASCII white space and what follows it, up to a stop if that ends a piece; or white space at the end.
-CHUNK = re.compile(rb"[%b]*[^%b.,]+(?:(?<=%b)|(?<=%b)|[^%b]*)|[%b]*[^%b]+|[%b]+" % (
+CHUNK = re.compile(rb"[%b]*+[^%b.,]++(?:(?<=%b)|(?<=%b)|[^%b]*+)|[%b]*+[^%b]++|[%b]++" % (
     *[SPACE.encode()] * 2, *BEFORE_STOP, *[SPACE.encode()] * 4))
 #: A stop that starts a chunk.
 STOP = re.compile(rb"[.,](?:(?<=%b.)|(?<=%b.))" % BEFORE_STOP)
-#: UTF-8 of white space outside the six, and of separators that libraries disagree about; and the first bytes that
-#: those have in general punctuation, of which there are many.
-RARE = [*(bytes([c]) for c in range(0x1C, 0x20)), b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x81\x9f",
-        b"\xe3\x80\x80", b"\xef\xbb\xbf"]
-PUNCTUATION = b"\xe2\x80"
-RARE_PUNCTUATION = [PUNCTUATION + bytes([c]) for c in (*range(0x80, 0x8C), 0xA8, 0xA9, 0xAF)]
+#: UTF-8 of white space outside the six, and of separators that libraries disagree about, by their first bytes.
+RARE = {
+    **{bytes([c]): [b""] for c in range(0x1C, 0x20)}, b"\xc2": [b"\x85", b"\xa0"], b"\xe1": [b"\x9a\x80"],
+    b"\xe2": [b"\x81\x9f", *(bytes([0x80, c]) for c in (*range(0x80, 0x8C), 0xA8, 0xA9, 0xAF))],
+    b"\xe3": [b"\x80\x80"], b"\xef": [b"\xbb\xbf"]}
 #: First bytes of the UTF-8 of marks that may combine with an ASCII letter.
 MARKS = (b"\xcc", b"\xcd")
 
@@ -60,7 +59,7 @@ WORD_PIECE = re.compile(rf"(?:'(?:[stmd]|re|ve|ll)|[{LETTERS}]+|[0-9]|[^\0{SPACE
 
 
 def rare(text: bytes) -> bool:
-    return any(map(text.__contains__, RARE)) or PUNCTUATION in text and any(map(text.__contains__, RARE_PUNCTUATION))
+    return any(first in text and any(first + rest in text for rest in more) for first, more in RARE.items())
 
 
 def byte_characters() -> np.ndarray:
@@ -154,7 +153,7 @@ class Encoder(dict):
     limit: chunks in each of the two generations that are remembered.
     """
 
-    def __init__(self, path: str, drops_space: bool, limit: int = 150_000):
+    def __init__(self, path: str, drops_space: bool, limit: int = 250_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
