@@ -4,9 +4,10 @@ The map, merging without pairs and the whole clustering are in `sites`."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,21 +22,55 @@ def weight_features(df: DataFrame, cols: list[str], weights: dict[str, float]) -
 
 
 # ------------------------------------------------------------------------ T15
+def _merged(parts: list[tuple[int, np.ndarray, np.ndarray]], d: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, mean, sums of products of deviations) of parts of the rows together."""
+    n, mean, m2 = 0, np.zeros(d), np.zeros((d, d))
+    for k, part, own in parts:
+        step = part - mean
+        m2 += own + np.outer(step, step) * (n * k / (n + k))
+        mean = mean + step * (k / (n + k))
+        n += k
+    return n, mean, m2
+
+
+def co_moments(df: DataFrame, cols: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, means and sums of products of deviations of numeric columns (missing values count as 0), in one pass: each task
+    hands in one row of sums around its own means."""
+    d = len(cols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def part(batch):
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            mean = x.mean(0)
+            x = x - mean
+            return batch.num_rows, mean, x.T @ x
+
+        n, mean, m2 = _merged([], d)
+        for batch in batches:
+            if batch.num_rows:
+                n, mean, m2 = _merged([(n, mean, m2), part(batch)] if n else [part(batch)], d)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([mean], pa.list_(pa.float64())), pa.array(
+                [m2.ravel()], pa.list_(pa.float64()))], ["n", "mean", "m2"])
+
+    x = df.select(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f"_{i}") for i, c in enumerate(cols)])
+    parts = x.mapInArrow(run, "n long, mean array<double>, m2 array<double>").collect()  # a row for each task
+    return _merged([(r["n"], np.array(r["mean"]), np.array(r["m2"]).reshape(d, d)) for r in parts], d)
+
+
 def fit_pca(df: DataFrame, cols: list[str], k: int | None = None):
     """Centred PCA with k = min(8, d, n-1); components sign-fixed (largest |loading| positive).
     Returns (components d x k as numpy, mean vector, explained variance ratio)."""
-    n = df.count()
+    n, mean, m2 = co_moments(df, cols)
     d = len(cols)
     k = k or max(1, min(8, d, n - 1))
-    va = VectorAssembler(inputCols=cols, outputCol="_f", handleInvalid="skip")
-    x = va.transform(df.select(*cols).na.fill(0.0))
-    centre = StandardScaler(inputCol="_f", outputCol="_c", withMean=True, withStd=False).fit(x)
-    xc = centre.transform(x)
-    model = PCA(k=k, inputCol="_c", outputCol="_pc").fit(xc)
-    comps = model.pc.toArray()
+    if n < 2 or k > d:
+        raise ValueError(f"{k} components of {d} columns cannot be fitted on {n} rows")
+    comps, s, _ = np.linalg.svd(m2 / (n - 1))
+    comps = comps[:, :k]
     signs = np.sign(comps[np.abs(comps).argmax(axis=0), np.arange(comps.shape[1])])
     signs[signs == 0] = 1
-    return comps * signs, centre.mean.toArray(), model.explainedVariance.toArray()
+    return comps * signs, mean, (s / s.sum())[:k]
 
 
 def apply_pca(df: DataFrame, cols: list[str], comps: np.ndarray, mean: np.ndarray, keep: list[str],

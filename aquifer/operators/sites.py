@@ -15,9 +15,11 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from aquifer.operators.blocks import pack
 from aquifer.operators.cluster import apply_pca, fit_pca, som_grid, weight_features
-from aquifer.operators.nearest import BOUND, match
+from aquifer.operators.nearest import BOUND, match, match_blocks
 from aquifer.operators.profile import column_variance
 from aquifer.operators.stats import sorted_ordinal
 from aquifer.session import spread, write_down
@@ -48,12 +50,24 @@ def smooth(units: DataFrame, grid: int, dim: int, sigma: float) -> DataFrame:
     return out
 
 
+def _rounded(x: Column) -> Column:
+    """`F.round(x, 6)`, which takes a decimal number a value, by a division wherever the sixth place is clear: a whole number over
+    a million is the double nearest to that decimal."""
+    y = x * 1e6
+    clear = (F.abs(y) < 1e12) & (F.abs(y - F.floor(y) - 0.5) > 1e-3)
+    return F.when(clear, F.rint(y) / 1e6).otherwise(F.round(x, 6))
+
+
 def start_units(rows: DataFrame, vec: str, n_units: int, dim: int, seed: int) -> DataFrame:
     """(id, v): each unit starts at the first of the rows dealt to it by hash, in hash order; without rows near zero. Hashes are of
-    rounded values, so that the last bits of a projection, which depend on the order of its sums, do not matter."""
-    rounded = F.transform(vec, lambda x: F.round(x, 6))
-    dealt = rows.groupBy(F.pmod(F.xxhash64(F.lit(seed), rounded), F.lit(n_units)).alias("id")).agg(
-        F.min_by(vec, F.struct(F.xxhash64(F.lit(seed + 1), rounded), F.col(vec))).alias("v"))
+    rounded values, so that the last bits of a projection, which depend on the order of its sums, do not matter. One pass finds each
+    unit's first hash, another its rows, so that no vector is sorted or shuffled but those."""
+    rounded = F.array(*[_rounded(F.get(vec, F.lit(j))) for j in range(dim)])
+    dealt = rows.select(F.pmod(F.xxhash64(F.lit(seed), rounded), F.lit(n_units)).alias("id"), F.xxhash64(F.lit(seed + 1), rounded).alias("_h"),
+                        F.col(vec).alias("_v"))
+    first = write_down(dealt.groupBy(F.col("id").alias("_id")).agg(F.min("_h").alias("_first")))
+    dealt = dealt.join(first, (F.col("id") == F.col("_id")) & (F.col("_h") == F.col("_first"))).select("id", "_v").distinct()
+    dealt = dealt.groupBy("id").agg(F.min("_v").alias("v"))
     noise = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda j: (
         F.pmod(F.xxhash64(F.lit(seed), F.col("id"), j), F.lit(20001)) - 10000) / 1e6)
     units = rows.sparkSession.range(n_units)
@@ -61,22 +75,25 @@ def start_units(rows: DataFrame, vec: str, n_units: int, dim: int, seed: int) ->
 
 
 def fit_map(rows: DataFrame, vec: str, grid: int | None = None, epochs: int = 10, sigma: float = 0.3, seed: int = 42,
-            bound: int = BOUND, start: DataFrame | None = None, dealt: bool = False) -> tuple[DataFrame, list[float]]:
+            bound: int = BOUND, start: DataFrame | None = None, size: tuple[int, int] | None = None,
+            stored: DataFrame | None = None) -> tuple[DataFrame, list[float]]:
     """The map's units (id, v) on a grid x grid lattice (default: floor(sqrt(5 sqrt(rows)))) and the mean distance of the
-    rows to their unit before each epoch. Batch training: every epoch moves all units at once. `dealt`: the rows are a stored table
-    in parts of equal size (`session.spread`); others are dealt first."""
+    rows to their unit before each epoch. Batch training: every epoch moves all units at once. `stored`: the rows in blocks
+    (`blocks.pack`) and `size`: their number and length, where the caller has them."""
     there = rows.where(F.col(vec).isNotNull()).select(vec)
-    there = there if dealt else spread(there)
-    size = there.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
-    if not size["n"]:
+    if stored is None:
+        there = write_down(there)
+    n, dim = size or there.agg(F.count(F.lit(1)), F.max(F.size(vec))).first()
+    if not n:
         return rows.sparkSession.createDataFrame([], "id long, v array<double>"), []
-    grid, dim = grid or som_grid(size["n"]), size["d"]
+    grid = grid or som_grid(n)
+    stored = pack(there, vec, n, dim) if stored is None else stored
     code = write_down(start if start is not None else start_units(there, vec, grid * grid, dim, seed))
     seen = []
     for epoch in range(epochs):
-        won = match(there, vec, code, "euclidean", bound=bound, size=(grid * grid, dim)).where("best IS NOT NULL")
+        won = match(stored, "x", code, bound=bound, size=(grid * grid, dim), summed=True)
         sums = write_down(won.groupBy(F.col("best").alias("unit")).agg(
-            F.count(F.lit(1)).cast("double").alias("cnt"), F.sum(F.sqrt("score")).alias("err"), _added(vec, dim).alias("s")))
+            F.sum("cnt").alias("cnt"), F.sum("err").alias("err"), _added("s", dim).alias("s")))
         seen.append(sums.select(F.lit(epoch).alias("epoch"), "err", "cnt"))
         spread_out = smooth(sums.drop("err"), grid, dim, sigma).where(F.col("cnt") > 1e-12)
         moved = spread_out.select(F.col("unit").alias("id"), F.transform("s", lambda x: x / F.col("cnt")).alias("_v"))
@@ -199,6 +216,8 @@ class SiteClusters:
     units: DataFrame | None = None  # (id, v, cluster_id)
     tiers: DataFrame | None = None  # (cluster_id, size, tier)
     centroids: DataFrame | None = None  # (id, v)
+    own: DataFrame | None = None  # the rows that were kept, in blocks, or as they came where there is a reason
+    kept: StructType | None = None  # their kept columns
     reason: str | None = None
     bound: int = BOUND
 
@@ -217,6 +236,17 @@ class SiteClusters:
             return rows.select(*keep, F.lit(-1).cast("long").alias("neuron"), F.lit(-1).cast("long").alias("cluster_id"),
                                F.lit(3).alias("node_tier"))
         won = match(self.reduce(rows, keep), "vec", self.units.select("id", "v"), "euclidean", bound=self.bound)
+        return self._named(won, keep)
+
+    def label_own(self) -> DataFrame:
+        """The training rows as `label` names them, with the columns that `fit_sites` was told to keep, read where they lie in blocks."""
+        keep = self.kept.names
+        if self.reason:
+            return self.label(self.own, keep)
+        size = self.units.count(), self.components.shape[1]
+        return self._named(match_blocks(self.own, self.units, size, self.bound, self.kept), keep)
+
+    def _named(self, won: DataFrame, keep: list[str]) -> DataFrame:
         groups = self.units.select(F.col("id").alias("neuron"), "cluster_id")
         tiers = self.tiers.select("cluster_id", F.col("tier").alias("node_tier"))
         named = won.withColumnRenamed("best", "neuron").join(groups, "neuron", "left")
@@ -261,26 +291,31 @@ def usable_columns(train: DataFrame, columns: list[str], min_var: float = 1e-8,
 
 
 def fit_sites(train: DataFrame, columns: list[str], weights: dict[str, float] | None = None, threshold: float = 0.6,
-              grid: int | None = None, epochs: int = 10, seed: int = 42, bound: int = BOUND) -> SiteClusters:
+              grid: int | None = None, epochs: int = 10, seed: int = 42, bound: int = BOUND, keep: list[str] | tuple[str, ...] = (),
+              dealt: bool = False) -> SiteClusters:
     """C1 + C2 + C4 + G8 + G10: fit on training rows. Features are zero-filled, filtered by variance, weighted by the root of
     their weight and projected on up to eight principal components; a map with a unit for about every sqrt(rows)/5 rows is
     fitted, its units are merged while their mean cosine distance is below `threshold`, clusters get size tiers and
-    centroids in the reduced space. A cluster is named by its smallest unit."""
-    columns = [c for c in columns if c in train.columns]
-    train = spread(train.select(*dict.fromkeys(columns))) if columns else train  # read about ten times below
+    centroids in the reduced space. A cluster is named by its smallest unit. `keep`: columns that are stored with the rows, for
+    `label_own`. `dealt`: the rows are a stored table in parts that are read as they are; others are written down and dealt first."""
+    columns, keep = [c for c in columns if c in train.columns], list(keep)
+    if columns and not dealt:
+        train = spread(train.select(*dict.fromkeys([*keep, *columns])))  # read some times below
+    kept = train.select(*keep).schema
     varying, reason = usable_columns(train, columns)
     if reason:
-        return SiteClusters(reason=reason)
-    fitted = SiteClusters(columns=varying, weights=weights or {}, bound=bound)
+        return SiteClusters(reason=reason, own=train, kept=kept)
+    fitted = SiteClusters(columns=varying, weights=weights or {}, kept=kept, bound=bound)
     filled = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in varying])
     fitted.components, fitted.mean, _ = fit_pca(weight_features(filled, varying, fitted.weights), varying)
-    reduced = write_down(fitted.reduce(train, []))
-    code, _ = fit_map(reduced, "vec", grid, epochs, seed=seed, bound=bound, dealt=True)
+    reduced, dim = write_down(fitted.reduce(train, keep)), fitted.components.shape[1]
+    n = reduced.count()
+    fitted.own = pack(reduced, "vec", n, dim, keep)
+    code, _ = fit_map(reduced, "vec", grid, epochs, seed=seed, bound=bound, size=(n, dim), stored=fitted.own)
     groups = merge_groups(code.select(F.col("id").alias("item"), "v"), threshold, bound=bound)
     fitted.units = write_down(code.join(groups.select(F.col("item").alias("id"), F.col("cluster").alias("cluster_id")), "id"))
-    won = match(reduced, "vec", code, "euclidean", bound=bound).select(F.col("best").alias("id"), "vec")
-    dim = fitted.components.shape[1]
-    by_unit = won.groupBy("id").agg(F.count(F.lit(1)).alias("n"), _added("vec", dim).alias("s"))
+    won = match(fitted.own, "x", code, bound=bound, size=(fitted.units.count(), dim), summed=True)
+    by_unit = won.groupBy(F.col("best").alias("id")).agg(F.sum("cnt").cast("long").alias("n"), _added("s", dim).alias("s"))
     by_cluster = write_down(by_unit.join(fitted.units.select("id", "cluster_id"), "id").groupBy("cluster_id").agg(
         F.sum("n").alias("size"), _added("s", dim).alias("s")))
     q = by_cluster.agg(F.percentile("size", F.array(F.lit(0.33), F.lit(0.66)))).first()[0]  # a row for each cluster

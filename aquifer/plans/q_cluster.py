@@ -228,20 +228,20 @@ def _sites(spark, d, train_only):
     """The environment features scaled by a plan, and the clusters fitted on them (or on the training rows)."""
     from aquifer.operators import prepare
 
-    e = fx.env_covariates(spark, d)
+    e = write_down(fx.env_covariates(spark, d).select(*SITE_KEYS, *fx.ENV_COLUMNS))  # joined once, read some times
     train = e.where(F.col("l_orderkey") % 5 != 0) if train_only else e
     plan = prepare.fit_scalers(train, fx.ENV_COLUMNS)
-    scaled = prepare.apply_scalers(e, plan, keep=SITE_KEYS)
+    scaled = write_down(prepare.apply_scalers(e, plan, keep=SITE_KEYS))
     rows = scaled.where(F.col("l_orderkey") % 5 != 0) if train_only else scaled
-    return scaled, sites.fit_sites(rows, fx.ENV_COLUMNS, {"TDS": 2.0, "heavy": 0.5})
+    return scaled, sites.fit_sites(rows, fx.ENV_COLUMNS, {"TDS": 2.0, "heavy": 0.5}, keep=() if train_only else SITE_KEYS, dealt=True)
 
 
 @query("c_site_labels")
 def c_site_labels(spark, d):
     """C1 + C2 + C4 + G8 end to end: features scaled, weighted, projected, mapped to the units of the default grid, the units
     merged below a cosine distance of 0.6, clusters tiered by size; every row gets unit, cluster and tier (rows-only)."""
-    scaled, fitted = _sites(spark, d, train_only=False)
-    return fitted.label(scaled, SITE_KEYS)
+    _, fitted = _sites(spark, d, train_only=False)
+    return fitted.label_own()
 
 
 @query("c_site_test")

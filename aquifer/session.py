@@ -85,11 +85,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{(conf or spark.sparkContext.getCheckpointDir()).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def write_down(df: DataFrame, name: str = "table") -> DataFrame:
+def write_down(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     """The table written to the checkpoint folder and read back. Unlike a checkpoint it keeps nothing of the old plan, whose
-    inferred constraints would grow from round to round of an iterative job."""
+    inferred constraints would grow from round to round of an iterative job. `options`: of the writer."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -35,6 +35,15 @@ def test_pca_centred_and_sign_fixed(spark):
     assert abs(scores.pc0.mean()) < 1e-9
 
 
+def test_moments_of_many_parts_are_those_of_all_rows(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(500, 3)) * [1, 10, 0.1] + [1e6, 0, -3]
+    rows = [tuple(map(float, v)) for v in x] + [(None, float("nan"), 1.0)]
+    n, mean, m2 = cluster.co_moments(spark.createDataFrame(rows, "a double, b double, c double").repartition(7), ["a", "b", "c"])
+    whole = np.vstack([x, [0, 0, 1]])
+    assert n == 501 and np.allclose(mean, whole.mean(0)) and np.allclose(m2 / 500, np.cov(whole.T), rtol=1e-9)
+
+
 def test_items_without_a_pair_stay(spark):
     pairs = spark.createDataFrame([(1, 2, 0.1), (2, 3, 0.9), (1, 3, 0.9)], "i long, j long, d double")
     items = spark.createDataFrame([(k,) for k in range(1, 6)], "item long")

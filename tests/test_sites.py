@@ -6,8 +6,9 @@ import numpy as np
 import pandas as pd
 import pytest
 from linkage import naive_agglomerate
+from pyspark.sql import functions as F
 
-from aquifer.operators import nearest, sites
+from aquifer.operators import blocks, nearest, sites
 from aquifer.operators.nearest import match
 
 ITEMS = "item long, v array<double>"
@@ -205,3 +206,76 @@ def test_rows_read_many_times_are_dealt_evenly(spark, monkeypatch):
     rows = spark.createDataFrame([([float(i), 1.0],) for i in range(200)], "v array<double>").coalesce(1)
     sites.fit_map(rows, "v", grid=2, epochs=1)
     assert min(seen) >= min(2, spark.sparkContext.defaultParallelism)
+
+
+def test_cuts_deal_rows_evenly_and_copies_too():
+    rng = np.random.default_rng(1)
+    x = np.vstack([rng.normal(size=(4000, 3)), np.zeros((3000, 3)), np.round(rng.normal(size=(1000, 3)))])
+    tree = blocks.cuts(x, 100)
+    cell = tree.of(x, blocks.places(len(x)))
+    assert np.array_equal(np.bincount(cell), tree.sizes) and tree.sizes.max() <= 100 and len(tree.sizes) < 400
+    assert len(set(cell[4000:7000])) >= 30  # copies of one row
+    assert blocks.cuts(np.zeros((0, 3)), 5).of(x[:4], blocks.places(4)).tolist() == [0] * 4
+
+
+def test_rows_in_blocks_are_whole_and_matched_as_rows_are(spark):
+    """Blocks hold every row with its kept columns; few targets of many are compared, in one pass or several, with the same result."""
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(3000, 4)), 2)
+    x[:700] = x[0]
+    vectors = [*(list(map(float, v)) for v in x), None, [1.0], [math.nan, 0.0, 0.0, 0.0], [math.inf, 0.0, 0.0, 0.0]]
+    rows = spark.createDataFrame([(i, f"r{i}", v) for i, v in enumerate(vectors)], "id long, name string, v array<double>").repartition(3)
+    targets = frame(spark, enumerate(np.round(rng.normal(size=(1500, 4)), 1)), "id long, v array<double>")
+    stored = blocks.pack(rows, "v", rows.count(), 4, ["id", "name"])
+    want = {r.id: (f"r{r.id}", r.best, r.score) for r in match(rows, "v", targets).collect()}
+    kept = rows.select("id", "name").schema
+    for bound in (nearest.BOUND, 2500):
+        got = [(r.id, (r.name, r.best)) for r in nearest.match_blocks(stored, targets, (1500, 4), bound, kept).collect()]
+        assert len(got) == len(want) and dict(got) == {k: v[:2] for k, v in want.items()}
+        sums = match(stored, "x", targets, bound=bound, size=(1500, 4), summed=True).toPandas()
+        near = {k: v for k, v in want.items() if v[1] is not None}
+        assert sums.cnt.sum() == len(near) == 3000 and math.isclose(sums.err.sum(), sum(math.sqrt(v[2]) for v in near.values()))
+        assert np.allclose(np.array(sums.s.tolist()).sum(0), x.sum(0))
+    assert blocks.pack(rows, "v", rows.count(), 4).count() <= stored.count()
+
+
+def test_groups_that_lie_close_are_compared_with_few_targets():
+    """Rows of a block are compared with a hundredth of the targets, bit for bit as with all of them."""
+    rng = np.random.default_rng(6)
+    x, targets = rng.normal(size=(40_000, 4)) * 0.05 + 0.3, rng.normal(size=(5000, 4))
+    parts = list(blocks.close_groups(x, 1024))
+    x, starts = x[np.concatenate(parts)], np.cumsum([0, *map(len, parts[:-1])])
+    assert sum((p.stop - p.start) * len(some) for p, some in nearest._within(x, starts, targets)) < 40_000 * 5000 / 100
+    k, cost = nearest._plain(x, np.arange(5000), targets, "euclidean", None)
+    best, least = nearest.best_of(x, np.arange(5000), targets, "euclidean", starts=starts)
+    assert np.array_equal(best, k) and np.array_equal(least, cost)
+
+
+def test_starting_units_are_the_first_rows_by_hash_of_rounded_values(spark):
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(size=(300, 3)) * 10.0 ** rng.integers(-8, 9, (300, 3)), np.round(rng.normal(size=(300, 3)), 6) + 5e-7,
+                   [[0.0, -0.0, 1e300], [math.nan, math.inf, -1e-9]]])
+    rows = spark.createDataFrame([([float(e) for e in v],) for v in x], "v array<double>")
+    got = {r.id: r.v for r in sites.start_units(rows, "v", 40, 3, 42).collect()}
+    rounded = "transform(v, x -> round(x, 6))"
+    first = rows.selectExpr(f"pmod(xxhash64(42, {rounded}), 40) id", f"xxhash64(43, {rounded}) h", "v").groupBy("id").agg(
+        F.min_by("v", F.struct("h", "v")).alias("v")).collect()
+    assert len(first) == 40 and all(str(got[r.id]) == str(r.v) for r in first)
+
+
+def test_training_rows_are_labelled_where_they_lie(spark, monkeypatch):
+    df = clouds(spark).unionByName(clouds(spark).limit(50))
+    fitted = sites.fit_sites(df, list("abcde"), grid=4, epochs=2, keep=["id", "kind"])
+    want = fitted.label(df, ["id", "kind"]).collect()
+    monkeypatch.setattr(nearest, "match", None)
+    monkeypatch.setattr(sites, "match", None)
+    got = fitted.label_own()
+    assert got.columns == ["id", "kind", "neuron", "cluster_id", "node_tier"] and sorted(got.collect()) == sorted(want) and len(want) == 650
+    few = sites.fit_sites(df.limit(74), list("abcde"), keep=["id"])
+    assert few.reason == sites.TOO_FEW and {(r.cluster_id, r.node_tier) for r in few.label_own().collect()} == {(-1, 3)}
+
+
+def test_rows_are_written_once_where_they_are_dealt(spark, monkeypatch):
+    df = clouds(spark)
+    monkeypatch.setattr(sites, "spread", None)
+    assert sites.fit_sites(df, list("abcde"), grid=2, epochs=1, dealt=True).reason is None
